@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .line_dedup import line_digest
+from .minhash_dedup import near_duplicates
 from .mixture import mixture
 from .quality_qda import score_documents
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +30,7 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixture": op6_mixture,

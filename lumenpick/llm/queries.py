@@ -11,6 +11,7 @@ from .line_dedup import line_digest
 from .minhash_dedup import near_duplicates
 from .mixture import mixture
 from .quality_qda import score_documents
+from .sentencepiece_codec import codec_digest, public_model_path
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +30,16 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digest(table(spark, sf_dir, "documents"), public_model_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixture": op6_mixture,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}

@@ -180,9 +180,16 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .join(text_of, ["h1", "h2"]).join(partner_text, ["p1", "p2"])
         .filter(_verified("words", "other")).select("h1", "h2", F.lit(True).alias("near"))
     )
-    judged = distinct.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left")
+    verified = scratch.keep(verified)
+    scratch.drop(keyed)
+    scratch.drop(near)
+    judged = scratch.keep(distinct.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left"))
+    scratch.drop(distinct)
     gone = lines.select("doc_id", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter((_order() > F.col("first")) | F.col("near"))
-    return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    removed = scratch.keep(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")))
+    for used in (lines, judged, verified):
+        scratch.drop(used)
+    return removed
 
 
 def _kept_text(batch: pa.RecordBatch) -> dict:

@@ -12,6 +12,11 @@ from .minhash_dedup import near_duplicates
 from .mixture import mixture
 from .quality_qda import score_documents
 from .sentencepiece_codec import codec_digest, public_model_path
+from .substring_dedup import passage_digest
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digest(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +40,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,

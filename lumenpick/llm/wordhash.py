@@ -61,9 +61,7 @@ def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     """Unmixed hashes of all windows of `width` words."""
-    n = len(sums) - width
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    n = max(0, len(sums) - width)
     return (sums[width:] - sums[:n]) * _powers("down", len(sums))[:n]
 
 

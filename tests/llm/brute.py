@@ -65,3 +65,22 @@ def near_components(rows, width, percent=80):
                 a, b = sorted((find(d), find(sets[j][0])))
                 parent[b] = a
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
+
+
+def passages(rows, window=50):
+    """rows: (doc_id, text); (doc_id, words, words removed, SHA-256 of the rest) of each."""
+    split = [(d, words_of(t)) for d, t in rows]
+    first = {}
+    for d, w in split:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(d, first.get(k, d))
+    out = []
+    for d, w in split:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        kept = [x for i, x in enumerate(w) if i not in gone]
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
+    return sorted(out)

@@ -13,6 +13,7 @@ from .mixture import mixture
 from .quality_qda import score_documents
 from .sentencepiece_codec import codec_digest, public_model_path
 from .substring_dedup import passage_digest
+from .vector_search import nearest_neighbours
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(table(spark, sf_dir, "documents"), public_model_path())
 
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixture": op6_mixture,
+    "op7_vector_search": op7_vector_search,
     "op9_sentencepiece": op9_sentencepiece,
 }
 

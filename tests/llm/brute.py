@@ -84,3 +84,17 @@ def passages(rows, window=50):
         kept = [x for i, x in enumerate(w) if i not in gone]
         out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return sorted(out)
+
+
+def neighbours(rows, k=20, step=20):
+    """rows: (vec_id, vector of floats); (query, rank, vec_id, score) by exhaustive search in double precision."""
+    import numpy as np
+
+    ids = np.array([r[0] for r in rows], np.int64)
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    out = []
+    for i in np.flatnonzero(ids % step == 0):
+        scores = (x * x[i]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -scores)) if j != i][:k]
+        out += [(int(ids[i]), r + 1, int(ids[j]), float(scores[j])) for r, j in enumerate(order)]
+    return sorted(out)

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chroma_fingerprint import aligned_recordings, as_recordings
 from .common import table
+from .license_scan import as_source_tree, license_scan
 from .line_dedup import line_digest
 from .minhash_dedup import near_duplicates
 from .mixture import mixture
+from .quotation_links import as_mail_threads, linked_messages
 from .quality_qda import score_documents
 from .sentencepiece_codec import codec_digest, public_model_path
 from .substring_dedup import passage_digest
 from .vector_search import nearest_neighbours
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(as_source_tree(table(spark, sf_dir, "documents")))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_digest(table(spark, sf_dir, "documents"))
 
@@ -44,14 +52,26 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digest(table(spark, sf_dir, "documents"), public_model_path())
 
 
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_recordings(as_recordings(table(spark, sf_dir, "documents")))
+
+
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = linked_messages(as_mail_threads(table(spark, sf_dir, "conversations")))
+    return linked.withColumn("content_md5", F.md5("content")).drop("content")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_minhash": op3_minhash,
     "op4_quality": op4_quality,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixture": op6_mixture,
     "op7_vector_search": op7_vector_search,
+    "op8_chroma": op8_chroma,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quotation_links": op10_quotation_links,
 }
 
 ORACLES: dict[str, str] = {}

@@ -118,7 +118,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             joint.append(len(last_set) + len(other) - same)
         return {"u": u, "v": v, "common": common, "joint": joint}
 
-    return arrow_map(pairs.select("u", "v").join(right, "v").join(left, "u"), run, "u long, v long, common int, joint int")
+    return arrow_map(pairs.select("u", "v").join(right.hint("merge"), "v").join(left.hint("merge"), "u"), run, "u long, v long, common int, joint int")
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     buckets = scratch.keep(keyed.join(leaders, "key"))
     pairs = scratch.keep(buckets.filter("rep > leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")).distinct())
     met = pairs.select("v").union(pairs.select("u")).distinct().select(F.col("v").alias("doc_id"))
-    texts = scratch.keep(texts.join(met, "doc_id"))
+    texts = scratch.keep(texts.join(met.hint("merge"), "doc_id"))
 
     linked = F.col("common") * 100 >= F.col("joint") * PERCENT
     known = scratch.keep(_verify(pairs, texts, shingle_words))

@@ -9,8 +9,9 @@ doc_id; only representatives go on.
 Representatives that agree on a band meet in a bucket.  A bucket never lists all
 its pairs: its smallest member (the leader) is compared exactly with every
 other one, and components are formed.  Buckets that then still hold several
-components get a second leader from outside the first component, and so on for
-PIVOT_ROUNDS; what remains are pairs of different components in one bucket,
+components compare the members outside the leader's component with a few of its members
+(pivots, one per hash slot), in rounds with other slots for as long as that
+joins many of them.  What remains are pairs of different components in one bucket,
 minus those that a known distance rules out: Jaccard distance is a metric, so
 members whose distances to a common leader differ by more than the bound can't
 be linked.  All remaining pairs are checked, first on eight-bit sketches, then
@@ -41,7 +42,10 @@ BANDS = 32
 ROWS = 5
 #: Linked if at least this share of the union is common.
 PERCENT = 80
-PIVOT_ROUNDS = 3
+PIVOTS = 8
+#: Another round of pivots follows while this share of the members outside has joined, and at most so many.
+WORTHWHILE = 0.3
+PIVOT_ROUNDS = 6
 #: Sketches of linked documents agree on 128 of 160 coordinates on average, on fewer than this once in 1e9 times.
 SKETCH_AGREE = 98
 
@@ -161,19 +165,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     members = buckets.join(distance, ["leader", "rep"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
     open_buckets = _open_buckets(scratch, members, labels)
-    for _ in range(PIVOT_ROUNDS - 1):
-        if open_buckets.isEmpty():
+    outside, before = _members_outside(open_buckets), None
+    for turn in range(PIVOT_ROUNDS):
+        if not outside or (before and outside > before * (1 - WORTHWHILE)):
             break
-        pivots = open_buckets.filter("not in_first").groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("component", "rep").alias("pivot_component"))
-        more = open_buckets.join(pivots, "key").filter("component <> pivot_component")
+        slot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(PIVOTS))
+        pivots = scratch.keep(open_buckets.filter("in_first").groupBy("key", slot.alias("slot")).agg(F.min("rep").alias("pivot")))
+        more = open_buckets.filter("not in_first").select("key", "rep").join(pivots, "key")
         more = more.select(F.least("pivot", "rep").alias("u"), F.greatest("pivot", "rep").alias("v")).distinct()
         fresh = scratch.keep(_verify(more.join(known, ["u", "v"], "left_anti"), texts, shingle_words))
         known = scratch.keep(known.unionByName(fresh))
         edges = scratch.keep(edges.unionByName(fresh.filter(linked).select("u", "v")))
         labels = scratch.keep(components(edges, scratch))
         open_buckets = _open_buckets(scratch, open_buckets.select(*members.columns), labels)
+        outside, before = _members_outside(open_buckets), outside
 
-    if not open_buckets.isEmpty():
+    if outside:
         sides = open_buckets.join(classes.select("rep", "n", "sketch"), "rep")
         one = sides.filter("not in_first").select("key", *[F.col(c).alias(f"u_{c}") for c in ("rep", "component", "distance", "n", "sketch", "in_first")])
         two = sides.select("key", *[F.col(c).alias(f"v_{c}") for c in ("rep", "component", "distance", "n", "sketch", "in_first")])
@@ -197,6 +204,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     )
 
 
+def _members_outside(open_buckets: DataFrame) -> int:
+    return open_buckets.filter("not in_first").select("rep").distinct().count()
+
+
 def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that hold several components, with `component` and whether that is the leader's.
 
@@ -206,11 +217,12 @@ def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame) -> Da
     first = labels.select(F.col("node").alias("leader"), F.col("component").alias("first"))
     marked = members.join(own, "rep", "left").join(first, "leader", "left")
     marked = marked.withColumn("component", F.coalesce("component", "rep")).withColumn("in_first", F.col("component") == F.coalesce("first", "leader")).drop("first")
+    marked = scratch.keep(marked)
     outside = F.when(~F.col("in_first"), F.col("distance"))
     split = marked.groupBy("key").agg(F.min(outside).alias("nearest"), F.max(outside).alias("farthest")).filter("nearest is not null")
     bound = 1 - PERCENT / 100 + 1e-9
     near = (F.col("distance") >= F.col("nearest") - bound) & (F.col("distance") <= F.col("farthest") + bound)
-    return scratch.keep(marked.join(split, "key").filter(~F.col("in_first") | near).drop("nearest", "farthest"))
+    return scratch.keep(marked.join(scratch.keep(split), "key").filter(~F.col("in_first") | near).drop("nearest", "farthest"))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

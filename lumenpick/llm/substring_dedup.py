@@ -44,8 +44,8 @@ WINDOW = 50
 ANCHOR_WORDS = 8
 #: Longest segment, in windows.
 SEGMENT_WINDOWS = 64
-#: Distinct segments that one automaton takes.
-HOT_SEGMENTS = 256
+#: Distinct segments that one automaton takes: at most 350,000 words, some 150 MB of states.
+HOT_SEGMENTS = 3072
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -279,8 +279,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int =
 
     matched = _matched_segments(routed.filter("not hot"), window)
     windows = scratch.keep(arrow_map(routed.filter("hot"), _window_rows(window), "anchor long, segment long, doc_id long, place int, window long"))
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"))
-    hot = windows.join(least, ["anchor", "window"]).filter("first < doc_id").groupBy(*key).agg(
+    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    hot = windows.join(scratch.keep(least), ["anchor", "window"]).filter("first < doc_id").groupBy(*key).agg(
         F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + 1).alias("end"))).alias("ranges")
     )
     ranges = scratch.keep(matched.unionByName(hot))

@@ -1,0 +1,324 @@
+"""Operators against brute force, and their defined results for nulls, blanks, ties, repeats and empty tables."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumenpick.llm import (
+    chroma_fingerprint as chroma, license_scan as licenses, line_dedup, minhash_dedup, mixture, quality_qda, quotation_links as quotes, substring_dedup, vector_search,
+)
+from lumenpick.llm.common import word_count, words_of
+from lumenpick.llm.quality_features import FEATURES, document_features
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def docs(spark, texts, sources=None):
+    return spark.createDataFrame([(i, t, "en", (sources or {}).get(i, "s"), len(t or "")) for i, t in texts], DOCS)
+
+
+def prose(n, seed, vocabulary=2000):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+def rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def corpus():
+    """Copies, near copies, shared passages and lines, nulls, blanks and a very long text."""
+    base = prose(120, 1)
+    passage = prose(60, 2)
+    out = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(base[:60] + ["changed"] + base[61:])), (4, None), (5, ""), (6, " \n\t "), (7, "one two"), (8, "ONE two"), (9, "x " * 500)]
+    out += [(10 + k, " ".join(prose(10 + 3 * k, 50 + k) + passage + prose(20, 90 + k))) for k in range(12)]
+    out += [(40, "the same line of words here\nanother line that stays as it is\nthe same line of words here"), (41, "the same line of word here\nshort one\nthe very same line of words here")]
+    out += [(50, " ".join(prose(20000, 7))), (51, "é" * 30 + " ▁ a b")]
+    return out
+
+
+def test_words_are_split_at_ascii_blanks_only(spark):
+    texts = ["a\x0bb\x0cc", "a b\xa0c", None, "", "  ", "é ü"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t"))).collect()
+    assert [r[0] for r in got] == [len(words_of(t)) for t in texts] == [3, 1, 0, 0, 0, 2]
+
+
+# --- 1: licences -------------------------------------------------------------
+
+
+def test_licences_are_found_and_inherited(spark):
+    files = [(1, "/r/a/LICENSE", "Released under the MIT License."), (2, "/r/a/b/x.txt", "nothing"), (3, "/r/a/b/y.txt", "text\nLicensed under the Apache License, Version 2.0."), (4, "/r/z.txt", "nothing"),
+             (5, "/r/a/b/LICENSE.md", "This work is licensed under the GNU General Public License, version 3."), (6, "/r/a/q.txt", None), (7, None, "Released under the MIT License."), (8, "/r/a/c/d/e.txt", "")]
+    df = spark.createDataFrame([(*f, 1) for f in files], "doc_id long, path string, text string, license int")
+    got = {r["doc_id"]: (r["own_license"], r["license"], r["licensed_by"]) for r in licenses.license_scan(df).collect()}
+    assert got[1] == ("MIT", "MIT", None) and got[2] == (None, "GPL-3.0-only", "/r/a/b") and got[3][0] == "Apache-2.0"
+    assert got[4] == (None, None, None) and got[6] == (None, "MIT", "/r/a") and got[7] == ("MIT", "MIT", None) and got[8] == (None, "MIT", "/r/a")
+    assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_cosines_match_plain_vectors():
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {"the": 90, "license": 5}, 100)
+    line = "released under the mit license today"
+    idf = lambda w: {"the": np.log(101 / 91) + 1, "license": np.log(101 / 6) + 1}.get(w, np.log(101) + 1)
+    best = 0.0
+    for text in licenses.TEMPLATES.values():
+        a = {w: licenses.tokens(text).count(w) * idf(w) for w in licenses.tokens(text)}
+        b = {w: licenses.tokens(line).count(w) * idf(w) for w in licenses.tokens(line)}
+        best = max(best, sum(a.get(w, 0) * v for w, v in b.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values())))
+    assert index.best(line)[0] == "MIT" and np.isclose(index.best(line)[1], best)
+
+
+# --- 2: passages ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("hot", [3072, 1])
+def test_passages_match_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup.repeated_windows, "__defaults__", (50, hot))
+    df = docs(spark, corpus())
+    assert rows(substring_dedup.passage_digest(df), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.passages(corpus())
+
+
+def test_passages_of_nothing_and_of_repeated_ids(spark):
+    assert substring_dedup.passage_digest(docs(spark, [])).count() == 0
+    same = [(1, " ".join(prose(80, 3))), (1, " ".join(prose(80, 3))), (2, " ".join(prose(80, 3))), (2, "other")]
+    got = rows(substring_dedup.passage_digest(docs(spark, same)), "doc_id", "n_words", "n_removed")
+    assert got == [(1, 80, 0), (1, 80, 0), (2, 1, 0), (2, 80, 80)]
+
+
+def test_the_automaton_gives_matching_statistics():
+    rng = random.Random(4)
+    for _ in range(50):
+        known = [[rng.choice("ab") for _ in range(rng.randrange(1, 12))] for _ in range(3)]
+        automaton = substring_dedup.SuffixAutomaton()
+        for k in known:
+            automaton.add(k)
+        asked = [rng.choice("abc") for _ in range(12)]
+        inside = lambda s: any("".join(s) in "".join(k) for k in known)
+        longest = [max(n for n in range(i + 2) if n == 0 or inside(asked[i + 1 - n : i + 1])) for i in range(len(asked))]
+        assert automaton.matches(asked) == longest
+
+
+# --- 3: near copies ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_copies_match_brute_force(spark, width):
+    got = rows(minhash_dedup.near_duplicates(docs(spark, corpus()), width), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.near_components(corpus(), width)
+
+
+def test_a_family_around_the_bound(spark):
+    base, rng, family = prose(150, 11), random.Random(12), []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(150)] = f"n{rng.randrange(10**6)}"
+        family.append((i, " ".join(words)))
+    got = rows(minhash_dedup.near_duplicates(docs(spark, family), 4), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.near_components(family, 4)
+
+
+def test_near_copies_of_nothing(spark):
+    assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
+    kept = minhash_dedup.one_of_each(docs(spark, corpus()).withColumn("component_id", F.lit(1)))
+    assert "component_id" in kept.columns and {4, 5, 6} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_signatures_estimate_similarity():
+    a = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    share = (minhash_dedup.signature(a[:900], 2000) == minhash_dedup.signature(a[100:], 2000)).mean()
+    assert abs(share - 0.8) < 0.04
+
+
+# --- 4: quality ---------------------------------------------------------------------
+
+
+def test_quality_on_held_out_rows(spark):
+    table = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    got = quality_qda.score_documents(table("documents"), table("labels"))
+    truth = {r["doc_id"]: r["quality"] for r in table("labels").collect()}
+    out = [(r["held_out"], r["predicted"], truth[r["doc_id"]]) for r in got.collect() if r["doc_id"] in truth]
+    held = [p == q for h, p, q in out if h]
+    assert len(held) > 50 and np.mean(held) > 0.97
+    assert {(r["doc_id"], r["held_out"]) for r in got.collect()} == {(r["doc_id"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got.collect()}
+
+
+def test_quality_without_labels_and_texts(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r["score"] for r in quality_qda.score_documents(docs(spark, corpus()), labels).collect()} == {0.5}
+    assert not document_features(None).any() and len(document_features("a b")) == len(FEATURES)
+    some = spark.createDataFrame([(i, i % 2, 0) for i, _ in corpus()], "doc_id long, quality int, toxic int")
+    scores = [r["score"] for r in quality_qda.score_documents(docs(spark, corpus()), some).collect()]
+    assert len(scores) == len(corpus()) and all(0 <= x <= 1 for x in scores)
+
+
+def test_scores_are_density_differences():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(400, len(FEATURES))), np.arange(400) % 2
+    x[y == 1] += 0.5
+    moments = {c: np.concatenate([[200.0], x[y == c].sum(axis=0), (x[y == c].T @ x[y == c]).ravel()]) for c in (0, 1)}
+    model = quality_qda.from_moments(moments, 0.15)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    density = []
+    for c in (0, 1):
+        cov = 0.85 * np.cov(z[y == c].T, bias=True) + 0.15 * np.eye(len(FEATURES))
+        off = z - z[y == c].mean(axis=0)
+        density.append(np.log(0.5) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(density[0] - density[1])))
+
+
+# --- 5: lines -----------------------------------------------------------------------
+
+
+def test_lines_match_brute_force(spark):
+    rng, texts = random.Random(9), corpus()
+    lines = [" ".join(prose(rng.randrange(5, 14), 300 + k, 60)) for k in range(40)]
+    for d in range(60, 100):
+        own = []
+        for line in rng.sample(lines, 4):
+            words = line.split()
+            if rng.random() < 0.5:
+                k = rng.randrange(len(words))
+                words[k : k + rng.randrange(2)] = [f"v{rng.randrange(3)}"] * rng.randrange(2)
+            own.append(" ".join(words))
+        texts.append((d, "\n".join(own)))
+    assert sorted(rows(line_dedup.line_digest(docs(spark, texts)), "doc_id", "n_lines", "n_removed", "kept_sha256"), key=str) == brute.line_digest(texts)
+
+
+def test_lines_of_nothing_and_emptied_documents(spark):
+    assert line_dedup.line_digest(docs(spark, [])).count() == 0
+    kept = line_dedup.without_repeated_lines(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b c d e x\nown words stay here all of them")]))
+    assert rows(kept, "doc_id", "text") == [(1, "a b c d e f"), (3, None), (4, ""), (5, "own words stay here all of them")]
+
+
+# --- 6: mixing -----------------------------------------------------------------------
+
+
+def test_targets_by_water_filling(spark):
+    sizes = {"b": 100, "a": 10, "d": 50, None: 40, "c": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixture.with_targets(df).collect()}
+    weight = dict(zip(["a", "b", "c", "d", None], [3, 1, 2, 3, 1], strict=True))
+    level = dict.fromkeys(sizes, 0.0)
+    left, open_ = 1.5 * sum(sizes.values()), set(sizes)
+    while left > 1e-9 and open_:
+        share = left / sum(weight[k] for k in open_)
+        full = {k for k in open_ if weight[k] * share >= 2 * sizes[k] - level[k]}
+        for k in open_ if not full else full:
+            add = weight[k] * share if not full else 2 * sizes[k] - level[k]
+            level[k] += add
+            left -= add
+        if not full:
+            break
+        open_ -= full
+    assert all(abs(got[k] - level[k]) < 1e-6 for k in sizes)
+
+
+def test_subset_sums_are_exact():
+    rng = random.Random(2)
+    for _ in range(40):
+        lengths, counts = rng.sample(range(1, 30), 4), [rng.randrange(4) for _ in range(4)]
+        budget = rng.randrange(120)
+        reach = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            reach = {x + k * n for x in reach for k in range(c + 1)}
+        taken = mixture.best_subset(lengths, counts, budget)
+        assert all(t <= c for t, c in zip(taken, counts, strict=True))
+        assert sum(n * t for n, t in zip(lengths, taken, strict=True)) == max(x for x in reach if x <= budget)
+
+
+def test_mixes_reach_their_targets(spark):
+    rng = random.Random(8)
+    texts = [(i, " ".join(["w"] * rng.choice([1, 5, 5, 5, 17, 40]))) for i in range(300)] + [(900, None), (901, "")]
+    sources = {i: ["a", "b", "c", None][min(3, i % 7)] for i, _ in texts}
+    df = docs(spark, texts, sources)
+    got = mixture.mixture(df).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in mixture.mixture(df).collect())
+    taken: dict = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken.setdefault(sources[r["doc_id"]], [0, r["target"], r["source_size"]])[0] += r["taken"]
+    assert all(abs(t - target) <= 1 for t, target, _ in taken.values())
+    assert mixture.mixed_documents(df).count() == sum(r["taken"] // r["size"] for r in got if r["size"])
+    assert mixture.mixture(df.limit(0)).count() == 0
+
+
+# --- 7: neighbours ---------------------------------------------------------------------
+
+
+def test_neighbours_and_their_recall(spark):
+    table = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    expected = brute.neighbours([(r["vec_id"], r["embedding"]) for r in table.collect()])
+    got = rows(vector_search.nearest_neighbours(table), "query_id", "rank", "vec_id", "score")
+    want, found = ({(q, v): s for q, _, v, s in x} for x in (expected, got))
+    both = want.keys() & found.keys()
+    assert len(got) == len(expected) and len(both) >= 0.9 * len(want) and all(want[k] == found[k] for k in both)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rng = np.random.default_rng(3)
+    good = [(i, rng.normal(size=4).tolist(), 0) for i in range(1, 40)]
+    odd = [(100, None, 0), (120, [0.0] * 4, 0), (140, [1.0, None, 0.0, 0.0], 0), (160, [float("nan")] * 4, 0), (180, [1.0, float("inf"), 0.0, 0.0], 0), (200, [1.0], 0)]
+    copies = [(i, [1.0, 2.0, 3.0, 4.0], 0) for i in range(300, 420)]
+    df = spark.createDataFrame(good + odd + copies + copies[:2], "vec_id long, embedding array<float>, rank int")
+    got = rows(vector_search.nearest_neighbours(df, probe_share=1.0), "query_id", "rank", "vec_id", "score")
+    assert got == brute.neighbours([(i, v) for i, v, _ in good + copies])
+    assert vector_search.nearest_neighbours(df.limit(0)).count() == 0
+
+
+# --- 8: recordings -----------------------------------------------------------------------
+
+
+def test_recordings_align(spark):
+    rng = np.random.default_rng(5)
+    tune = lambda n: np.clip(128 + 50 * np.sin(np.cumsum(rng.uniform(0.1, 1.2, n))) + rng.normal(0, 4, n), 0, 255).astype(np.uint8)
+    a, b = tune(4000), tune(4000)
+    media = [(1, bytes(a)), (2, bytes(a)), (3, bytes(a[32 * 20 :])), (4, bytes(b)), (5, None), (6, b"short"), (7, bytes(np.clip(a.astype(int) + rng.integers(-2, 3, len(a)), 0, 255).astype(np.uint8))), (8, b"")]
+    df = spark.createDataFrame([(*m, 0) for m in media], "doc_id long, samples binary, overlap int")
+    got = {r["doc_id"]: r for r in chroma.aligned_recordings(df).collect()}
+    assert got[2]["aligned_to"] == 1 and got[2]["bit_error"] == 0.0 and got[3]["frame_offset"] == 20 and got[3]["component_id"] == 1
+    assert got[7]["component_id"] == 1 and got[4]["component_id"] == 4 and got[4]["n_links"] == 0
+    assert (got[5]["n_frames"], got[6]["n_frames"], got[6]["component_id"]) == (0, 0, 6)
+    assert chroma.aligned_recordings(df.limit(0)).count() == 0
+
+
+def test_fingerprints_use_plain_rectangle_sums():
+    samples = np.random.default_rng(6).integers(0, 256, 2000).astype(np.uint8)
+    image, packed = chroma.chroma(samples), chroma.fingerprint(samples)
+    assert np.allclose(image.sum(axis=1), 1, atol=1e-4) and len(packed) == len(image) - chroma.SPAN + 1
+    kind, low, height, width = chroma.filter_shapes()[0]
+    t = 3
+    part, rest = image[t : t + width, low : low + 3].sum(), image[t : t + width, low + 3 : low + height].sum()
+    level = sum(np.log((part + 0.01) / (rest + 0.01)) > x for x in (-chroma.LEVEL, 0, chroma.LEVEL))
+    assert packed[t] >> 30 == [0, 1, 3, 2][level]
+
+
+# --- 10: quotations -----------------------------------------------------------------------
+
+
+def test_quotes_are_linked(spark):
+    mails = [(1, 0, "user", "Hello there\n\nSecond  PARAGRAPH"), (1, 1, "assistant", "> hello there\nReply"), (1, 2, "user", "> > second paragraph\n> Reply\nThanks\n> unknown text"), (1, 3, "user", "No quote"),
+             (2, 0, "user", ">Reply\nfrom elsewhere"), (3, 0, "user", None), (3, 1, "user", ""), (None, 0, "user", "Hello there"), (4, None, "user", "> Hello there")]
+    df = spark.createDataFrame([(*m, 1) for m in mails], "conv_id long, turn long, role string, text string, depth int")
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.linked_messages(df).collect()}
+    assert got[1, 1]["parent_turn"] == 0 and got[1, 1]["content"] == "Reply" and got[1, 2]["parent_turn"] == 1
+    assert got[1, 2]["reply_path"].count("/") == 2 and (got[1, 2]["n_quotes"], got[1, 2]["n_linked"]) == (3, 2)
+    assert (got[2, 0]["parent_conv_id"], got[2, 0]["parent_turn"], got[2, 0]["depth"]) == (1, 1, 0)
+    assert got[3, 0]["content"] == "" and got[1, 3]["depth"] == 0 and len(got) == len(mails)
+    chat = {r["conv_id"]: [m["content"] for m in r["messages"]] for r in quotes.reply_ordered(quotes.linked_messages(df)).collect()}
+    assert chat[1] == ["Hello there\n\nSecond  PARAGRAPH", "Reply", "Thanks", "No quote"]
+    assert quotes.linked_messages(df.limit(0)).count() == 0
+
+
+def test_mail_threads_are_recovered(spark):
+    talks = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+    got = quotes.linked_messages(quotes.as_mail_threads(talks)).collect()
+    turns = {(r["conv_id"], r["turn"]) for r in talks.collect()}
+    assert all(r["depth"] == r["turn"] and r["parent_turn"] == r["turn"] - 1 for r in got if r["turn"] > 0 and (r["conv_id"], r["turn"] - 1) in turns)

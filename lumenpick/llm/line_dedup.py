@@ -18,7 +18,7 @@ Lines are compared by their words, so spacing does not matter.
 4. The partner so found is verified on the words, word by word.
 
 Defined results: null texts have no lines; lines of fewer than MIN_WORDS words
-(blank ones too) are never removed; of rows that repeat a doc_id, lines at the same
+(blank ones too) are never removed; rows that repeat a doc_id are cut by their own texts, and lines at the same
 place tie and all stay.  Lines are judged on the input, not on what is left.
 Extra columns pass through where whole rows are returned.
 """
@@ -48,8 +48,9 @@ def _line_rows(min_words: int):
     """Per line: its place, two hashes of its words and the hashes of its halves."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc_id", "line_no", "h1", "h2", "n", "halves")}
-        for doc_id, text in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "text").to_pylist(), strict=True):
+        out = {k: [] for k in ("doc_id", "row", "line_no", "h1", "h2", "halves")}
+        columns = (_column(batch, k).to_pylist() for k in ("doc_id", "row", "text"))
+        for doc_id, row, text in zip(*columns, strict=True):
             lines = [words_of(line) for line in (text or "").split("\n")]
             places = [i for i, words in enumerate(lines) if len(words) >= min_words]
             if not places:
@@ -66,10 +67,10 @@ def _line_rows(min_words: int):
                 keys.append(mix(run_hashes(sums, ends - half, ends) + salt + np.uint64(_TAIL)))
             halves = np.stack(keys, axis=1).view(np.int64)
             out["doc_id"] += [doc_id] * len(places)
+            out["row"] += [row] * len(places)
             out["line_no"] += places
             out["h1"] += mix(run_hashes(sums, starts, ends)).view(np.int64).tolist()
             out["h2"] += mix(run_hashes(other, starts, ends)).view(np.int64).tolist()
-            out["n"] += sizes.tolist()
             out["halves"] += [row if n % 2 == 0 else row[:2] for row, n in zip(halves.tolist(), sizes.tolist(), strict=True)]
         return out
 
@@ -142,10 +143,10 @@ def _order() -> Column:
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, lines: per document the numbers of the lines that go, where there are any."""
+    """doc_id, row (hash of the text), lines: the numbers of the lines that go, where there are any."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    lines = scratch.keep(arrow_map(texts, _line_rows(min_words), "doc_id long, line_no int, h1 long, h2 long, n int, halves array<long>"))
+    texts = docs.select("doc_id", F.hash("text").alias("row"), "text")
+    lines = scratch.keep(arrow_map(texts, _line_rows(min_words), "doc_id long, row int, line_no int, h1 long, h2 long, halves array<long>"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.any_value("halves").alias("halves"))
     distinct = scratch.keep(distinct)
 
@@ -154,7 +155,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sides = halves.join(shared, "half").groupBy("h1", "h2").agg(F.bit_or("side").alias("sides"))
     candidates = distinct.select("h1", "h2", "first").join(sides, ["h1", "h2"])
     wanted = candidates.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "sides")).alias("wanted"))
-    near = arrow_map(texts.join(wanted, "doc_id"), _wanted_lines, "h1 long, h2 long, sides int, doc_id long, line_no int, words string")
+    near = arrow_map(texts.drop("row").join(wanted, "doc_id"), _wanted_lines, "h1 long, h2 long, sides int, doc_id long, line_no int, words string")
     near = scratch.keep(near.dropDuplicates(["h1", "h2"]))
 
     keys = arrow_map(near.select("h1", "h2", "sides", "words"), _variant_rows, "h1 long, h2 long, key long, kind int")
@@ -185,8 +186,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     scratch.drop(near)
     judged = scratch.keep(distinct.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left"))
     scratch.drop(distinct)
-    gone = lines.select("doc_id", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter((_order() > F.col("first")) | F.col("near"))
-    removed = scratch.keep(gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("lines")))
+    gone = lines.select("doc_id", "row", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter((_order() > F.col("first")) | F.col("near"))
+    removed = scratch.keep(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("lines")))
     for used in (lines, judged, verified):
         scratch.drop(used)
     return removed
@@ -209,13 +210,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs with n_lines, n_removed and kept, the text without the removed lines."""
     columns = list(docs.columns)
     kinds = dict(docs.dtypes)
-    packed = docs.join(removed_lines(docs, min_words), "doc_id", "left").select(F.struct(*columns).alias("row"), "text", "lines")
+    gone = removed_lines(docs, min_words).withColumnsRenamed({"row": "_row", "lines": "_lines"})
+    joined_rows = docs.withColumn("_row", F.hash("text")).join(gone, ["doc_id", "_row"], "left")
+    packed = joined_rows.select(F.struct(*columns).alias("whole"), "text", F.col("_lines").alias("lines"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        return _kept_text(batch) | {"row": _column(batch, "row")}
+        return _kept_text(batch) | {"whole": _column(batch, "whole")}
 
-    schema = "row struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in columns) + ">, n_lines long, n_removed long, kept string"
-    return arrow_map(packed, run, schema).select("row.*", "n_lines", "n_removed", "kept")
+    schema = "whole struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in columns) + ">, n_lines long, n_removed long, kept string"
+    return arrow_map(packed, run, schema).select("whole.*", "n_lines", "n_removed", "kept")
 
 
 def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -192,6 +192,11 @@ def test_lines_match_brute_force(spark):
     assert sorted(rows(line_dedup.line_digest(docs(spark, texts)), "doc_id", "n_lines", "n_removed", "kept_sha256"), key=str) == brute.line_digest(texts)
 
 
+def test_lines_of_rows_that_repeat_an_id(spark):
+    again = [(1, "a b c d e f"), (2, "a b c d e f\nr s t u v w"), (2, "k l m n o p"), (2, "k l m n o p")]
+    assert rows(line_dedup.line_digest(docs(spark, again)), "doc_id", "n_lines", "n_removed") == [(1, 1, 0), (2, 1, 0), (2, 1, 0), (2, 2, 1)]
+
+
 def test_lines_of_nothing_and_emptied_documents(spark):
     assert line_dedup.line_digest(docs(spark, [])).count() == 0
     kept = line_dedup.without_repeated_lines(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b c d e x\nown words stay here all of them")]))

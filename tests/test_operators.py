@@ -223,3 +223,17 @@ def test_presets():
     assert preset("fast").max_analysis_size == 1024 and preset("nonsense").mode == "balanced"
     assert (resolve_workers("auto", "balanced", 16), resolve_workers("auto", "accurate", 16), resolve_workers("x", "fast", 8), resolve_workers(9, "fast", 8), resolve_workers("auto", "fast", 1)) == (4, 2, 1, 4, 1)
     assert [score_mode(m) for m in ("fast", "balanced", "accurate")] == ["conservative", "balanced", "accurate"]
+
+
+def test_thumbnails_are_written_once(spark, tmp_path):
+    from lumenpick.operators.thumbnails import write_thumbnails
+
+    png(tmp_path / "big.png", [[x % 256 for x in range(720)] for _ in range(300)])
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    found = photos.decoded(spark, str(tmp_path))
+    done = {r["path"].rsplit("/", 1)[1]: r for r in write_thumbnails(found, str(tmp_path / "thumbs")).collect()}
+    assert done["big.png"]["error"] is None and done["broken.png"]["error"]
+    size = photos.sizes(photos.decoded(spark, str(tmp_path / "thumbs"))).first()
+    assert (size["width"], size["height"]) == (360, 150)
+    made = spark.createDataFrame([(done["big.png"]["thumbnail_path"],)], "thumbnail_path string")
+    assert write_thumbnails(found, str(tmp_path / "thumbs"), made).count() == 1

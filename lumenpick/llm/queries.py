@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chroma_fingerprint import aligned_recordings, as_recordings
 from .common import table
 from .license_scan import as_source_tree, license_scan
@@ -74,4 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quotation_links": op10_quotation_links,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": oracles.PASSAGES,
+    "op3_minhash": oracles.NEAR_COPIES,
+    "op5_line_dedup": oracles.LINES,
+}

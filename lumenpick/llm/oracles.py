@@ -41,3 +41,33 @@ kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.line_no) AS n_removed,
   FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.line_no = l.line_no GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+_NORMAL = r"lower(trim(regexp_replace({0}, '[ \t\n\r\f\v]+', ' ', 'g')))"
+_UNITS = f"""list_filter(list_distinct(list_transform(list_concat([{{0}}], regexp_split_to_array({{0}}, '\\n[ \\t\\r]*\\n')), lambda x: {_NORMAL.format("x")})), lambda x: x <> '')"""
+
+QUOTES = f"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE text IS NOT NULL GROUP BY ALL),
+th AS (SELECT c.conv_id, c.turn, c.role, coalesce('> > ' || replace(b2.t, chr(10), chr(10) || '> > ') || chr(10), '') || coalesce('> ' || replace(b1.t, chr(10), chr(10) || '> ') || chr(10), '') || chr(10) || coalesce(c.text, '') AS text
+  FROM conversations c LEFT JOIN b b1 ON b1.conv_id = c.conv_id AND b1.turn + 1 = c.turn LEFT JOIN b b2 ON b2.conv_id = c.conv_id AND b2.turn + 2 = c.turn),
+l0 AS (SELECT conv_id, turn, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM th),
+l AS (SELECT conv_id, turn, no, length(regexp_replace(regexp_extract(line, '^(?:[ \\t]*>)+'), '[^>]', '', 'g')) AS level, regexp_replace(regexp_replace(line, '^(?:[ \\t]*>)+', ''), '^ ', '') AS body FROM l0),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY no) AS run FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY conv_id, turn ORDER BY no) = level THEN 0 ELSE 1 END AS fresh FROM l)),
+q AS (SELECT conv_id, turn, run, level, string_agg(body, chr(10) ORDER BY no) AS text FROM i WHERE level > 0 GROUP BY ALL),
+own AS (SELECT conv_id, turn, trim(regexp_replace(string_agg(body, chr(10) ORDER BY no) FILTER (level = 0), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')) AS content FROM i GROUP BY ALL),
+m AS (SELECT th.conv_id, th.turn, th.role, coalesce(content, '') AS content FROM th JOIN own ON own.conv_id = th.conv_id AND own.turn = th.turn),
+u AS (SELECT conv_id, turn, unnest({_UNITS.format("content")}) AS unit FROM m),
+here AS (SELECT conv_id, unit, min(turn) AS first_turn FROM u GROUP BY ALL),
+anyw AS (SELECT unit, conv_id AS any_conv, first_turn AS any_turn FROM here QUALIFY row_number() OVER (PARTITION BY unit ORDER BY conv_id) = 1),
+p0 AS (SELECT conv_id, turn, run, level, {_UNITS.format("text")} AS units FROM q),
+p AS (SELECT conv_id, turn, run, level, unnest(units) AS unit, generate_subscripts(units, 1) = 1 AS whole FROM p0),
+f0 AS (SELECT p.*, CASE WHEN here.first_turn < p.turn THEN here.first_turn END AS inside FROM p LEFT JOIN here ON here.conv_id = p.conv_id AND here.unit = p.unit),
+f AS (SELECT f0.*, inside IS NOT NULL AS near, CASE WHEN inside IS NULL AND any_conv <> conv_id THEN any_conv END AS out_conv, any_turn FROM f0 LEFT JOIN anyw ON anyw.unit = f0.unit),
+t AS (SELECT conv_id, turn, run, level, near, whole, coalesce(inside, any_turn) AS to_turn, CASE WHEN near THEN conv_id ELSE out_conv END AS to_conv FROM f WHERE near OR out_conv IS NOT NULL),
+n AS (SELECT conv_id, turn, count(DISTINCT run) AS n_linked FROM t GROUP BY ALL),
+g AS (SELECT conv_id, turn, near, to_turn, to_conv FROM t WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY near DESC, whole DESC, to_turn DESC, to_conv DESC) = 1),
+walk(conv_id, turn, depth, path) AS (SELECT m.conv_id, m.turn, 0, lpad(m.turn::VARCHAR, 10, '0') FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn WHERE g.near IS NOT TRUE
+  UNION ALL SELECT g.conv_id, g.turn, depth + 1, path || '/' || lpad(g.turn::VARCHAR, 10, '0') FROM walk JOIN g ON g.near AND g.conv_id = walk.conv_id AND g.to_turn = walk.turn)
+SELECT m.conv_id, m.turn, m.role, g.to_conv AS parent_conv_id, g.to_turn AS parent_turn, walk.depth, walk.path AS reply_path, (SELECT count(*) FROM q WHERE q.conv_id = m.conv_id AND q.turn = m.turn) AS n_quotes,
+  coalesce(n.n_linked, 0) AS n_linked, md5(m.content) AS content_md5
+FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn LEFT JOIN walk ON walk.conv_id = m.conv_id AND walk.turn = m.turn
+"""

@@ -79,4 +79,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.PASSAGES,
     "op3_minhash": oracles.NEAR_COPIES,
     "op5_line_dedup": oracles.LINES,
+    "op10_quotation_links": oracles.QUOTES,
 }

@@ -143,6 +143,6 @@ def as_mail_threads(conversations: DataFrame, levels: int = 2) -> DataFrame:
         shifted = before.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("_before").alias(f"_before{back}"))
         threads = threads.join(shifted, ["conv_id", "turn"], "left")
         mark = "> " * back
-        quoted = F.concat(F.regexp_replace(F.col(f"_before{back}"), r"(?m)^", mark), F.lit("\n"))
+        quoted = F.concat(F.lit(mark), F.replace(F.col(f"_before{back}"), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
         prefix = F.concat(F.coalesce(quoted, F.lit("")), prefix)
     return threads.select("conv_id", "turn", "role", F.concat(prefix, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))

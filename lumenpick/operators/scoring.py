@@ -127,3 +127,14 @@ def crop_geometry(width: Column, height: Column, x_ratio: float, y_ratio: float,
     share = lambda r: float(min(1.0, max(0.0, r)))
     place = lambda length, r: F.greatest(F.lit(0), F.least(F.floor(length * num(share(r))) - F.floor(side / 2), length - side))
     return F.struct(place(width, x_ratio).cast("int").alias("left"), place(height, y_ratio).cast("int").alias("top"), side.cast("int").alias("side"))
+
+
+def person_blur(boxes: Column) -> Column:
+    """count, main (of the largest box), mean and least sharpness over the positive ones of a struct array (w, h, sharpness), to two digits."""
+    scores = F.filter(F.transform(boxes, lambda b: b["sharpness"]), lambda v: v > 0)
+    largest = F.array_max(F.transform(boxes, lambda b, i: F.struct((b["w"] * b["h"]).alias("a"), (-i).alias("i"), b["sharpness"].alias("s"))))
+    mean = F.aggregate(scores, num(0), lambda a, v: a + v) / F.size(scores)
+    some = F.size(scores) > 0
+    return F.struct(
+        F.size(boxes).alias("count"), F.when(F.size(boxes) > 0, rounded(largest["s"], 2)).alias("main"), F.when(some, rounded(mean, 2)).alias("mean"), F.when(some, rounded(F.array_min(scores), 2)).alias("least")
+    )

@@ -293,6 +293,80 @@ def status_split(spark, sf_dir):
     return p.filter("status = 'selected'").select("photo_id", F.lit("kept").alias("side")).unionByName(p.filter("status = 'rejected'").select("photo_id", F.lit("dropped").alias("side")))
 
 
+@query
+def person_blur_stats(spark, sf_dir):
+    def at(i):
+        return F.get("embedding", i).cast("double")
+
+    boxes = F.array(*[F.struct(F.abs(F.floor(at(3 * k) * s.num(100))).alias("w"), F.abs(F.floor(at(3 * k + 1) * s.num(100))).alias("h"), s.rounded(at(3 * k + 2) * s.num(200)).alias("sharpness")) for k in range(3)])
+    b = scoring.person_blur(F.filter(boxes, lambda x: x["w"] * x["h"] > 0))
+    return table(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 9).select("vec_id", b["count"].alias("persons"), b["main"].alias("main"), b["mean"].alias("mean_blur"), b["least"].alias("least"))
+
+
+@query
+def cluster_models(spark, sf_dir):
+    m = similarity.cluster_models(picking.picked(f.line_items(spark, sf_dir)))
+    return m.select("cluster_id", F.array_join("photo_ids", ",").alias("photo_ids"), "selected_photo_id", F.array_join("rejected_photo_ids", ",").alias("rejected_photo_ids"), "size")
+
+
+@query
+def ungrouped_clusters(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("seq"))
+    return similarity.ungrouped(names).select("id", "cluster_id", "cluster_size", "confidence")
+
+
+@query
+def typed_reason_rows(spark, sf_dir):
+    typed = picking.typed_reasons(F.col("status"), F.col("reasons"))
+    return _explained(spark, sf_dir).select("photo_id", F.explode(typed).alias("r")).groupBy("photo_id", "r.type", "r.code").agg(F.count("*").alias("n"))
+
+
+@query
+def decision_report(spark, sf_dir):
+    return reports.decision_rows(_reviewed(spark, sf_dir)).select("photo_id", "filename", "original_path", "ai_status", "final_decision", "cluster_id", "is_cluster_winner", "final_score", "decision_source", "reasons")
+
+
+@query
+def decision_json(spark, sf_dir):
+    return reports.decision_json(_reviewed(spark, sf_dir))
+
+
+@query
+def filter_choices(spark, sf_dir):
+    return reports.choices(_listed_parts(spark, sf_dir), "output_status")
+
+
+@query
+def log_tail(spark, sf_dir):
+    return reports.log_tail(f.decision_log(spark, sf_dir), ["decision_updated_at", "event_id"]).select("event_id", "photo_id", "final_decision")
+
+
+@query
+def display_rows(spark, sf_dir):
+    return review.display_columns(_listed_parts(spark, sf_dir), ["filename", "status", "blur_level", "no_such_column", "has_face"]).groupBy("status", "blur_level").agg(F.count("*").alias("n"))
+
+
+@query
+def display_paths(spark, sf_dir):
+    k = F.col("p_partkey")
+    original, small = F.concat(F.lit("/o/"), k.cast("string")), F.concat(F.lit("/t/"), k.cast("string"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", review.displayed_path(original, small, k % 2 == 0, k % 3 == 0, True).alias("list_path"), review.displayed_path(original, small, k % 2 == 0, k % 3 == 0, False).alias("full_path")
+    )
+
+
+@query
+def cache_after_run(spark, sf_dir):
+    now, old = f.cached_and_current(spark, sf_dir)
+    fresh = cache.misses(now, old, preset("balanced")).withColumn("cache_key", cache.cache_key(F.col("path"))).withColumn("analysis_error", F.when(F.col("file_size") % 10 == 0, "broken"))
+    return cache.merged(old, fresh).select("path", "file_size", "modified")
+
+
+@query
+def item_lookup(spark, sf_dir):
+    return review.item_by_id(_reviewed(spark, sf_dir), "7").select("photo_id", "filename", "ai_status")
+
+
 @query
 def stream_decisions(spark, sf_dir):
     """The decision log as a stream: every batch upserts into a store; the store equals the latest decisions."""

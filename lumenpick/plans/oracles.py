@@ -241,3 +241,24 @@ _FILES = """files AS (SELECT page_id, (['trip', '01_SELECTED', 'x_CULLED', 'home
 ORACLES["path_parts"] = f"WITH {_FILES} SELECT page_id, stem || suffix AS name, stem, suffix, folder AS parent FROM files"
 ORACLES["scan_filter"] = f"WITH {_FILES} SELECT page_id, folder || '/' || stem || suffix AS path FROM files WHERE page_id % 5 < 3 AND folder IN ('trip', 'home/album')"
 ORACLES["extensions_distinct"] = f"WITH {_FILES} SELECT DISTINCT lower(suffix) AS extension FROM files"
+
+# --- smaller views -----------------------------------------------------------------
+
+_PB = " UNION ALL ".join(f"SELECT vec_id, {k} AS k, abs(floor(embedding[{3 * k + 1}]::DOUBLE * {d(100)})::BIGINT) * abs(floor(embedding[{3 * k + 2}]::DOUBLE * {d(100)})::BIGINT) AS area, {r(f'embedding[{3 * k + 3}]::DOUBLE * {d(200)}')} AS s FROM embeddings WHERE len(embedding) >= 9" for k in range(3))
+ORACLES["person_blur_stats"] = f"""WITH b AS (SELECT * FROM ({_PB}) WHERE area > 0), g AS (SELECT vec_id, count(*) AS persons, {r("arg_max(s, area * 10 - k)", 2)} AS main,
+  {r("list_sum(list(s ORDER BY k) FILTER (s > 0)) / count(*) FILTER (s > 0)", 2)} AS mean_blur, {r("min(s) FILTER (s > 0)", 2)} AS least FROM b GROUP BY vec_id)
+SELECT e.vec_id, coalesce(persons, 0)::INTEGER AS persons, main, mean_blur, least FROM embeddings e LEFT JOIN g ON g.vec_id = e.vec_id WHERE len(e.embedding) >= 9"""
+ORACLES["cluster_models"] = f"""{picked()} SELECT cluster_id, string_agg(photo_id, ',' ORDER BY lower(file_name), photo_id) AS photo_ids, max(CASE WHEN rank = 1 THEN photo_id END) AS selected_photo_id,
+  coalesce(string_agg(photo_id, ',' ORDER BY lower(file_name), photo_id) FILTER (status = 'rejected'), '') AS rejected_photo_ids, count(*) AS size FROM picked GROUP BY cluster_id"""
+ORACLES["ungrouped_clusters"] = "SELECT s_suppkey AS id, printf('CL%04d', row_number() OVER (ORDER BY s_suppkey)) AS cluster_id, 1::BIGINT AS cluster_size, 0::DOUBLE AS confidence FROM supplier"
+ORACLES["typed_reason_rows"] = f"""{picked()} SELECT photo_id, CASE status WHEN 'selected' THEN 'positive' ELSE 'negative' END AS type, upper(status) || '_REASON' AS code, len(string_split({reason_sql("balanced")}, '; ')) - CASE WHEN cluster_size <= 1 THEN 1 ELSE 0 END
+  - CASE WHEN cluster_size > 1 AND rank > 1 THEN 1 ELSE 0 END AS n FROM picked WHERE status <> 'review'"""
+ORACLES["decision_report"] = f"WITH {_REVIEWED} SELECT photo_id, filename, original_path, ai_status, final_decision, cluster_id, is_cluster_winner, final_score, 'user' AS decision_source, replace(reasons, '|', '; ') AS reasons FROM reviewed"
+ORACLES["filter_choices"] = "SELECT DISTINCT upper(split_part(p_type, ' ', 1)) AS choice FROM part WHERE p_type IS NOT NULL"
+ORACLES["log_tail"] = "SELECT event_id, user_id::VARCHAR AS photo_id, CASE event_type WHEN 'click' THEN 'post' WHEN 'view' THEN 'save' WHEN 'error' THEN 'delete' ELSE 'undecided' END AS final_decision FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"
+ORACLES["display_rows"] = "SELECT upper(split_part(p_type, ' ', 1)) AS status, CASE WHEN p_size < 20 THEN 'Blur' ELSE 'Sharp' END AS blur_level, count(*) AS n FROM part GROUP BY ALL"
+ORACLES["display_paths"] = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '/t/' || p_partkey WHEN p_partkey % 2 = 0 THEN '/o/' || p_partkey END AS list_path,
+  CASE WHEN p_partkey % 2 = 0 THEN '/o/' || p_partkey WHEN p_partkey % 3 = 0 THEN '/t/' || p_partkey END AS full_path FROM part"""
+ORACLES["cache_after_run"] = f"""WITH {_CACHE}, fresh AS (SELECT * FROM now WHERE n NOT IN (SELECT n FROM hit) AND file_size % 10 <> 0)
+SELECT path, file_size, modified FROM fresh UNION ALL SELECT path, file_size + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END, modified + CASE WHEN n % 7 = 0 THEN 10000000 ELSE 0 END FROM now WHERE n % 3 <> 0 AND n NOT IN (SELECT n FROM fresh)"""
+ORACLES["item_lookup"] = f"WITH {_REVIEWED} SELECT photo_id, filename, ai_status FROM reviewed WHERE c_custkey = 7"

@@ -237,3 +237,26 @@ def test_thumbnails_are_written_once(spark, tmp_path):
     assert (size["width"], size["height"]) == (360, 150)
     made = spark.createDataFrame([(done["big.png"]["thumbnail_path"],)], "thumbnail_path string")
     assert write_thumbnails(found, str(tmp_path / "thumbs"), made).count() == 1
+
+
+def test_progress_is_told(spark, tmp_path):
+    import time
+
+    from lumenpick.streaming.progress import ProgressListener, stage
+
+    seen = []
+    listener = ProgressListener(seen.append)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
+        for _ in range(100):
+            if seen and seen[-1].stage == "finished":
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert seen[0].stage == "started" and seen[-1].stage == "finished" and max(p.current for p in seen) == 5
+    with stage("scan", 1, 2, seen.append):
+        pass
+    assert (seen[-1].current, seen[-1].total) == (1, 2)

@@ -14,7 +14,9 @@ components compare the members outside the leader's component with a few of its
 joins many of them.  What remains are pairs of different components in one bucket,
 minus those that a known distance rules out: Jaccard distance is a metric, so
 members whose distances to a common leader differ by more than the bound can't
-be linked.  All remaining pairs are checked, first on eight-bit sketches, then
+be linked; and shingles that no other remaining document has bound what a
+document can share with any of them, which settles far variants of a family
+one by one.  All remaining pairs are checked, first on eight-bit sketches, then
 exactly on the full sets of both texts; there is no cap.
 
 A pair at exactly the bound of 0.8 misses all bands with probability
@@ -181,14 +183,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
         outside, before = _members_outside(open_buckets), outside
 
     if outside:
-        sides = open_buckets.join(classes.select("rep", "n", "sketch"), "rep")
-        one = sides.filter("not in_first").select("key", *[F.col(c).alias(f"u_{c}") for c in ("rep", "component", "distance", "n", "sketch", "in_first")])
-        two = sides.select("key", *[F.col(c).alias(f"v_{c}") for c in ("rep", "component", "distance", "n", "sketch", "in_first")])
+        sides = _able_to_link(scratch, open_buckets.join(classes.select("rep", "n", "sketch"), "rep"), texts, shingle_words)
+        one = sides.filter("not in_first").select("key", *[F.col(c).alias(f"u_{c}") for c in ("rep", "component", "distance", "n", "common", "sketch", "in_first")])
+        two = sides.select("key", *[F.col(c).alias(f"v_{c}") for c in ("rep", "component", "distance", "n", "common", "sketch", "in_first")])
         bound = 1 - PERCENT / 100 + 1e-9
         rest = one.join(two, "key").filter(
             (F.col("u_component") != F.col("v_component")) & (F.col("v_in_first") | (F.col("u_rep") < F.col("v_rep")))
             & (F.abs(F.col("u_distance") - F.col("v_distance")) <= bound)
             & (F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * PERCENT)
+            & (F.least("u_common", "v_common") * (100 + PERCENT) >= (F.col("u_n") + F.col("v_n")) * PERCENT)
         )
         rest = rest.select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v"), "u_sketch", "v_sketch")
         rest = _agreeing(rest).distinct().join(known, ["u", "v"], "left_anti")
@@ -204,6 +207,29 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     )
 
 
+def _able_to_link(scratch: Scratch, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Members with `common`, the number of their shingles that any other member has; without those that can't link in their bucket.
+
+    A link of sets of sizes n and m at share p needs p / (1 + p) * (n + m) common
+    shingles.  So `common` bounds the size of a partner, and a member whose bucket
+    holds no partner of such a size leaves it.
+    """
+
+    def run(batch: pa.RecordBatch) -> dict:
+        ids, rows = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+        sets = [shingle_set(t.as_py(), width) for t in rows]
+        return {"rep": np.repeat(ids.to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets).view(np.int64) if sets else []}
+
+    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    held = arrow_map(texts.join(reps.hint("merge"), "doc_id"), run, "rep long, shingle long").distinct()
+    single = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
+    own = scratch.keep(single.groupBy("rep").agg(F.count("*").alias("own")))
+    counted = scratch.keep(members.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
+    smallest = scratch.keep(counted.groupBy("key").agg(F.min("n").alias("smallest")))
+    able = F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("smallest")) * PERCENT
+    return scratch.keep(counted.join(smallest, "key").filter(able).drop("smallest"))
+
+
 def _members_outside(open_buckets: DataFrame) -> int:
     return open_buckets.filter("not in_first").select("rep").distinct().count()
 

@@ -9,7 +9,7 @@ doc_id; only representatives go on.
 Representatives that agree on a band meet in a bucket.  A bucket never lists all
 its pairs: its smallest member (the leader) is compared exactly with every
 other one, and components are formed.  Buckets that then still hold several
-components compare the members outside the leader's component with a few of its members
+components compare the members outside the largest component with a few of its members
 (pivots, one per hash slot), in rounds with other slots for as long as that
 joins many of them.  What remains are pairs of different components in one bucket,
 minus those that a known distance rules out: Jaccard distance is a metric, so
@@ -235,20 +235,12 @@ def _members_outside(open_buckets: DataFrame) -> int:
 
 
 def _open_buckets(scratch: Scratch, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with `component` and whether that is the leader's.
-
-    A member of the leader's component stays only if a member outside it is near enough to the leader.
-    """
+    """Members of the buckets that hold several components, with `component` and whether that is the bucket's largest (in_first)."""
     own = labels.select(F.col("node").alias("rep"), "component")
-    first = labels.select(F.col("node").alias("leader"), F.col("component").alias("first"))
-    marked = members.join(own, "rep", "left").join(first, "leader", "left")
-    marked = marked.withColumn("component", F.coalesce("component", "rep")).withColumn("in_first", F.col("component") == F.coalesce("first", "leader")).drop("first")
-    marked = scratch.keep(marked)
-    outside = F.when(~F.col("in_first"), F.col("distance"))
-    split = marked.groupBy("key").agg(F.min(outside).alias("nearest"), F.max(outside).alias("farthest")).filter("nearest is not null")
-    bound = 1 - PERCENT / 100 + 1e-9
-    near = (F.col("distance") >= F.col("nearest") - bound) & (F.col("distance") <= F.col("farthest") + bound)
-    return scratch.keep(marked.join(scratch.keep(split), "key").filter(~F.col("in_first") | near).drop("nearest", "farthest"))
+    marked = scratch.keep(members.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    sizes = marked.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    largest = sizes.agg(F.max_by("component", "n").alias("first"), F.count("*").alias("found")).filter("found > 1").drop("found")
+    return scratch.keep(marked.join(scratch.keep(largest), "key").withColumn("in_first", F.col("component") == F.col("first")).drop("first"))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:

@@ -11,13 +11,10 @@ its pairs: its smallest member (the leader) is compared exactly with every
 other one, and components are formed.  Buckets that then still hold several
 components compare the members outside the largest component with a few of its members
 (pivots, one per hash slot), in rounds with other slots for as long as that
-joins many of them.  What remains are pairs of different components in one bucket,
-minus those that a known distance rules out: Jaccard distance is a metric, so
-members whose distances to a common leader differ by more than the bound can't
-be linked; and shingles that no other remaining document has bound what a
-document can share with any of them, which settles far variants of a family
-one by one.  All remaining pairs are checked, first on eight-bit sketches, then
-exactly on the full sets of both texts; there is no cap.
+joins many of them.  What remains, pairs of different components, goes through
+an exact prefix join over the shingles in order of rising frequency, so
+far variants of a family need not be compared with all of it; every pair it yields is
+verified on the full sets of both texts.  There is no cap.
 
 A pair at exactly the bound of 0.8 misses all bands with probability
 (1 - 0.8^5)^32 = 3e-6, more similar ones more rarely.
@@ -48,8 +45,6 @@ PIVOTS = 8
 #: Another round of pivots follows while this share of the members outside has joined, and at most so many.
 WORTHWHILE = 0.3
 PIVOT_ROUNDS = 6
-#: Sketches of linked documents agree on 128 of 160 coordinates on average, on fewer than this once in 1e9 times.
-SKETCH_AGREE = 98
 
 _BLOCK = 1024
 
@@ -90,7 +85,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _signature_rows(width: int):
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc_id", "n", "f1", "f2", "bands", "sketch")}
+        out = {k: [] for k in ("doc_id", "n", "f1", "f2", "bands")}
         ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
         for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
             shingles = shingle_set(text.as_py(), width)
@@ -100,7 +95,6 @@ def _signature_rows(width: int):
             out["f1"].append(int(shingles.sum(dtype=np.uint64).view(np.int64)))
             out["f2"].append(int(mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
             out["bands"].append(band_keys(sig).view(np.int64) if sig is not None else [])
-            out["sketch"].append((sig & np.uint32(255)).astype(np.uint8).tobytes() if sig is not None else b"")
         return out
 
     return run
@@ -127,29 +121,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return arrow_map(pairs.select("u", "v").join(right.hint("merge"), "v").join(left.hint("merge"), "u"), run, "u long, v long, common int, joint int")
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Of pairs with u_sketch and v_sketch those whose sketches agree often enough."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = (
-                np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for c in ("u_sketch", "v_sketch")
-            )
-            yield batch.filter(pa.array((a == b).sum(axis=1) >= SKETCH_AGREE)).select(["u", "v"])
-
-    return pairs.select("u", "v", "u_sketch", "v_sketch").mapInArrow(run, "u long, v long")
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    sigs = scratch.keep(arrow_map(texts, _signature_rows(shingle_words), "doc_id long, n int, f1 long, f2 long, bands array<long>, sketch binary"))
+    sigs = scratch.keep(arrow_map(texts, _signature_rows(shingle_words), "doc_id long, n int, f1 long, f2 long, bands array<long>"))
     same_set = ["n", "f1", "f2"]
     classes = scratch.keep(
-        sigs.filter("n > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("sig"))
-        .select(*same_set, "rep", "sig.*")
+        sigs.filter("n > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     )
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
@@ -163,9 +142,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     known = scratch.keep(_verify(pairs, texts, shingle_words))
     edges = scratch.keep(known.filter(linked).select("u", "v"))
     labels = scratch.keep(components(edges, scratch))
-    distance = known.select(F.col("u").alias("leader"), F.col("v").alias("rep"), (1 - F.col("common") / F.col("joint")).alias("distance"))
-    members = buckets.join(distance, ["leader", "rep"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
-
+    members = buckets.select("key", "rep")
     open_buckets = _open_buckets(scratch, members, labels)
     outside, before = _members_outside(open_buckets), None
     for turn in range(PIVOT_ROUNDS):
@@ -183,18 +160,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
         outside, before = _members_outside(open_buckets), outside
 
     if outside:
-        sides = _able_to_link(scratch, open_buckets.join(classes.select("rep", "n", "sketch"), "rep"), texts, shingle_words)
-        one = sides.filter("not in_first").select("key", *[F.col(c).alias(f"u_{c}") for c in ("rep", "component", "distance", "n", "common", "sketch", "in_first")])
-        two = sides.select("key", *[F.col(c).alias(f"v_{c}") for c in ("rep", "component", "distance", "n", "common", "sketch", "in_first")])
-        bound = 1 - PERCENT / 100 + 1e-9
-        rest = one.join(two, "key").filter(
-            (F.col("u_component") != F.col("v_component")) & (F.col("v_in_first") | (F.col("u_rep") < F.col("v_rep")))
-            & (F.abs(F.col("u_distance") - F.col("v_distance")) <= bound)
-            & (F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * PERCENT)
-            & (F.least("u_common", "v_common") * (100 + PERCENT) >= (F.col("u_n") + F.col("v_n")) * PERCENT)
-        )
-        rest = rest.select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v"), "u_sketch", "v_sketch")
-        rest = _agreeing(rest).distinct().join(known, ["u", "v"], "left_anti")
+        rest = _possible_links(scratch, open_buckets, texts, shingle_words).join(known, ["u", "v"], "left_anti")
         last = _verify(rest, texts, shingle_words).filter(linked).select("u", "v")
         labels = components(edges.unionByName(last), scratch)
 
@@ -207,27 +173,62 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     )
 
 
-def _able_to_link(scratch: Scratch, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Members with `common`, the number of their shingles that any other member has; without those that can't link in their bucket.
+def _possible_links(scratch: Scratch, members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Pairs (u, v) of different components, one outside, that could be linked: an exact prefix join.
 
-    A link of sets of sizes n and m at share p needs p / (1 + p) * (n + m) common
-    shingles.  So `common` bounds the size of a partner, and a member whose bucket
-    holds no partner of such a size leaves it.
+    Sets of sizes n and m at share p have p / (1 + p) * (n + m) shingles in common, so
+    in any fixed order the first common one is near the front of both.  In order of
+    rising frequency the fronts hold rare shingles, and what counts as the front depends on both
+    sizes, hence the size classes.
     """
+    log_step = float(np.log(1.05))
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def shingled(batch: pa.RecordBatch) -> dict:
         ids, rows = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
         sets = [shingle_set(t.as_py(), width) for t in rows]
         return {"rep": np.repeat(ids.to_numpy(), [len(x) for x in sets]), "shingle": np.concatenate(sets).view(np.int64) if sets else []}
 
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    held = arrow_map(texts.join(reps.hint("merge"), "doc_id"), run, "rep long, shingle long").distinct()
-    single = held.groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).filter("rep = last")
-    own = scratch.keep(single.groupBy("rep").agg(F.count("*").alias("own")))
-    counted = scratch.keep(members.join(own, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own"))
-    smallest = scratch.keep(counted.groupBy("key").agg(F.min("n").alias("smallest")))
-    able = F.col("common") * (100 + PERCENT) >= (F.col("n") + F.col("smallest")) * PERCENT
-    return scratch.keep(counted.join(smallest, "key").filter(able).drop("smallest"))
+    reps = scratch.keep(members.groupBy("rep").agg(F.min("component").alias("component"), F.bool_or(~F.col("in_first")).alias("outside")))
+    held = scratch.keep(arrow_map(texts.join(reps.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id"), shingled, "rep long, shingle long").distinct())
+    frequency = scratch.keep(held.groupBy("shingle").agg(F.count("*").alias("docs")))
+    ordered = held.join(frequency.hint("merge"), "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("docs", "shingle"))).alias("shingles"))
+    ordered = ordered.join(reps, "rep").withColumn("n", F.size("shingles")).withColumn("class", F.floor(F.log("n") / log_step).cast("int"))
+    ordered = scratch.keep(ordered)
+    bounds: dict[bool, dict[int, tuple[int, int]]] = {True: {}, False: {}}
+    for r in ordered.groupBy("outside", "class").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect():  # a row per size class
+        for side in {False, r["outside"]}:  # all, and those outside
+            low, high = bounds[side].get(r["class"], (r["low"], r["high"]))
+            bounds[side][r["class"]] = (min(low, r["low"]), max(high, r["high"]))
+
+    def fronts(batch: pa.RecordBatch) -> dict:
+        out = {k: [] for k in ("shingle", "out_class", "any_class", "rep", "component", "place", "n", "asks")}
+        columns = (batch.column(batch.schema.get_field_index(c)) for c in ("rep", "component", "outside", "n", "class", "shingles"))
+        for rep, component, outside, n, own, shingles in zip(*columns, strict=True):
+            n, own = n.as_py(), own.as_py()
+            docs, ids = (shingles.values.field(f).to_numpy() for f in ("docs", "shingle"))
+            for asks in ((True, False) if outside.as_py() else (False,)):
+                for other, (low, high) in bounds[not asks].items():
+                    if high * 100 < n * PERCENT or n * 100 < low * PERCENT:
+                        continue
+                    least = max(low, -(-n * PERCENT // 100))
+                    front = n - -(-PERCENT * (n + least) // (100 + PERCENT)) + 1
+                    at = np.flatnonzero(docs[:front] > 1)
+                    out["shingle"] += ids[at].tolist()
+                    out["place"] += at.tolist()
+                    for key, value in (("out_class", own if asks else other), ("any_class", other if asks else own), ("rep", rep.as_py()), ("component", component.as_py()), ("n", n), ("asks", asks)):
+                        out[key] += [value] * len(at)
+        return out
+
+    keys = scratch.keep(arrow_map(ordered.select("rep", "component", "outside", "n", "class", "shingles"), fronts, "shingle long, out_class int, any_class int, rep long, component long, place int, n int, asks boolean"))
+    on = ["shingle", "out_class", "any_class"]
+    one = keys.filter("asks").select(*on, *[F.col(c).alias(f"u_{c}") for c in ("rep", "component", "place", "n")])
+    two = keys.filter("not asks").select(*on, *[F.col(c).alias(f"v_{c}") for c in ("rep", "component", "place", "n")])
+    needed = (F.col("u_n") + F.col("v_n")) * PERCENT
+    met = one.join(two, on).filter(
+        (F.col("u_component") != F.col("v_component")) & (F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * PERCENT)
+        & (F.least(F.col("u_n") - F.col("u_place"), F.col("v_n") - F.col("v_place")) * (100 + PERCENT) >= needed)
+    )
+    return met.select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v")).distinct()
 
 
 def _members_outside(open_buckets: DataFrame) -> int:

@@ -31,8 +31,8 @@ from .wordhash import mix, prefix_sums, run_hashes
 
 SPACE = "▁"
 #: Characters of text handled at once, and chunks remembered between batches.
-SLICE_CHARS = 2_000_000
-CACHE_CHUNKS = 500_000
+SLICE_CHARS = 1_000_000
+CACHE_CHUNKS = 200_000
 #: Score below the least piece for a character that has none.
 UNKNOWN_PENALTY = 10.0
 _FILTER_BITS = 20
@@ -241,16 +241,20 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids: one row per document row."""
     table = docs.sparkSession.sparkContext.broadcast(PieceTable.load(model_path))  # as large as the vocabulary
 
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        encoder = _encoder(model_path, table.value)
-        rows = [ids for part in _slices(texts) for ids in encoder.encode(part)]
-        sizes = [len(r) for r in rows]
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        return {"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "n_tokens": sizes, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))}
-
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids array<int>")
+    def run(batches):
+        for batch in batches:
+            doc_ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            encoder, start = _encoder(model_path, table.value), 0
+            for part in _slices(texts.to_pylist()):  # one output batch per slice keeps memory even
+                rows = encoder.encode(part)
+                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(start, len(part)), pa.array(sizes), ids], ["doc_id", "n_tokens", "ids"])
+                start += len(part)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def codec_digest(docs: DataFrame, model_path: str) -> DataFrame:

@@ -13,7 +13,7 @@ import xxhash
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CACHE_LIMIT = 300_000
+_CACHE_LIMIT = 200_000
 
 
 class _WordTable(dict):

@@ -14,13 +14,14 @@ from .components import components
 def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
     """a, b, distance for all pairs of one row per hash (columns id, hash) with a < b that differ in at most `threshold` bits.
 
-    Hashes are cut into threshold + 1 bands; two hashes within the threshold
-    agree on one band at least, so an equality join over bands loses no pair, and
-    no nested loop over all rows is needed.
+    Hashes are cut into threshold + 1 bands, of uneven widths where 64 is no
+    multiple; two hashes within the threshold agree on one band at least, so an
+    equality join over bands loses no pair, and no nested loop over all rows is needed.
     """
+    if threshold >= 64:  # every pair is close
+        return compared_pairs(hashes, threshold)
     bands = threshold + 1
-    width = -(-64 // bands)
-    cuts = [(i * width, min(64, (i + 1) * width)) for i in range(bands) if i * width < 64]
+    cuts = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
     band = F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned("hash", lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).alias("value")) for i, (lo, hi) in enumerate(cuts)])
     keyed = hashes.select("id", "hash", F.explode(band).alias("band"))
     left = keyed.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "band")

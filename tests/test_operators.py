@@ -73,6 +73,13 @@ def test_banded_pairs_equal_compared_pairs(spark):
         assert sorted(similarity.close_pairs(df, t).collect()) == sorted(similarity.compared_pairs(df, t).collect())
 
 
+@pytest.mark.parametrize("threshold, old_width", [(8, 8), (18, 4)])
+def test_pairs_differing_in_every_old_band_are_found(spark, threshold, old_width):
+    spread = sum(1 << b for b in range(0, 64, old_width))
+    df = spark.createDataFrame([("a", 0), ("b", spread - (1 << 64) if spread >> 63 else spread), ("c", -1)], "id string, hash long")
+    assert [tuple(r) for r in similarity.close_pairs(df, threshold).collect()] == [("a", "b", 64 // old_width)]
+
+
 def test_a_long_chain_is_one_component(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(chain).collect()}

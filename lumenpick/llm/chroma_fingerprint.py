@@ -6,20 +6,27 @@ the frame-by-class image, sums of rectangles from an integral image, compare
 neighbouring areas; each response becomes two bits (Gray code), and sixteen
 filters make one packed 32-bit integer per frame.
 
-Alignment: of every neighbourhood of frames, the run of integers with the least
-hash is a landmark, so copies have the same landmarks wherever they start.  A
-landmark leads to the earliest recording that has it, by a minimum per
-landmark; histograms of the offsets to that recording give the alignment, and the
-share of differing bits over the whole overlap decides.  No pairs within a
-group of copies are listed.  Linked recordings form components.
+Alignment: equal fingerprints collapse to classes.  Landmarks are hashes of a few
+integers, the least of every neighbourhood of frames, in two kinds: two integers in full,
+and the sign bits of four spread ones, which bear more noise.  Every class is
+fingerprinted at several starts within a hop as well, and each of these landmarks
+is looked up among the landmarks at the plain start, so that a copy meets its
+original wherever it begins.  All classes that share a landmark are paired;
+histograms of the offsets give the alignment, and the share of differing bits
+over the whole overlap of the plain fingerprints decides.  n_links counts all
+linked recordings, copies included, in both directions; the work grows with the
+square of a group of alike but unequal recordings.  Linked recordings form components.
 
 Defined results: null samples and recordings too short for a fingerprint have no
 frames and link with nothing.  Rows that repeat a doc_id are one recording
-whose rows link as any of them does.  Extra columns are ignored.
+whose rows link as any of them does.  aligned_to is the best link to an earlier
+recording.  Classes are told apart by 64-bit hashes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +45,14 @@ FILTERS = 16
 SPAN = 16
 #: Responses beyond this on either side take the outer two of four levels.
 LEVEL = 0.12
-#: Integers hashed together as one landmark, and places among which one landmark is chosen.
-LANDMARK_RUN = 3
-LANDMARK_WINDOW = 16
+#: Kinds of landmarks: frames hashed together, the bits of each that count, and starts within a hop that are looked up.
+SIGNS = 0xAAAAAAAA
+LANDMARKS = (((0, 1), 0xFFFFFFFF, 8), ((0, 2, 4, 8), SIGNS, 4))
+#: Places among which one landmark is chosen, at the plain start and at the others.
+LANDMARK_WINDOW = 4
+SHIFTED_WINDOW = 32
+#: Hits handed on at a time.
+_HITS = 1 << 19
 MIN_OVERLAP = 16
 MAX_BIT_ERROR = 0.25
 
@@ -58,23 +70,32 @@ def _fold() -> np.ndarray:
     return out
 
 
-_FOLD = _fold()
+_FOLD = _fold().astype(np.float64)
+#: Chroma in fixed point, so that sums do not depend on what was summed before.
+_UNIT = 1 << 24
 _HANN = np.hanning(FRAME).astype(np.float32)
 
 
+def _chroma(frames: np.ndarray) -> np.ndarray:
+    frames = frames.astype(np.float32) - 128
+    spectrum = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * _HANN, axis=1)
+    out = (spectrum.real**2 + spectrum.imag**2).astype(np.float64) @ _FOLD
+    total = out.sum(axis=1, keepdims=True)
+    return np.where(total > 1e-6, out / np.maximum(total, 1e-6), 1 / 12)
+
+
 def chroma(samples: np.ndarray) -> np.ndarray:
     """Frames by twelve classes, each frame scaled to sum one (silence: even)."""
-    count = (len(samples) - FRAME) // HOP + 1
-    if count < 1:
-        return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32) - 128, FRAME)[::HOP]
-    out = np.empty((count, 12), np.float32)
-    for i in range(0, count, _CHUNK_FRAMES):
-        part = frames[i : i + _CHUNK_FRAMES]
-        spectrum = np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * _HANN, axis=1)
-        out[i : i + _CHUNK_FRAMES] = (spectrum.real**2 + spectrum.imag**2).astype(np.float32) @ _FOLD
-    total = out.sum(axis=1, keepdims=True)
-    return np.where(total > 1e-6, out / np.maximum(total, 1e-6), np.float32(1 / 12))
+    return _chroma_at(samples, np.arange(0, len(samples) - FRAME + 1, HOP))
+
+
+def _chroma_at(samples: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(starts), 12))
+    if len(starts):
+        frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)
+        for i in range(0, len(starts), _CHUNK_FRAMES):
+            out[i : i + _CHUNK_FRAMES] = _chroma(frames[starts[i : i + _CHUNK_FRAMES]])
+    return out
 
 
 def filter_shapes() -> list[tuple[int, int, int, int]]:
@@ -84,18 +105,34 @@ def filter_shapes() -> list[tuple[int, int, int, int]]:
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """One packed integer per frame that has SPAN - 1 frames after it."""
-    image = chroma(samples)
+    return fingerprints([samples])[0]
+
+
+def fingerprints(recordings: list[np.ndarray], shifts: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """The fingerprints of all recordings from each of the given starts, recording by recording, computed as one image."""
+    counts = [max(0, (len(r) - s - FRAME) // HOP + 1) for r in recordings for s in shifts]
+    bases = np.cumsum([0] + [len(r) for r in recordings])
+    first = [b + s for b in bases[:-1] for s in shifts]
+    starts = np.concatenate([f + HOP * np.arange(c) for f, c in zip(first, counts, strict=True)] or [np.zeros(0, int)]).astype(np.int64)
+    packed = _packed(_chroma_at(np.concatenate(recordings), starts)) if len(starts) >= SPAN else np.zeros(0, np.uint32)
+    ends = np.cumsum(counts)
+    return [packed[e - c : max(e - c, e - SPAN + 1)] for e, c in zip(ends.tolist(), counts, strict=True)]
+
+
+def _packed(image: np.ndarray) -> np.ndarray:
     n = len(image) - SPAN + 1
-    if n < 1:
-        return np.zeros(0, np.uint32)
-    integral = np.zeros((len(image) + 1, 13))
-    integral[1:, 1:] = image.cumsum(axis=0, dtype=float).cumsum(axis=1)
+    integral = np.zeros((13, len(image) + 1), np.int64)
+    integral[1:, 1:] = np.rint(image.T * _UNIT).cumsum(axis=1).cumsum(axis=0)
+    wide = {}
 
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        a, b = integral[t0 : t0 + n], integral[t1 : t1 + n]
-        return b[:, c1] - b[:, c0] - a[:, c1] + a[:, c0]
+        key = (t0, t1, c0, c1)
+        if key not in wide:
+            a, b = slice(t0, t0 + n), slice(t1, t1 + n)
+            wide[key] = integral[c1, b] - integral[c0, b] - integral[c1, a] + integral[c0, a]
+        return wide[key]
 
-    packed = np.zeros(n, np.uint32)
+    packed, more = np.zeros(n, np.uint32), 0.01 * _UNIT
     for kind, low, height, width in filter_shapes():
         high, middle, half = low + height, low + height // 2, width // 2
         whole = area(0, width, low, high)
@@ -107,25 +144,28 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
             part = area(0, width, low + height // 4, high - height // 4)
         else:  # one diagonal against the other
             part = area(0, half, low, middle) + area(half, width, middle, high)
-        response = np.log((part + 0.01) / (whole - part + 0.01))
-        level = (response > -LEVEL).astype(np.uint32) + (response > 0) + (response > LEVEL)
+        part, rest = part + more, whole - part + more
+        level = (part > rest * np.exp(-LEVEL)).astype(np.uint8) + (part > rest) + (part > rest * np.exp(LEVEL))
         packed = packed << np.uint32(2) | _GRAY[level]
     return packed
 
 
-def landmarks(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def landmarks(packed: np.ndarray, kind: int = 0, window: int = LANDMARK_WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the chosen runs."""
-    n = len(packed) - LANDMARK_RUN + 1
+    lags, mask, _ = LANDMARKS[kind]
+    n = len(packed) - max(lags)
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = np.zeros(n, np.uint64)
-    for k in range(LANDMARK_RUN):
+    packed = packed & np.uint32(mask)
+    hashes = np.full(n, kind, np.uint64)
+    for k in lags:
         hashes = mix(hashes * np.uint64(3) + packed[k : k + n])
-    least = sliding_min(hashes, min(n, LANDMARK_WINDOW))
-    padded = np.concatenate([np.full(min(n, LANDMARK_WINDOW) - 1, least[0]), least, np.full(min(n, LANDMARK_WINDOW) - 1, least[-1])])
+    window = min(n, window)
+    least = sliding_min(hashes, window)
+    # a window's least is at one of its places
     chosen = np.zeros(n, bool)
-    for k in range(min(n, LANDMARK_WINDOW)):
-        chosen |= hashes == padded[k : k + n]
+    for k in range(window):
+        chosen[k : k + len(least)] |= hashes[k : k + len(least)] == least
     at = np.flatnonzero(chosen)
     return at, hashes[at]
 
@@ -143,58 +183,160 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _class_of(packed: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(packed.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _chunks(batch: pa.RecordBatch):
+    """The samples of a batch, some 256 KB at a time."""
+    chunk, size = [], 0
+    for s in _column(batch, "samples"):
+        chunk.append(np.frombuffer(s.as_py() or b"", np.uint8))
+        size += len(chunk[-1])
+        if size > 1 << 18:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
 def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
-    out = [fingerprint(np.frombuffer(s.as_py() or b"", np.uint8)).tobytes() for s in _column(batch, "samples")]
-    return {"doc_id": _column(batch, "doc_id"), "n_frames": [len(x) // 4 for x in out], "packed": out}
+    out = [x for chunk in _chunks(batch) for x in fingerprints(chunk)]
+    return {"doc_id": _column(batch, "doc_id"), "n_frames": [len(x) for x in out], "class": [_class_of(x) if len(x) else None for x in out], "packed": [x.tobytes() for x in out]}
 
 
 def _landmark_rows(batch: pa.RecordBatch) -> dict:
-    out = {"doc_id": [], "place": [], "mark": []}
-    for doc_id, packed in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "packed"), strict=True):
-        at, marks = landmarks(np.frombuffer(packed.as_py(), np.uint32))
-        out["doc_id"] += [doc_id] * len(at)
-        out["place"] += at.tolist()
-        out["mark"] += marks.view(np.int64).tolist()
-    return out
+    """class, place, mark of every landmark; shifted ones tell the nearest frame of the plain start."""
+    most = max(k[2] for k in LANDMARKS)
+    shifts = tuple(range(0, HOP, HOP // most))
+    marks, places, shifted, classes, seen = [], [], [], [], set()
+    for chunk in _chunks(batch):
+        prints = fingerprints(chunk, shifts)
+        for k in range(0, len(prints), most):
+            if not len(prints[k]) or (label := _class_of(prints[k])) in seen:
+                continue
+            seen.add(label)
+            for kind, (_, _, starts) in enumerate(LANDMARKS):
+                for i in range(0, most, most // starts):
+                    at, found = landmarks(prints[k + i], kind, SHIFTED_WINDOW if i else LANDMARK_WINDOW)
+                    marks.append(found.view(np.int64))
+                    places.append((at + (2 * shifts[i] > HOP)).astype(np.int32))
+                    shifted.append(np.full(len(at), bool(i)))
+                    classes.append(np.full(len(at), label, np.int64))
+    join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+    return {"class": join(classes, np.int64), "place": join(places, np.int32), "shifted": join(shifted, bool), "mark": join(marks, np.int64)}
+
+
+def _shared_landmarks(batches):
+    """a, b, frame_offset per landmark that two classes share, one of them at the plain start; batches come in order of mark, and a mark may span many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = _column(batch, "mark").to_numpy()
+        start = int(np.searchsorted(mark, mark[-1]))
+        if held and start == 0 and _column(held[-1], "mark")[-1].as_py() == mark[-1]:
+            held.append(batch)
+            continue
+        yield from _hits([*held, batch.slice(0, start)])
+        # a mark that ends at the last batch's end is whole by now
+        held = [batch.slice(start)]
+    if held:
+        yield from _hits(held)
+
+
+def _hits(parts: list[pa.RecordBatch]):
+    mark, label, place, shifted = (np.concatenate([_column(p, c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("mark", "class", "place", "shifted"))
+    if not len(mark):
+        return
+    fresh = np.ones(len(mark), bool)
+    fresh[1:] = (np.diff(mark) != 0) | (np.diff(label) != 0) | (np.diff(place) != 0) | (shifted[1:] != shifted[:-1])
+    mark, label, place, shifted = mark[fresh], label[fresh], place[fresh], shifted[fresh]
+    begins = np.flatnonzero(np.r_[True, np.diff(mark) != 0])
+    group = np.cumsum(np.r_[True, np.diff(mark) != 0]) - 1
+    sizes = np.diff(np.r_[begins, len(mark)])
+    plain = np.flatnonzero(~shifted & (sizes[group] > 1))
+    ends = np.cumsum(sizes[group[plain]])
+    at = 0
+    while at < len(plain):
+        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _HITS, "right")))
+        x, n = plain[at:until], sizes[group[plain[at:until]]]
+        y = np.repeat(begins[group[x]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        x = np.repeat(x, n)
+        # two plain landmarks meet twice, and count once
+        wanted = (label[x] != label[y]) & (shifted[y] | (label[x] < label[y]))
+        x, y = x[wanted], y[wanted]
+        offset, first = place[x] - place[y], label[x] < label[y]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(label[x], label[y])), pa.array(np.maximum(label[x], label[y])), pa.array(np.where(first, offset, -offset).astype(np.int32))], ["a", "b", "frame_offset"])
+        at = until
 
 
 def _alignment_rows(batch: pa.RecordBatch) -> dict:
-    out = {"doc_id": _column(batch, "doc_id"), "leader": _column(batch, "leader"), "frame_offset": _column(batch, "frame_offset"), "overlap": [], "bit_error": []}
-    columns = (_column(batch, c).to_pylist() for c in ("leader_packed", "packed", "frame_offset"))
-    for a, b, offset in zip(*columns, strict=True):
-        overlap, error = bit_error(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), offset)
+    """The best of the voted offset and its neighbours, as a start within a hop may belong to either."""
+    out = {"a": _column(batch, "a"), "b": _column(batch, "b"), "frame_offset": [], "overlap": [], "bit_error": []}
+    columns = (_column(batch, c).to_pylist() for c in ("a_packed", "b_packed", "frame_offset"))
+    for a, b, voted in zip(*columns, strict=True):
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        found = [(*bit_error(a, b, voted + k), voted + k) for k in (0, -1, 1)]
+        overlap, error, offset = min(found, key=lambda x: (x[0] < MIN_OVERLAP, x[1]))
+        out["frame_offset"].append(offset)
         out["overlap"].append(overlap)
         out["bit_error"].append(round(error, 6))
     return out
 
 
-def aligned_recordings(media: DataFrame) -> DataFrame:
-    """Per row of media (doc_id, samples): doc_id, n_frames, component_id, n_links and the best link's recording, offset, overlap and bit error."""
-    scratch = Scratch(media.sparkSession)
-    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, "doc_id long, n_frames long, packed binary"))
-    marks = scratch.keep(arrow_map(prints.filter("n_frames > 0").select("doc_id", "packed"), _landmark_rows, "doc_id long, place int, mark long"))
-    leaders = marks.groupBy("mark").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader < last").select("mark", "leader")
+def class_links(media: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b, frame_offset, overlap, bit_error of all linked classes (columns class, packed of classes) with a < b."""
+    marks = arrow_map(media.select("samples"), _landmark_rows, "class long, place int, shifted boolean, mark long")
+    marks = marks.repartition("mark").sortWithinPartitions("mark", "class", "place", "shifted")
+    votes = marks.mapInArrow(_shared_landmarks, "a long, b long, frame_offset int").groupBy("a", "b", "frame_offset").agg(F.count("*").alias("votes"))
+    best = scratch.keep(votes.groupBy("a", "b").agg(F.max_by("frame_offset", F.struct("votes", -F.col("frame_offset"))).alias("frame_offset")))
     # merge joins at every size: the sides grow with the input, and equal plans make figures comparable
-    known = scratch.keep(marks.join(scratch.keep(leaders).hint("merge"), "mark"))
-    scratch.drop(marks)
-    first = known.filter("doc_id = leader").groupBy("mark").agg(F.min("place").alias("leader_place"))
-    votes = known.filter("doc_id <> leader").join(scratch.keep(first).hint("merge"), "mark").groupBy("doc_id", "leader", (F.col("leader_place") - F.col("place")).alias("frame_offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("doc_id", "leader").agg(F.max_by("frame_offset", F.struct("votes", -F.col("frame_offset"))).alias("frame_offset"))
-    best = scratch.keep(best)
-    own = prints.select("doc_id", "packed")
-    leading = own.select(F.col("doc_id").alias("leader"), F.col("packed").alias("leader_packed"))
-    pairs = best.join(own.hint("merge"), "doc_id").join(leading.hint("merge"), "leader")
-    links = scratch.keep(
-        arrow_map(pairs, _alignment_rows, "doc_id long, leader long, frame_offset int, overlap int, bit_error double")
+    left, right = (classes.select(F.col("class").alias(c), F.col("packed").alias(f"{c}_packed")).hint("merge") for c in ("a", "b"))
+    return scratch.keep(
+        arrow_map(best.join(left, "a").join(right, "b"), _alignment_rows, "a long, b long, frame_offset int, overlap int, bit_error double")
         .filter((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= MAX_BIT_ERROR))
     )
-    labels = components(links.select(F.col("leader").alias("u"), F.col("doc_id").alias("v")), scratch)
-    closest = links.groupBy("doc_id").agg(
-        F.countDistinct("leader").alias("n_links"), F.min(F.struct("bit_error", "leader", "frame_offset", "overlap")).alias("best")
-    )
-    out = prints.select("doc_id", "n_frames").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(closest, "doc_id", "left")
+
+
+def _link_counts(near: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """n_links by class, and by doc_id for those that have several classes; near: class, other, each class beside itself too."""
+    per_doc = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class").alias("class"))
+    size = per_doc.filter("n = 1").groupBy(F.col("class").alias("other")).agg(F.count("*").alias("size"))
+    several = scratch.keep(members.join(per_doc.filter("n > 1").select("doc_id"), "doc_id"))
+    of_docs = several.join(near, "class").select(F.lit(True).alias("is_doc"), F.col("doc_id").alias("owner"), "other").distinct()
+    reach = near.select(F.lit(False).alias("is_doc"), F.col("class").alias("owner"), "other").unionByName(of_docs)
+    single = reach.join(size, "other").groupBy("is_doc", "owner").agg(F.sum("size").alias("n"))
+    more = reach.join(several.withColumnRenamed("class", "other"), "other").groupBy("is_doc", "owner").agg(F.countDistinct("doc_id").alias("n"))
+    counts = scratch.keep(single.unionByName(more).groupBy("is_doc", "owner").agg((F.sum("n") - 1).alias("n_links")))
+    return counts.filter("not is_doc").select(F.col("owner").alias("class"), "n_links"), counts.filter("is_doc").select(F.col("owner").alias("doc_id"), F.col("n_links").alias("doc_links"))
+
+
+def aligned_recordings(media: DataFrame) -> DataFrame:
+    """Per row of media (doc_id, samples): doc_id, n_frames, component_id, n_links and the best earlier link's recording, offset, overlap and bit error."""
+    scratch = Scratch(media.sparkSession)
+    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, "doc_id long, n_frames long, class long, packed binary"))
+    framed = prints.filter("class is not null")
+    classes = scratch.keep(framed.groupBy("class").agg(F.min("doc_id").alias("leader"), F.first("n_frames").alias("frames"), F.first("packed").alias("packed")))
+    links = class_links(media, classes, scratch)
+    leaders = classes.select("class", "leader", "frames")
+    members = scratch.keep(framed.select("doc_id", "class").distinct())
+    shown = ("frame_offset", "overlap", "bit_error")
+    both = links.select(F.col("a").alias("other"), F.col("b").alias("class"), *shown).unionByName(links.select(F.col("b").alias("other"), F.col("a").alias("class"), (-F.col("frame_offset")).alias("frame_offset"), "overlap", "bit_error"))
+    by_class, by_doc = _link_counts(both.select("class", "other").unionByName(classes.select("class", F.col("class").alias("other"))), members, scratch)
+    # classes of one doc_id belong together
+    same = members.join(members.groupBy("doc_id").agg(F.min("class").alias("least")), "doc_id").filter("least < class").select(F.col("least").alias("u"), F.col("class").alias("v"))
+    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same), scratch)
+    named = leaders.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = named.join(named.groupBy("component").agg(F.min("leader").alias("component_id")), "component").drop("component")
+    earlier = both.join(leaders.select("class", F.col("leader").alias("own")), "class").join(leaders.select(F.col("class").alias("other"), "leader"), "other").filter("leader < own")
+    closest = earlier.groupBy("class").agg(F.min(F.struct("bit_error", "leader", "frame_offset", "overlap")).alias("near"))
+    by_class = scratch.keep(named.join(by_class, "class").join(closest, "class", "left"))
+    copied = F.when(F.col("leader") < F.col("doc_id"), F.struct(F.lit(0.0).alias("bit_error"), "leader", F.lit(0).alias("frame_offset"), F.col("frames").cast("int").alias("overlap")))
+    per_doc = members.join(by_class, "class").withColumn("best", F.least(copied, "near")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"), F.min("best").alias("best"))
+    out = prints.select("doc_id", "n_frames").join(per_doc.join(by_doc, "doc_id", "left"), "doc_id", "left")
     return out.select(
-        "doc_id", "n_frames", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", "n_frames", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("doc_links", "n_links", F.lit(0)).alias("n_links"),
         F.col("best.leader").alias("aligned_to"), F.col("best.frame_offset").alias("frame_offset"), F.col("best.overlap").alias("overlap"), F.col("best.bit_error").alias("bit_error"),
     )
 

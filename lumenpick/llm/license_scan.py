@@ -34,6 +34,7 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "BSD-3-Clause": "Use of this source code is governed by a BSD style license that can be found in the LICENSE file",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3",
     "LGPL-3.0-only": "This library is licensed under the GNU Lesser General Public License, version 3",
     "MIT": "Released under the MIT License",

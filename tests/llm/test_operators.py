@@ -63,6 +63,11 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_non_commercial_licences_are_found_and_inherited(spark):
+    df = spark.createDataFrame([(1, "/r/LICENSE", "Licensed under CC BY-NC 4.0."), (2, "/r/a/x.txt", "nothing")], "doc_id long, path string, text string")
+    assert {r["license"] for r in licenses.license_scan(df).collect()} == {"CC-BY-NC-4.0"}
+
+
 def test_cosines_match_plain_vectors():
     index = licenses.TemplateIndex(licenses.TEMPLATES, {"the": 90, "license": 5}, 100)
     line = "released under the mit license today"

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line goes if an earlier line of the corpus (smaller doc_id, then smaller line
-number) has the same words up to one word inserted, dropped or replaced.
-Lines are compared by their words, so spacing does not matter.
+number) has the same words, or, from MIN_WORDS words on, the same words up to one
+word inserted, dropped or replaced.  Lines are compared by their words, so spacing
+does not matter.
 
 1. Lines are reduced to hashes where the text is read; equal lines collapse to
    their earliest place, and the hot ones with them.
@@ -17,10 +18,13 @@ Lines are compared by their words, so spacing does not matter.
    whole line), and no pairs are listed.
 4. The partner so found is verified on the words, word by word.
 
-Defined results: null texts have no lines; lines of fewer than MIN_WORDS words
-(blank ones too) are never removed; rows that repeat a doc_id are cut by their own texts, and lines at the same
-place tie and all stay.  Lines are judged on the input, not on what is left.
-Extra columns pass through where whole rows are returned.
+Defined results: null texts have no lines; lines without words are never removed;
+lines of fewer than MIN_WORDS words go as exact repeats only, since one word of so few
+makes another line.  Rows that repeat a doc_id are cut by their own texts, and lines
+at the same place tie and all stay.  Rows without a doc_id have no place in the order:
+they are returned whole and remove nothing.  Lines are judged on the input, not on what
+is left.  Extra columns pass through where whole rows are returned, whatever their names;
+dedup_lines replaces columns named n_lines, n_removed or kept.
 """
 
 from __future__ import annotations
@@ -32,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .common import Scratch, arrow_map, words_of
-from .wordhash import joined, mix, prefix_sums, run_hashes, word_hashes
+from .wordhash import column_words, joined, mix, offsets_array, prefix_sums, ranges, run_hashes
 
-#: Shorter lines carry too little to call them copies of each other.
+#: Shorter lines go as exact repeats only.
 MIN_WORDS = 5
 
 _HEAD, _TAIL = 1, 2
@@ -44,58 +48,62 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _gathered(parts: list[dict], kinds: dict[str, pa.DataType]) -> dict:
+    """Columns of several pieces, one after the other."""
+    return {k: pa.concat_arrays([v if isinstance(v := p[k], pa.Array) else pa.array(v, t) for p in parts]) if parts else pa.array([], t) for k, t in kinds.items()}
+
+
+_LINE = {"doc_id": pa.int64(), "row": pa.int64(), "line_no": pa.int32(), "h1": pa.int64(), "h2": pa.int64(), "halves": pa.list_(pa.int64())}
+
+
 def _line_rows(min_words: int):
-    """Per line: its place, two hashes of its words and the hashes of its halves."""
+    """Per line with words: its place, two hashes of its words and, from min_words on, the hashes of its halves."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc_id", "row", "line_no", "h1", "h2", "halves")}
-        columns = (_column(batch, k).to_pylist() for k in ("doc_id", "row", "text"))
-        for doc_id, row, text in zip(*columns, strict=True):
-            lines = [words_of(line) for line in (text or "").split("\n")]
-            places = [i for i, words in enumerate(lines) if len(words) >= min_words]
-            if not places:
+        parts, ids, own = [], _column(batch, "doc_id").to_numpy(zero_copy_only=False), _column(batch, "row").to_numpy(zero_copy_only=False)
+        for words in column_words(_column(batch, "text")):
+            if not len(words.hashes):
                 continue
-            sizes = np.array([len(lines[i]) for i in places])
-            hashes = word_hashes([w for i in places for w in lines[i]])
-            sums, other = prefix_sums(hashes), prefix_sums(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
+            rows, breaks = words.rows, np.flatnonzero(words.data == 10)
+            above = np.searchsorted(breaks, words.starts)
+            first = np.flatnonzero(np.r_[True, (np.diff(above) != 0) | (np.diff(rows) != 0)])
+            ends = np.append(first[1:], len(rows))
+            sizes, rows = ends - first, rows[first]
+            # line breaks between the beginning of the row and the line
+            row_starts = np.searchsorted(breaks, words.row_starts)[rows - words.first_row]
+            sums, other = prefix_sums(words.hashes), prefix_sums(mix(words.hashes ^ np.uint64(0x5851F42D4C957F2D)))
             keys = []
             for half in (sizes // 2, (sizes - 1) // 2):
                 salt = half.astype(np.uint64) * np.uint64(4)
-                keys.append(mix(run_hashes(sums, starts, starts + half) + salt + np.uint64(_HEAD)))
+                keys.append(mix(run_hashes(sums, first, first + half) + salt + np.uint64(_HEAD)))
                 keys.append(mix(run_hashes(sums, ends - half, ends) + salt + np.uint64(_TAIL)))
-            halves = np.stack(keys, axis=1).view(np.int64)
-            out["doc_id"] += [doc_id] * len(places)
-            out["row"] += [row] * len(places)
-            out["line_no"] += places
-            out["h1"] += mix(run_hashes(sums, starts, ends)).view(np.int64).tolist()
-            out["h2"] += mix(run_hashes(other, starts, ends)).view(np.int64).tolist()
-            out["halves"] += [row if n % 2 == 0 else row[:2] for row, n in zip(halves.tolist(), sizes.tolist(), strict=True)]
-        return out
+            # both halves of an odd line are the same words
+            used = np.where(sizes < min_words, 0, np.where(sizes % 2 == 0, 4, 2))
+            flat = np.stack(keys, axis=1)[np.arange(4) < used[:, None]]
+            parts.append({
+                "doc_id": ids[rows], "row": own[rows], "line_no": (above[first] - row_starts).astype(np.int32), "halves": offsets_array(flat.view(np.int64), used),
+                "h1": mix(run_hashes(sums, first, ends)).view(np.int64), "h2": mix(run_hashes(other, first, ends)).view(np.int64),
+            })
+        return _gathered(parts, _LINE)
 
     return run
 
 
 def _wanted_lines(batch: pa.RecordBatch) -> dict:
-    """The words of the wanted lines; where rows repeat a doc_id, of the row that has the line."""
+    """The words of the wanted lines of a text."""
     out = {k: [] for k in ("h1", "h2", "sides", "doc_id", "line_no", "words")}
     columns = (_column(batch, k).to_pylist() for k in ("doc_id", "text", "wanted"))
     for doc_id, text, wanted in zip(*columns, strict=True):
         lines = text.split("\n")
         for w in wanted:
-            words = words_of(lines[w["line_no"]]) if w["line_no"] < len(lines) else []
-            if words and int(_whole_hash(words).view(np.int64)[0]) == w["h1"]:
-                out["doc_id"].append(doc_id)
-                out["words"].append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                for k in ("h1", "h2", "sides", "line_no"):
-                    out[k].append(w[k])
+            out["doc_id"].append(doc_id)
+            out["words"].append(b" ".join(words_of(lines[w["line_no"]])).decode("utf-8", "surrogatepass"))
+            for k in ("h1", "h2", "sides", "line_no"):
+                out[k].append(w[k])
     return out
 
 
-def _whole_hash(words: list[bytes]) -> np.ndarray:
-    sums = prefix_sums(word_hashes(words))
-    return mix(run_hashes(sums, np.array([0]), np.array([len(words)])))
+_KEYED = {"h1": pa.int64(), "h2": pa.int64(), "doc_id": pa.int64(), "line_no": pa.int32(), "key": pa.int64(), "kind": pa.int32()}
 
 
 def _variant_rows(batch: pa.RecordBatch) -> dict:
@@ -103,24 +111,25 @@ def _variant_rows(batch: pa.RecordBatch) -> dict:
 
     sides: 1 if another line has the same head (so the tail may differ), 2 for the tail, 3 for both.
     """
-    out = {"h1": [], "h2": [], "key": [], "kind": []}
-    columns = (_column(batch, k).to_pylist() for k in ("h1", "h2", "sides", "words"))
-    for h1, h2, sides, line in zip(*columns, strict=True):
-        words = words_of(line)
-        n = len(words)
-        sums = prefix_sums(word_hashes(words))
-        at = np.arange(n)
+    parts = []
+    sides, *places = (_column(batch, k).to_numpy() for k in ("sides", "h1", "h2", "doc_id", "line_no"))
+    for words in column_words(_column(batch, "words")):
+        n = np.diff(words.bounds)
+        lines = words.first_row + np.arange(len(n))
+        head, tail = (sides[lines] & _HEAD) > 0, (sides[lines] & _TAIL) > 0
         # the shared half may be as short as (n - 1) // 2 words
-        at = at[((sides & _HEAD) > 0) & (at >= (n - 1) // 2) | ((sides & _TAIL) > 0) & (at < n - (n - 1) // 2)]
-        without = joined(run_hashes(sums, np.zeros_like(at), at), run_hashes(sums, at + 1, np.full_like(at, n)), at)
-        placed = mix(without + (at.astype(np.uint64) + np.uint64(n + 1)) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(n))
-        whole = mix(run_hashes(sums, np.array([0]), np.array([n])) + np.uint64(n))
-        keys = np.concatenate([placed, mix(without + np.uint64(n - 1)), whole])
-        out["key"] += keys.view(np.int64).tolist()
-        out["kind"] += [0] * len(at) + [1] * len(at) + [2]
-        out["h1"] += [h1] * len(keys)
-        out["h2"] += [h2] * len(keys)
-    return out
+        low, high = np.where(tail, 0, (n - 1) // 2), np.where(head, n, n - (n - 1) // 2)
+        variants = high - low
+        line, at = np.repeat(np.arange(len(n)), variants), ranges(low, variants)
+        first, size = words.bounds[line], n[line].astype(np.uint64)
+        sums = prefix_sums(words.hashes)
+        without = joined(run_hashes(sums, first, first + at), run_hashes(sums, first + at + 1, words.bounds[line + 1]), at)
+        placed = mix(without + (at.astype(np.uint64) + size + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + size)
+        whole = mix(run_hashes(sums, words.bounds[:-1], words.bounds[1:]) + n.astype(np.uint64))
+        keys, of = np.concatenate([placed, mix(without + size - np.uint64(1)), whole]), np.concatenate([line, line, np.arange(len(n))])
+        kinds = np.repeat(np.arange(3, dtype=np.int32), [len(line), len(line), len(n)])
+        parts.append({k: v[lines[of]] for k, v in zip(("h1", "h2", "doc_id", "line_no"), places, strict=True)} | {"key": keys.view(np.int64), "kind": kinds})
+    return _gathered(parts, _KEYED)
 
 
 def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
@@ -145,21 +154,21 @@ def _order() -> Column:
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, row (hash of the text), lines: the numbers of the lines that go, where there are any."""
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", F.hash("text").alias("row"), "text")
-    lines = scratch.keep(arrow_map(texts, _line_rows(min_words), "doc_id long, row int, line_no int, h1 long, h2 long, halves array<long>"))
-    distinct = lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.any_value("halves").alias("halves"))
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    lines = scratch.keep(arrow_map(texts, _line_rows(min_words), "doc_id long, row long, line_no int, h1 long, h2 long, halves array<long>"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("copies"))
     distinct = scratch.keep(distinct)
 
     halves = distinct.select("h1", "h2", F.posexplode("halves").alias("side", "half")).withColumn("side", F.col("side") % 2 + 1)
     shared = halves.groupBy("half").agg(F.count("*").alias("lines")).filter("lines > 1").select("half")
     sides = halves.join(shared, "half").groupBy("h1", "h2").agg(F.bit_or("side").alias("sides"))
     candidates = distinct.select("h1", "h2", "first").join(sides, ["h1", "h2"])
-    wanted = candidates.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "sides")).alias("wanted"))
-    near = arrow_map(texts.drop("row").join(wanted, "doc_id"), _wanted_lines, "h1 long, h2 long, sides int, doc_id long, line_no int, words string")
+    wanted = candidates.groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "sides")).alias("wanted"))
+    # of repeated rows one is enough
+    near = arrow_map(texts.join(wanted, ["doc_id", "row"]), _wanted_lines, "h1 long, h2 long, sides int, doc_id long, line_no int, words string")
     near = scratch.keep(near.dropDuplicates(["h1", "h2"]))
 
-    keys = arrow_map(near.select("h1", "h2", "sides", "words"), _variant_rows, "h1 long, h2 long, key long, kind int")
-    keyed = scratch.keep(keys.join(near.select("h1", "h2", "doc_id", "line_no"), ["h1", "h2"]))
+    keyed = scratch.keep(arrow_map(near, _variant_rows, "h1 long, h2 long, doc_id long, line_no int, key long, kind int"))
     line = F.struct("doc_id", "line_no", "h1", "h2")
     whole = F.col("kind") == 2
     buckets = keyed.groupBy("key").agg(
@@ -184,41 +193,32 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     verified = scratch.keep(verified)
     scratch.drop(keyed)
     scratch.drop(near)
-    judged = scratch.keep(distinct.select("h1", "h2", "first").join(verified, ["h1", "h2"], "left"))
+    judged = distinct.select("h1", "h2", "first", "copies").join(verified, ["h1", "h2"], "left")
+    judged = scratch.keep(judged.filter("near or copies > 1").select("h1", "h2", "first.doc_id", "first.line_no", "near").withColumnsRenamed({"doc_id": "first_doc", "line_no": "first_line"}))
     scratch.drop(distinct)
-    gone = lines.select("doc_id", "row", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter((_order() > F.col("first")) | F.col("near"))
+    later = (F.col("doc_id") > F.col("first_doc")) | (F.col("line_no") > F.col("first_line"))
+    gone = lines.select("doc_id", "row", "line_no", "h1", "h2").join(judged, ["h1", "h2"]).filter(later | F.col("near"))
     removed = scratch.keep(gone.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("lines")))
     for used in (lines, judged, verified):
         scratch.drop(used)
     return removed
 
 
-def _kept_text(batch: pa.RecordBatch) -> dict:
-    texts, gone = _column(batch, "text").to_pylist(), _column(batch, "lines").to_pylist()
-    out = {"n_lines": [], "n_removed": [], "kept": []}
-    for text, drop in zip(texts, gone, strict=True):
-        lines = text.split("\n") if text is not None else []
-        drop = set(drop or ())
-        kept = [line for i, line in enumerate(lines) if i not in drop]
-        out["n_lines"].append(len(lines))
-        out["n_removed"].append(len(lines) - len(kept))
-        out["kept"].append(None if text is None else "\n".join(kept))
-    return out
+def _cut_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """whole (the row as a struct), n_lines, n_removed, kept; the texts stay in the JVM, and only those that lose lines are taken apart."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", F.xxhash64("text").alias("row"), F.col("text").alias("text"))
+    rows = rows.join(removed_lines(docs, min_words), ["doc_id", "row"], "left")
+    parts = F.split("text", "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lines"))
+    kept = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return rows.select("whole", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs with n_lines, n_removed and kept, the text without the removed lines."""
-    columns = list(docs.columns)
-    kinds = dict(docs.dtypes)
-    gone = removed_lines(docs, min_words).withColumnsRenamed({"row": "_row", "lines": "_lines"})
-    joined_rows = docs.withColumn("_row", F.hash("text")).join(gone, ["doc_id", "_row"], "left")
-    packed = joined_rows.select(F.struct(*columns).alias("whole"), "text", F.col("_lines").alias("lines"))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        return _kept_text(batch) | {"whole": _column(batch, "whole")}
-
-    schema = "whole struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in columns) + ">, n_lines long, n_removed long, kept string"
-    return arrow_map(packed, run, schema).select("whole.*", "n_lines", "n_removed", "kept")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
+    return _cut_rows(docs, min_words).select(*[F.col(f"whole.`{c}`") for c in own], "n_lines", "n_removed", "kept")
 
 
 def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -229,8 +229,6 @@ def line_digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The document rows with their texts cut; documents that lose every line leave, n_chars follows the text."""
-    kept = dedup_lines(docs, min_words).filter((F.col("n_removed") == 0) | (F.length(F.trim("kept")) > 0))
-    out = kept.withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    kept = _cut_rows(docs, min_words).filter((F.col("n_removed") == 0) | (F.length(F.regexp_replace("kept", r"[\x20\x09-\x0D]+", "")) > 0))
+    new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("whole.n_chars")) if "n_chars" in docs.columns else None}
+    return kept.select(*[new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ a seeded hash, found per hash slice so that no length gathers in one task.
 
 Defined results: null texts have size 0 and take nothing; null sources form
 one source that sorts last; sources without words have target 0.  Repeated rows
-are documents of their own.  Extra columns are ignored.
+are documents of their own.  Rows without a doc_id are mixed like any others, in an order of
+their own.  Extra columns are ignored by mixture and pass through mixed_documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,13 +128,12 @@ def _quotas(histogram: pd.DataFrame) -> pd.DataFrame:
 
 
 def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
-    """All rows and columns of docs plus mix_size, mix_source_size, mix_target and mix_copies (times that the mix takes the row).
+    """Per row of docs: row (the whole row as a struct), mix_size, mix_source_size, mix_target and mix_copies (times that the mix takes the row).
 
     size: the words of a row, an expression over docs.
     """
-    own = list(docs.columns)
     packed = docs.select(
-        F.struct(*own).alias("_row"), source_key(F.col("source")).alias("_source"), size.alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(F.col("source")).alias("_source"), size.alias("size"),
         F.xxhash64(F.lit(seed), "doc_id").alias("_order"), "doc_id", "source",
     ).withColumn("_slice", F.shiftright("_order", 54))
     sliced = packed.groupBy("_source", "size", "_slice").agg(F.count("*").alias("in_slice"), F.max("source").alias("source"))
@@ -151,7 +151,7 @@ def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
         packed.drop("source").join(slices, ["_source", "size", "_slice"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(in_slice))
         .withColumn("copies", F.col("every") + (F.col("_rank") <= F.col("quota")).cast("long"))
-        .select("_row.*", *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "copies")])
+        .select(F.col("_row").alias("row"), *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "copies")])
     )
 
 
@@ -160,7 +160,7 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized = Scratch(docs.sparkSession).keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
     plan = plan_mixture(sized, F.col("words"), seed)
     return plan.select(
-        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        "row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
     )
 
@@ -168,4 +168,5 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: each document row as often as it is taken."""
     plan = plan_mixture(docs, word_count(F.col("text")), seed).filter((F.col("mix_copies") > 0) & (F.col("mix_size") > 0))
-    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    copies = plan.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return copies.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -28,9 +28,9 @@ SELECT walk.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(reached) AS c
 
 LINES = f"""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-e AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS k, doc_id * 1000000 + line_no AS pos FROM (SELECT doc_id, line_no, {_SPLIT.format("line")} AS ws FROM l) WHERE len(ws) >= 5),
+e AS (SELECT doc_id, line_no, ws, array_to_string(ws, ' ') AS k, doc_id * 1000000 + line_no AS pos FROM (SELECT doc_id, line_no, {_SPLIT.format("line")} AS ws FROM l) WHERE len(ws) > 0),
 d AS (SELECT k, any_value(ws) AS ws, min(pos) AS pos FROM e GROUP BY k),
-m AS (SELECT DISTINCT k, ws, pos, unnest([len(ws) // 2, (len(ws) - 1) // 2]) AS m FROM d),
+m AS (SELECT DISTINCT k, ws, pos, unnest([len(ws) // 2, (len(ws) - 1) // 2]) AS m FROM d WHERE len(ws) >= 5),
 h AS (SELECT k, ws, pos, m, 'head' AS side, md5(array_to_string(ws[1 : m], ' ')) AS part FROM m UNION ALL SELECT k, ws, pos, m, 'tail', md5(array_to_string(ws[len(ws) - m + 1 : len(ws)], ' ')) FROM m),
 c AS (SELECT DISTINCT a.k AS k, CASE WHEN len(a.ws) >= len(b.ws) THEN a.ws ELSE b.ws END AS x, CASE WHEN len(a.ws) >= len(b.ws) THEN b.ws ELSE a.ws END AS y
   FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.part = b.part AND a.pos > b.pos AND abs(len(a.ws) - len(b.ws)) <= 1),

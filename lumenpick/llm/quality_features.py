@@ -75,10 +75,7 @@ def document_features(text: str | None) -> np.ndarray:
     tally = Counter(words)
     lines = [line for line in raw.split(b"\n") if line.strip()]
     p = counts[counts > 0] / len(raw)
-    piece = raw if len(raw) <= 65_536 else None
-    packed = len(zlib.compress(raw, 1)) if piece is not None else sum(
-        len(zlib.compress(raw[i : i + 65_536], 1)) for i in range(0, len(raw), 65_536)
-    )
+    packed = len(zlib.compress(raw, 1))
     odd = sum(c for w, c in tally.items() if w[-1:] in b"%*#$&@~^=+_|")
     root = np.sqrt
     out[:] = (

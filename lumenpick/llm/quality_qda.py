@@ -8,21 +8,29 @@ statistics are shrunk towards the pooled unit scale, factored once (Cholesky),
 and a score is the logistic of the difference of the two log-densities, i.e. of
 halved Mahalanobis distances and log-determinants.
 
+Filtering reads the texts twice, of which the first time only labelled ones: one
+Arrow function takes a text to its score, so each text crosses to Python once and the
+rows themselves stay in the JVM.
+
 Defined results: null and empty texts are scored like any text (their
 statistics are all zero); documents without a label are scored and never used
 for fitting; labels other than 0 and 1 are ignored; several label rows for one
 document count as the largest of them.  Without training rows of both classes every score
-is 0.5.  Repeated document rows are scored once each.
+is 0.5.  Repeated document rows are scored once each; rows without a doc_id are scored
+like any others and never used for fitting.  Extra columns are ignored by score_documents
+and pass through keep_good_documents, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import Scratch, arrow_map
 from .quality_features import FEATURES, document_features
@@ -31,6 +39,8 @@ from .quality_features import FEATURES, document_features
 SHRINKAGE = 0.15
 #: A document is predicted good from this score on.
 THRESHOLD = 0.7
+#: Texts whose statistics are held at a time.
+_ROWS = 256
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -114,15 +124,19 @@ def class_moments(labelled: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant | None:
-    """Fit on the rows of stats (doc_id, stats) that have a label and are not held out."""
-    marks = (
+def training_marks(labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the documents with a label that are not held out."""
+    return (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
         .filter(F.col("quality").isin(0, 1) & ~is_held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("quality").alias("quality"))
     )
-    return from_moments(class_moments(stats.join(marks, "doc_id").select("quality", "stats")), shrinkage)
+
+
+def fit_quality(stats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant | None:
+    """Fit on the rows of stats (doc_id, stats) that have a label and are not held out."""
+    return from_moments(class_moments(stats.join(training_marks(labels), "doc_id").select("quality", "stats")), shrinkage)
 
 
 def add_scores(stats: DataFrame, model: Discriminant | None) -> DataFrame:
@@ -150,12 +164,22 @@ def score_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRIN
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def score_column(text: Column, model: Discriminant | None) -> Column:
+    """The score of a text column, features and densities in one Arrow function."""
+    if model is None:
+        return F.lit(0.5)
+
+    @F.arrow_udf(DoubleType())
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.concat_arrays([pa.array(model.score(np.stack([document_features(t.as_py()) for t in batch[i : i + _ROWS]]))) for i in range(0, len(batch), _ROWS)] or [pa.array([], pa.float64())])
+
+    return scores(text)
+
+
 def keep_good_documents(docs: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> DataFrame:
-    """The document rows predicted good, with all their columns; the text is read once more instead of being shuffled."""
-    scratch = Scratch(docs.sparkSession)
-    stats = scratch.keep(feature_table(docs, ["doc_id"]))
-    model = fit_quality(stats, labels, shrinkage)
-    rows = docs.withColumn("_copy", F.col("text"))
-    columns = [c for c in docs.columns if c != "text"] + ["_copy"]
-    scored = add_scores(feature_table(rows, columns), model).filter("predicted = 1")
-    return scored.withColumnRenamed("_copy", "text").select(*docs.columns)
+    """The document rows predicted good, with all their columns."""
+    marks = training_marks(labels)
+    training = docs.select("doc_id", "text").join(marks, "doc_id").select("quality", "text")
+    model = from_moments(class_moments(feature_table(training, ["quality"])), shrinkage)
+    return docs.filter(score_column(F.col("text"), model) >= THRESHOLD)

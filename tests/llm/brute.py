@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from lumenpick.llm.common import words_of
@@ -11,16 +12,18 @@ from lumenpick.llm.line_dedup import MIN_WORDS, within_one_edit
 def lines_removed(rows, min_words=MIN_WORDS):
     """rows: (doc_id, text); the set of (doc_id, line number) that go."""
     lines = [(d, i, tuple(words_of(line))) for d, t in rows if t is not None for i, line in enumerate(t.split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= min_words)
+    lines = sorted(x for x in lines if x[2])
     first, by_variant = {}, {}
     for d, i, w in lines:
         first.setdefault(w, (d, i))
     for w in first:
+        if len(w) < min_words:
+            continue
         for v in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))}:
             by_variant.setdefault(v, []).append(w)
     gone = set()
     for d, i, w in lines:
-        near = {x for v in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))} for x in by_variant[v] if within_one_edit(list(w), list(x))}
+        near = {w} if len(w) < min_words else {x for v in {w} | {w[:k] + w[k + 1 :] for k in range(len(w))} for x in by_variant[v] if within_one_edit(list(w), list(x))}
         if any(first[x] < (d, i) for x in near if x != w) and first[w] == (d, i) or first[w] < (d, i):
             gone.add((d, i))
     return gone
@@ -36,6 +39,17 @@ def line_digest(rows, min_words=MIN_WORDS):
     return sorted(out, key=str)
 
 
+def kept_text(rows, doc_id):
+    """The text of a document without the lines that go; only for the documents of one row."""
+    gone, text = _lines_removed(tuple(rows)), dict(rows)[doc_id]
+    return None if text is None else "\n".join(line for i, line in enumerate(text.split("\n")) if (doc_id, i) not in gone)
+
+
+@functools.cache
+def _lines_removed(rows):
+    return lines_removed(rows)
+
+
 def shingles(text, width):
     words = [w.decode("utf-8", "surrogatepass") for w in (text or "").encode("utf-8", "surrogatepass").lower().split()]
     if not words:

@@ -202,6 +202,18 @@ def test_lines_of_rows_that_repeat_an_id(spark):
     assert rows(line_dedup.line_digest(docs(spark, again)), "doc_id", "n_lines", "n_removed") == [(1, 1, 0), (2, 1, 0), (2, 1, 0), (2, 2, 1)]
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    texts = [(1, "one two\nthree\n\n"), (2, "three\none  two\none too\n"), (3, "one two\n\nONE two"), (4, "中文没有空格的行\n中文没有空格的行")]
+    got = rows(line_dedup.line_digest(docs(spark, texts)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert got == brute.line_digest(texts) and [r[2] for r in got] == [0, 2, 1, 1]
+
+
+def test_lines_of_rows_without_ids_and_with_clashing_columns(spark):
+    some = spark.createDataFrame([(None, "a b c d e f", 1, 2, 3), (1, "a b c d e f", 1, 2, 3), (2, "a b c d e f\nown", 1, 2, 3)], "doc_id long, text string, kept int, row int, n_lines int")
+    got = line_dedup.without_repeated_lines(some)
+    assert got.columns == some.columns and sorted((str(r["doc_id"]), r["text"], r["kept"]) for r in got.collect()) == [("1", "a b c d e f", 1), ("2", "own", 1), ("None", "a b c d e f", 1)]
+
+
 def test_lines_of_nothing_and_emptied_documents(spark):
     assert line_dedup.line_digest(docs(spark, [])).count() == 0
     kept = line_dedup.without_repeated_lines(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (5, "a b c d e x\nown words stay here all of them")]))

@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 # Weights, limits and texts that results depend on.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png")
 OUTPUT_FOLDERS = ("01_SELECTED", "02_REVIEW", "03_REJECTED", "04_REPORT")
-STATUS_FOLDERS = {"selected": "01_SELECTED", "review": "02_REVIEW", "rejected": "03_REJECTED"}
+STATUS_FOLDERS = {"selected": "01_SELECTED", "review": "02_REVIEW", "rejected": "03_REJECTED", "error": "04_REPORT/errors"}
+DECISION_ROOT = "02_FINAL_DECISION"
+DECISION_FOLDERS = {"post": "Posts", "save": "Save", "delete": "Delete", "undecided": "Undecided"}
 DECISIONS = ("post", "save", "delete", "undecided")
 NEUTRAL = 0.45
 PICK_LIMITS = {"conservative": (0.55, 0.35, 0.12), "balanced": (0.65, 0.45, 0.08), "aggressive": (0.75, 0.55, 0.03)}

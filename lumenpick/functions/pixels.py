@@ -76,6 +76,7 @@ def technical(stack: np.ndarray) -> dict[str, np.ndarray]:
 
 def central_regions(width: int, height: int) -> list[tuple[int, int, int, int]]:
     """Where a subject is likely: three boxes (x, y, w, h) as shares of the image."""
+    # Fixed values.
     shares = ((0.20, 0.34, 0.60, 0.58), (0.28, 0.40, 0.44, 0.48), (0.12, 0.46, 0.76, 0.38))
     return [(int(width * x), int(height * y), int(width * w), int(height * h)) for x, y, w, h in shares]
 
@@ -103,28 +104,32 @@ def combined(scores: np.ndarray) -> np.ndarray:
 
 
 def body(stack: np.ndarray, boxes=None, faces=None) -> dict[str, np.ndarray]:
-    """Body sharpness, blur penalty and subject score over boxes (default: the central regions), faces blacked out."""
+    """Body sharpness, blur penalty and subject score over boxes, or the central regions where no box is usable; faces blacked out."""
     height, width = stack.shape[1:]
-    regions = [r for r in (clipped_box(b, width, height) for b in (boxes or central_regions(width, height))) if r]
+    if not width or not height:
+        zero = np.zeros(len(stack))
+        return {"person_detected": zero.astype(bool), "body_sharpness": zero, "body_blur_penalty": zero, "subject_score": zero}
+    usable = lambda some: [r for r in (clipped_box(b, width, height) for b in some) if r]
+    regions = usable(boxes or ()) or usable(central_regions(width, height))
     stack = stack.copy()
     for x, y, w, h in faces or ():
         stack[:, max(0, y) : max(0, y + h + 1), max(0, x) : max(0, x + w + 1)] = 0
     scores = np.stack([region_sharpness(stack[:, y : y + h, x : x + w]) for x, y, w, h in regions], axis=1) if regions else np.zeros((len(stack), 0))
     sharp = combined(scores)
     found = np.full(len(stack), bool(regions))
-    penalty = np.where(found, rounded(1.0 - sharp), 0.0)
-    subject = np.where(found, rounded(clamp01(0.85 * sharp + 0.15 * (1.0 - penalty))), 0.0)
+    penalty = rounded(1.0 - sharp)
+    subject = rounded(clamp01(0.85 * sharp + 0.15 * (1.0 - penalty)))
     return {"person_detected": found, "body_sharpness": sharp, "body_blur_penalty": penalty, "subject_score": subject}
 
 
 def faces(stack: np.ndarray, boxes) -> dict[str, np.ndarray]:
-    """Face count, sharpness and score for one list of boxes; without a usable face the score is neutral."""
+    """Face count, sharpness and score for one list of boxes; without boxes the score is neutral, and boxes off the image count but have no sharpness."""
     height, width = stack.shape[1:]
-    crops = [r for r in (clipped_box(b, width, height, 0, 1) for b in boxes) if r]
-    if not crops:
-        zero = np.zeros(len(stack))
+    zero = np.zeros(len(stack))
+    if not len(boxes):
         return {"face_count": zero.astype(int), "face_sharpness": zero, "face_score": zero + 0.45}
-    sharp = np.max([clamp01(laplacian_variance(stack[:, y : y + h, x : x + w]) / REGION_REFERENCE) for x, y, w, h in crops], axis=0)
+    crops = [r for r in (clipped_box(b, width, height, 0, 1) for b in boxes) if r]
+    sharp = np.max([zero, *[clamp01(laplacian_variance(stack[:, y : y + h, x : x + w]) / REGION_REFERENCE) for x, y, w, h in crops]], axis=0)
     return {"face_count": np.full(len(stack), len(boxes)), "face_sharpness": rounded(sharp), "face_score": rounded(clamp01(0.75 * sharp + 0.06 * min(len(boxes), 4)))}
 
 
@@ -136,6 +141,17 @@ def blurred_patches(stack: np.ndarray, rows: int = 3, cols: int = 3, threshold:
     return np.mean([laplacian_variance(c) < threshold for c in cells], axis=0) if cells else np.zeros(len(stack))
 
 
+def upright(image: np.ndarray, orientation: int | None) -> np.ndarray:
+    """An image turned as its EXIF orientation (1 to 8) says; other values leave it as it is."""
+    if orientation in (5, 6, 7, 8):
+        image = image.swapaxes(0, 1)
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    return image
+
+
 def shrunk(image: np.ndarray, longest: int) -> np.ndarray:
     """Area-averaged copy whose longest side fits; smaller images stay as they are."""
     height, width = image.shape[:2]

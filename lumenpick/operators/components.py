@@ -5,30 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import Scratch
+
+
+def _to_smallest(links: DataFrame, by: str, other: str, least: DataFrame) -> DataFrame:
+    return links.join(least, by).select(F.col(other).alias("v"), F.col("least").alias("u")).filter("u < v")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").distinct()
+    """Every node links its larger neighbours to its smallest neighbour, or to itself."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("least"))
+    return _to_smallest(both.filter("v > u"), "u", "v", least).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("v").agg(F.min("u").alias("m"))
-    moved = edges.join(least, "v").select(F.col("m").alias("u"), F.col("u").alias("v")).filter("u < v")
-    return moved.unionByName(least.select(F.col("m").alias("u"), "v")).distinct()
+    """Every node links itself and its smaller neighbours to the smallest of them."""
+    least = edges.groupBy("v").agg(F.min("u").alias("least"))
+    moved = _to_smallest(edges.select("v", "u"), "v", "u", least)
+    return moved.unionByName(least.select("v", F.col("least").alias("u"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, component (its smallest node) for all nodes of edges u, v.  Each round is written, so lineage stays short."""
-    current = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    current = scratch.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct())
     state = None
     while True:
         found = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if found == state or not found[0]:
             break
         state = found
-        current = written(_small_star(_large_star(current)))
-    roots = current.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
+        previous, current = current, scratch.keep(_small_star(_large_star(current)))
+        scratch.drop(previous)
+    roots = current.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)

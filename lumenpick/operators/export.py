@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import filecmp
+import os
+import re
 import shutil
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import STATUS_FOLDERS
+from ..config import DECISION_FOLDERS, DECISION_ROOT, STATUS_FOLDERS
 from ..functions.scalars import stem, suffix
 
 
@@ -21,27 +26,35 @@ def numbered_name(name: Column, number: Column) -> Column:
     return F.when(number == 0, name).otherwise(F.concat(stem(name), F.lit("_"), number.cast("string"), suffix(name)))
 
 
-def collision_free(rows: DataFrame, folder: str = "folder", name: str = "file_name", order: str = "seq") -> DataFrame:
+def _numbered_parts(names: DataFrame, folder: str, name: str) -> DataFrame:
+    """folder, name, number of names of the form stem_k: the name without the number, and k."""
+    pattern = r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    return names.select(folder, F.concat(part(1), part(3)).alias(name), part(2).try_cast("long").alias("_value")).filter("_value is not null")
+
+
+def collision_free(rows: DataFrame, folder: str = "folder", name: str = "file_name", order: str = "seq", existing: DataFrame | None = None) -> DataFrame:
     """Adds destination_name: the name for its first row in a folder, then stem_1, stem_2 and so on.
 
-    A numbered name may itself be a real name in the folder.  Numbers are
-    therefore dealt among those that are free: the real names of the form
-    stem_k take their numbers out first.  All windows run per folder and stem.
+    existing: columns folder and name of the files that are there already; none of them is overwritten.
+    A numbered name may itself be a real name in the folder, here or there.  Numbers are
+    therefore dealt among those that are free.  The j-th used number u leaves u - j
+    free ones below it, so the n-th row steps over all used numbers with u - j <= n: a running count over
+    both in one order.  All windows run per folder and name.
     """
-    parts = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1)
-    real = parts.select(folder, F.col(name).alias("_real")).distinct()
-    base = F.regexp_extract("_real", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$", 1)
-    taken = real.select(
-        folder, F.concat(base, F.regexp_extract("_real", r"^(.*)_([1-9][0-9]{0,8})(\.[^.]*)?$", 3)).alias(name),
-        F.regexp_extract("_real", r"_([1-9][0-9]{0,8})(\.[^.]*)?$", 1).try_cast("long").alias("_k"),
-    ).filter("_k is not null")
-    used = taken.groupBy(folder, name).agg(F.sort_array(F.collect_set("_k")).alias("_used"))
-    # the n-th free number: step over every used number that is not beyond it
-    free = F.aggregate(F.coalesce("_used", F.array().cast("array<long>")), F.col("_nth").cast("long"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
-    return (
-        parts.join(used, [folder, name], "left").withColumn("destination_name", numbered_name(F.col(name), F.when(F.col("_nth") == 0, F.lit(0).cast("long")).otherwise(free)))
-        .drop("_nth", "_used")
-    )
+    same = Window.partitionBy(folder, name)
+    parts = rows.withColumn("_nth", F.row_number().over(same.orderBy(order)) - 1)
+    used = _numbered_parts(rows.select(folder, name).distinct(), folder, name)
+    if existing is not None:
+        there = existing.select(folder, name).distinct()
+        used = used.unionByName(_numbered_parts(there, folder, name)).unionByName(there.withColumn("_value", F.lit(0).cast("long")))
+    rank = F.row_number().over(same.orderBy("_value")) - 1
+    used = used.distinct().withColumn("_value", F.col("_value") - rank).withColumn("_row", F.lit(None).cast("long"))
+    asked = parts.select(folder, name, F.col("_nth").cast("long").alias("_value"), F.col("_nth").cast("long").alias("_row"))
+    running = same.orderBy("_value", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = used.unionByName(asked).withColumn("_number", F.col("_value") + F.count_if(F.col("_row").isNull()).over(running)).filter("_row is not null")
+    dealt = dealt.select(folder, name, F.col("_row").cast("int").alias("_nth"), "_number")
+    return parts.join(dealt, [folder, name, "_nth"]).withColumn("destination_name", numbered_name(F.col(name), F.col("_number"))).drop("_nth", "_number")
 
 
 def should_export(decision: Column, include_undecided: bool = False) -> Column:
@@ -61,26 +74,71 @@ def missing_files(items: DataFrame, existing: DataFrame) -> DataFrame:
     return items.join(existing.select("original_path").distinct(), "original_path", "left_anti")
 
 
-def copy_plan(items: DataFrame, root: str, path: str = "path", status: str = "status") -> DataFrame:
-    """source, destination per item with a known status."""
-    placed = items.withColumn("folder", status_folder(F.col(status))).filter("folder is not null")
-    named = collision_free(placed)
-    return named.select(F.col(path).alias("source"), F.concat_ws("/", F.lit(root), "folder", "destination_name").alias("destination"))
+def existing_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder (below root) and file_name of all files below root, in any store that Spark reads; none where there is no such folder."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "folder string, file_name string")
+    inner = F.regexp_extract("path", rf"^(?:[a-z0-9]+:/*)?/?{re.escape(re.sub('^[a-z0-9]+:/*', '', root).strip('/'))}/(.*)$", 1)
+    return found.select(F.regexp_extract(inner, r"^(.*)/[^/]*$", 1).alias("folder"), F.element_at(F.split(inner, "/"), -1).alias("file_name"))
+
+
+def _planned(placed: DataFrame, root: str, path: str, existing: DataFrame | None) -> DataFrame:
+    named = collision_free(placed.filter("folder is not null"), existing=existing)
+    return named.withColumns({"source": F.col(path), "destination": F.concat_ws("/", F.lit(root.rstrip("/")), "folder", "destination_name")})
+
+
+def copy_plan(items: DataFrame, root: str, path: str = "path", status: str = "status", existing: DataFrame | None = None) -> DataFrame:
+    """source, destination per item with a known status (failed ones: ERROR); existing: what existing_files finds below root."""
+    placed = items.withColumn("folder", status_folder(F.col(status)))
+    return _planned(placed, root, path, existing).select("source", "destination")
+
+
+def with_output_path(items: DataFrame, root: str, path: str = "path", status: str = "status", existing: DataFrame | None = None) -> DataFrame:
+    """Items with output_path, where copy_plan puts them; null for unknown statuses."""
+    placed = items.withColumn("folder", F.coalesce(status_folder(F.col(status)), F.lit("")))
+    planned = _planned(placed, root, path, existing)
+    return planned.withColumn("output_path", F.when(F.col("folder") != "", F.col("destination"))).select(*items.columns, "output_path")
+
+
+def decision_plan(items: DataFrame, root: str, existing: DataFrame | None = None, include_undecided: bool = False) -> DataFrame:
+    """source, destination of reviewed items whose decision is to be exported (columns original_path, filename, final_decision)."""
+    decided = items.filter(should_export(F.col("final_decision"), include_undecided)).filter("original_path is not null")
+    below = F.coalesce(*[F.when(F.col("final_decision") == d, F.lit(f"{DECISION_ROOT}/{f}")) for d, f in DECISION_FOLDERS.items()])
+    placed = decided.select("original_path", F.element_at(F.split("original_path", "/"), -1).alias("file_name"), F.col("photo_id").alias("seq"), below.alias("folder"))
+    return _planned(placed, root, "original_path", existing).select("source", "destination")
 
 
 def run_copies(plan: DataFrame) -> DataFrame:
-    """Copy where the data is: source, destination and an error per file; a lost file does not stop the others.  Copies are idempotent, so retries are safe."""
+    """Copy where the data is: source, destination and an error per file; a lost file does not stop the others.
+
+    A file appears under its final name only when it is complete, and no other file there is ever
+    replaced: one with the same content counts as copied (a retried task), any other is an error.
+    """
+
+    def copy(a: str, b: str) -> str | None:
+        part = Path(f"{b}.{uuid.uuid4().hex}.part")
+        try:
+            part.parent.mkdir(parents=True, exist_ok=True)
+            shutil.copy2(a, part)
+            os.link(part, b)  # fails where b exists
+        except FileExistsError:
+            return None if filecmp.cmp(part, b, shallow=False) else f"the destination exists: {b}"
+        except OSError as e:
+            return str(e)
+        finally:
+            part.unlink(missing_ok=True)
+        return None
 
     def run(batches):
         for pdf in batches:
-            errors = []
-            for a, b in zip(pdf["source"], pdf["destination"], strict=True):
-                try:
-                    Path(b).parent.mkdir(parents=True, exist_ok=True)
-                    shutil.copy2(a, b)
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(str(e))
-            yield pdf.assign(error=errors)
+            yield pdf.assign(error=[copy(a, b) for a, b in zip(pdf["source"], pdf["destination"], strict=True)])
 
     return plan.select("source", "destination").mapInPandas(run, "source string, destination string, error string")
+
+
+def selected_only(items: DataFrame) -> DataFrame:
+    return items.filter(F.lower("status") == "selected")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import kept_per_cluster, pick_limits
 from ..functions.scalars import clamp01, compact, num, two_decimals
+from .numbering import numbered
 
 RANK_KEYS = ("final_score", "subject_score", "body_clarity", "face_score", "sharpness")
 #: Columns of the winner that reasons refer to.
@@ -16,17 +17,17 @@ _WINNER = ("photo_id", "file_name", "final_score", "body_blur_penalty", "face_sc
 def ranked(items: DataFrame) -> DataFrame:
     """Adds rank, cluster_size and `winner` (a struct) per cluster_id; ties go by lower-cased name, then seq.
 
-    The winner and size come from one aggregate per cluster that is combined before
-    the shuffle; only the rank needs a cluster's rows in order.
+    Items are numbered in the order of clusters and ranks over range partitions, so a
+    large cluster spreads over several; its first number, size and winner come from one aggregate
+    that is combined before the shuffle, and the rank is the distance from the first number.
     """
     order = [F.col("final_score").desc(), F.col("subject_score").desc(), (num(1) - F.col("body_blur_penalty")).desc(), F.col("face_score").desc(), F.col("sharpness").desc(), F.lower("file_name"), F.col("seq")]
-    w = Window.partitionBy("cluster_id").orderBy(*order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        items.withColumn("rank", F.row_number().over(w))
-        .withColumn("cluster_size", F.count("*").over(Window.partitionBy("cluster_id")))
-        .withColumn("winner", F.first(F.struct(*_WINNER)).over(whole))
-    )
+    rows = numbered(items, F.col("cluster_id"), *order, name="_number")
+    clusters = rows.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.min(F.struct("_number", *_WINNER)).alias("_first"), F.count("*").alias("cluster_size"))
+    joined = rows.join(clusters, F.col("cluster_id").eqNullSafe(F.col("_cluster")))
+    return joined.withColumns({
+        "rank": (F.col("_number") - F.col("_first._number") + 1).cast("int"), "winner": F.struct(*[F.col(f"_first.{c}").alias(c) for c in _WINNER]),
+    }).drop("_cluster", "_number", "_first")
 
 
 def picked(items: DataFrame, mode: str = "balanced", keep: int | None = None) -> DataFrame:
@@ -74,6 +75,7 @@ def reasons(mode: str) -> Column:
     face_gap = F.col("winner.face_score") - F.col("face_score")
     close_review = (gap <= 0.08) & (F.col("status") == "review")
     text = F.lit
+    # The texts of the reasons and the limits at which they apply.
     return compact(
         F.when(single, text("Unique image; decision is based on its own technical, face, and body scores."))
         .when(winner, text("Selected as best image in similar cluster."))

@@ -25,25 +25,35 @@ def without(decisions: DataFrame, ids: DataFrame, key: str = "photo_id") -> Data
 
 
 def review_items(rows: DataFrame) -> DataFrame:
-    """Result rows of either naming as review items; missing columns count as null."""
-    have = set(rows.columns)
+    """Result rows of either naming as review items.
 
-    def pick(*names: str) -> Column:
-        found = [F.col(n) for n in names if n in have]
-        return F.coalesce(*found, F.lit(None)) if found else F.lit(None)
+    Of several columns the first one that is not blank counts, row by row; missing columns
+    count as blank.  A row is a winner if either flag says so.  Notes stand in for reasons where there
+    are none, and a row without any name is "unknown".
+    """
+    have = dict(rows.dtypes)
 
     def text(*names: str) -> Column:
-        return pick(*[n for n in names if n in have]).cast("string")
+        return F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(None).cast("string"))
+
+    def flag(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in have else F.lit(False)
+
+    def numbers(*names: str) -> Column:
+        return first_number(*[F.col(n).cast("string") for n in names if n in have])
 
     path = text("original_path", "path")
-    reasons = F.col("reasons") if dict(rows.dtypes).get("reasons") == "array<string>" else split_reasons(text("final_reason", "reasons", "notes"))
+    name = F.coalesce(text("filename", "file_name"), F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")), F.lit("unknown"))
+    listed = F.col("reasons") if have.get("reasons") == "array<string>" else split_reasons(text("reasons"))
+    given = F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda r: F.trim(r) != "")
+    reasons = F.when(F.size(given) > 0, given).otherwise(split_reasons(text("final_reason", "notes")))
     return rows.select(
-        F.coalesce(text("photo_id", "id"), path).alias("photo_id"), F.coalesce(text("filename", "file_name"), F.element_at(F.split(path, "/"), -1)).alias("filename"),
-        path.alias("original_path"), ai_status(text("ai_status", "output_status", "status")).alias("ai_status"), decision(text("final_decision")).alias("final_decision"),
-        text("cluster_id", "duplicate_group_id").alias("cluster_id"), F.coalesce(pick("is_cluster_winner", "is_best_duplicate").cast("boolean"), F.lit(False)).alias("is_cluster_winner"),
-        first_number(text("final_score")).alias("final_score"), first_number(text("face_score")).alias("face_score"),
-        first_number(text("body_sharpness", "body_sharpness_score")).alias("body_sharpness"), first_number(text("body_blur_penalty")).alias("body_blur_penalty"),
-        text("thumbnail_path").alias("thumbnail_path"), F.filter(reasons, lambda r: F.trim(r) != "").alias("reasons"),
+        F.coalesce(text("id", "photo_id"), path, name).alias("photo_id"), name.alias("filename"),
+        path.alias("original_path"), ai_status(text("status", "output_status", "ai_status")).alias("ai_status"), decision(text("final_decision")).alias("final_decision"),
+        text("cluster_id", "duplicate_group_id").alias("cluster_id"), (flag("is_cluster_winner") | flag("is_best_duplicate")).alias("is_cluster_winner"),
+        numbers("score_percent", "final_score").alias("final_score"), numbers("face_score").alias("face_score"),
+        numbers("body_sharpness", "body_sharpness_score").alias("body_sharpness"), numbers("body_blur_penalty").alias("body_blur_penalty"),
+        text("thumbnail_path").alias("thumbnail_path"), reasons.alias("reasons"),
         F.lit(None).cast("string").alias("decision_updated_at"), F.lit("user").alias("decision_source"), F.coalesce(text("review_notes"), F.lit("")).alias("notes"),
     )
 
@@ -100,12 +110,27 @@ def item_by_id(items: DataFrame, photo_id: str) -> DataFrame:
 
 
 def ring(items: DataFrame, within: list[str], order: list[str], key: str) -> DataFrame:
-    """Adds next_id and previous_id, wrapping around at the ends."""
+    """Adds next_id and previous_id, wrapping around at the ends; null keys have no place in a ring."""
     w = Window.partitionBy(*within).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return items.withColumn("next_id", F.coalesce(F.lead(key).over(w), F.first(key).over(whole))).withColumn("previous_id", F.coalesce(F.lag(key).over(w), F.last(key).over(whole)))
 
 
+def neighbour(session: DataFrame, current_id: str, step: int = 1, visible: DataFrame | None = None, order: str = "seq", key: str = "photo_id") -> DataFrame:
+    """The one item after (step 1) or before (step -1) an item among the visible ones, wrapping around; the first one for an unknown id.
+
+    Without visible items those of the session count; no row only where these are none either.
+    """
+    shown = session if visible is None or visible.isEmpty() else visible
+    here = shown.filter(F.col(key) == current_id).agg(F.min(order).alias("_here"))
+    placed = shown.join(F.broadcast(here))  # one row
+    beyond = (F.col(order) > F.col("_here")) if step > 0 else (F.col(order) < F.col("_here"))
+    # the first beyond, else from the other end; an unknown id has nothing beyond and starts at the front
+    side = F.when(F.col("_here").isNull(), 0).when(beyond, 0).otherwise(1)
+    direction = F.col(order) if step > 0 else F.when(F.col("_here").isNull(), F.col(order)).otherwise(-F.col(order))
+    return placed.orderBy(side, direction).limit(1).select(*shown.columns)
+
+
 def displayed_path(original: Column, thumbnail: Column, original_exists: Column, thumbnail_exists: Column, prefer_thumbnail: bool) -> Column:
     """What a viewer shows: the preferred file if it exists, else the other, else null."""
     small, large = F.when(thumbnail_exists, thumbnail), F.when(original_exists, original)

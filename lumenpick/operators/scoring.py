@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +36,12 @@ def weighted_final(technical: Column, face: Column, body: Column, aesthetic: Col
     return rounded(clamp01(num(0.3) * technical + num(0.3) * face + num(0.25) * body + weight * aesthetic - num(0.2) * penalty))
 
 
-def aesthetic_score() -> Column:
-    """The stand-in for a model: neutral."""
-    return num(0.5)
+def aesthetic_score(scorer: Callable[..., Column] | None = None, *inputs: Column) -> Column:
+    """A model's score of the inputs (any function of columns, a pandas UDF for instance), bounded to 0..1; neutral without a model or a score."""
+    if scorer is None:
+        return num(0.5)
+    score = scorer(*inputs)
+    return F.when(score.isNotNull(), clamp01(score)).otherwise(num(0.5))
 
 
 def blur_penalty(score: Column, threshold: float = 0.45) -> Column:

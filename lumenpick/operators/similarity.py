@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from itertools import combinations
+from math import comb
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..config import HASH_THRESHOLD
 from ..functions.scalars import hamming
 from ..plans.storage import written
 from .components import components
+from .numbering import numbered
+
+_BLANKS = re.compile("[ \\n\\t\\r]+")
+
+
+#: Keys that a hash may emit for the pair join.
+_MOST_KEYS = 200
+
+
+def _agreeing(threshold: int) -> int:
+    """How many bands must agree at once: of 1 to 4 the number that leaves least candidates."""
+    costs = {}
+    for m in range(1, 5):
+        bands = threshold + m
+        if bands <= 64 and (m == 1 or comb(bands, m) <= _MOST_KEYS):
+            costs[m] = comb(bands, m) / 2 ** (64 * m / bands)
+    return min(costs, key=costs.get)
 
 
 def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
     """a, b, distance for all pairs of one row per hash (columns id, hash) with a < b that differ in at most `threshold` bits.
 
-    Hashes are cut into threshold + 1 bands, of uneven widths where 64 is no
-    multiple; two hashes within the threshold agree on one band at least, so an
-    equality join over bands loses no pair, and no nested loop over all rows is needed.
+    Hashes are cut into threshold + m bands, of uneven widths where 64 is no multiple.
+    Differing bits spoil at most `threshold` bands, so two hashes within it agree in m bands at
+    least, and an equality join over all choices of m bands loses no pair.  A pair is
+    compared for the first m bands it agrees in only.  Up to some twelve bits such keys are long
+    and candidates few; beyond that no choice of bands is selective, and the work
+    nears a comparison of all pairs.
     """
     if threshold >= 64:  # every pair is close
         return compared_pairs(hashes, threshold)
-    bands = threshold + 1
+    together = _agreeing(threshold)
+    bands = threshold + together
     cuts = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
-    band = F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned("hash", lo).bitwiseAND((1 << (hi - lo)) - 1 if hi - lo < 64 else -1).alias("value")) for i, (lo, hi) in enumerate(cuts)])
-    keyed = hashes.select("id", "hash", F.explode(band).alias("band"))
-    left = keyed.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "band")
-    right = keyed.select(F.col("id").alias("b"), F.col("hash").alias("b_hash"), "band")
-    near = left.join(right, "band").filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hash"), F.col("b_hash")) <= threshold))
-    return near.select("a", "b", hamming(F.col("a_hash"), F.col("b_hash")).cast("int").alias("distance")).distinct()
+    masks = [((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0) for lo, hi in cuts]  # signed 64-bit
+    chosen = list(combinations(range(bands), together))
+    key = lambda c: F.struct(F.lit(chosen.index(c)).alias("no"), F.col("hash").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("value"))
+    keyed = hashes.select("id", "hash", F.explode(F.array(*[key(c) for c in chosen])).alias("key"))
+    left = keyed.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "key")
+    right = keyed.select(F.col("id").alias("b"), F.col("hash").alias("b_hash"), "key")
+    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hash"), F.col("b_hash")) <= threshold))
+    differing = F.col("a_hash").bitwiseXOR(F.col("b_hash"))
+    agreed = F.array_compact(F.array(*[F.when(differing.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)]))
+    first = F.element_at(F.array(*[F.array(*[F.lit(i) for i in c]) for c in chosen]), F.col("key.no") + 1)
+    near = met.filter(F.slice(agreed, 1, together) == first)
+    return near.select("a", "b", hamming(F.col("a_hash"), F.col("b_hash")).cast("int").alias("distance"))
+
+
+def _signed(x: int) -> int:
+    """The 64-bit pattern as a signed number."""
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def compared_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
@@ -54,20 +94,18 @@ def grouped(items: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
 def labelled(members: DataFrame, pattern: str = "CL%04d") -> DataFrame:
     """Adds cluster_id, cluster_size and confidence to rows with component, name and seq.
 
-    Clusters are numbered by their first name; the number is global, so one row per
-    cluster (not per item) is sorted for it.
+    Clusters are numbered by their first name.
     """
     clusters = members.groupBy("component").agg(F.min(F.struct(F.lower("name").alias("n"), F.col("seq").alias("s"))).alias("first"), F.count("*").alias("cluster_size"))
-    numbered = clusters.withColumn("number", F.row_number().over(Window.orderBy("first", "component")))
-    return members.join(numbered.select("component", "cluster_size", F.format_string(pattern, "number").alias("cluster_id")), "component").withColumn(
+    ordered = numbered(clusters, "first", "component")
+    return members.join(ordered.select("component", "cluster_size", F.format_string(pattern, "number").alias("cluster_id")), "component").withColumn(
         "confidence", F.when(F.col("cluster_size") > 1, 1.0).otherwise(0.0)
     )
 
 
 def ungrouped(items: DataFrame, pattern: str = "CL%04d") -> DataFrame:
     """Clusters of one in scan order, for runs without grouping."""
-    number = F.row_number().over(Window.orderBy("seq"))
-    return items.withColumn("cluster_id", F.format_string(pattern, number)).withColumn("cluster_size", F.lit(1).cast("long")).withColumn("confidence", F.lit(0.0))
+    return numbered(items, "seq").withColumn("cluster_id", F.format_string(pattern, "number")).drop("number").withColumn("cluster_size", F.lit(1).cast("long")).withColumn("confidence", F.lit(0.0))
 
 
 def duplicate_label(cluster_size: Column, label: Column) -> Column:
@@ -93,13 +131,32 @@ def bit_signature(values: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+#: Texts whose words are hashed together.
+_TEXTS = 512
+
+
+def _simhashes(texts: pa.Array) -> pa.Array:
+    """Votes of the distinct words, a few hundred texts at a time."""
+    words = [dict.fromkeys(w for w in _BLANKS.split(t) if w) if t is not None else {} for t in texts.to_pylist()]
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
+    hashes = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in known), np.int64, len(known))
+    votes = 2 * ((hashes[:, None] >> np.arange(60)) & 1) - 1
+    sizes = np.array([len(own) for own in words])
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return pa.nulls(len(words), pa.int64())
+    at = np.fromiter((known[w] for own in words for w in own), np.int64, int(sizes.sum()))
+    sums = np.add.reduceat(votes[at], (np.cumsum(sizes) - sizes)[full], axis=0)
+    out = np.zeros(len(words), np.int64)
+    out[full] = ((sums > 0) * (np.int64(1) << np.arange(60))).sum(axis=1)
+    return pa.array(out, pa.int64(), mask=sizes == 0)
+
+
+@F.arrow_udf(LongType())
+def _simhash(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_simhashes(texts[i : i + _TEXTS]) for i in range(0, len(texts), _TEXTS)] or [pa.array([], pa.int64())])
+
+
 def simhash60(text: Column) -> Column:
     """60-bit similarity hash of the distinct lower-cased words of a text; null without words."""
-    words = F.array_distinct(F.filter(F.split(F.lower(text), "[ \\n\\t\\r]+"), lambda w: w != ""))
-    hashes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 15), 16, 10).cast("long"))
-    zero = F.array(*[F.lit(0)] * 60)
-    votes = F.aggregate(
-        hashes, zero, lambda acc, h: F.transform(acc, lambda v, i: v + F.when(F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1))
-    )
-    bits = F.transform(votes, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(words) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    return _simhash(F.lower(text))

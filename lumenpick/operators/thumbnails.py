@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import shrunk
+from ..functions.pixels import shrunk, upright
 
 MAX_WIDTH, MAX_HEIGHT = 360, 270
 
@@ -34,12 +34,15 @@ def thumbnail(image: np.ndarray) -> np.ndarray:
     return shrunk(image, max(1, int(max(height, width) * scale)))
 
 
-def write_thumbnails(images: DataFrame, folder: str, existing: DataFrame | None = None) -> DataFrame:
+def write_thumbnails(images: DataFrame, folder: str, existing: DataFrame | None = None, orientation: DataFrame | None = None) -> DataFrame:
     """path, thumbnail_path, error per row of Spark's image source whose thumbnail does not exist yet.
 
+    orientation (path, orientation): images are turned upright as their EXIF data say.
+
     Files appear under their final name only when complete, so a retried task is harmless.
     """
     todo = images.select(F.col("image.origin").alias("path"), F.concat(F.lit(folder.rstrip("/") + "/"), F.sha1("image.origin"), F.lit(".png")).alias("thumbnail_path"), "image.height", "image.width", "image.nChannels", "image.data")
+    todo = todo.withColumn("orientation", F.lit(1)) if orientation is None else todo.join(orientation.select("path", "orientation"), "path", "left")
     if existing is not None:
         todo = todo.join(existing.select("thumbnail_path").distinct(), "thumbnail_path", "left_anti")
 
@@ -49,7 +52,8 @@ def write_thumbnails(images: DataFrame, folder: str, existing: DataFrame | None
             for row in pdf.itertuples():
                 try:
                     data = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
-                    small = thumbnail(data[..., 2::-1] if row.nChannels >= 3 else data[..., 0])
+                    turned = upright(data, None if pd.isna(row.orientation) else int(row.orientation))
+                    small = thumbnail(turned[..., 2::-1] if row.nChannels >= 3 else turned[..., 0])
                     os.makedirs(os.path.dirname(row.thumbnail_path), exist_ok=True)
                     part = f"{row.thumbnail_path}.{uuid.uuid4().hex}"
                     with open(part, "wb") as handle:

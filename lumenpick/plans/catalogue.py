@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,14 +137,26 @@ def flat_report_rows(spark, sf_dir):
     return rows.select("filename", "output_status", "blur_score", "is_blur", "exposure_status", "is_duplicate_candidate", "final_score", "localized_person_blur", "human_quality_score", "technical_score", "score_gap_from_winner", "cluster_winner_filename")
 
 
+def _json_fields(records: DataFrame, texts: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """The fields of JSON records at the given paths in place of the records."""
+    at = lambda p: F.get_json_object("record", f"$.{p}")
+    fields = {p.rsplit(".", 1)[-1]: at(p) for p in texts} | {p.rsplit(".", 1)[-1]: at(p).cast("double") for p in numbers}
+    return records.withColumns(fields).drop("record")
+
+
 @query
 def report_json(spark, sf_dir):
-    return reports.audit_json(_explained(spark, sf_dir))
+    texts = ("filename", "status", "clusterId", "isClusterWinner", "clusterWinnerFilename")
+    numbers = [f"scoreBreakdown.{n}" for n in ("finalScore", "scorePercent", "technical.globalBlurPenalty", "face.faceCount", "body.subjectScore")]
+    return _json_fields(reports.audit_json(_explained(spark, sf_dir)), texts, numbers)
 
 
 @query
 def cluster_json(spark, sf_dir):
-    return reports.cluster_json(_explained(spark, sf_dir))
+    record = reports.cluster_json(_explained(spark, sf_dir))
+    parsed = F.from_json("record", "selectedPhotoId string, photos array<struct<photoId: string, scoreBreakdown: struct<finalScore: double>>>")
+    parsed = record.select("cluster_id", parsed.alias("r"))
+    return parsed.select("cluster_id", F.col("r.selectedPhotoId").alias("selected"), F.array_join("r.photos.photoId", ",").alias("photos"), F.col("r.photos.scoreBreakdown.finalScore")[0].alias("best_score"))
 
 
 @query
@@ -211,6 +224,51 @@ def review_bucket(spark, sf_dir):
     return review.in_bucket(_reviewed(spark, sf_dir), "ai_status", "anything").select("photo_id", "final_decision")
 
 
+@query
+def review_mixed_rows(spark, sf_dir):
+    rows = review.review_items(f.mixed_rows(spark, sf_dir))
+    return rows.select("photo_id", "filename", "original_path", "ai_status", "cluster_id", "is_cluster_winner", "final_score", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query
+def decision_copies(spark, sf_dir):
+    """Copies by decision into folders where some files are already."""
+    r = _reviewed(spark, sf_dir)
+    there = r.filter("cast(photo_id as long) % 5 = 0").select(F.lit("02_FINAL_DECISION/Posts").alias("folder"), F.element_at(F.split("original_path", "/"), -1).alias("file_name"))
+    return export.decision_plan(r, "/out", there)
+
+
+@query
+def collision_existing(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.regexp_replace("p_name", " ", "-"), F.lit(".jpg")).alias("file_name"), F.lit("01_SELECTED").alias("folder"), F.col("p_partkey").alias("seq"))
+    there = p.filter("p_partkey % 3 = 0").select("folder", "file_name").unionByName(p.filter("p_partkey % 7 = 0").select("folder", F.regexp_replace("file_name", r"\.jpg$", "_2.jpg").alias("file_name")))
+    return export.collision_free(p, existing=there).select("p_partkey", "destination_name")
+
+
+@query
+def neighbours_of_item(spark, sf_dir):
+    items = _reviewed(spark, sf_dir).withColumn("seq", F.col("photo_id").cast("long"))
+    asked = (("last", "100"), ("first", "0"), ("unknown", "no such id"))
+    out = [review.neighbour(items.filter("seq between 0 and 100"), photo, step).select(F.lit(name).alias("asked"), F.lit(step).alias("step"), "photo_id") for name, photo in asked for step in (1, -1)]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+@query
+def first_summary(spark, sf_dir):
+    return reports.first_summary(reports.first_rows(_explained(spark, sf_dir)))
+
+
+@query
+def shown_of(spark, sf_dir):
+    return reports.limited(_listed_parts(spark, sf_dir).filter("has_face"), [F.desc("final_score"), F.col("p_partkey")], 120).select("p_partkey", "shown_of")
+
+
+@query
+def result_summary(spark, sf_dir):
+    record = reports.result_summary(picking.picked(f.line_items(spark, sf_dir)), "balanced")
+    return _json_fields(record, ("mode",), ("totalPhotos", "selectedCount", "reviewCount", "rejectedCount", "clusterCount", "averageFinalScore"))
+
+
 @query
 def export_counts(spark, sf_dir):
     r = _reviewed(spark, sf_dir)
@@ -328,7 +386,11 @@ def decision_report(spark, sf_dir):
 
 @query
 def decision_json(spark, sf_dir):
-    return reports.decision_json(_reviewed(spark, sf_dir))
+    record = reports.decision_json(_reviewed(spark, sf_dir))
+    parsed = F.from_json("record", "winner string, items array<struct<photo_id: string, ai_status: string, final_decision: string>>")
+    parsed = record.select("cluster_id", "part", parsed.alias("r"))
+    each = lambda field: F.array_join(F.col(f"r.items.{field}"), ",")
+    return parsed.select("cluster_id", "part", F.col("r.winner").alias("winner"), each("photo_id").alias("ids"), each("ai_status").alias("statuses"), each("final_decision").alias("decisions"))
 
 
 @query
@@ -367,6 +429,20 @@ def item_lookup(spark, sf_dir):
     return review.item_by_id(_reviewed(spark, sf_dir), "7").select("photo_id", "filename", "ai_status")
 
 
+@query
+def stream_scores(spark, sf_dir):
+    """Vectors arriving as files are scored by a stream and appended to a table."""
+    import uuid
+
+    from ..streaming.incremental import scored_stream
+
+    schema = table(spark, sf_dir, "embeddings").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
+    root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    scored_stream(stream, lambda s: images.with_technical(images.tiles(s)).select("vec_id", "sharpness", "exposure", "contrast"), f"{root}/scores", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("vec_id long, sharpness double, exposure double, contrast double").parquet(f"{root}/scores")
+
+
 @query
 def stream_decisions(spark, sf_dir):
     """The decision log as a stream: every batch upserts into a store; the store equals the latest decisions."""

@@ -21,7 +21,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_tiles(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     """Tiles as items without faces: technical and body scores in one pass, clustered by label."""
     c = F.col
-    both = images.with_technical(images.with_body(tiles(spark, sf_dir).withColumn("copy", c("pixels"))).withColumnRenamed("copy", "pixels"))
+    both = images.with_technical_and_body(tiles(spark, sf_dir))
     faceless = both.withColumns(images.neutral_face())
     score = final_score(c("sharpness"), c("exposure"), c("contrast"), c("global_blur_penalty"), c("face_score"), c("body_sharpness"), c("body_blur_penalty"), c("subject_score"), mode)
     return faceless.withColumns({"photo_id": c("vec_id").cast("string"), "file_name": F.concat(c("vec_id").cast("string"), F.lit(".jpg")), "seq": c("vec_id"), "cluster_id": c("label").cast("string"), "final_score": score})
@@ -67,6 +67,19 @@ def review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as result rows in which both namings occur and some of either are blank."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    some = lambda n, value, blank="": F.when(k % n == 0, F.lit(blank)).otherwise(value)
+    return table(spark, sf_dir, "customer").select(
+        some(2, k.cast("string")).alias("id"), some(3, F.concat(F.lit("p"), k.cast("string"))).alias("photo_id"), some(5, F.concat(F.lit("/a/"), name, F.lit(".jpg")), None).alias("path"),
+        some(7, F.concat(name, F.lit(".JPG"))).alias("filename"), some(2, F.lit("keep"), None).alias("status"), F.lit("REJECTED").alias("output_status"),
+        some(3, F.concat(F.lit("CL"), F.col("c_nationkey").cast("string"))).alias("cluster_id"), F.lit("G1").alias("duplicate_group_id"),
+        (k % 4 == 0).alias("is_cluster_winner"), (k % 6 == 0).alias("is_best_duplicate"), some(5, F.col("c_acctbal").cast("string"), "n/a").alias("score_percent"), k.cast("double").alias("final_score"),
+        some(3, F.lit("one; two")).alias("reasons"), F.lit("note;;").alias("notes"),
+    )
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files below a photo folder, some of them in folders of earlier runs."""
     c = F.col

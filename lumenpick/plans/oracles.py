@@ -66,6 +66,7 @@ def final(mode: str) -> str:
 
 ORACLES["tile_technical"] = f"WITH {TECHNICAL} SELECT vec_id, label, laplacian, brightness, sharpness, exposure, contrast, global_blur_penalty FROM technical"
 ORACLES["tile_gradient"] = f"WITH {TECHNICAL} SELECT vec_id, gradient FROM technical"
+ORACLES["stream_scores"] = f"WITH {TECHNICAL} SELECT vec_id, sharpness, exposure, contrast FROM technical"
 ORACLES["tile_body"] = f"WITH {TILES}, {BODY} SELECT vec_id, person_detected, body_sharpness, body_blur_penalty, subject_score FROM body"
 ORACLES["tile_faces"] = f"""WITH {TILES}, {_regions([(8, 6, 10, 10), (18, 4, 8, 8)], "face")}, f AS (SELECT vec_id, max({clamp(f"{_VAR} / {d(220)}")}) AS s FROM face GROUP BY vec_id)
 SELECT vec_id, true AS face_detected, 2 AS face_count, {r("s")} AS face_sharpness, {r(clamp(f"{d(0.75)} * s + {d(0.06)} * 2"))} AS face_score FROM f"""
@@ -225,6 +226,29 @@ _BY = ", ".join(f"count(*) FILTER (final_decision = '{x}') AS {x}" if x != "dele
 ORACLES["review_progress"] = f"WITH {_REVIEWED} SELECT count(*) AS total, {_BY}, " + ", ".join(f"count(*) FILTER (ai_status = '{x}') AS ai_{x}" for x in ("selected", "review", "rejected")) + " FROM reviewed"
 ORACLES["review_bucket"] = f"WITH {_REVIEWED} SELECT photo_id, final_decision FROM reviewed WHERE ai_status = 'review'"
 ORACLES["export_counts"] = f"WITH {_REVIEWED} SELECT {_BY}, count(*) FILTER (final_decision <> 'undecided' AND c_custkey % 4 = 0) AS missing FROM reviewed"
+ORACLES["review_mixed_rows"] = """WITH m AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 <> 0 THEN c_custkey::VARCHAR END AS id, CASE WHEN c_custkey % 3 <> 0 THEN 'p' || c_custkey END AS pid, CASE WHEN c_custkey % 5 <> 0 THEN '/a/' || c_name || '.jpg' END AS path,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_name || '.JPG' END AS fname, c_nationkey, c_acctbal, c_name FROM customer),
+n AS (SELECT *, coalesce(fname, CASE WHEN path IS NOT NULL THEN c_name || '.jpg' END, 'unknown') AS name FROM m)
+SELECT coalesce(id, pid, path, name) AS photo_id, name AS filename, path AS original_path, CASE WHEN k % 2 <> 0 THEN 'selected' ELSE 'rejected' END AS ai_status, CASE WHEN k % 3 <> 0 THEN 'CL' || c_nationkey ELSE 'G1' END AS cluster_id,
+  k % 4 = 0 OR k % 6 = 0 AS is_cluster_winner, CASE WHEN k % 5 <> 0 THEN c_acctbal ELSE k::DOUBLE END AS final_score, CASE WHEN k % 3 <> 0 THEN 'one|two' ELSE 'note' END AS reasons FROM n"""
+ORACLES["decision_copies"] = f"""WITH {_REVIEWED} SELECT original_path AS source, '/out/02_FINAL_DECISION/' || CASE final_decision WHEN 'post' THEN 'Posts' WHEN 'save' THEN 'Save' ELSE 'Delete' END || '/' ||
+  CASE WHEN final_decision = 'post' AND c_custkey % 5 = 0 THEN replace(filename, '.jpg', '_1.jpg') ELSE filename END AS destination FROM reviewed WHERE final_decision <> 'undecided'"""
+ORACLES["collision_existing"] = """WITH p AS (SELECT p_partkey, replace(p_name, ' ', '-') AS stem FROM part), u AS (SELECT DISTINCT stem, 0 AS u FROM p WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT stem, 2 FROM p WHERE p_partkey % 7 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS nth FROM p), free AS (SELECT stem, g, row_number() OVER (PARTITION BY stem ORDER BY g) AS nth FROM (SELECT stem, unnest(range(0, count(*) + 3)) AS g FROM p GROUP BY stem) x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.stem = x.stem AND u.u = x.g))
+SELECT p_partkey, stem || CASE WHEN g = 0 THEN '' ELSE '_' || g END || '.jpg' AS destination_name FROM n JOIN free USING (stem, nth)"""
+ORACLES["neighbours_of_item"] = """WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 0 AND 100), e AS (SELECT min(k) AS lo, max(k) AS hi FROM c)
+SELECT 'last' AS asked, 1 AS step, lo::VARCHAR AS photo_id FROM e UNION ALL SELECT 'last', -1, max(k)::VARCHAR FROM c WHERE k < (SELECT hi FROM e) UNION ALL SELECT 'first', 1, min(k)::VARCHAR FROM c WHERE k > (SELECT lo FROM e)
+UNION ALL SELECT 'first', -1, hi::VARCHAR FROM e UNION ALL SELECT 'unknown', 1, lo::VARCHAR FROM e UNION ALL SELECT 'unknown', -1, lo::VARCHAR FROM e"""
+ORACLES["first_summary"] = f"""{picked()} SELECT count(*) AS total_photos, count(*) FILTER (status = 'selected') AS selected_count, count(*) FILTER (status = 'review') AS review_count, count(*) FILTER (status = 'rejected') AS rejected_count,
+  count(*) FILTER (global_blur_penalty > 0.55) AS blurry_count, 0::BIGINT AS underexposed_count, 0::BIGINT AS overexposed_count, count(DISTINCT CASE WHEN cluster_size > 1 THEN cluster_id END) AS duplicate_groups_count FROM picked"""
+ORACLES["shown_of"] = "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS shown_of FROM part WHERE p_partkey % 2 = 0 ORDER BY p_retailprice DESC, p_partkey LIMIT 120"
+ORACLES["result_summary"] = f"""{picked()} SELECT 'balanced' AS mode, count(*)::DOUBLE AS "totalPhotos", (count(*) FILTER (status = 'selected'))::DOUBLE AS "selectedCount", (count(*) FILTER (status = 'review'))::DOUBLE AS "reviewCount",
+  (count(*) FILTER (status = 'rejected'))::DOUBLE AS "rejectedCount", count(DISTINCT cluster_id)::DOUBLE AS "clusterCount", {r(f"sum(floor(final_score * {d(10000)} + {d(0.5)})::BIGINT)::DOUBLE / {d(10000)} / count(*)")} AS "averageFinalScore" FROM picked"""
+ORACLES["report_json"] = f"""{picked()} SELECT photo_id, file_name AS filename, status, cluster_id AS "clusterId", CASE WHEN rank = 1 THEN 'true' ELSE 'false' END AS "isClusterWinner", win_file_name AS "clusterWinnerFilename", final_score AS "finalScore",
+  {r(f"final_score * {d(100)}", 2)} AS "scorePercent", global_blur_penalty AS "globalBlurPenalty", face_count::DOUBLE AS "faceCount", subject_score AS "subjectScore" FROM picked"""
+ORACLES["cluster_json"] = f"""{picked()} SELECT cluster_id, max(CASE WHEN rank = 1 THEN photo_id END) AS selected, string_agg(photo_id, ',' ORDER BY rank > 1, final_score DESC, photo_id) AS photos, max(CASE WHEN rank = 1 THEN final_score END) AS best_score FROM picked GROUP BY cluster_id"""
+ORACLES["decision_json"] = f"""WITH {_REVIEWED}, placed AS (SELECT *, ((row_number() OVER (PARTITION BY cluster_id ORDER BY photo_id)) - 1) // 1000 AS part FROM reviewed), w AS (SELECT cluster_id, min(photo_id) FILTER (is_cluster_winner) AS winner FROM reviewed GROUP BY cluster_id)
+SELECT cluster_id, part::INTEGER AS part, winner, string_agg(photo_id, ',' ORDER BY photo_id) AS ids, string_agg(ai_status, ',' ORDER BY photo_id) AS statuses, string_agg(final_decision, ',' ORDER BY photo_id) AS decisions FROM placed JOIN w USING (cluster_id) GROUP BY ALL"""
 ORACLES["missing_files"] = f"WITH {_REVIEWED} SELECT photo_id, original_path FROM reviewed WHERE c_custkey % 4 = 0"
 ORACLES["collision_names"] = """SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN n = 1 THEN '' ELSE '_' || (n - 1) END || '.jpg' AS destination_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)"""
 ORACLES["ring_navigation"] = """SELECT conv_id, turn, coalesce(lead(turn) OVER w, first_value(turn) OVER w) AS next_id, coalesce(lag(turn) OVER w, last_value(turn) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS previous_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""

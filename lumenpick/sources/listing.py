@@ -55,14 +55,14 @@ def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
 
 
 def images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Image files with seq, in path order (flat scans: by lower-cased name).  The order is one global sort of paths."""
-    from pyspark.sql import Window
+    """Image files with seq, in path order (flat scans: by lower-cased name)."""
+    from ..operators.numbering import numbered
 
     found = listed(spark, root, recursive)
     relative = F.substring("path", F.lit(len(str(Path(root))) + 2), F.length("path"))
     found = found.filter(is_image(F.col("path")) & ~generated(relative))
     order = F.col("path") if recursive else F.lower("file_name")
-    return found.withColumn("seq", F.row_number().over(Window.orderBy(order, "path")) - 1)
+    return numbered(found, order, F.col("path"), name="seq").withColumn("seq", (F.col("seq") - 1).cast("int"))
 
 
 def folder_status(spark: SparkSession, root: str) -> str:

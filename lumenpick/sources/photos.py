@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 METADATA = "camera string, lens string, iso int, aperture string, shutter_speed string, focal_length string, date_taken string"
 # TIFF tag numbers.
+_ORIENTATION = 0x0112
 _MAKE, _MODEL, _DATE, _EXIF, _EXPOSURE, _APERTURE, _ISO, _TAKEN, _FOCAL, _LENS = 0x010F, 0x0110, 0x0132, 0x8769, 0x829A, 0x829D, 0x8827, 0x9003, 0x920A, 0xA434
 
 
@@ -43,16 +44,30 @@ def _directory(data: bytes, at: int, order: str) -> dict:
     return out
 
 
+def _first_directory(data: bytes) -> tuple[dict, bytes, str]:
+    """The tags of the first directory, the TIFF part and its byte order; KeyError without one."""
+    start = data.find(b"Exif\0\0")
+    if start < 0:
+        raise KeyError("Exif")
+    tiff = data[start + 6 :]
+    order = {b"II": "<", b"MM": ">"}[tiff[:2]]
+    return _directory(tiff, struct.unpack_from(order + "I", tiff, 4)[0], order), tiff, order
+
+
+def orientation(data: bytes) -> int:
+    """EXIF orientation, 1 where it is absent, unreadable or out of range."""
+    try:
+        found = _first_directory(data)[0].get(_ORIENTATION, 1)
+        return found if found in range(1, 9) else 1
+    except (KeyError, struct.error, IndexError):
+        return 1
+
+
 def exif(data: bytes) -> dict:
     """Camera metadata of a JPEG; every field is None where it is absent or unreadable."""
     out = dict.fromkeys(c.split()[0] for c in METADATA.split(", "))
     try:
-        start = data.find(b"Exif\0\0")
-        if start < 0:
-            return out
-        tiff = data[start + 6 :]
-        order = {b"II": "<", b"MM": ">"}[tiff[:2]]
-        tags = _directory(tiff, struct.unpack_from(order + "I", tiff, 4)[0], order)
+        tags, tiff, order = _first_directory(data)
         more = _directory(tiff, tags[_EXIF], order) if _EXIF in tags else {}
         out["camera"] = " ".join(x for x in (tags.get(_MAKE), tags.get(_MODEL)) if x) or None
         out |= {"lens": more.get(_LENS), "iso": more.get(_ISO), "aperture": more.get(_APERTURE), "shutter_speed": more.get(_EXPOSURE), "focal_length": more.get(_FOCAL), "date_taken": more.get(_TAKEN) or tags.get(_DATE)}
@@ -70,3 +85,24 @@ def with_metadata(files: DataFrame) -> DataFrame:
             yield pd.concat([pdf[["path"]].reset_index(drop=True), rows.astype({"iso": "Int32"})], axis=1)
 
     return files.select("path", "content").mapInPandas(run, "path string, " + METADATA)
+
+
+def orientations(files: DataFrame) -> DataFrame:
+    """path, orientation of Spark's binaryFile rows (path, content); only the beginning of a file is looked at."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["path"]].assign(orientation=[orientation(bytes(c)) for c in pdf["content"]])
+
+    # EXIF data stand in one segment of at most 64 KiB near the beginning
+    return files.select("path", F.substring("content", 1, 1 << 18).alias("content")).mapInPandas(run, "path string, orientation int")
+
+
+def photo_items(files: DataFrame, images: DataFrame) -> DataFrame:
+    """One row per file: path, file_name, file_size, modified (epoch micros), created_at, width, height and the camera metadata.
+
+    files: Spark's binaryFile rows; images: Spark's image source of the same files.  created_at is the date taken, else the file's time.
+    """
+    base = files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.unix_micros("modificationTime").alias("modified"))
+    joined = base.join(with_metadata(files), "path", "left").join(sizes(images), "path", "left")
+    return joined.withColumn("created_at", F.coalesce(F.try_to_timestamp("date_taken", F.lit("yyyy:MM:dd HH:mm:ss")), F.timestamp_micros("modified")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,36 +17,115 @@ CACHE = (
 )
 
 
+def _text_if_there(spark: SparkSession, path: str) -> DataFrame:
+    """value: the whole text of a file, or of each file of a folder; no rows where there is none."""
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string")
+
+
 def decisions_from_json(spark: SparkSession, path: str) -> DataFrame:
     """Decisions of a JSON object keyed by id; a missing or unreadable file or another root gives none."""
     from ..functions.scalars import decision
 
-    if not Path(path).exists():
-        return spark.createDataFrame([], DECISION)
-    text = spark.read.option("wholetext", True).text(path)
-    entries = text.select(F.from_json("value", f"map<string,struct<{', '.join(c.strip().replace(' ', ':') for c in DECISION.split(','))}>>").alias("m"))
+    entries = _text_if_there(spark, path).select(F.from_json("value", f"map<string,struct<{', '.join(c.strip().replace(' ', ':') for c in DECISION.split(','))}>>").alias("m"))
     rows = entries.select(F.explode("m").alias("key", "d")).select("key", "d.*")
     return rows.withColumn("photo_id", F.coalesce(F.nullif(F.col("photo_id"), F.lit("")), "key")).withColumn("final_decision", decision(F.col("final_decision"))).drop("key")
 
 
+_RECORD = (
+    "cache_key string, photo_id string, path string, file_size long, mtime double, thumbnail_path string, phash string,"
+    " technical struct<sharpness:double,exposure:double,contrast:double,global_blur_penalty:double>,"
+    " face struct<face_detected:boolean,face_count:int,face_sharpness:double,face_score:double>,"
+    " body struct<person_detected:boolean,body_sharpness:double,body_blur_penalty:double,subject_score:double>,"
+    " final_score double, width int, height int, cluster_id string, ai_status string, analysis_mode string, analysis_size int, cache_version string, scoring_version string"
+)
+
+
+def _cache_rows(records: DataFrame) -> DataFrame:
+    """Rows of CACHE from a column `r` of nested records; times become microseconds."""
+    flat = records.select("r.*").withColumn("modified", F.floor(F.col("mtime") * 1e6 + 0.5).cast("long"))
+    flat = flat.select("*", "technical.*", "face.*", "body.*").withColumn("analysis_error", F.lit(None).cast("string"))
+    return flat.select(*[c.split()[0] for c in CACHE.split(", ")])
+
+
+def cache_from_json(spark: SparkSession, path: str) -> DataFrame:
+    """The cache of a JSON object keyed by cache key; a missing or corrupt file gives none, entries that are no objects are left out."""
+    entries = _text_if_there(spark, path).select(F.from_json("value", "map<string,string>").alias("m")).select(F.explode("m").alias("key", "text"))
+    parsed = entries.filter(F.startswith(F.ltrim("text"), F.lit("{"))).select("key", F.from_json("text", _RECORD).alias("r")).filter("r is not null")
+    return _cache_rows(parsed.select(F.col("r").withField("cache_key", F.coalesce("r.cache_key", "key")).alias("r")))
+
+
+def cache_from_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The older form: a folder with one JSON file per image; unreadable files are left out."""
+    parsed = _text_if_there(spark, folder).select(F.from_json("value", _RECORD).alias("r"))
+    return _cache_rows(parsed.filter("r is not null and r.path is not null"))
+
+
+def cache_to_json(cache: DataFrame) -> DataFrame:
+    """One JSON line per cache row, sorted by key."""
+    return cache.orderBy("cache_key").select(F.to_json(F.struct(*[c.split()[0] for c in CACHE.split(", ")])).alias("record"))
+
+
 def decisions_to_json(decisions: DataFrame) -> DataFrame:
     """One JSON line per decision, sorted by id."""
     return decisions.orderBy("photo_id").select(F.to_json(F.struct(*[c.split()[0] for c in DECISION.split(", ")])).alias("record"))
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet store, empty where there is none yet; unknown columns are dropped, missing ones null."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # Spark reports a missing path as an analysis error
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    """A Parquet store, empty where there is none yet; unknown columns are dropped, missing ones null.
+
+    Where a replacement was cut short, the complete rows beside the store count.
+    """
+    for place in (path, f"{path}.next", f"{path}.old"):
+        if place == path or _exists(spark, f"{place}/_SUCCESS"):
+            try:
+                return spark.read.schema(schema).parquet(place)
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+    return spark.createDataFrame([], schema)
+
+
+def _file_system(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found  # noqa: SLF001
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
 
 
 def replaced(rows: DataFrame, path: str) -> None:
-    """Replace a store by rows that may have been read from it: written beside it first."""
+    """Replace a store by rows that may have been read from it: written beside it, then renamed, so that a crash loses nothing."""
     spark = rows.sparkSession
-    beside = f"{path}.next"
-    rows.write.mode("overwrite").parquet(beside)
-    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").parquet(path)
+    rows.write.mode("overwrite").parquet(f"{path}.next")
+    system, place = _file_system(spark, path)
+    beside, old = (_file_system(spark, f"{path}.{x}")[1] for x in ("next", "old"))
+    system.delete(old, True)
+    if system.exists(place):
+        system.rename(place, old)
+    system.rename(beside, place)
+    system.delete(old, True)
+
+
+#: Folders of a bucketed store; a change rewrites the folders it touches.
+BUCKETS = 64
+
+
+def upserted_buckets(fresh: DataFrame, path: str, schema: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Rewrite the buckets of a store that fresh rows fall into by merge(old rows, fresh rows)."""
+    bucketed = fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most BUCKETS rows
+    if touched:
+        old = stored(fresh.sparkSession, path, f"{_ddl(schema)}, bucket int").filter(F.col("bucket").isin(touched)).drop("bucket")
+        out = merge(old.select(*fresh.columns), fresh).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _ddl(schema) -> str:
+    return schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.review import latest_decisions, upserted
-from ..sources.stores import replaced, stored
+from ..operators.review import latest_decisions
+from ..sources.stores import upserted_buckets
 
 
 def keyed_upserts(stream: DataFrame, path: str, schema: str, key: str, order: tuple[str, ...], checkpoint: str) -> StreamingQuery:
-    """Fold a stream into a Parquet store, last write wins.  A batch that is replayed leads to the same store."""
+    """Fold a stream into a bucketed Parquet store, last write wins.
+
+    A batch rewrites the buckets that it touches; one that is replayed leads to the same store.
+    """
+
+    def newest(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return latest_decisions(old.unionByName(batch), key, order).select(*batch.columns)
 
     def fold(batch: DataFrame, _: int) -> None:
-        old = stored(batch.sparkSession, path, schema)
-        newest = latest_decisions(old.select(*batch.columns).unionByName(batch), key, order)
-        replaced(upserted(old.select(*batch.columns), newest.select(*batch.columns), key), path)
+        upserted_buckets(batch, path, schema, key, newest)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

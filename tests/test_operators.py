@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import json
+import os
+import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenpick.config import preset, resolve_workers, score_mode
-from lumenpick.functions import scalars as s
-from lumenpick.operators import cache, export, images, picking, reports, review, similarity
+from lumenpick.functions import pixels, scalars as s
+from lumenpick.operators import cache, export, images, picking, reports, review, scoring, similarity
 from lumenpick.operators.components import components
 from lumenpick.sources import listing, photos, stores
 from lumenpick.streaming.incremental import keyed_upserts, windowed_progress
@@ -267,3 +271,128 @@ def test_progress_is_told(spark, tmp_path):
     with stage("scan", 1, 2, seen.append):
         pass
     assert (seen[-1].current, seen[-1].total) == (1, 2)
+
+
+@pytest.mark.parametrize("threshold", range(0, 21, 4))
+def test_close_pairs_lose_none(spark, threshold):
+    """Pairs whose differing bits are spread over all bands, and pairs just within and beyond the bound."""
+    rng, hashes = random.Random(threshold), [0, 0x0101010101010101, 0x1111111111111111, -1]
+    for base in (0, rng.getrandbits(63)):
+        for n in (max(0, threshold - 1), threshold, threshold + 1):
+            for _ in range(6):
+                at = [64 * i // max(1, n) for i in range(n)] if rng.random() < 0.5 else rng.sample(range(64), n)
+                flipped = base
+                for bit in at:
+                    flipped ^= 1 << bit
+                hashes.append(flipped - (1 << 64) if flipped >= 1 << 63 else flipped)
+        hashes.append(base)
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(hashes))), "id long, hash long")
+    got, want = (sorted(map(tuple, f(df, threshold).collect())) for f in (similarity.close_pairs, similarity.compared_pairs))
+    assert got == want and (got or not threshold)
+
+
+def test_numbers_follow_a_global_order(spark):
+    from lumenpick.operators.numbering import numbered
+
+    rows = [(random.Random(i).randrange(50), i) for i in range(400)]
+    got = numbered(spark.createDataFrame(rows, "a int, b int").repartition(7), F.desc("a"), "b").collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["number"])] == sorted(rows, key=lambda x: (-x[0], x[1])) and {r["number"] for r in got} == set(range(1, 401))
+    assert numbered(spark.createDataFrame([], "a int"), "a").count() == 0
+
+
+def test_boxes_off_the_image():
+    image = np.full((1, 80, 80), 120)
+    image[0, ::6] = 255
+    off = pixels.faces(image, [(200, 200, 10, 10), (300, 0, 5, 5)])
+    assert (off["face_count"][0], off["face_sharpness"][0], off["face_score"][0]) == (2, 0.0, 0.12)
+    plain, fallen = pixels.body(image), pixels.body(image, [(200, 200, 10, 10)])
+    assert all(plain[k][0] == fallen[k][0] for k in plain) and plain["person_detected"][0]
+    tiny = pixels.body(np.full((1, 6, 6), 9))
+    assert (tiny["person_detected"][0], tiny["body_blur_penalty"][0], tiny["subject_score"][0]) == (False, 1.0, 0.0)
+    assert pixels.body(np.zeros((1, 0, 5), int))["body_blur_penalty"][0] == 0.0
+
+
+def test_images_are_turned_upright():
+    image = np.arange(6).reshape(2, 3)
+    turned = {1: image, 2: image[:, ::-1], 3: np.rot90(image, 2), 4: image[::-1], 5: image.T, 6: np.rot90(image, -1), 7: image.T[::-1, ::-1], 8: np.rot90(image, 1), None: image, 99: image}
+    for orientation, want in turned.items():
+        assert np.array_equal(pixels.upright(image, orientation), want), orientation
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) + struct.pack("<I", 0)
+    assert photos.orientation(b"\xff\xd8\xff\xe1xxExif\0\0" + tiff) == 6 and photos.orientation(b"none") == 1
+
+
+def test_whole_records_and_groups_of_paths(spark, tmp_path):
+    lines, flat = [[255 if x % 6 == 0 else 0 for x in range(96)] for _ in range(96)], [[80] * 48 + [200] * 48 for _ in range(96)]
+    for name, image in (("a.png", lines), ("b.png", lines), ("c.png", flat)):
+        png(tmp_path / name, image)
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    decoded = photos.decoded(spark, str(tmp_path))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    sizes = files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.col("length").alias("file_size"), F.unix_micros("modificationTime").alias("modified"))
+    records = images.photo_records(images.analysed(decoded, preset("fast")), sizes, preset("fast"))
+    got = {r["file_name"]: r for r in records.collect()}
+    assert got["broken.png"]["status"] == "rejected" and got["broken.png"]["photo_id"] == got["broken.png"]["path"] and got["broken.png"]["reasons"][0].startswith("Analysis failed: ")
+    assert got["a.png"]["reasons"] == [images.BODY_SKIPPED] and len(got["a.png"]["photo_id"]) == 40 and got["a.png"]["file_size"] > 0 and got["a.png"]["analysis_size"] == 1024
+    kept = images.cache_rows(records)
+    assert kept.count() == 3 and {r["analysis_mode"] for r in kept.collect()} == {"fast"}
+    groups = {r["path"].rsplit("/", 1)[1]: (r["cluster_id"], r["cluster_size"]) for r in images.path_groups(decoded, threshold=4).collect()}
+    assert groups == {"a.png": ("CL0001", 2), "b.png": ("CL0001", 2), "broken.png": ("CL0002", 1), "c.png": ("CL0003", 1)}
+    item = photos.photo_items(files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")), decoded).filter("file_name = 'a.png'").first()
+    assert (item["width"], item["height"], item["camera"]) == (96, 96, None) and item["created_at"] is not None
+
+
+def test_plug_ins(spark):
+    assert images.face_count(lambda image: [(0, 0, 40, 40), (0, 0, 20, 40)], np.zeros((60, 80), np.uint8)) == 1
+    model = lambda image: [(0, 0.9, 1, 2, 11, 22), (0, 0.2, 0, 0, 5, 5), (3, 0.9, 0, 0, 5, 5)]
+    assert images.persons_of(model)(None) == [(1, 2, 10, 20)] and images.persons_of(None)(None) == []
+    row = spark.range(1).select(scoring.aesthetic_score(), scoring.aesthetic_score(lambda a: a * 2.0, F.lit(0.3)), scoring.aesthetic_score(lambda a: a, F.lit(None).cast("double"))).first()
+    assert list(row) == [0.5, 0.6, 0.5]
+
+
+def test_copies_never_overwrite(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    (out / "02_FINAL_DECISION" / "Posts").mkdir(parents=True)
+    source.mkdir()
+    (out / "02_FINAL_DECISION" / "Posts" / "a.jpg").write_bytes(b"earlier")
+    for folder in ("x", "y"):
+        (source / folder).mkdir()
+        (source / folder / "a.jpg").write_bytes(folder.encode())
+    items = spark.createDataFrame([("1", "a.jpg", str(source / "x" / "a.jpg"), "post"), ("2", "a.jpg", str(source / "y" / "a.jpg"), "post"), ("3", "b.jpg", str(source / "b.jpg"), "delete"), ("4", "c.jpg", "/c.jpg", "undecided")],
+                                  "photo_id string, filename string, original_path string, final_decision string")
+    plan = export.decision_plan(items, str(out), export.existing_files(spark, str(out)))
+    errors = {r["source"].rsplit("/", 2)[-2]: r["error"] for r in export.run_copies(spark.createDataFrame(plan.collect(), plan.schema)).collect()}
+    assert errors["x"] is errors["y"] is None and errors["in"]
+    posts = out / "02_FINAL_DECISION" / "Posts"
+    assert {f.name: f.read_bytes() for f in posts.iterdir()} == {"a.jpg": b"earlier", "a_1.jpg": b"x", "a_2.jpg": b"y"}
+    clash = spark.createDataFrame([(str(source / "x" / "a.jpg"), str(posts / "a.jpg")), (str(source / "x" / "a.jpg"), str(posts / "a_1.jpg"))], "source string, destination string")
+    assert sorted((r["error"] or "done").split(":")[0] for r in export.run_copies(clash).collect()) == ["done", "the destination exists"] and (posts / "a.jpg").read_bytes() == b"earlier"
+    assert export.existing_files(spark, str(tmp_path / "none")).count() == 0
+    failed = spark.createDataFrame([("p", "/q/p.jpg", "p.jpg", "error", 1), ("r", "/q/r.jpg", "r.jpg", "odd", 2)], "photo_id string, path string, file_name string, status string, seq int")
+    assert [r["output_path"] for r in export.with_output_path(failed, "/o").orderBy("seq").collect()] == ["/o/04_REPORT/errors/p.jpg", None]
+
+
+def test_json_caches(spark, tmp_path):
+    record = {"cache_key": "k", "photo_id": "p", "path": "/a.jpg", "file_size": 5, "mtime": 12.5, "technical": {"sharpness": 0.5}, "face": {"face_count": 2}, "body": {}, "final_score": 0.7, "analysis_mode": "fast"}
+    path = tmp_path / "analysis_cache.json"
+    assert stores.cache_from_json(spark, str(path)).count() == 0
+    path.write_text(json.dumps({"k": record, "odd": 3}))
+    got = stores.cache_from_json(spark, str(path)).collect()
+    assert [(r["cache_key"], r["modified"], r["sharpness"], r["face_count"], r["final_score"]) for r in got] == [("k", 12_500_000, 0.5, 2, 0.7)]
+    path.write_text("{broken")
+    assert stores.cache_from_json(spark, str(path)).count() == 0
+    (tmp_path / "analysis").mkdir()
+    (tmp_path / "analysis" / "1.json").write_text(json.dumps(record, indent=1))
+    (tmp_path / "analysis" / "2.json").write_text("nothing")
+    assert [r["photo_id"] for r in stores.cache_from_files(spark, str(tmp_path / "analysis")).collect()] == ["p"]
+    store = str(tmp_path / "store")
+    stores.replaced(stores.cache_from_files(spark, str(tmp_path / "analysis")), store)
+    stores.replaced(stores.stored(spark, store, stores.CACHE).withColumn("ai_status", F.lit("review")), store)
+    os.rename(store, store + ".next")  # cut short between the two renames
+    assert [r["ai_status"] for r in stores.stored(spark, store, stores.CACHE).collect()] == ["review"] and stores.stored(spark, str(tmp_path / "no"), stores.CACHE).count() == 0
+
+
+def test_the_audit_is_written_in_parts(spark, tmp_path):
+    one = picking.picked(items(spark, ("a", "1", 0.5, {}), ("b", "1", 0.4, {}))).withColumn("reasons", picking.reasons("balanced"))
+    path = reports.write_audit(one, str(tmp_path), preset("balanced"), mode="balanced")
+    read = lambda n: spark.read.json(f"{path}/{n}").collect()
+    assert (read("summary")[0]["totalPhotos"], read("performance")[0]["maxAnalysisSize"], len(read("photos")), read("clusters")[0]["selectedPhotoId"]) == (2, 1600, 2, "a")

@@ -6,21 +6,31 @@ the frame-by-class image, sums of rectangles from an integral image, compare
 neighbouring areas; each response becomes two bits (Gray code), and sixteen
 filters make one packed 32-bit integer per frame.
 
-Alignment: equal fingerprints collapse to classes.  Landmarks are hashes of a few
-integers, the least of every neighbourhood of frames, in two kinds: two integers in full,
-and the sign bits of four spread ones, which bear more noise.  Every class is
-fingerprinted at several starts within a hop as well, and each of these landmarks
-is looked up among the landmarks at the plain start, so that a copy meets its
-original wherever it begins.  All classes that share a landmark are paired;
-histograms of the offsets give the alignment, and the share of differing bits
-over the whole overlap of the plain fingerprints decides.  n_links counts all
-linked recordings, copies included, in both directions; the work grows with the
-square of a group of alike but unequal recordings.  Linked recordings form components.
+Frames for alignment begin anew at every anchor, a place where the smoothed signal
+peaks, so a copy has the same ones wherever it starts.  Landmarks are hashes of the
+sign bits of a few of these integers, at each anchor and at every eighth frame after it.
+
+Two recordings are linked if at one offset at least MIN_SHARE of the landmarks of the
+one that has fewer agree (the offset histogram) and if at most MAX_BIT_ERROR of the bits
+differ over the whole overlap of their plain fingerprints.
+
+1. Equal fingerprints collapse to classes, so copies are never paired.
+2. Candidates come from an exact prefix join: in order of rising frequency a recording
+   has a shared landmark among its first ones, all but the share that it may miss.
+   So a passage that countless recordings hold makes candidates only of
+   those that it fills to that share.
+3. Per landmark the least class is compared with those that ask for it, and components
+   are formed; so for the earliest of those left, in a few rounds.  What
+   then remains, candidates of different components, is listed and compared in full.
+
+Alignment finds near-duplicates: each recording gets its component.  alignment_links
+lists the links themselves, all pairs of alike classes, for small tables.
 
 Defined results: null samples and recordings too short for a fingerprint have no
-frames and link with nothing.  Rows that repeat a doc_id are one recording
-whose rows link as any of them does.  aligned_to is the best link to an earlier
-recording.  Classes are told apart by 64-bit hashes.  Extra columns are ignored.
+frames and link with nothing; recordings without landmarks link with equal ones only.
+Rows that repeat a doc_id are one recording whose rows link as any of them does; rows
+without a doc_id are returned and link with nothing.  aligned_to is an earlier recording, the
+closest of those compared.  Classes are told apart by 64-bit hashes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Scratch, arrow_map
-from .components import components
-from .substring_dedup import sliding_min
-from .wordhash import mix
+from .wordhash import mix, offsets_array, ranges, row_pieces, text_bytes
 
 SAMPLE_RATE = 8000
 FRAME = 128
@@ -45,18 +54,25 @@ FILTERS = 16
 SPAN = 16
 #: Responses beyond this on either side take the outer two of four levels.
 LEVEL = 0.12
-#: Kinds of landmarks: frames hashed together, the bits of each that count, and starts within a hop that are looked up.
+#: The frames that make a landmark, and the bits of each that count: the sign of every filter.
+LAGS = (0, 5, 10)
 SIGNS = 0xAAAAAAAA
-LANDMARKS = (((0, 1), 0xFFFFFFFF, 8), ((0, 2, 4, 8), SIGNS, 4))
-#: Places among which one landmark is chosen, at the plain start and at the others.
-LANDMARK_WINDOW = 4
-SHIFTED_WINDOW = 32
-#: Hits handed on at a time.
-_HITS = 1 << 19
+#: An anchor is the greatest value of so many samples on either side.
+ANCHOR_REACH = 96
+#: Frames from one landmark to the next where no anchor comes.
+STRIDE = 8
+MIN_SHARE = 0.2
 MIN_OVERLAP = 16
 MAX_BIT_ERROR = 0.25
 
+#: Leaders that each landmark tries before the rest is listed.
+LEADER_ROUNDS = 3
+
 _CHUNK_FRAMES = 4096
+#: Offsets, the ones with most votes, that are looked at.
+_OFFSETS = 3
+#: The peak shape that smooths the signal.
+_SMOOTH = np.rint(1000 * np.hanning(41)[1:-1]).astype(np.int64)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
@@ -108,15 +124,25 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return fingerprints([samples])[0]
 
 
-def fingerprints(recordings: list[np.ndarray], shifts: tuple[int, ...] = (0,)) -> list[np.ndarray]:
-    """The fingerprints of all recordings from each of the given starts, recording by recording, computed as one image."""
-    counts = [max(0, (len(r) - s - FRAME) // HOP + 1) for r in recordings for s in shifts]
-    bases = np.cumsum([0] + [len(r) for r in recordings])
-    first = [b + s for b in bases[:-1] for s in shifts]
-    starts = np.concatenate([f + HOP * np.arange(c) for f, c in zip(first, counts, strict=True)] or [np.zeros(0, int)]).astype(np.int64)
-    packed = _packed(_chroma_at(np.concatenate(recordings), starts)) if len(starts) >= SPAN else np.zeros(0, np.uint32)
-    ends = np.cumsum(counts)
-    return [packed[e - c : max(e - c, e - SPAN + 1)] for e, c in zip(ends.tolist(), counts, strict=True)]
+def fingerprints(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """The fingerprints of all recordings, computed as one image."""
+    edges = np.cumsum([0] + [len(r) for r in recordings])
+    packed, counts = _plain(np.concatenate([*recordings, np.zeros(0, np.uint8)]), edges)
+    return np.split(packed, np.cumsum(counts)[:-1])
+
+
+def _plain(samples: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the recordings between the edges, one after the other, and their lengths."""
+    frames = np.maximum(0, (np.diff(edges) - FRAME) // HOP + 1)
+    return _fingerprints_at(samples, np.repeat(edges[:-1], frames) + HOP * ranges(np.zeros_like(frames), frames), frames)
+
+
+def _fingerprints_at(samples: np.ndarray, starts: np.ndarray, frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed integers of recordings with the given numbers of frames that begin at the given starts."""
+    counts = np.maximum(0, frames - SPAN + 1)
+    if len(starts) < SPAN:
+        return np.zeros(0, np.uint32), counts
+    return _packed(_chroma_at(samples, starts))[ranges(np.cumsum(frames) - frames, counts)], counts
 
 
 def _packed(image: np.ndarray) -> np.ndarray:
@@ -150,24 +176,55 @@ def _packed(image: np.ndarray) -> np.ndarray:
     return packed
 
 
-def landmarks(packed: np.ndarray, kind: int = 0, window: int = LANDMARK_WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the chosen runs."""
-    lags, mask, _ = LANDMARKS[kind]
-    n = len(packed) - max(lags)
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    packed = packed & np.uint32(mask)
-    hashes = np.full(n, kind, np.uint64)
-    for k in lags:
-        hashes = mix(hashes * np.uint64(3) + packed[k : k + n])
-    window = min(n, window)
-    least = sliding_min(hashes, window)
-    # a window's least is at one of its places
-    chosen = np.zeros(n, bool)
-    for k in range(window):
-        chosen[k : k + len(least)] |= hashes[k : k + len(least)] == least
-    at = np.flatnonzero(chosen)
-    return at, hashes[at]
+def _sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    """Greatest value of each `width` neighbours, by doubling."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = np.maximum(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def anchors(samples: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Places where the smoothed change of the signal is greatest of its surroundings (the first of equal ones)."""
+    sizes, half = np.diff(edges), len(_SMOOTH) // 2
+    # silence between the recordings, so that none is judged by its neighbours
+    gap = ANCHOR_REACH + half
+    shifted = edges[:-1] + gap * np.arange(len(sizes))
+    change = np.zeros(len(samples) + gap * len(sizes), np.int64)
+    inner = np.abs(np.diff(samples.astype(np.int64), append=samples[-1:]))
+    inner[edges[1:][sizes > 0] - 1] = 0
+    change[ranges(shifted, sizes)] = inner
+    smooth = np.convolve(np.pad(change, half), _SMOOTH, "valid")
+    padded = np.pad(smooth, ANCHOR_REACH, constant_values=-1)
+    before, after = _sliding_max(padded[:-1], ANCHOR_REACH)[: len(smooth)], _sliding_max(padded[1:], ANCHOR_REACH)[ANCHOR_REACH:]
+    at = np.flatnonzero((smooth > before) & (smooth >= after[: len(smooth)]))
+    own = np.searchsorted(shifted, at, "right") - 1
+    place = at - shifted[own]
+    return (place + edges[own])[place < sizes[own]]
+
+
+def landmarks(samples: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Recording, place (a sample of it) and hash of the landmarks of the recordings between the edges."""
+    at = anchors(samples, edges)
+    own = np.searchsorted(edges, at, "right") - 1
+    # a segment goes from its anchor to the next one, the last of a recording to its end
+    until = np.minimum(np.append(at[1:], len(samples)), np.where(np.append(own[1:], -1) == own, len(samples), edges[own + 1] - FRAME + 1))
+    frames = np.maximum(0, -(-(until - at) // HOP))
+    starts, place = np.repeat(at, frames) + HOP * ranges(np.zeros_like(frames), frames), ranges(np.zeros_like(frames), frames)
+    fits = starts + FRAME <= edges[np.repeat(own, frames) + 1]
+    starts, place, of = starts[fits], place[fits], np.repeat(own, frames)[fits]
+    frames = np.bincount(of, minlength=len(edges) - 1)
+    packed, counts = _fingerprints_at(samples, starts, frames)
+    used = ranges(np.cumsum(frames) - frames, np.maximum(0, counts - max(LAGS)))
+    used = used[place[used] % STRIDE == 0]
+    # integers are fewer than frames
+    inside = used - (np.cumsum(frames) - frames)[of[used]] + (np.cumsum(counts) - counts)[of[used]]
+    hashes = np.zeros(len(used), np.uint64)
+    for k in LAGS:
+        hashes = mix(hashes * np.uint64(3) + (packed[inside + k] & np.uint32(SIGNS)))
+    return of[used], starts[used] - edges[of[used]], hashes
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
@@ -187,156 +244,178 @@ def _class_of(packed: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(packed.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _chunks(batch: pa.RecordBatch):
-    """The samples of a batch, some 256 KB at a time."""
-    chunk, size = [], 0
-    for s in _column(batch, "samples"):
-        chunk.append(np.frombuffer(s.as_py() or b"", np.uint8))
-        size += len(chunk[-1])
-        if size > 1 << 18:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
-
-
 def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
-    out = [x for chunk in _chunks(batch) for x in fingerprints(chunk)]
-    return {"doc_id": _column(batch, "doc_id"), "n_frames": [len(x) for x in out], "class": [_class_of(x) if len(x) else None for x in out], "packed": [x.tobytes() for x in out]}
-
-
-def _landmark_rows(batch: pa.RecordBatch) -> dict:
-    """class, place, mark of every landmark; shifted ones tell the nearest frame of the plain start."""
-    most = max(k[2] for k in LANDMARKS)
-    shifts = tuple(range(0, HOP, HOP // most))
-    marks, places, shifted, classes, seen = [], [], [], [], set()
-    for chunk in _chunks(batch):
-        prints = fingerprints(chunk, shifts)
-        for k in range(0, len(prints), most):
-            if not len(prints[k]) or (label := _class_of(prints[k])) in seen:
-                continue
-            seen.add(label)
-            for kind, (_, _, starts) in enumerate(LANDMARKS):
-                for i in range(0, most, most // starts):
-                    at, found = landmarks(prints[k + i], kind, SHIFTED_WINDOW if i else LANDMARK_WINDOW)
-                    marks.append(found.view(np.int64))
-                    places.append((at + (2 * shifts[i] > HOP)).astype(np.int32))
-                    shifted.append(np.full(len(at), bool(i)))
-                    classes.append(np.full(len(at), label, np.int64))
-    join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
-    return {"class": join(classes, np.int64), "place": join(places, np.int32), "shifted": join(shifted, bool), "mark": join(marks, np.int64)}
-
-
-def _shared_landmarks(batches):
-    """a, b, frame_offset per landmark that two classes share, one of them at the plain start; batches come in order of mark, and a mark may span many."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        mark = _column(batch, "mark").to_numpy()
-        start = int(np.searchsorted(mark, mark[-1]))
-        if held and start == 0 and _column(held[-1], "mark")[-1].as_py() == mark[-1]:
-            held.append(batch)
-            continue
-        yield from _hits([*held, batch.slice(0, start)])
-        # a mark that ends at the last batch's end is whole by now
-        held = [batch.slice(start)]
-    if held:
-        yield from _hits(held)
-
-
-def _hits(parts: list[pa.RecordBatch]):
-    mark, label, place, shifted = (np.concatenate([_column(p, c).to_numpy(zero_copy_only=False) for p in parts]) for c in ("mark", "class", "place", "shifted"))
-    if not len(mark):
-        return
-    fresh = np.ones(len(mark), bool)
-    fresh[1:] = (np.diff(mark) != 0) | (np.diff(label) != 0) | (np.diff(place) != 0) | (shifted[1:] != shifted[:-1])
-    mark, label, place, shifted = mark[fresh], label[fresh], place[fresh], shifted[fresh]
-    begins = np.flatnonzero(np.r_[True, np.diff(mark) != 0])
-    group = np.cumsum(np.r_[True, np.diff(mark) != 0]) - 1
-    sizes = np.diff(np.r_[begins, len(mark)])
-    plain = np.flatnonzero(~shifted & (sizes[group] > 1))
-    ends = np.cumsum(sizes[group[plain]])
-    at = 0
-    while at < len(plain):
-        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _HITS, "right")))
-        x, n = plain[at:until], sizes[group[plain[at:until]]]
-        y = np.repeat(begins[group[x]] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        x = np.repeat(x, n)
-        # two plain landmarks meet twice, and count once
-        wanted = (label[x] != label[y]) & (shifted[y] | (label[x] < label[y]))
-        x, y = x[wanted], y[wanted]
-        offset, first = place[x] - place[y], label[x] < label[y]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(label[x], label[y])), pa.array(np.maximum(label[x], label[y])), pa.array(np.where(first, offset, -offset).astype(np.int32))], ["a", "b", "frame_offset"])
-        at = until
+    """doc_id, n_frames, class, packed, and the distinct landmarks with their first places."""
+    data, offsets = text_bytes(_column(batch, "samples"))
+    out = {k: [] for k in ("n_frames", "class", "packed")}
+    marks, places, sizes = [], [], []
+    for first, last in row_pieces(offsets):
+        samples, edges = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+        packed, counts = _plain(samples, edges)
+        split = np.split(packed, np.cumsum(counts)[:-1])
+        out["n_frames"] += counts.tolist()
+        out["class"] += [_class_of(x) if len(x) else None for x in split]
+        out["packed"] += [x.tobytes() for x in split]
+        own, place, mark = landmarks(samples, edges) if len(samples) else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((place, mark, own))
+        own, place, mark = own[order], place[order], mark[order]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (np.diff(own) != 0) | (np.diff(mark) != 0)
+        marks.append(mark[fresh].view(np.int64))
+        places.append(place[fresh].astype(np.int64))
+        sizes.append(np.bincount(own[fresh].astype(np.int64), minlength=last - first))
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return out | {"doc_id": _column(batch, "doc_id"), "marks": offsets_array(join(marks), join(sizes)), "places": offsets_array(join(places), join(sizes))}
+
+
+def align(a: tuple, b: tuple) -> tuple[int, int, float, bool]:
+    """Offset in frames, overlap, bit error and whether they are linked, of two recordings given as (packed, marks, places)."""
+    _, in_a, in_b = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
+    offsets, votes = np.unique(np.rint((a[2][in_a] - b[2][in_b]) / HOP).astype(np.int64), return_counts=True)
+    # a start within a hop may belong to either neighbour
+    votes = votes + sum(np.where(np.isin(offsets + k, offsets), votes[np.searchsorted(offsets, offsets + k) % max(1, len(offsets))], 0) for k in (-1, 1))
+    needed = max(1, int(np.ceil(MIN_SHARE * min(len(a[1]), len(b[1])))))
+    best = (0, 0, 1.0)
+    for i in np.lexsort((offsets, -votes))[:_OFFSETS]:
+        for shift in (0, -1, 1):
+            overlap, error = bit_error(a[0], b[0], int(offsets[i]) + shift)
+            if votes[i] >= needed and overlap >= MIN_OVERLAP and (error, abs(offsets[i] + shift)) < (best[2], abs(best[0])):
+                best = (int(offsets[i]) + shift, overlap, error)
+    return best[0], best[1], round(best[2], 6), best[2] <= MAX_BIT_ERROR
 
 
 def _alignment_rows(batch: pa.RecordBatch) -> dict:
-    """The best of the voted offset and its neighbours, as a start within a hop may belong to either."""
-    out = {"a": _column(batch, "a"), "b": _column(batch, "b"), "frame_offset": [], "overlap": [], "bit_error": []}
-    columns = (_column(batch, c).to_pylist() for c in ("a_packed", "b_packed", "frame_offset"))
-    for a, b, voted in zip(*columns, strict=True):
-        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        found = [(*bit_error(a, b, voted + k), voted + k) for k in (0, -1, 1)]
-        overlap, error, offset = min(found, key=lambda x: (x[0] < MIN_OVERLAP, x[1]))
-        out["frame_offset"].append(offset)
-        out["overlap"].append(overlap)
-        out["bit_error"].append(round(error, 6))
+    out = {"a": _column(batch, "a"), "b": _column(batch, "b"), "frame_offset": [], "overlap": [], "bit_error": [], "linked": []}
+    columns = {c: _column(batch, c) for c in ("a_packed", "a_marks", "a_places", "b_packed", "b_marks", "b_places")}
+    for i in range(batch.num_rows):
+        a, b = ((np.frombuffer(columns[f"{s}_packed"][i].as_py(), np.uint32), columns[f"{s}_marks"][i].values.to_numpy(), columns[f"{s}_places"][i].values.to_numpy()) for s in "ab")
+        for name, value in zip(("frame_offset", "overlap", "bit_error", "linked"), align(a, b), strict=True):
+            out[name].append(value)
     return out
 
 
-def class_links(media: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b, frame_offset, overlap, bit_error of all linked classes (columns class, packed of classes) with a < b."""
-    marks = arrow_map(media.select("samples"), _landmark_rows, "class long, place int, shifted boolean, mark long")
-    marks = marks.repartition("mark").sortWithinPartitions("mark", "class", "place", "shifted")
-    votes = marks.mapInArrow(_shared_landmarks, "a long, b long, frame_offset int").groupBy("a", "b", "frame_offset").agg(F.count("*").alias("votes"))
-    best = scratch.keep(votes.groupBy("a", "b").agg(F.max_by("frame_offset", F.struct("votes", -F.col("frame_offset"))).alias("frame_offset")))
+def _compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, frame_offset, overlap, bit_error, linked of pairs (a, b) of classes."""
     # merge joins at every size: the sides grow with the input, and equal plans make figures comparable
-    left, right = (classes.select(F.col("class").alias(c), F.col("packed").alias(f"{c}_packed")).hint("merge") for c in ("a", "b"))
-    return scratch.keep(
-        arrow_map(best.join(left, "a").join(right, "b"), _alignment_rows, "a long, b long, frame_offset int, overlap int, bit_error double")
-        .filter((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= MAX_BIT_ERROR))
-    )
-
-
-def _link_counts(near: DataFrame, members: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """n_links by class, and by doc_id for those that have several classes; near: class, other, each class beside itself too."""
-    per_doc = members.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class").alias("class"))
-    size = per_doc.filter("n = 1").groupBy(F.col("class").alias("other")).agg(F.count("*").alias("size"))
-    several = scratch.keep(members.join(per_doc.filter("n > 1").select("doc_id"), "doc_id"))
-    of_docs = several.join(near, "class").select(F.lit(True).alias("is_doc"), F.col("doc_id").alias("owner"), "other").distinct()
-    reach = near.select(F.lit(False).alias("is_doc"), F.col("class").alias("owner"), "other").unionByName(of_docs)
-    single = reach.join(size, "other").groupBy("is_doc", "owner").agg(F.sum("size").alias("n"))
-    more = reach.join(several.withColumnRenamed("class", "other"), "other").groupBy("is_doc", "owner").agg(F.countDistinct("doc_id").alias("n"))
-    counts = scratch.keep(single.unionByName(more).groupBy("is_doc", "owner").agg((F.sum("n") - 1).alias("n_links")))
-    return counts.filter("not is_doc").select(F.col("owner").alias("class"), "n_links"), counts.filter("is_doc").select(F.col("owner").alias("doc_id"), F.col("n_links").alias("doc_links"))
+    left, right = (classes.select(F.col("class").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in ("packed", "marks", "places")]).hint("merge") for c in ("a", "b"))
+    return arrow_map(pairs.select("a", "b").join(left, "a").join(right, "b"), _alignment_rows, "a long, b long, frame_offset int, overlap int, bit_error double, linked boolean")
+
+
+def _pairs(left: str, right: str) -> list:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _askers(slim: DataFrame, scratch: Scratch) -> DataFrame:
+    """mark, class, asks of the landmarks that several classes have; slim: class, marks.
+
+    Of its n landmarks in order of rising frequency a class must share one among the first
+    n - needed + 1 with whatever it links to as the one with fewer landmarks.
+    """
+    marks = scratch.keep(slim.select("class", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
+    shared = scratch.keep(marks.groupBy("mark").agg(F.count("*").alias("holders")).filter("holders > 1"))
+    held = scratch.keep(marks.join(shared, "mark"))
+    scratch.drop(marks)
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * MIN_SHARE))
+    ordered = held.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "mark"))).alias("m"))
+    # landmarks of its own come first, and need no look
+    front = F.size("m") - needed + 1
+    ordered = ordered.select("class", F.posexplode("m").alias("place", "x"), front.alias("front"))
+    return scratch.keep(ordered.select("class", "x.mark", (F.col("place") < F.col("front")).alias("asks")))
+
+
+def candidates(slim: DataFrame, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of classes that could be linked: grows with the square of a group of alike classes."""
+    members = _askers(slim, scratch)
+    one, two = members.filter("asks").select("mark", F.col("class").alias("one")), members.select("mark", F.col("class").alias("two"))
+    return one.join(two, "mark").filter("one <> two").select(*_pairs("one", "two")).distinct()
+
+
+def _connected(slim: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Compared pairs that are linked, and node, component of all classes with a link."""
+    members = _askers(slim, scratch)
+    known = labels = None
+    for turn in range(LEADER_ROUNDS + 1):
+        if known is None:
+            left = members
+        else:
+            own = labels.withColumnRenamed("node", "class")
+            marked = scratch.keep(members.select("mark", "class", "asks").join(own, "class", "left").withColumn("component", F.coalesce("component", "class")))
+            several = marked.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("asked")).filter("low < high and asked").select("mark")
+            members = scratch.keep(marked.join(scratch.keep(several), "mark"))
+            # those outside the components of the leaders so far
+            left = members if turn == LEADER_ROUNDS else members.join(led.join(own.withColumnRenamed("class", "leader"), "leader", "left").select("mark", F.coalesce("component", "leader").alias("component")).distinct(), ["mark", "component"], "left_anti")
+        if turn < LEADER_ROUNDS:
+            leaders = scratch.keep(left.groupBy("mark").agg(F.min("class").alias("leader"), F.count("*").alias("n"), F.bool_or("asks").alias("asked")).filter("n > 1 and asked" if known is None else "n > 0").select("mark", "leader"))
+            led = leaders if known is None else scratch.keep(led.unionByName(leaders))
+            other = members.join(leaders, "mark").filter("class <> leader and asks").select("leader", "class", *(["component"] if known is not None else []))
+            if known is not None:
+                other = other.join(own.select(F.col("class").alias("leader"), F.col("component").alias("of_leader")), "leader", "left").filter(F.col("component") != F.coalesce("of_leader", "leader"))
+            pairs = other.select(*_pairs("leader", "class")).distinct()
+        else:
+            one, two = members.filter("asks").select("mark", F.col("class").alias("one"), F.col("component").alias("c1")), members.select("mark", F.col("class").alias("two"), F.col("component").alias("c2"))
+            pairs = one.join(two, "mark").filter("c1 <> c2").select(*_pairs("one", "two")).distinct()
+        if known is not None:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        fresh = scratch.keep(_compared(scratch.keep(pairs), classes))
+        known = fresh if known is None else scratch.keep(known.unionByName(fresh))
+        labels = scratch.keep(components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
+        if members.isEmpty():
+            break
+    return known.filter("linked").drop("linked"), labels
+
+
+def _prints(media: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and one row per class: class, leader, frames, packed, marks, places."""
+    schema = "doc_id long, n_frames long, class long, packed binary, marks array<long>, places array<long>"
+    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, schema))
+    leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"))
+    rows = prints.join(scratch.keep(leaders).withColumnRenamed("class", "of"), (F.col("doc_id") == F.col("leader")) & (F.col("class") == F.col("of")))
+    return prints, rows.dropDuplicates(["class"]).select("class", "leader", F.col("n_frames").alias("frames"), "packed", "marks", "places")
+
+
+def alignment_links(media: DataFrame) -> DataFrame:
+    """All links between recordings of different fingerprints: a, b (the smallest doc_id of either class), frame_offset, overlap, bit_error.
+
+    Lists every pair of alike classes, so it is meant for tables without large groups of them.
+    """
+    scratch = Scratch(media.sparkSession)
+    classes = scratch.keep(_prints(media, scratch)[1])
+    found = _compared(candidates(classes, scratch), classes).filter("linked").drop("linked")
+    of = classes.select("class", "leader")
+    named = found.join(of.withColumnsRenamed({"class": "a", "leader": "la"}), "a").join(of.withColumnsRenamed({"class": "b", "leader": "lb"}), "b")
+    turned = F.when(F.col("la") < F.col("lb"), F.col("frame_offset")).otherwise(-F.col("frame_offset"))
+    return named.select(*_pairs("la", "lb"), turned.alias("frame_offset"), "overlap", "bit_error")
 
 
 def aligned_recordings(media: DataFrame) -> DataFrame:
-    """Per row of media (doc_id, samples): doc_id, n_frames, component_id, n_links and the best earlier link's recording, offset, overlap and bit error."""
+    """Per row of media (doc_id, samples): doc_id, n_frames, component_id, component_size and an earlier recording it aligns with, with offset, overlap and bit error."""
     scratch = Scratch(media.sparkSession)
-    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, "doc_id long, n_frames long, class long, packed binary"))
-    framed = prints.filter("class is not null")
-    classes = scratch.keep(framed.groupBy("class").agg(F.min("doc_id").alias("leader"), F.first("n_frames").alias("frames"), F.first("packed").alias("packed")))
-    links = class_links(media, classes, scratch)
+    prints, classes = _prints(media, scratch)
+    classes = scratch.keep(classes)
+    links, labels = _connected(classes.filter(F.size("marks") > 0).select("class", "marks"), classes, scratch)
+    links = scratch.keep(links)
     leaders = classes.select("class", "leader", "frames")
-    members = scratch.keep(framed.select("doc_id", "class").distinct())
-    shown = ("frame_offset", "overlap", "bit_error")
-    both = links.select(F.col("a").alias("other"), F.col("b").alias("class"), *shown).unionByName(links.select(F.col("b").alias("other"), F.col("a").alias("class"), (-F.col("frame_offset")).alias("frame_offset"), "overlap", "bit_error"))
-    by_class, by_doc = _link_counts(both.select("class", "other").unionByName(classes.select("class", F.col("class").alias("other"))), members, scratch)
+    members = scratch.keep(prints.filter("class is not null and doc_id is not null").select("doc_id", "class").distinct())
     # classes of one doc_id belong together
-    same = members.join(members.groupBy("doc_id").agg(F.min("class").alias("least")), "doc_id").filter("least < class").select(F.col("least").alias("u"), F.col("class").alias("v"))
-    labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same), scratch)
+    several = members.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).filter("least < greatest").select("doc_id", "least")
+    same = members.join(several, "doc_id").filter("least < class").select(F.col("least").alias("u"), F.col("class").alias("v"))
+    if not same.isEmpty():
+        labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same), scratch)
     named = leaders.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = named.join(named.groupBy("component").agg(F.min("leader").alias("component_id")), "component").drop("component")
+    first = named.groupBy("component").agg(F.min("leader").alias("component_id"))
+    named = scratch.keep(named.join(first, "component").drop("component"))
+    both = links.select(F.col("a").alias("other"), F.col("b").alias("class"), "frame_offset", "overlap", "bit_error")
+    both = both.unionByName(links.select(F.col("b").alias("other"), F.col("a").alias("class"), (-F.col("frame_offset")).alias("frame_offset"), "overlap", "bit_error"))
     earlier = both.join(leaders.select("class", F.col("leader").alias("own")), "class").join(leaders.select(F.col("class").alias("other"), "leader"), "other").filter("leader < own")
     closest = earlier.groupBy("class").agg(F.min(F.struct("bit_error", "leader", "frame_offset", "overlap")).alias("near"))
-    by_class = scratch.keep(named.join(by_class, "class").join(closest, "class", "left"))
+    by_class = named.join(closest, "class", "left")
     copied = F.when(F.col("leader") < F.col("doc_id"), F.struct(F.lit(0.0).alias("bit_error"), "leader", F.lit(0).alias("frame_offset"), F.col("frames").cast("int").alias("overlap")))
-    per_doc = members.join(by_class, "class").withColumn("best", F.least(copied, "near")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"), F.min("best").alias("best"))
-    out = prints.select("doc_id", "n_frames").join(per_doc.join(by_doc, "doc_id", "left"), "doc_id", "left")
+    per_doc = members.join(by_class, "class").withColumn("best", F.least(copied, "near")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.min("best").alias("best"))
+    per_doc = scratch.keep(per_doc)
+    sizes = per_doc.groupBy("component_id").agg(F.count("*").alias("component_size"))
+    out = prints.select("doc_id", "n_frames").join(per_doc.join(sizes, "component_id"), "doc_id", "left")
     return out.select(
-        "doc_id", "n_frames", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("doc_links", "n_links", F.lit(0)).alias("n_links"),
+        "doc_id", "n_frames", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).alias("component_size"),
         F.col("best.leader").alias("aligned_to"), F.col("best.frame_offset").alias("frame_offset"), F.col("best.overlap").alias("overlap"), F.col("best.bit_error").alias("bit_error"),
     )
 

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words are maximal runs of characters other than space and the controls 0x09-0x0D.
-WORD_BREAK = r"[\x20\x09-\x0D]+"
+from ..plans.storage import Scratch, table
 
+__all__ = ["Scratch", "WORD_BREAK", "arrow_map", "table", "word_count", "words_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Words are maximal runs of characters other than space and the controls 0x09-0x0D.
+WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -28,39 +26,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="lumenpick-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/lumenpick-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write a frame once and hand back a frame that reads the written files."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path  # noqa: SLF001
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a frame that no later frame reads."""
-        jvm = self.spark.sparkContext._jvm  # noqa: SLF001
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # noqa: SLF001
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
-
-
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow where fn turns one batch into columns named as in the DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,18 +1,25 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest licensed directory.
 
-Document frequencies of the templates' words are counted over all texts.  Every
-line of every text is compared with every template as sparse vectors of term
-frequency times inverse document frequency; words that no template has weigh as
-much as words that occur in no text and only lengthen the line's vector.  The best line
-decides, if its cosine reaches the threshold.
+Templates are titles, notices, file headers and whole licence texts.  Document
+frequencies of their words are counted over all texts.  Every run of as many words
+as a template has, wherever it stands in a text (a shorter text as a whole), is compared with it
+as sparse vectors of term frequency times inverse document frequency; words
+that no template has weigh as much as words that occur in no text and only lengthen the
+run's vector.  The best run decides, if its cosine reaches the threshold and if it has the words
+by which the licence is named in the template.  An SPDX line names its licence outright.
+
+No run is left out: sums over runs come from prefix sums, which bound every cosine from
+above, and cosines are worked out where the bound reaches the threshold.  Texts without any of
+a template's heaviest words, those without which no run can reach it, need no look at its runs.
 
 A file named as a licence file licenses its directory.  Directories, not files,
 are then expanded to their ancestors and joined to the licensed directories, and the deepest
-match is inherited by all files that have no licence of their own.
+match is inherited by all files that have no licence of their own.  The root of relative
+paths is the directory ".".
 
-Defined results: null and blank texts match nothing; null paths inherit nothing;
-of equal scores the template that comes first by name wins, of several
-licence files in a directory the best score, then the smallest doc_id.  Repeated
+Defined results: null and blank texts match nothing; null paths inherit nothing; own_score is 0
+where nothing reaches the threshold; of equal scores the licence that comes first by name wins, of several
+licence files in a directory the best score, then the smallest doc_id (one without comes last).  Repeated
 rows give a result row each.  Extra columns are ignored.
 """
 
@@ -28,96 +35,146 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map
+from .licenses import TEMPLATES
+from .wordhash import ranges, token_column, word_hashes
 
-# Short notices as the licences' texts recommend them, by SPDX identifier.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD style license that can be found in the LICENSE file",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0-only": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-3.0-only": "This library is licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
-THRESHOLD = 0.75
-LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
+THRESHOLD = 0.8
+#: Templates of at most so many words must be matched with the words of the licence's name.
+NOTICE_WORDS = 30
+LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
 
 _TOKEN = re.compile(r"[a-z0-9]+")
+_SPDX_MARK = re.compile(rb"SPDX-License-Identifier:")
+_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]*[A-Za-z0-9+])")
+#: Parts of identifiers that don't tell licences apart.
+_LOOSE = frozenset(("only", "or", "later", "clause", "0"))
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Runs of ASCII letters and digits, A-Z lower-cased."""
+    return _TOKEN.findall(re.sub("[A-Z]+", lambda m: m.group().lower(), text))
 
 
 class TemplateIndex:
     """Template vectors over their own vocabulary, for given document frequencies."""
 
-    def __init__(self, templates: dict[str, str], frequencies: dict[str, int], documents: int):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, list[str]], frequencies: dict[str, int], documents: int, threshold: float = THRESHOLD):
+        self.threshold = threshold
         idf = lambda n: math.log((1 + documents) / (1 + n)) + 1
-        split = {name: Counter(tokens(templates[name])) for name in self.names}
-        self.words = {w: i for i, w in enumerate(sorted({w for c in split.values() for w in c}))}
-        self.idf = np.array([idf(frequencies.get(w, 0)) for w in self.words])
-        self.other = idf(0)
-        self.vectors = np.zeros((len(self.names), len(self.words)))
-        for k, name in enumerate(self.names):
-            for w, n in split[name].items():
-                self.vectors[k, self.words[w]] = n * self.idf[self.words[w]]
-        self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
-
-    def best(self, text: str | None) -> tuple[str | None, float]:
-        """The template closest to any line of the text, and its cosine; (None, 0.0) without a common word."""
-        name, score = None, 0.0
-        for line in (text or "").split("\n"):
-            counts = Counter(tokens(line))
-            known = [(self.words[w], n) for w, n in counts.items() if w in self.words]
-            if not known:
+        split = [(name, tokens(text)) for name in sorted(templates) for text in templates[name]]
+        self.names, self.sizes = [name for name, _ in split], [len(words) for _, words in split]
+        vocabulary = sorted({w for _, words in split for w in words})
+        hashes = word_hashes([w.encode() for w in vocabulary])
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        place = {vocabulary[k]: i for i, k in enumerate(order)}
+        # one more entry for all other words
+        self.idf = np.array([idf(frequencies.get(vocabulary[k], 0)) for k in order] + [idf(0)])
+        self.vectors = np.zeros((len(split), len(place) + 1))
+        self.named, self.heavy = [], np.zeros((len(split), len(place) + 1), bool)
+        for t, (name, words) in enumerate(split):
+            for w, n in Counter(words).items():
+                self.vectors[t, place[w]] = n * self.idf[place[w]]
+            self.vectors[t] /= np.linalg.norm(self.vectors[t])
+            # notices and titles name their licence; long texts are told apart by their length
+            self.named.append([place[w] for w in set(tokens(name)) - _LOOSE if w in words and len(words) <= NOTICE_WORDS])
+            heaviest = np.argsort(-self.vectors[t])
+            enough = int(np.searchsorted(np.cumsum(self.vectors[t][heaviest] ** 2), 1 - threshold**2 + 1e-9)) + 1
+            self.heavy[t, heaviest[:enough]] = True
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, len(self.hashes))
+
+    def _cosine(self, t: int, ids: np.ndarray, hashes: np.ndarray) -> float:
+        if any(k not in ids for k in self.named[t]):
+            return 0.0
+        _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        weights = counts * self.idf[ids[first]]
+        return float((self.vectors[t][ids[first]] * weights).sum() / math.sqrt((weights**2).sum()))
+
+    def best(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[str | None, float]]:
+        """Per row (words bounds[r] to bounds[r + 1]) the licence of the closest run and its cosine; (None, 0.0) below the threshold."""
+        out: list[tuple[str | None, float]] = [(None, 0.0)] * (len(bounds) - 1)
+        ids = self.ids(hashes)
+        row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for t, size in enumerate(self.sizes):
+            rows = np.unique(row_of[self.heavy[t][ids]])
+            if not len(rows):
                 continue
-            at = np.array([i for i, _ in known])
-            weights = np.array([n for _, n in known]) * self.idf[at]
-            inside = float((weights**2).sum())
-            outside = self.other**2 * sum(n * n for w, n in counts.items() if w not in self.words)
-            if inside < score * score * (inside + outside):  # no template can do better
-                continue
-            cosines = self.vectors[:, at] @ weights / math.sqrt(inside + outside)
-            k = int(np.argmax(cosines))
-            if cosines[k] > score + 1e-12 or (name is not None and abs(cosines[k] - score) <= 1e-12 and self.names[k] < name):
-                name, score = self.names[k], float(cosines[k])
-        return name, score
-
-
-def document_frequencies(docs: DataFrame, vocabulary: frozenset[str]) -> tuple[dict[str, int], int]:
-    """In how many texts each word occurs, and the number of texts; one row per word reaches the driver."""
+            lengths = np.diff(bounds)[rows]
+            at = ranges(bounds[rows], lengths)
+            ends = np.cumsum(lengths)
+            some, row = ids[at], np.repeat(np.arange(len(rows)), lengths)
+            dots = np.concatenate([[0.0], np.cumsum(self.vectors[t][some] * self.idf[some])])
+            squares = np.concatenate([[0.0], np.cumsum(self.idf[some] ** 2)])
+            start = np.arange(len(some))
+            end = np.minimum(start + size, ends[row])
+            # a run of fewer words is the whole text
+            whole = (end - start == size) | (start == (ends - lengths)[row])
+            # equal words weigh more together than apart, so the norm is at least this
+            bound = (dots[end] - dots[start]) / np.sqrt(squares[end] - squares[start])
+            found = np.flatnonzero(whole & (bound >= self.threshold - 1e-9))
+            found = found[np.lexsort((found, -bound[found], row[found]))]
+            last, score = None, 0.0
+            for i in found:
+                r = int(rows[row[i]])
+                if r != last:
+                    last, score = r, out[r][1]
+                if bound[i] <= score - 1e-9:
+                    continue
+                cosine = self._cosine(t, some[i : end[i]], hashes[at[i : end[i]]])
+                if cosine >= self.threshold and cosine > score + 1e-12:
+                    score = cosine
+                    out[r] = (self.names[t], cosine)
+        return out
+
+
+def document_frequencies(docs: DataFrame, templates: dict[str, list[str]]) -> tuple[dict[str, int], int]:
+    """In how many texts each word of the templates occurs, and the number of texts; one row per word reaches the driver."""
+    words = sorted({w for texts in templates.values() for text in texts for w in tokens(text)})
+    index = TemplateIndex(templates, {}, 0)
+    by_id = {int(i): w for i, w in zip(index.ids(word_hashes([w.encode() for w in words])), words, strict=True)}
 
     def run(batch: pa.RecordBatch) -> dict:
-        counts: Counter = Counter()
-        for text in batch.column(batch.schema.get_field_index("text")):
-            counts[""] += 1
-            counts.update(vocabulary.intersection(tokens(text.as_py() or "")))
-        return {"word": list(counts), "n": list(counts.values())}
+        counts = np.zeros(len(by_id) + 1, np.int64)
+        for found in token_column(batch.column(batch.schema.get_field_index("text"))):
+            ids = index.ids(found.hashes)
+            known = ids < len(by_id)
+            counts += np.bincount(np.unique(found.rows[known] * len(counts) + ids[known]) % len(counts), minlength=len(counts))
+        return {"word": ["", *[by_id[i] for i in range(len(by_id))]], "n": [batch.num_rows, *counts[:-1].tolist()]}
 
     rows = arrow_map(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in rows}
     return found, found.pop("", 0)
 
 
-def own_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def own_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, own_license (null below the threshold) and own_score per row of docs (doc_id, path, text)."""
     templates = templates or TEMPLATES
-    vocabulary = frozenset(w for t in templates.values() for w in tokens(t))
-    index = TemplateIndex(templates, *document_frequencies(docs, vocabulary))
+    index = TemplateIndex(templates, *document_frequencies(docs, templates), threshold)
 
     def run(batch: pa.RecordBatch) -> dict:
         ids, paths, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "path", "text"))
-        found = [index.best(t.as_py()) for t in texts]
-        return {"doc_id": ids, "path": paths, "own_license": [n if s >= threshold else None for n, s in found], "own_score": [round(s, 6) for _, s in found]}
+        found: list[tuple[str | None, float]] = []
+        for words in token_column(texts):
+            part = index.best(words.hashes, words.bounds)
+            edges = np.append(words.row_starts, len(words.data))
+            raw = words.data.tobytes()
+            for m in _SPDX_MARK.finditer(raw):
+                row = int(np.searchsorted(edges, m.start(), "right")) - 1
+                named = _SPDX.match(raw[m.start() : edges[row + 1]])
+                if named and part[row][1] < 2:
+                    part[row] = (named.group(1).decode(), 2.0)  # the first one, before any cosine
+            found += part
+        return {"doc_id": ids, "path": paths, "own_license": [n for n, _ in found], "own_score": [min(1.0, round(s, 6)) for _, s in found]}
 
     return arrow_map(docs.select("doc_id", "path", "text"), run, "doc_id long, path string, own_license string, own_score double")
 
 
 def _directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*$", "")
+    """The directory of a path; "." for the root of relative ones and "" for that of absolute ones."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), ".")
 
 
 def inherit(scanned: DataFrame, license_names: str = LICENSE_NAMES) -> DataFrame:
@@ -125,10 +182,12 @@ def inherit(scanned: DataFrame, license_names: str = LICENSE_NAMES) -> DataFrame
     files = scanned.withColumn("directory", _directory(F.col("path")))
     name = F.regexp_extract("path", r"[^/]*$", 0)
     licensed = files.filter(F.col("own_license").isNotNull() & F.rlike(name, F.lit(license_names)))
-    licensed = licensed.groupBy("directory").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "doc_id", "own_license")).alias("best"))
+    licensed = licensed.groupBy("directory").agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("doc_id").isNull().alias("n"), "doc_id", "own_license")).alias("best"))
     licensed = licensed.select(F.col("directory").alias("ancestor"), F.col("best.own_license").alias("directory_license"))
     parts = F.split("directory", "/")
-    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("ancestor")))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, n), "/").alias("ancestor")))
+    relative = ~F.startswith("directory", F.lit("/")) & ~F.col("directory").isin("", ".")
+    ancestors = F.when(relative, F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit(".").alias("ancestor"))), above)).otherwise(above)
     directories = files.filter("directory is not null").select("directory").distinct().select("directory", F.explode(ancestors).alias("a")).select("directory", "a.*")
     nearest = directories.join(licensed, "ancestor").groupBy("directory").agg(F.max(F.struct("depth", "ancestor", "directory_license")).alias("near"))
     nearest = Scratch(scanned.sparkSession).keep(nearest)
@@ -139,7 +198,7 @@ def inherit(scanned: DataFrame, license_names: str = LICENSE_NAMES) -> DataFrame
     )
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     scanned = Scratch(docs.sparkSession).keep(own_licenses(docs, templates, threshold))
     return inherit(scanned)
 

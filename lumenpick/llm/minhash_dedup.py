@@ -21,7 +21,8 @@ A pair at exactly the bound of 0.8 misses all bands with probability
 
 Defined results: null and blank texts have an empty set, link with nothing and
 are their own component.  Rows that repeat a doc_id belong to one document whose
-rows link as any of them does.  Extra columns are ignored, or kept
+rows link as any of them does.  Rows without a doc_id link with nothing: their component_id is
+null, and they are kept.  Extra columns are ignored, or kept
 where document rows are returned.
 """
 
@@ -32,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import Scratch, arrow_map
-from .components import components
-from .wordhash import mix, prefix_sums, window_hashes, word_hashes
+from .wordhash import column_words, mix, offsets_array, prefix_sums, ranges, run_hashes, window_hashes, word_hashes
 
 SHINGLE_WORDS = 5
 BANDS = 32
@@ -83,19 +84,30 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return keys
 
 
+def shingle_sets(column: pa.Array, width: int):
+    """shingle_set of every row, with all words hashed at once."""
+    for words in column_words(column, lower=True):
+        sums = prefix_sums(words.hashes)
+        n = np.diff(words.bounds)
+        used = np.minimum(n, width)
+        counts = np.where(n > 0, n - used + 1, 0)
+        at, size = ranges(words.bounds[:-1], counts), np.repeat(used, counts)
+        hashes = mix(run_hashes(sums, at, at + size) + size.astype(np.uint64))
+        for own in np.split(hashes, np.cumsum(counts)[:-1]):
+            yield np.unique(own)
+
+
 def _signature_rows(width: int):
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc_id", "n", "f1", "f2", "bands")}
         ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
-        for doc_id, text in zip(ids.to_pylist(), texts, strict=True):
-            shingles = shingle_set(text.as_py(), width)
-            sig = signature(shingles) if len(shingles) else None
-            out["doc_id"].append(doc_id)
+        out, keys = {k: [] for k in ("n", "f1", "f2")}, []
+        for shingles in shingle_sets(texts, width):
             out["n"].append(len(shingles))
             out["f1"].append(int(shingles.sum(dtype=np.uint64).view(np.int64)))
             out["f2"].append(int(mix(shingles ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64).view(np.int64)))
-            out["bands"].append(band_keys(sig).view(np.int64) if sig is not None else [])
-        return out
+            keys.append(band_keys(signature(shingles)).view(np.int64) if len(shingles) else np.zeros(0, np.int64))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        return out | {"doc_id": ids, "bands": offsets_array(flat, np.array(list(map(len, keys)), np.int64))}
 
     return run
 
@@ -125,10 +137,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     """One row per document row: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text")
+    no_id = F.col("doc_id").isNull()
     sigs = scratch.keep(arrow_map(texts, _signature_rows(shingle_words), "doc_id long, n int, f1 long, f2 long, bands array<long>"))
     same_set = ["n", "f1", "f2"]
     classes = scratch.keep(
-        sigs.filter("n > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+        sigs.filter("n > 0 and doc_id is not null").groupBy(*same_set).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     )
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
@@ -168,8 +181,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Data
     of_class = of_class.select(*same_set, F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", *same_set).join(of_class, same_set, "left")
     return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"),
-        (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"),
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(~no_id, F.coalesce("component", "doc_id")).alias("component_id"),
+        (no_id | (F.coalesce("component", "doc_id") == F.col("doc_id"))).alias("kept"),
     )
 
 

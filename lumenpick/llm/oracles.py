@@ -66,8 +66,11 @@ t AS (SELECT conv_id, turn, run, level, near, whole, coalesce(inside, any_turn)
 n AS (SELECT conv_id, turn, count(DISTINCT run) AS n_linked FROM t GROUP BY ALL),
 g AS (SELECT conv_id, turn, near, to_turn, to_conv FROM t WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY near DESC, whole DESC, to_turn DESC, to_conv DESC) = 1),
 walk(conv_id, turn, depth, path) AS (SELECT m.conv_id, m.turn, 0, lpad(m.turn::VARCHAR, 10, '0') FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn WHERE g.near IS NOT TRUE
-  UNION ALL SELECT g.conv_id, g.turn, depth + 1, path || '/' || lpad(g.turn::VARCHAR, 10, '0') FROM walk JOIN g ON g.near AND g.conv_id = walk.conv_id AND g.to_turn = walk.turn)
-SELECT m.conv_id, m.turn, m.role, g.to_conv AS parent_conv_id, g.to_turn AS parent_turn, walk.depth, walk.path AS reply_path, (SELECT count(*) FROM q WHERE q.conv_id = m.conv_id AND q.turn = m.turn) AS n_quotes,
-  coalesce(n.n_linked, 0) AS n_linked, md5(m.content) AS content_md5
-FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn LEFT JOIN walk ON walk.conv_id = m.conv_id AND walk.turn = m.turn
+  UNION ALL SELECT g.conv_id, g.turn, depth + 1, path || '/' || lpad(g.turn::VARCHAR, 10, '0') FROM walk JOIN g ON g.near AND g.conv_id = walk.conv_id AND g.to_turn = walk.turn),
+o AS (SELECT conv_id, turn, depth, row_number() OVER (PARTITION BY conv_id ORDER BY path) AS position FROM (SELECT DISTINCT conv_id, turn, depth, path FROM walk)),
+chat AS (SELECT m.conv_id, (position - 1) // 1000 AS part, md5(string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || content || chr(10), '' ORDER BY position, role, content)) AS chat_md5 FROM m JOIN o ON o.conv_id = m.conv_id AND o.turn = m.turn WHERE content <> '' GROUP BY ALL)
+SELECT m.conv_id, m.turn, m.role, g.to_conv AS parent_conv_id, g.to_turn AS parent_turn, o.depth, o.position, (SELECT count(*) FROM q WHERE q.conv_id = m.conv_id AND q.turn = m.turn) AS n_quotes,
+  coalesce(n.n_linked, 0) AS n_linked, md5(m.content) AS content_md5, (o.position - 1) // 1000 AS part, chat.chat_md5
+FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn LEFT JOIN o ON o.conv_id = m.conv_id AND o.turn = m.turn
+  LEFT JOIN chat ON chat.conv_id = m.conv_id AND chat.part = (o.position - 1) // 1000
 """

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import oracles
 from .chroma_fingerprint import aligned_recordings, as_recordings
@@ -14,7 +13,7 @@ from .license_scan import as_source_tree, license_scan
 from .line_dedup import line_digest
 from .minhash_dedup import near_duplicates
 from .mixture import mixture
-from .quotation_links import as_mail_threads, linked_messages
+from .quotation_links import as_mail_threads, conversation_digest
 from .quality_qda import score_documents
 from .sentencepiece_codec import codec_digest, public_model_path
 from .substring_dedup import passage_digest
@@ -58,8 +57,7 @@ def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = linked_messages(as_mail_threads(table(spark, sf_dir, "conversations")))
-    return linked.withColumn("content_md5", F.md5("content")).drop("content")
+    return conversation_digest(as_mail_threads(table(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

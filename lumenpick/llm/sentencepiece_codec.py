@@ -33,6 +33,8 @@ SPACE = "▁"
 #: Characters of text handled at once, and chunks remembered between batches.
 SLICE_CHARS = 1_000_000
 CACHE_CHUNKS = 200_000
+#: Longer chunks are looked through for places to cut.
+LONG_CHUNK = 24
 #: Score below the least piece for a character that has none.
 UNKNOWN_PENALTY = 10.0
 _FILTER_BITS = 20
@@ -68,6 +70,9 @@ class PieceTable:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in plain):
             raise ValueError("pieces that cross a space are not supported")
+        # neighbours inside some piece: nowhere else does a piece cross
+        inside = [_code_points(self.pieces[i]).astype(np.uint64) for i in plain]
+        self.pairs = np.unique(np.concatenate([p[:-1] << np.uint64(32) | p[1:] for p in inside]))
         self.newline_alone = not any("\n" in self.pieces[i] for i in plain)
 
     @classmethod
@@ -108,14 +113,28 @@ class Encoder:
 
     def _split(self, text: str) -> list:
         if SPACE not in text:
-            return self.chunks.findall(SPACE + text.replace(" ", SPACE))
+            return self._chunks(SPACE + text.replace(" ", SPACE))
         out: list = []
         for i, part in enumerate(text.split(SPACE)):
             if i:
                 out.append(self.literal)
-            out += self.chunks.findall((SPACE if i == 0 else "") + part.replace(" ", SPACE))
+            out += self._chunks((SPACE if i == 0 else "") + part.replace(" ", SPACE))
         return out
 
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks of a text; long ones, unspaced scripts for instance, are cut further between characters that stand together in no piece."""
+        found = self.chunks.findall(text)
+        if len(found) and max(map(len, found)) > LONG_CHUNK:
+            return [part for chunk in found for part in (self._cut(chunk) if len(chunk) > LONG_CHUNK else (chunk,))]
+        return found
+
+    def _cut(self, chunk: str) -> list[str]:
+        points, pairs = _code_points(chunk).astype(np.uint64), self.table.pairs
+        beside = points[:-1] << np.uint64(32) | points[1:]
+        met = pairs[np.minimum(np.searchsorted(pairs, beside), len(pairs) - 1)] == beside
+        cuts = [0, *(np.flatnonzero(~met) + 1).tolist(), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as int32 arrays."""
         split = [self._split(t) if t else [] for t in texts]

@@ -17,14 +17,15 @@ window meet in one shard.
    of the segments of smaller documents, which yields its matching statistics
    (the longest match that ends at each word), and is then added to it.  Places
    where the statistic reaches the window length give the maximal spans to remove.
-4. A shard with more than HOT_SEGMENTS distinct segments (a passage in countless
-   surroundings) is too long for one task.  Its windows are matched by hash
-   instead, which spreads them over the cluster; the result is the same.
+4. A shard of more than SHARD_SEGMENTS distinct segments (a passage in countless
+   surroundings) is too long for one task, so its segments are dealt anew by anchors of longer
+   runs, as if they were documents.  The longest anchor is the window itself, whose shards
+   hold a few lengths of one repeated window at most, so every shard ends up in automata that fit.
 
 Defined results: null texts have no words; texts shorter than a window lose
 nothing.  Rows that repeat a doc_id are judged by their own texts and don't remove
-words from each other.  Extra columns are ignored, or kept where document
-rows are returned.
+words from each other.  Rows without a doc_id have no place in the order: they lose nothing and remove
+nothing.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, words_of
-from .wordhash import mix, prefix_sums, run_hashes, window_hashes, word_hashes
+from .wordhash import column_words, mix, prefix_sums, ranges, run_hashes, window_hashes
 
 WINDOW = 50
-#: Words of the runs among which a window finds its anchor.
-ANCHOR_WORDS = 8
+#: Words of the runs among which a window finds its anchor, and of those that split too long a shard; at last the window itself.
+ANCHOR_WORDS = (8, 16, 32)
 #: Longest segment, in windows.
 SEGMENT_WINDOWS = 64
 #: Distinct segments that one automaton takes: at most 350,000 words, some 150 MB of states.
-HOT_SEGMENTS = 3072
+SHARD_SEGMENTS = 3072
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -63,36 +64,36 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(words: list[bytes], window: int, anchor_words: int = ANCHOR_WORDS):
-    """First windows, numbers of windows, anchors and hashes of the segments of a document."""
-    sums = prefix_sums(word_hashes(words))
-    anchors = sliding_min(mix(window_hashes(sums, anchor_words)), window - anchor_words + 1)
-    change = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
-    starts = np.concatenate([[0], change])
-    lengths = np.diff(np.append(starts, len(anchors)))
-    pieces = -(-lengths // SEGMENT_WINDOWS)
-    if pieces.max() > 1:
-        rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = np.repeat(starts, pieces) + rank * SEGMENT_WINDOWS
-        lengths = np.minimum(SEGMENT_WINDOWS, np.repeat(lengths, pieces) - rank * SEGMENT_WINDOWS)
-    hashes = mix(run_hashes(sums, starts, starts + lengths + window - 1) + lengths.astype(np.uint64))
-    return starts, lengths, anchors[starts].view(np.int64), hashes.view(np.int64)
+_SEGMENT = {"doc_id": pa.int64(), "row": pa.int64(), "at": pa.int32(), "windows": pa.int32(), "anchor": pa.int64(), "segment": pa.int64()}
 
 
-def _segment_rows(window: int):
+def _segment_rows(window: int, anchor_words: int):
+    """First window, number of windows, anchor and hash of the segments of all texts."""
+
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("doc_id", "row", "at", "windows", "anchor", "segment")}
-        columns = (_column(batch, c).to_pylist() for c in ("doc_id", "row", "text"))
-        for doc_id, row, text in zip(*columns, strict=True):
-            words = words_of(text)
-            if len(words) < window:
+        ids, own = (_column(batch, c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+        parts = []
+        for words in column_words(_column(batch, "text")):
+            windows = np.maximum(0, np.diff(words.bounds) - window + 1)
+            if not windows.any():
                 continue
-            found = segments(words, window)
-            out["doc_id"].append(np.full(len(found[0]), doc_id))
-            out["row"].append(np.full(len(found[0]), row, np.int32))
-            for name, values in zip(("at", "windows", "anchor", "segment"), found, strict=True):
-                out[name].append(values)
-        return {k: pa.array(np.concatenate(v)) if v else [] for k, v in out.items()}
+            sums = prefix_sums(words.hashes)
+            anchors = sliding_min(mix(window_hashes(sums, anchor_words)), window - anchor_words + 1)
+            at, row = ranges(words.bounds[:-1], windows), np.repeat(np.arange(len(windows)), windows)
+            anchors = anchors[at]
+            starts = np.flatnonzero(np.r_[True, (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])])
+            lengths = np.diff(np.append(starts, len(at)))
+            pieces = -(-lengths // SEGMENT_WINDOWS)
+            rank = ranges(np.zeros_like(pieces), pieces)
+            starts = np.repeat(starts, pieces) + rank * SEGMENT_WINDOWS
+            lengths = np.minimum(SEGMENT_WINDOWS, np.repeat(lengths, pieces) - rank * SEGMENT_WINDOWS)
+            first, row = at[starts], row[starts]
+            hashes = mix(run_hashes(sums, first, first + lengths + window - 1) + lengths.astype(np.uint64))
+            parts.append({
+                "doc_id": ids[words.first_row + row], "row": own[words.first_row + row], "at": (first - words.bounds[row]).astype(np.int32), "windows": lengths.astype(np.int32),
+                "anchor": anchors[starts].view(np.int64), "segment": hashes.view(np.int64),
+            })
+        return {k: pa.concat_arrays([pa.array(p[k], t) for p in parts]) if parts else pa.array([], t) for k, t in _SEGMENT.items()}
 
     return run
 
@@ -214,32 +215,11 @@ def _ranges_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(segment, pa.int64()), pa.array(ranges, _RANGES)], ["anchor", "segment", "ranges"])
 
 
-def _window_rows(window: int):
-    """The windows of hot segments: place in the segment and hash."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("anchor", "segment", "doc_id", "place", "window")}
-        columns = (_column(batch, c).to_pylist() for c in ("anchor", "segment", "doc_id", "words"))
-        for anchor, segment, doc_id, words in zip(*columns, strict=True):
-            sums = prefix_sums(word_hashes(words.encode("utf-8", "surrogatepass").split(b" ")))
-            at = np.arange(len(sums) - window)
-            hashes = mix(run_hashes(sums, at, at + window))
-            n = len(hashes)
-            out["anchor"] += [anchor] * n
-            out["segment"] += [segment] * n
-            out["doc_id"] += [doc_id] * n
-            out["place"] += range(n)
-            out["window"] += hashes.view(np.int64).tolist()
-        return out
-
-    return run
-
-
 def _segment_words(window: int):
     """The words of the wanted segments of a document."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("anchor", "segment", "doc_id", "hot", "words")}
+        out = {k: [] for k in ("anchor", "segment", "doc_id", "split", "words")}
         columns = (_column(batch, c).to_pylist() for c in ("doc_id", "text", "wanted"))
         for doc_id, text, wanted in zip(*columns, strict=True):
             words = words_of(text)
@@ -247,48 +227,53 @@ def _segment_words(window: int):
                 out["anchor"].append(w["anchor"])
                 out["segment"].append(w["segment"])
                 out["doc_id"].append(doc_id)
-                out["hot"].append(w["hot"])
+                out["split"].append(w["split"])
                 out["words"].append(b" ".join(words[w["at"] : w["at"] + w["windows"] + window - 1]).decode("utf-8", "surrogatepass"))
         return out
 
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, row (hash of the text), ranges: the windows that start in a smaller document too, as half-open ranges of first words."""
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select("doc_id", F.hash("text").alias("row"), "text")
-    schema = "doc_id long, row int, at int, windows int, anchor long, segment long"
-    all_segments = scratch.keep(arrow_map(texts, _segment_rows(window), schema))
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    widths = [*[w for w in ANCHOR_WORDS if w < window], window]
+    return _repeated(texts, window, shard_segments, widths, Scratch(docs.sparkSession))
+
+
+def _repeated(texts: DataFrame, window: int, shard_segments: int, widths: list[int], scratch: Scratch) -> DataFrame:
+    """doc_id, row, ranges for texts (doc_id, row, text): by anchors of the first width, too long shards by the others."""
+    schema = "doc_id long, row long, at int, windows int, anchor long, segment long"
+    all_segments = scratch.keep(arrow_map(texts, _segment_rows(window, widths[0]), schema))
     shared = all_segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    own = scratch.keep(all_segments.join(shared, "anchor"))
+    # small sides are written before they are joined, so that a hot anchor's rows can be split over tasks
+    own = scratch.keep(all_segments.join(scratch.keep(shared), "anchor"))
     scratch.drop(all_segments)
 
     distinct = scratch.keep(own.groupBy("anchor", "segment").agg(F.min("doc_id").alias("first")))
     shards = distinct.groupBy("anchor").agg(F.count("*").alias("segments")).filter("segments > 1")
-    shards = shards.select("anchor", (F.col("segments") > hot_segments).alias("hot"))
+    too_long = (F.col("segments") > shard_segments) if len(widths) > 1 else F.lit(False)
+    shards = scratch.keep(shards.select("anchor", too_long.alias("split")))
     to_match = scratch.keep(distinct.join(shards, "anchor"))
 
     key = ["anchor", "segment"]
     wanted = own.join(to_match, key).filter("doc_id = first").groupBy(*key).agg(
-        F.min(F.struct("doc_id", "row", "at", "windows", "hot")).alias("w")
+        F.min(F.struct("doc_id", "row", "at", "windows", "split")).alias("w")
     )
-    wanted = wanted.select("w.*", *key).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "anchor", "segment", "hot")).alias("wanted"))
-    routed = arrow_map(texts.join(wanted, ["doc_id", "row"]), _segment_words(window), "anchor long, segment long, doc_id long, hot boolean, words string")
+    wanted = wanted.select("w.*", *key).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "anchor", "segment", "split")).alias("wanted"))
+    routed = arrow_map(texts.join(wanted, ["doc_id", "row"]), _segment_words(window), "anchor long, segment long, doc_id long, split boolean, words string")
     routed = scratch.keep(routed)
 
-    matched = _matched_segments(routed.filter("not hot"), window)
-    windows = scratch.keep(arrow_map(routed.filter("hot"), _window_rows(window), "anchor long, segment long, doc_id long, place int, window long"))
-    least = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    hot = windows.join(scratch.keep(least), ["anchor", "window"]).filter("first < doc_id").groupBy(*key).agg(
-        F.collect_list(F.struct(F.col("place").alias("start"), (F.col("place") + 1).alias("end"))).alias("ranges")
-    )
-    ranges = scratch.keep(matched.unionByName(hot))
+    ranges_ = scratch.keep(_matched_segments(routed.filter("not split"), window))
+    parts = routed.filter("split").select("anchor", "segment", "doc_id", F.xxhash64(*key).alias("row"), F.col("words").alias("text"))
+    if len(widths) > 1 and not parts.isEmpty():
+        parts = scratch.keep(parts)
+        again = _repeated(parts.select("doc_id", "row", "text"), window, shard_segments, widths[1:], scratch)
+        again = again.join(parts.select("doc_id", "row", *key), ["doc_id", "row"]).select(*key, "ranges")
+        ranges_ = scratch.keep(ranges_.unionByName(again))
     scratch.drop(routed)
-    scratch.drop(windows)
 
-    firsts = scratch.keep(distinct.join(ranges, key, "left"))
-    judged = own.join(firsts, key)
+    judged = own.join(scratch.keep(distinct.join(ranges_, key, "left")), key)
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("end")))
     judged = judged.withColumn("ranges", F.when(F.col("first") < F.col("doc_id"), whole).otherwise(F.col("ranges"))).filter("ranges is not null")
     moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("at")).alias("start"), (r["end"] + F.col("at")).alias("end")))
@@ -308,8 +293,8 @@ def kept_words(words: list, ranges: list[dict], window: int) -> list:
 
 def without_repeated_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept, the kept words joined by single spaces; one row per document row."""
-    ranges = repeated_windows(docs, window)
-    rows = docs.select("doc_id", F.hash("text").alias("row"), "text").join(ranges, ["doc_id", "row"], "left")
+    ranges_ = repeated_windows(docs, window)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), "text").join(ranges_, ["doc_id", "row"], "left")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = {"doc_id": _column(batch, "doc_id"), "n_words": [], "n_removed": [], "kept": []}

@@ -67,6 +67,7 @@ def joined(left: np.ndarray, right: np.ndarray, left_len: np.ndarray) -> np.ndar
 _PIECE = 1 << 18
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
+_ALNUM = np.array([bytes([b]).isalnum() for b in range(256)])
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 #: A 64-bit value per byte.
@@ -130,13 +131,18 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return _hashes_of(np.frombuffer(b"".join(words), np.uint8), ends - np.diff(ends, prepend=0), ends, _BYTE)
 
 
-def column_words(column: pa.Array, lower: bool = False):
+def token_column(column: pa.Array):
+    """The same for runs of ASCII letters and digits, A-Z hashed like a-z."""
+    yield from column_words(column, True, _ALNUM)
+
+
+def column_words(column: pa.Array, lower: bool = False, solid_bytes: np.ndarray = _SOLID):
     """The words of a column, some hundred KB of rows at a time; lower: hash A-Z like a-z."""
     data, offsets = text_bytes(column)
     bytes_ = _BYTE[_LOWER] if lower else _BYTE
     for first, last in row_pieces(offsets):
         part, edges = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        solid = _SOLID[part]
+        solid = solid_bytes[part]
         begins, finish = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         finish[:-1] &= ~solid[1:]

@@ -7,8 +7,8 @@ neighbouring areas; each response becomes two bits (Gray code), and sixteen
 filters make one packed 32-bit integer per frame.
 
 Frames for alignment begin anew at every anchor, a place where the smoothed signal
-peaks, so a copy has the same ones wherever it starts.  Landmarks are hashes of the
-sign bits of a few of these integers, at each anchor and at every eighth frame after it.
+peaks, so a copy has the same ones wherever it starts.  Landmarks are hashes of two of these
+integers, at each anchor and at every eighth frame after it.
 
 Two recordings are linked if at one offset at least MIN_SHARE of the landmarks of the
 one that has fewer agree (the offset histogram) and if at most MAX_BIT_ERROR of the bits
@@ -54,9 +54,8 @@ FILTERS = 16
 SPAN = 16
 #: Responses beyond this on either side take the outer two of four levels.
 LEVEL = 0.12
-#: The frames that make a landmark, and the bits of each that count: the sign of every filter.
-LAGS = (0, 5, 10)
-SIGNS = 0xAAAAAAAA
+#: The frames whose integers make a landmark: 64 bits, so that unrelated recordings hardly ever share one.
+LAGS = (0, 10)
 #: An anchor is the greatest value of so many samples on either side.
 ANCHOR_REACH = 96
 #: Frames from one landmark to the next where no anchor comes.
@@ -223,7 +222,7 @@ def landmarks(samples: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     inside = used - (np.cumsum(frames) - frames)[of[used]] + (np.cumsum(counts) - counts)[of[used]]
     hashes = np.zeros(len(used), np.uint64)
     for k in LAGS:
-        hashes = mix(hashes * np.uint64(3) + (packed[inside + k] & np.uint32(SIGNS)))
+        hashes = mix(hashes * np.uint64(3) + packed[inside + k])
     return of[used], starts[used] - edges[of[used]], hashes
 
 

@@ -118,19 +118,22 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack_word
     return [t + m for t, m in zip(taken, more, strict=True)]
 
 
-def _quotas(histogram: pd.DataFrame) -> pd.DataFrame:
-    """Per length of one source: copies that all its documents get, and how many get one more."""
-    histogram = histogram.sort_values("size")
-    size, target = int(histogram["source_size"].iloc[0]), float(histogram["target"].iloc[0])
-    every, budget = divmod(int(round(target)), size) if size else (0, 0)
-    taken = fit_budget(histogram["size"].tolist(), histogram["docs"].tolist(), budget)
-    return histogram.assign(every=every, quota=taken)[["_source", "size", "source_size", "target", "every", "quota"]]
+def _quotas(knapsack_words: int):
+    def run(histogram: pd.DataFrame) -> pd.DataFrame:
+        """Per length of one source: copies that all its documents get, and how many get one more."""
+        histogram = histogram.sort_values("size")
+        size, target = int(histogram["source_size"].iloc[0]), float(histogram["target"].iloc[0])
+        every, budget = divmod(int(round(target)), size) if size else (0, 0)
+        taken = fit_budget(histogram["size"].tolist(), histogram["docs"].tolist(), budget, knapsack_words)
+        return histogram.assign(every=every, quota=taken)[["_source", "size", "source_size", "target", "every", "quota"]]
 
+    return run
 
-def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
+
+def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED, knapsack_words: int = KNAPSACK_WORDS) -> DataFrame:
     """Per row of docs: row (the whole row as a struct), mix_size, mix_source_size, mix_target and mix_copies (times that the mix takes the row).
 
-    size: the words of a row, an expression over docs.
+    size: the words of a row, an expression over docs.  knapsack_words: how much of a budget at most is left to the exact subset sum.
     """
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), source_key(F.col("source")).alias("_source"), size.alias("size"),
@@ -141,7 +144,7 @@ def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
     sources = histogram.groupBy("_source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.max("source").alias("source"))
     targets = with_targets(sources).drop("source")
     quotas = histogram.join(targets, "_source").groupBy("_source").applyInPandas(
-        _quotas, "_source string, size long, source_size long, target double, every long, quota long"
+        _quotas(knapsack_words), "_source string, size long, source_size long, target double, every long, quota long"
     )
     earlier = Window.partitionBy("_source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = sliced.drop("source").withColumn("_before", F.coalesce(F.sum("in_slice").over(earlier), F.lit(0)))
@@ -155,18 +158,18 @@ def plan_mixture(docs: DataFrame, size: Column, seed: int = SEED) -> DataFrame:
     )
 
 
-def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixture(docs: DataFrame, seed: int = SEED, knapsack_words: int = KNAPSACK_WORDS) -> DataFrame:
     """One row per document row: doc_id, size, source_size, target, taken."""
     sized = Scratch(docs.sparkSession).keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("words")))
-    plan = plan_mixture(sized, F.col("words"), seed)
+    plan = plan_mixture(sized, F.col("words"), seed, knapsack_words)
     return plan.select(
         "row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
         (F.col("mix_size") * F.col("mix_copies")).alias("taken"),
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = SEED, knapsack_words: int = KNAPSACK_WORDS) -> DataFrame:
     """The mix itself: each document row as often as it is taken."""
-    plan = plan_mixture(docs, word_count(F.col("text")), seed).filter((F.col("mix_copies") > 0) & (F.col("mix_size") > 0))
+    plan = plan_mixture(docs, word_count(F.col("text")), seed, knapsack_words).filter((F.col("mix_copies") > 0) & (F.col("mix_size") > 0))
     copies = plan.select("row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
     return copies.select(*[F.col(f"row.`{c}`") for c in docs.columns])

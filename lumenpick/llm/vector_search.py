@@ -4,20 +4,22 @@ Coarse centroids and codebooks are fitted on the driver on a sample of at most
 TRAIN_ROWS vectors; every vector is indexed.  A vector belongs to the list of its nearest
 centroid, and its residual is coded by one codeword per subspace.  Lists are
 stored in blocks of about BLOCK_ROWS vectors, so that no list is too long for a task,
-and queries travel in chunks to the blocks of the lists that they probe (the
+and queries travel in chunks of alike ones to the blocks of the lists that they probe (the
 PROBE_SHARE of lists whose centroids have the largest inner products).  There,
 distance tables of a query's subvectors against the codewords estimate the block's
 inner products.  Every vector keeps the norm of its quantisation error; those whose estimate plus
 SLACK standard errors reaches the k-th best so far are scored exactly, so a dense
 cluster that the codes can't tell apart is reranked whole.  Only the best k per query leave a task.
+Queries that found fewer than k in their lists visit all of them.
 
 Equal vectors collapse to one entry that remembers its k + 1 smallest ids, for
 queries and candidates alike, so a vector repeated countless times costs one search.
 
 Defined results: vectors that are null, zero, hold null or non-finite components
 or have another dimension than most take no part.  Without any valid vector the
-result is empty.  Rows that repeat a vec_id with one vector count once.
-Extra columns are ignored.
+result is empty.  Rows that repeat a vec_id with one vector count once; rows without a vec_id take no
+part.  Columns of floats keep their precision, all others are searched as doubles.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -114,17 +116,17 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
-def _classes(vectors: DataFrame, dim: int, k: int) -> DataFrame:
-    """class (smallest vec_id), vector (packed), ids: the k + 1 smallest ids that have the vector."""
-    valid = vectors.filter(
+def _classes(vectors: DataFrame, dim: int, k: int, kind: str) -> tuple[DataFrame, DataFrame]:
+    """class (smallest vec_id), vector (packed), ids: the k + 1 smallest ids that have the vector; and vec_id, vector of all rows."""
+    valid = vectors.filter("vec_id is not null").filter(
         (F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     )
 
     def pack(batch: pa.RecordBatch) -> dict:
-        flat = _column(batch, "embedding").flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(-1, dim) + np.float32(0)
+        flat = _column(batch, "embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim) + np.zeros(1, kind)  # no negative zeros
         return {"vec_id": _column(batch, "vec_id"), "vector": [row.tobytes() for row in flat]}
 
-    packed = arrow_map(valid.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), pack, "vec_id long, vector binary").distinct()
+    packed = arrow_map(valid.select("vec_id", "embedding"), pack, "vec_id long, vector binary").distinct()
     salted = Window.partitionBy("vector", "salt").orderBy("vec_id")
     some = packed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))).withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= k + 1)
     least = some.withColumn("rank", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("rank") <= k + 1)
@@ -140,21 +142,22 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if sizes is None:
         return empty
-    dim = sizes["dim"]
-    classes, packed = _classes(vectors.select("vec_id", "embedding"), dim, k)
+    dim, kind = sizes["dim"], "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    vectors = vectors.select("vec_id", "embedding") if kind == "<f4" else vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    classes, packed = _classes(vectors, dim, k, kind)
     classes = scratch.keep(classes)
     total = classes.count()
     if not total:
         return empty
     sample = classes.orderBy(F.xxhash64("class"), "class").limit(TRAIN_ROWS).select("vector").collect()
-    sample = np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), "<f4").reshape(-1, dim).astype(float)
+    sample = np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), kind).reshape(-1, dim).astype(float)
     model = Quantiser.fit(sample, max(4, min(MAX_LISTS, int(total**0.5) // 2)))
     shared = spark.sparkContext.broadcast(model)  # MAX_LISTS centroids and CODEWORDS codewords per subspace at most
     lists = len(model.centers)
     probes = min(lists, max(1, int(np.ceil(lists * probe_share))))
 
     def index(batch: pa.RecordBatch) -> dict:
-        x = _matrix(_column(batch, "vector"), "<f4", dim).astype(float)
+        x = _matrix(_column(batch, "vector"), kind, dim).astype(float)
         near, codes, errors = shared.value.encode(x)
         return {"class": _column(batch, "class"), "vector": _column(batch, "vector"), "list": near.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": errors}
 
@@ -170,16 +173,46 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
 
     members = packed.filter(F.col("vec_id") % query_step == 0).join(classes.select("class", "vector"), "vector").select(F.col("vec_id").alias("query_id"), "class")
     members = scratch.keep(members)
-    asked = members.select("class").distinct().join(classes.select("class", "vector"), "class")
-    chunks = max(1, -(-members.select("class").distinct().count() // CHUNK_QUERIES))
-    chunked = asked.groupBy(F.pmod(F.xxhash64("class"), F.lit(chunks)).cast("int").alias("chunk")).agg(F.collect_list(F.struct("class", "vector")).alias("queries"))
+    asked = scratch.keep(members.select("class").distinct().join(indexed.select("class", "vector", "list"), "class"))
+    waiting = np.zeros(lists, np.int64)
+    for row in asked.groupBy("list").count().collect():  # a row per list
+        waiting[row["list"]] = row["count"]
+    # neighbouring lists fill a chunk together, large ones are split
+    axis = np.linalg.svd(model.centers - model.centers.mean(axis=0), full_matrices=False)[2][0]
+    order = np.argsort(model.centers @ axis, kind="stable")
+    first_chunk, pieces = np.zeros(lists, np.int64), np.maximum(1, -(-waiting // CHUNK_QUERIES))
+    filled = np.cumsum(waiting[order])
+    first_chunk[order] = (filled - waiting[order]) // CHUNK_QUERIES
+    of_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
+    chunk = (of_list(first_chunk) + F.pmod(F.xxhash64("class"), of_list(pieces))).cast("int")
+    chunked = asked.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "vector")).alias("queries"))
+    found = _found(chunked, blocks, shared, blocks_of, probes, k, kind, dim)
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "class")
+    found = scratch.keep(found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
+    reached = found.join(classes.select("class", F.size("ids").alias("n")), "class").groupBy("asked").agg(F.sum("n").alias("n")).filter(F.col("n") > k).select("asked")
+    short = scratch.keep(asked.join(reached.withColumnRenamed("asked", "class"), "class", "left_anti"))
+    if probes < lists and not short.isEmpty():
+        rest = short.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "vector")).alias("queries"))
+        again = _found(rest, blocks, shared, blocks_of, lists, k, kind, dim)
+        again = again.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
+        found = scratch.keep(found.join(short.select(F.col("class").alias("asked")), "asked", "left_anti").unionByName(again))
+    candidates = found.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
+    nearest = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    candidates = scratch.keep(candidates.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k + 1).drop("place"))
+    paired = members.withColumnRenamed("class", "asked").join(candidates, "asked").filter("query_id <> vec_id")
+    ranked = paired.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def _found(chunked: DataFrame, blocks: DataFrame, shared, blocks_of: np.ndarray, probes: int, k: int, kind: str, dim: int) -> DataFrame:
+    """asked, class, score: the best of each block visited, k + 1 per query and task."""
 
     def send(batches):
         """A copy of each chunk for every block of the lists that its queries probe."""
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _column(batch, "queries")[i : i + 1]
-                q = _matrix(own.flatten().field("vector"), "<f4", dim).astype(float)
+                q = _matrix(own.flatten().field("vector"), kind, dim).astype(float)
                 where = np.flatnonzero(shared.value.probed(q, probes).any(axis=0))
                 for listed in where:
                     n = int(blocks_of[listed])
@@ -196,8 +229,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
             for i in range(batch.num_rows):
                 chunk = _column(batch, "chunk")[i].as_py()
                 asked_rows, rows = (_column(batch, c)[i : i + 1].flatten() for c in ("queries", "rows"))
-                q = _matrix(asked_rows.field("vector"), "<f4", dim).astype(float)
-                x = _matrix(rows.field("vector"), "<f4", dim).astype(float)
+                q = _matrix(asked_rows.field("vector"), kind, dim).astype(float)
+                x = _matrix(rows.field("vector"), kind, dim).astype(float)
                 codes = _matrix(rows.field("codes"), np.uint8, len(shared.value.edges))
                 ids = rows.field("class").to_numpy()
                 if chunk not in held:
@@ -225,15 +258,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
                     state[1][v], state[2][v] = scores[best], entries[best]
         yield _best_rows(held)
 
-    found = sent.join(blocks, ["list", "block"]).select("list", "chunk", "queries", "rows").mapInArrow(search, "asked long, class long, score double")
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "class")
-    found = scratch.keep(found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
-    candidates = found.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
-    nearest = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    candidates = scratch.keep(candidates.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k + 1).drop("place"))
-    paired = members.withColumnRenamed("class", "asked").join(candidates, "asked").filter("query_id <> vec_id")
-    ranked = paired.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return sent.join(blocks, ["list", "block"]).select("list", "chunk", "queries", "rows").mapInArrow(search, "asked long, class long, score double")
 
 
 def _best_rows(held: dict[int, list]) -> pa.RecordBatch:

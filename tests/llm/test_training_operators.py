@@ -332,6 +332,29 @@ def test_mixes_reach_their_targets(spark):
     assert mixture.mixture(df.limit(0)).count() == 0
 
 
+def test_mixes_of_repeated_rows_and_clashing_columns(spark):
+    some = spark.createDataFrame([(i % 5, "w " * (i % 4 + 1), "ab"[i % 2], 1, 2, 3) for i in range(40)] + [(None, "w w", None, 1, 2, 3)], "doc_id long, text string, source string, mix_size int, mix_copies int, row int")
+    mixed = mixture.mixed_documents(some, knapsack_words=3)
+    assert mixed.columns == some.columns and mixed.select("mix_size", "mix_copies", "row").distinct().collect() == [(1, 2, 3)]
+    got = mixture.mixture(some).collect()
+    assert len(got) == 41 and all(r["taken"] <= 2 * r["size"] for r in got) and abs(sum(r["taken"] for r in got) - 1.5 * sum(r["size"] for r in got)) <= 3
+
+
+# --- 4 again: extra columns and nothing at all
+
+
+def test_quality_keeps_clashing_columns_and_takes_no_rows(spark):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    clash = given.select("*", F.lit(1).alias("score"), F.lit(2).alias("stats"), F.lit(3).alias("predicted"), F.lit(4).alias("quality"))
+    kept = quality_qda.keep_good_documents(clash, labels)
+    scored = {r["doc_id"] for r in quality_qda.score_documents(given, labels).collect() if r["predicted"]}
+    assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == scored and kept.select("score", "stats", "predicted", "quality").distinct().count() == 1
+    assert quality_qda.score_documents(clash.limit(0), labels).count() == 0 and quality_qda.keep_good_documents(clash.limit(0), labels).count() == 0
+    twice = given.unionByName(given)
+    assert quality_qda.score_documents(twice, labels).count() == 2 * given.count()
+
+
 # --- 7: neighbours ---------------------------------------------------------------------
 
 
@@ -355,6 +378,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert vector_search.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_doubles_and_queries_that_find_too_few(spark):
+    rng = np.random.default_rng(4)
+    far = [(i, (rng.normal(size=4) * 0.01 + np.array([c == i % 8 for c in range(4)]) * (1 if i % 8 < 4 else -1)).tolist()) for i in range(1, 30)]
+    rows_in = [*far, (40, [1.0 + 1e-12, 0.0, 0.0, 0.0]), (60, [1e300, 0.0, 0.0, 1e-9]), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows_in, "vec_id long, embedding array<double>")
+    got = rows(vector_search.nearest_neighbours(df, probe_share=0.1), "query_id", "rank", "vec_id", "score")
+    want = []
+    for q, v in rows_in:
+        if q is not None and q % 20 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows_in if i not in (q, None)))[:20]
+            want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(scored)]
+    assert [(q, r) for q, r, _, _ in got] == [(q, r) for q, r, _, _ in sorted(want)]
+    by_id = {(q, i): x for q, _, i, x in want}
+    assert all(np.isclose(x, by_id[q, i], rtol=1e-15) for q, _, i, x in got if (q, i) in by_id) and {q for q, *_ in got} == {20, 40, 60}
+
+
 # --- 8: recordings -----------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ differ over the whole overlap of their plain fingerprints.
    So a passage that countless recordings hold makes candidates only of
    those that it fills to that share.
 3. Per landmark the least class is compared with those that ask for it, and components
-   are formed; so for the earliest of those left, in a few rounds.  What
+   are formed; so for the least of those left, in rounds for as long as many are left.  What
    then remains, candidates of different components, is listed and compared in full.
 
 Alignment finds near-duplicates: each recording gets its component.  alignment_links
@@ -64,8 +64,9 @@ MIN_SHARE = 0.2
 MIN_OVERLAP = 16
 MAX_BIT_ERROR = 0.25
 
-#: Leaders that each landmark tries before the rest is listed.
-LEADER_ROUNDS = 3
+#: The rest is listed once it is at most so many candidates per open landmark of a class, or after so many rounds of leaders.
+LISTED = 16
+LEADER_ROUNDS = 4
 
 _CHUNK_FRAMES = 4096
 #: Offsets, the ones with most votes, that are looked at.
@@ -305,14 +306,15 @@ def _pairs(left: str, right: str) -> list:
 
 
 def _askers(slim: DataFrame, scratch: Scratch) -> DataFrame:
-    """mark, class, asks of the landmarks that several classes have; slim: class, marks.
+    """mark, class, asks of the landmarks that several classes have; slim: class, marks, some rows maybe repeated.
 
     Of its n landmarks in order of rising frequency a class must share one among the first
     n - needed + 1 with whatever it links to as the one with fewer landmarks.
     """
     marks = scratch.keep(slim.select("class", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
     shared = scratch.keep(marks.groupBy("mark").agg(F.count("*").alias("holders")).filter("holders > 1"))
-    held = scratch.keep(marks.join(shared, "mark"))
+    # repeated rows of a leader are one
+    held = scratch.keep(marks.join(shared, "mark").distinct())
     scratch.drop(marks)
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * MIN_SHARE))
     ordered = held.groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("holders", "mark"))).alias("m"))
@@ -329,47 +331,60 @@ def candidates(slim: DataFrame, scratch: Scratch) -> DataFrame:
     return one.join(two, "mark").filter("one <> two").select(*_pairs("one", "two")).distinct()
 
 
-def _connected(slim: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _connected(prints: DataFrame, leaders_of: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Compared pairs that are linked, and node, component of all classes with a link."""
-    members = _askers(slim, scratch)
-    known = labels = None
-    for turn in range(LEADER_ROUNDS + 1):
-        if known is None:
-            left = members
-        else:
-            own = labels.withColumnRenamed("node", "class")
-            marked = scratch.keep(members.select("mark", "class", "asks").join(own, "class", "left").withColumn("component", F.coalesce("component", "class")))
-            several = marked.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.bool_or("asks").alias("asked")).filter("low < high and asked").select("mark")
-            members = scratch.keep(marked.join(scratch.keep(several), "mark"))
-            # those outside the components of the leaders so far
-            left = members if turn == LEADER_ROUNDS else members.join(led.join(own.withColumnRenamed("class", "leader"), "leader", "left").select("mark", F.coalesce("component", "leader").alias("component")).distinct(), ["mark", "component"], "left_anti")
-        if turn < LEADER_ROUNDS:
-            leaders = scratch.keep(left.groupBy("mark").agg(F.min("class").alias("leader"), F.count("*").alias("n"), F.bool_or("asks").alias("asked")).filter("n > 1 and asked" if known is None else "n > 0").select("mark", "leader"))
-            led = leaders if known is None else scratch.keep(led.unionByName(leaders))
-            other = members.join(leaders, "mark").filter("class <> leader and asks").select("leader", "class", *(["component"] if known is not None else []))
-            if known is not None:
-                other = other.join(own.select(F.col("class").alias("leader"), F.col("component").alias("of_leader")), "leader", "left").filter(F.col("component") != F.coalesce("of_leader", "leader"))
-            pairs = other.select(*_pairs("leader", "class")).distinct()
-        else:
+    members = _askers(_led(prints.select("doc_id", "class", "marks"), leaders_of), scratch)
+    # only classes that share a landmark are fetched whole
+    classes = _whole(prints, leaders_of, members.select("class").distinct(), scratch)
+    leaders = scratch.keep(members.groupBy("mark").agg(F.min("class").alias("leader"), F.count("*").alias("n"), F.bool_or("asks").alias("asked")).filter("n > 1 and asked").select("mark", "leader"))
+    pairs = members.join(leaders, "mark").filter("class <> leader and asks").select(*_pairs("leader", "class")).distinct()
+    known = scratch.keep(_compared(pairs, classes))
+    led = leaders
+    for turn in range(1, LEADER_ROUNDS + 1):
+        linked = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = scratch.keep(components(linked, scratch))
+        own = labels.withColumnRenamed("node", "class")
+        marked = scratch.keep(members.select("mark", "class", "asks").join(own, "class", "left").withColumn("component", F.coalesce("component", "class")))
+        open_marks = marked.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("asks").alias("asked"), F.count("*").alias("n")).filter("low < high and asked > 0")
+        open_marks = scratch.keep(open_marks.select("mark", "asked", "n"))
+        rest = open_marks.agg(F.sum("n").alias("n"), F.sum(F.col("asked") * F.col("n")).alias("pairs")).first()
+        if rest["n"] is None:
+            return known.filter("linked").drop("linked"), labels
+        members = scratch.keep(marked.join(open_marks.select("mark"), "mark"))
+        if rest["pairs"] <= LISTED * rest["n"] or turn == LEADER_ROUNDS:
             one, two = members.filter("asks").select("mark", F.col("class").alias("one"), F.col("component").alias("c1")), members.select("mark", F.col("class").alias("two"), F.col("component").alias("c2"))
             pairs = one.join(two, "mark").filter("c1 <> c2").select(*_pairs("one", "two")).distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = scratch.keep(_compared(scratch.keep(pairs), classes))
-        known = fresh if known is None else scratch.keep(known.unionByName(fresh))
-        labels = scratch.keep(components(known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
-        if members.isEmpty():
+        else:
+            # per landmark the least class outside the components of its leaders so far
+            places = led.join(own.withColumnRenamed("class", "leader"), "leader", "left").select("mark", F.coalesce("component", "leader").alias("component")).distinct()
+            leaders = scratch.keep(members.join(places, ["mark", "component"], "left_anti").groupBy("mark").agg(F.min(F.struct("class", "component")).alias("l")).select("mark", F.col("l.class").alias("leader"), F.col("l.component").alias("of_leader")))
+            led = scratch.keep(led.unionByName(leaders.select("mark", "leader")))
+            pairs = members.join(leaders, "mark").filter("asks and component <> of_leader").select(*_pairs("leader", "class")).distinct()
+        fresh = scratch.keep(_compared(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), classes))
+        known = scratch.keep(known.unionByName(fresh))
+        if rest["pairs"] <= LISTED * rest["n"]:
             break
-    return known.filter("linked").drop("linked"), labels
+    linked = known.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return known.filter("linked").drop("linked"), scratch.keep(components(linked, scratch))
 
 
 def _prints(media: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and one row per class: class, leader, frames, packed, marks, places."""
+    """Fingerprints of all rows, and class, leader (its smallest doc_id), frames of all classes."""
     schema = "doc_id long, n_frames long, class long, packed binary, marks array<long>, places array<long>"
     prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, schema))
-    leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"))
-    rows = prints.join(scratch.keep(leaders).withColumnRenamed("class", "of"), (F.col("doc_id") == F.col("leader")) & (F.col("class") == F.col("of")))
-    return prints, rows.dropDuplicates(["class"]).select("class", "leader", F.col("n_frames").alias("frames"), "packed", "marks", "places")
+    leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"), F.max("n_frames").alias("frames"))
+    return prints, scratch.keep(leaders)
+
+
+def _led(prints: DataFrame, leaders_of: DataFrame) -> DataFrame:
+    """The rows of the leaders of classes; a leader whose row is repeated has several."""
+    return prints.join(leaders_of.select(F.col("leader").alias("doc_id"), "class"), ["doc_id", "class"])
+
+
+def _whole(prints: DataFrame, leaders_of: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """class, packed, marks, places of the wanted classes."""
+    rows = _led(prints.select("doc_id", "class", "packed", "marks", "places"), leaders_of.join(wanted, "class"))
+    return scratch.keep(rows.dropDuplicates(["class"]).drop("doc_id"))
 
 
 def alignment_links(media: DataFrame) -> DataFrame:
@@ -378,9 +393,10 @@ def alignment_links(media: DataFrame) -> DataFrame:
     Lists every pair of alike classes, so it is meant for tables without large groups of them.
     """
     scratch = Scratch(media.sparkSession)
-    classes = scratch.keep(_prints(media, scratch)[1])
+    prints, of = _prints(media, scratch)
+    classes = _whole(prints, of, of.select("class"), scratch)
     found = _compared(candidates(classes, scratch), classes).filter("linked").drop("linked")
-    of = classes.select("class", "leader")
+    of = of.select("class", "leader")
     named = found.join(of.withColumnsRenamed({"class": "a", "leader": "la"}), "a").join(of.withColumnsRenamed({"class": "b", "leader": "lb"}), "b")
     turned = F.when(F.col("la") < F.col("lb"), F.col("frame_offset")).otherwise(-F.col("frame_offset"))
     return named.select(*_pairs("la", "lb"), turned.alias("frame_offset"), "overlap", "bit_error")
@@ -389,11 +405,9 @@ def alignment_links(media: DataFrame) -> DataFrame:
 def aligned_recordings(media: DataFrame) -> DataFrame:
     """Per row of media (doc_id, samples): doc_id, n_frames, component_id, component_size and an earlier recording it aligns with, with offset, overlap and bit error."""
     scratch = Scratch(media.sparkSession)
-    prints, classes = _prints(media, scratch)
-    classes = scratch.keep(classes)
-    links, labels = _connected(classes.filter(F.size("marks") > 0).select("class", "marks"), classes, scratch)
+    prints, leaders = _prints(media, scratch)
+    links, labels = _connected(prints, leaders, scratch)
     links = scratch.keep(links)
-    leaders = classes.select("class", "leader", "frames")
     members = scratch.keep(prints.filter("class is not null and doc_id is not null").select("doc_id", "class").distinct())
     # classes of one doc_id belong together
     several = members.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).filter("least < greatest").select("doc_id", "least")
@@ -411,7 +425,7 @@ def aligned_recordings(media: DataFrame) -> DataFrame:
     copied = F.when(F.col("leader") < F.col("doc_id"), F.struct(F.lit(0.0).alias("bit_error"), "leader", F.lit(0).alias("frame_offset"), F.col("frames").cast("int").alias("overlap")))
     per_doc = members.join(by_class, "class").withColumn("best", F.least(copied, "near")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.min("best").alias("best"))
     per_doc = scratch.keep(per_doc)
-    sizes = per_doc.groupBy("component_id").agg(F.count("*").alias("component_size"))
+    sizes = scratch.keep(per_doc.groupBy("component_id").agg(F.count("*").alias("component_size")))
     out = prints.select("doc_id", "n_frames").join(per_doc.join(sizes, "component_id"), "doc_id", "left")
     return out.select(
         "doc_id", "n_frames", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).alias("component_size"),

@@ -127,14 +127,12 @@ def status_warnings(spark, sf_dir):
 
 @query
 def report_rows(spark, sf_dir):
-    rows = reports.audit_rows(reports.stamped(_explained(spark, sf_dir), mode="balanced", performance_mode="balanced", analysis_size=1600))
-    return rows.select("filename", "path", "status", "cluster_id", "selected_photo_id", "final_score", "score_percent", "technical_sharpness", "duplicate_penalty", "mode", "analysis_size", "reasons")
+    return reports.audit_rows(reports.stamped(_explained(spark, sf_dir), mode="balanced", performance_mode="balanced", analysis_size=1600))
 
 
 @query
 def flat_report_rows(spark, sf_dir):
-    rows = reports.flat_rows(_explained(spark, sf_dir))
-    return rows.select("filename", "output_status", "blur_score", "is_blur", "exposure_status", "is_duplicate_candidate", "final_score", "localized_person_blur", "human_quality_score", "technical_score", "score_gap_from_winner", "cluster_winner_filename")
+    return reports.flat_rows(_explained(spark, sf_dir))
 
 
 def _json_fields(records: DataFrame, texts: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
@@ -381,7 +379,7 @@ def typed_reason_rows(spark, sf_dir):
 
 @query
 def decision_report(spark, sf_dir):
-    return reports.decision_rows(_reviewed(spark, sf_dir)).select("photo_id", "filename", "original_path", "ai_status", "final_decision", "cluster_id", "is_cluster_winner", "final_score", "decision_source", "reasons")
+    return reports.decision_rows(_reviewed(spark, sf_dir)).select("photo_id", "filename", "original_path", "ai_status", "final_decision", "cluster_id", "is_cluster_winner", "final_score", "face_score", "body_sharpness", "body_blur_penalty", "decision_source", "reasons")
 
 
 @query

@@ -180,11 +180,21 @@ _PCT = f"(CASE WHEN final_score <= 1 THEN final_score * {d(100)} ELSE final_scor
 _TENTHS = f"(floor({_PCT} * {d(10)} + {d(0.5)})::BIGINT)"
 ORACLES["status_warnings"] = f"""{picked()} SELECT photo_id, concat_ws('; ', CASE WHEN body_blur_penalty >= 0.45 THEN 'Body blur penalty tinggi' END, CASE WHEN face_score <> 0 AND face_score < 0.35 THEN 'Face score rendah' END, CASE WHEN {_PCT} < 50 THEN 'Final score rendah' END) AS warnings,
   ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) || '%' AS label FROM picked WHERE status <> 'selected'"""
-ORACLES["report_rows"] = f"""{picked()} SELECT file_name AS filename, path, status, cluster_id, win_photo_id AS selected_photo_id, final_score, {r(f"final_score * {d(100)}", 2)} AS score_percent, sharpness AS technical_sharpness, duplicate_penalty, 'balanced' AS mode, 1600 AS analysis_size,
-  {reason_sql("balanced")} AS reasons FROM picked"""
-ORACLES["flat_report_rows"] = f"""{picked()} SELECT file_name AS filename, upper(status) AS output_status, {r(f"sharpness * {d(300)}", 2)} AS blur_score, global_blur_penalty > 0.55 AS is_blur, CASE WHEN exposure >= 0.5 THEN 'NORMAL' ELSE 'UNDEREXPOSED_OR_OVEREXPOSED' END AS exposure_status,
-  cluster_size > 1 AS is_duplicate_candidate, {r(f"final_score * {d(100)}", 2)} AS final_score, body_blur_penalty >= 0.45 AS localized_person_blur, floor(final_score * {d(150)})::INTEGER AS human_quality_score,
-  {r(f"{d(0.5)} * sharpness + {d(0.3)} * exposure + {d(0.2)} * contrast")} AS technical_score, {r(f"greatest({d(0)}, score_gap)")} AS score_gap_from_winner, win_file_name AS cluster_winner_filename FROM picked"""
+def _nulls(*names: str) -> str:
+    return ", ".join(f"NULL::VARCHAR AS {n}" for n in names)
+
+
+ORACLES["report_rows"] = f"""{picked()} SELECT file_name AS filename, path, status, cluster_id, rank = 1 AS is_cluster_winner, win_photo_id AS selected_photo_id, final_score, {r(f"final_score * {d(100)}", 2)} AS score_percent,
+  sharpness AS technical_sharpness, exposure AS technical_exposure, contrast AS technical_contrast, global_blur_penalty, face_detected, face_count, face_sharpness, face_score, true AS person_detected, body_sharpness, body_blur_penalty, subject_score,
+  duplicate_penalty, 'balanced' AS mode, 'balanced' AS performance_mode, 1600 AS analysis_size, {reason_sql("balanced")} AS reasons,
+  {_nulls("max_analysis_size", "worker_count", "used_cache", "cache_hit", "cache_key", "face_analysis_enabled", "body_blur_analysis_enabled", "similarity_grouping_enabled", "copy_files_after_culling")} FROM picked"""
+ORACLES["flat_report_rows"] = f"""{picked()} SELECT file_name AS filename, path AS original_path, upper(status) AS output_status, {r(f"sharpness * {d(300)}", 2)} AS blur_score, global_blur_penalty > 0.55 AS is_blur,
+  CASE WHEN exposure >= 0.5 THEN 'NORMAL' ELSE 'UNDEREXPOSED_OR_OVEREXPOSED' END AS exposure_status, face_count, face_detected AS has_face, cluster_id AS duplicate_group_id, cluster_size > 1 AS is_duplicate_candidate,
+  rank = 1 AS best_in_duplicate_group, rank = 1 AS is_best_duplicate, {r(f"final_score * {d(100)}", 2)} AS final_score, {r(f"final_score * {d(100)}", 2)} AS score_percent, {reason_sql("balanced")} AS notes, {reason_sql("balanced")} AS final_reason, 1 AS person_count,
+  {r(f"body_sharpness * {d(180)}", 2)} AS main_person_blur_score, body_blur_penalty >= 0.45 AS localized_person_blur, floor(final_score * {d(150)})::INTEGER AS human_quality_score, {r(f"{d(0.5)} * sharpness + {d(0.3)} * exposure + {d(0.2)} * contrast")} AS technical_score,
+  sharpness AS sharpness_score, exposure AS exposure_score, contrast AS contrast_score, global_blur_penalty AS blur_penalty, face_score, face_sharpness AS face_sharpness_score, body_sharpness AS body_sharpness_score, body_blur_penalty, subject_score,
+  {d(0.5)} AS aesthetic_score, 'balanced' AS culling_mode, win_photo_id AS selected_photo_id, true AS subject_detected, win_file_name AS cluster_winner_filename, {r(f"greatest({d(0)}, score_gap)")} AS score_gap_from_winner,
+  {_nulls("output_path", "brightness_score", "error", "avg_person_blur_score", "min_person_blur_score", "duplicate_quality_rank", "thumbnail_path")} FROM picked"""
 ORACLES["status_split"] = f"{picked()} SELECT photo_id, 'kept' AS side FROM picked WHERE status = 'selected' UNION ALL SELECT photo_id, 'dropped' FROM picked WHERE status = 'rejected'"
 
 # --- hashes ----------------------------------------------------------------
@@ -277,7 +287,7 @@ ORACLES["cluster_models"] = f"""{picked()} SELECT cluster_id, string_agg(photo_i
 ORACLES["ungrouped_clusters"] = "SELECT s_suppkey AS id, printf('CL%04d', row_number() OVER (ORDER BY s_suppkey)) AS cluster_id, 1::BIGINT AS cluster_size, 0::DOUBLE AS confidence FROM supplier"
 ORACLES["typed_reason_rows"] = f"""{picked()} SELECT photo_id, CASE status WHEN 'selected' THEN 'positive' ELSE 'negative' END AS type, upper(status) || '_REASON' AS code, len(string_split({reason_sql("balanced")}, '; ')) - CASE WHEN cluster_size <= 1 THEN 1 ELSE 0 END
   - CASE WHEN cluster_size > 1 AND rank > 1 THEN 1 ELSE 0 END AS n FROM picked WHERE status <> 'review'"""
-ORACLES["decision_report"] = f"WITH {_REVIEWED} SELECT photo_id, filename, original_path, ai_status, final_decision, cluster_id, is_cluster_winner, final_score, 'user' AS decision_source, replace(reasons, '|', '; ') AS reasons FROM reviewed"
+ORACLES["decision_report"] = f"WITH {_REVIEWED} SELECT photo_id, filename, original_path, ai_status, final_decision, cluster_id, is_cluster_winner, final_score, 0::DOUBLE AS face_score, 0::DOUBLE AS body_sharpness, 0::DOUBLE AS body_blur_penalty, 'user' AS decision_source, replace(reasons, '|', '; ') AS reasons FROM reviewed"
 ORACLES["filter_choices"] = "SELECT DISTINCT upper(split_part(p_type, ' ', 1)) AS choice FROM part WHERE p_type IS NOT NULL"
 ORACLES["log_tail"] = "SELECT event_id, user_id::VARCHAR AS photo_id, CASE event_type WHEN 'click' THEN 'post' WHEN 'view' THEN 'save' WHEN 'error' THEN 'delete' ELSE 'undecided' END AS final_decision FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"
 ORACLES["display_rows"] = "SELECT upper(split_part(p_type, ' ', 1)) AS status, CASE WHEN p_size < 20 THEN 'Blur' ELSE 'Sharp' END AS blur_level, count(*) AS n FROM part GROUP BY ALL"

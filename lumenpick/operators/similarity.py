@@ -132,24 +132,31 @@ def bit_signature(values: Column) -> Column:
 
 
 #: Texts whose words are hashed together.
-_TEXTS = 512
+_TEXTS = 2048
+_BITS = 60
+
+
+class _WordHashes(dict):
+    """The first 60 bits of the MD5 of words."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big") >> 4
+        return value
 
 
 def _simhashes(texts: pa.Array) -> pa.Array:
-    """Votes of the distinct words, a few hundred texts at a time."""
-    words = [dict.fromkeys(w for w in _BLANKS.split(t) if w) if t is not None else {} for t in texts.to_pylist()]
-    known = {w: i for i, w in enumerate(dict.fromkeys(w for own in words for w in own))}
-    hashes = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:15], 16) for w in known), np.int64, len(known))
-    votes = 2 * ((hashes[:, None] >> np.arange(60)) & 1) - 1
-    sizes = np.array([len(own) for own in words])
-    full = np.flatnonzero(sizes)
-    if not len(full):
-        return pa.nulls(len(words), pa.int64())
-    at = np.fromiter((known[w] for own in words for w in own), np.int64, int(sizes.sum()))
-    sums = np.add.reduceat(votes[at], (np.cumsum(sizes) - sizes)[full], axis=0)
-    out = np.zeros(len(words), np.int64)
-    out[full] = ((sums > 0) * (np.int64(1) << np.arange(60))).sum(axis=1)
-    return pa.array(out, pa.int64(), mask=sizes == 0)
+    """Per text the bits that most of its distinct words have."""
+    known, out = _WordHashes(), []
+    for text in texts.to_pylist():
+        words = dict.fromkeys(_BLANKS.split(text)) if text is not None else {}
+        words.pop("", None)
+        if not words:
+            out.append(None)
+            continue
+        hashes = np.fromiter(map(known.__getitem__, words), "<u8", len(words))
+        ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(len(words), 64).sum(axis=0, dtype=np.int32)
+        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0]) & ((1 << _BITS) - 1))
+    return pa.array(out, pa.int64())
 
 
 @F.arrow_udf(LongType())

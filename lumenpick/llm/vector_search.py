@@ -250,7 +250,7 @@ def _found(chunked: DataFrame, blocks: DataFrame, shared, blocks_of: np.ndarray,
                 floor = state[1][visit, k]
                 if len(x) > k:
                     floor = np.maximum(floor, np.partition(rough - slack, len(x) - k - 1, axis=1)[:, len(x) - k - 1])
-                for v, mask in zip(visit, rough + slack >= floor[:, None], strict=True):
+                for v, mask in zip(visit, ~(rough + slack < floor[:, None]), strict=True):  # what overflows is scored
                     near = np.flatnonzero(mask)
                     scores = np.concatenate([state[1][v], exact_products(q[v], x[near])])
                     entries = np.concatenate([state[2][v], ids[near]])

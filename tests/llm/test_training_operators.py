@@ -381,7 +381,7 @@ def test_neighbours_of_odd_vectors(spark):
 def test_neighbours_of_doubles_and_queries_that_find_too_few(spark):
     rng = np.random.default_rng(4)
     far = [(i, (rng.normal(size=4) * 0.01 + np.array([c == i % 8 for c in range(4)]) * (1 if i % 8 < 4 else -1)).tolist()) for i in range(1, 30)]
-    rows_in = [*far, (40, [1.0 + 1e-12, 0.0, 0.0, 0.0]), (60, [1e300, 0.0, 0.0, 1e-9]), (None, [1.0] * 4)]
+    rows_in = [*far, (40, [1.0 + 1e-12, 0.0, 0.0, 0.0]), (60, [1e100, 0.0, 0.0, 1e-9]), (None, [1.0] * 4)]
     df = spark.createDataFrame(rows_in, "vec_id long, embedding array<double>")
     got = rows(vector_search.nearest_neighbours(df, probe_share=0.1), "query_id", "rank", "vec_id", "score")
     want = []

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch, table
 
-__all__ = ["Scratch", "WORD_BREAK", "arrow_map", "table", "word_count", "words_of"]
+__all__ = ["Scratch", "WORD_BREAK", "arrow_map", "bound_batches", "table", "word_count", "words_of"]
 
 #: Words are maximal runs of characters other than space and the controls 0x09-0x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -26,11 +26,23 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+#: Rows of an Arrow batch where the session has Spark's own default of 10,000, which is much for long texts.
+BATCH_ROWS = 2000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep batches of texts small in the JVM and in Python; a setting of the user's own stays."""
+    if spark.conf.get(_ROWS_SETTING, "10000") == "10000":
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow where fn turns one batch into columns named as in the DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    bound_batches(df.sparkSession)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, bound_batches
 from .wordhash import mix, prefix_sums, run_hashes
 
 SPACE = "▁"
@@ -259,6 +259,7 @@ def _encoder(path: str, table: PieceTable) -> Encoder:
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids: one row per document row."""
     table = docs.sparkSession.sparkContext.broadcast(PieceTable.load(model_path))  # as large as the vocabulary
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -74,3 +74,34 @@ SELECT m.conv_id, m.turn, m.role, g.to_conv AS parent_conv_id, g.to_turn AS pare
 FROM m LEFT JOIN g ON g.conv_id = m.conv_id AND g.turn = m.turn LEFT JOIN n ON n.conv_id = m.conv_id AND n.turn = m.turn LEFT JOIN o ON o.conv_id = m.conv_id AND o.turn = m.turn
   LEFT JOIN chat ON chat.conv_id = m.conv_id AND chat.part = (o.position - 1) // 1000
 """
+
+_PLAIN = r"list_filter(regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+LEAKS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN.format("text")} AS ws FROM documents),
+i AS (SELECT item_id, {_PLAIN.format("text")} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(ws) - 9) + 1), lambda j: ws[j : j + 9])) AS w FROM i WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT k FROM p),
+s AS (SELECT r, j, k, array_to_string(ws[j : j + k - 1], ' ') AS s FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM d, lens WHERE len(ws) >= k)),
+o AS (SELECT r, j, s.k AS k, item_id FROM s JOIN p ON p.k = s.k AND p.s = s.s),
+h AS (SELECT r, count(DISTINCT j + q) AS n_hit FROM (SELECT DISTINCT r, j, k FROM o), range(10) t(q) WHERE q < k GROUP BY r),
+n AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM o GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN n USING (r)
+"""
+
+AUDIT = """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+j AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  {'A': len(ws) < 200, 'B': 100 * len(list_distinct(ws)) < 50 * len(ws), 'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), 'D': regexp_matches(t, '[#$%&*|]'),
+   'E': coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)} AS x FROM w LEFT JOIN j USING (doc_id)),
+g AS (SELECT part, good, toxic, (CASE WHEN x.A THEN 'A' ELSE '' END) || (CASE WHEN x.B THEN 'B' ELSE '' END) || (CASE WHEN x.C THEN 'C' ELSE '' END) || (CASE WHEN x.D THEN 'D' ELSE '' END) || (CASE WHEN x.E THEN 'E' ELSE '' END) AS fails, count(*) AS n FROM f GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || l FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l) WHERE NOT contains(filter_order, l)),
+s AS (SELECT filter_order, step, filter_order[step : step] AS l, filter_order[1 : step - 1] AS before FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5)),
+y AS (SELECT part, filter_order, step, l, good, toxic, n, contains(fails, l) AS hit, fails = l AS alone, length(translate(fails, before, '')) < length(fails) AS earlier FROM g, s),
+r AS (SELECT part, filter_order, step, l, sum(n) FILTER (NOT hit AND NOT earlier) AS kept, sum(n) FILTER (hit AND NOT earlier) AS removed, sum(n) FILTER (hit AND earlier) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+  sum(n) FILTER (hit AND NOT earlier AND good) AS good_lost, sum(n) FILTER (hit AND NOT earlier AND toxic) AS toxic_lost FROM y GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley FROM r
+"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .benchmark_leaks import contamination
 from .chroma_fingerprint import aligned_recordings, as_recordings
 from .common import table
+from .filter_audit import filter_audit
 from .license_scan import as_source_tree, license_scan
 from .line_dedup import line_digest
 from .minhash_dedup import near_duplicates
@@ -60,6 +62,14 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(as_mail_threads(table(spark, sf_dir, "conversations")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma": op8_chroma,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quotation_links": op10_quotation_links,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_benchmark_leaks": op13_benchmark_leaks,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op3_minhash": oracles.NEAR_COPIES,
     "op5_line_dedup": oracles.LINES,
     "op10_quotation_links": oracles.QUOTES,
+    "op12_filter_audit": oracles.AUDIT,
+    "op13_benchmark_leaks": oracles.LEAKS,
 }

@@ -105,3 +105,23 @@ r AS (SELECT part, filter_order, step, l, sum(n) FILTER (NOT hit AND NOT earlier
 SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
   coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, l), 0)::BIGINT AS shapley FROM r
 """
+
+
+def _codes(rounds: int = 4, entries: int = 256) -> str:
+    """Four parts, k-means from the smallest ids; x holds the integers of a part."""
+    near = """a{r} AS MATERIALIZED (SELECT rid, p, (m % 256)::BIGINT AS e, m // 256 AS d FROM (SELECT rid, x.p AS p, min((list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, c.x) + list_inner_product(c.x, c.x))::BIGINT * 256 + c.e) AS m
+  FROM x JOIN c{r} c ON c.p = x.p GROUP BY ALL))"""
+    move = """c{n} AS MATERIALIZED (SELECT c.p AS p, c.e AS e, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT p, e, list(s ORDER BY i) AS x FROM (SELECT p, e, i, floor(sum(v) / count(*)) AS s
+  FROM (SELECT x.p AS p, a.e AS e, generate_subscripts(x.x, 1) AS i, unnest(x.x) AS v FROM x JOIN a{r} a USING (rid, p)) GROUP BY ALL) GROUP BY ALL) n ON n.p = c.p AND n.e = c.e)"""
+    steps = ", ".join(near.format(r=r) + (", " + move.format(r=r, n=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT rid, p, list_transform(embedding[p * len(embedding) // 4 + 1 : (p + 1) * len(embedding) // 4], lambda y: floor(1024 * y::DOUBLE)) AS x FROM v, range(4) t(p)),
+c0 AS (SELECT p, rid - 1 AS e, x FROM x WHERE rid <= {entries}), {steps},
+h AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM c{rounds})),
+k AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN k USING (rid), h
+"""
+
+
+CODES = _codes()

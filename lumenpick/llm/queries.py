@@ -19,6 +19,7 @@ from .quotation_links import as_mail_threads, conversation_digest
 from .quality_qda import score_documents
 from .sentencepiece_codec import codec_digest, public_model_path
 from .substring_dedup import passage_digest
+from .vector_codes import code_digest
 from .vector_search import nearest_neighbours
 
 
@@ -62,6 +63,10 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(as_mail_threads(table(spark, sf_dir, "conversations")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma": op8_chroma,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quotation_links": op10_quotation_links,
+    "op11_vector_codes": op11_vector_codes,
     "op12_filter_audit": op12_filter_audit,
     "op13_benchmark_leaks": op13_benchmark_leaks,
 }
@@ -90,6 +96,7 @@ ORACLES: dict[str, str] = {
     "op3_minhash": oracles.NEAR_COPIES,
     "op5_line_dedup": oracles.LINES,
     "op10_quotation_links": oracles.QUOTES,
+    "op11_vector_codes": oracles.CODES,
     "op12_filter_audit": oracles.AUDIT,
     "op13_benchmark_leaks": oracles.LEAKS,
 }

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import filecmp
 import os
-import re
 import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DECISION_FOLDERS, DECISION_ROOT, STATUS_FOLDERS
 from ..functions.scalars import stem, suffix
+from ..sources.files import files_below, place
 
 
 def status_folder(status: Column) -> Column:
-    """The folder of a status; null for unknown ones, which are skipped."""
-    return F.coalesce(*[F.when(F.lower(status) == s, F.lit(f)) for s, f in STATUS_FOLDERS.items()])
+    """The folder of a status; the one of errors for unknown and absent ones."""
+    return F.coalesce(*[F.when(F.lower(status) == s, F.lit(f)) for s, f in STATUS_FOLDERS.items()], F.lit(STATUS_FOLDERS["error"]))
 
 
 def numbered_name(name: Column, number: Column) -> Column:
@@ -75,15 +74,9 @@ def missing_files(items: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def existing_files(spark: SparkSession, root: str) -> DataFrame:
-    """folder (below root) and file_name of all files below root, in any store that Spark reads; none where there is no such folder."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "folder string, file_name string")
-    inner = F.regexp_extract("path", rf"^(?:[a-z0-9]+:/*)?/?{re.escape(re.sub('^[a-z0-9]+:/*', '', root).strip('/'))}/(.*)$", 1)
-    return found.select(F.regexp_extract(inner, r"^(.*)/[^/]*$", 1).alias("folder"), F.element_at(F.split(inner, "/"), -1).alias("file_name"))
+    """folder (below root) and file_name of all files below root, whatever their names; none where there is no such folder."""
+    inner = F.substring("path", F.lit(len(place(root)[1].rstrip("/")) + 2), F.length("path"))
+    return files_below(spark, root).select(F.regexp_extract(inner, r"^(.*)/[^/]*$", 1).alias("folder"), "file_name")
 
 
 def _planned(placed: DataFrame, root: str, path: str, existing: DataFrame | None) -> DataFrame:
@@ -92,16 +85,15 @@ def _planned(placed: DataFrame, root: str, path: str, existing: DataFrame | None
 
 
 def copy_plan(items: DataFrame, root: str, path: str = "path", status: str = "status", existing: DataFrame | None = None) -> DataFrame:
-    """source, destination per item with a known status (failed ones: ERROR); existing: what existing_files finds below root."""
+    """source, destination per item (failed and unknown statuses: the folder of errors); existing: what existing_files finds below root."""
     placed = items.withColumn("folder", status_folder(F.col(status)))
     return _planned(placed, root, path, existing).select("source", "destination")
 
 
 def with_output_path(items: DataFrame, root: str, path: str = "path", status: str = "status", existing: DataFrame | None = None) -> DataFrame:
-    """Items with output_path, where copy_plan puts them; null for unknown statuses."""
-    placed = items.withColumn("folder", F.coalesce(status_folder(F.col(status)), F.lit("")))
-    planned = _planned(placed, root, path, existing)
-    return planned.withColumn("output_path", F.when(F.col("folder") != "", F.col("destination"))).select(*items.columns, "output_path")
+    """Items with output_path, where copy_plan puts them."""
+    planned = _planned(items.withColumn("folder", status_folder(F.col(status))), root, path, existing)
+    return planned.withColumn("output_path", F.col("destination")).select(*items.columns, "output_path")
 
 
 def decision_plan(items: DataFrame, root: str, existing: DataFrame | None = None, include_undecided: bool = False) -> DataFrame:

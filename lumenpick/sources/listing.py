@@ -3,71 +3,48 @@
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IMAGE_SUFFIXES, OUTPUT_FOLDERS
 from ..functions.scalars import file_name, suffix
-
-_SCHEMA = "path string, file_name string, file_size long, modified long"
-
-
-def _entry(path: str) -> tuple:
-    stat = os.stat(path)
-    return path, os.path.basename(path), stat.st_size, stat.st_mtime_ns // 1000
+from .files import files_below, place
 
 
 def is_image(path: Column) -> Column:
     return F.lower(suffix(file_name(path))).isin(*IMAGE_SUFFIXES)
 
 
-def generated(relative: Column) -> Column:
-    """Whether a path below the scanned root lies in a folder that an earlier run produced."""
-    parts = F.split(relative, "/")
+def generated(path: Column) -> Column:
+    """Whether any part of a path, from the root of the file system on, names a folder that an earlier run produced."""
+    parts = F.split(path, "/")
     return F.arrays_overlap(parts, F.array(*[F.lit(f) for f in OUTPUT_FOLDERS])) | F.exists(parts, lambda p: F.endswith(F.upper(p), F.lit("_CULLED")))
 
 
 def listed(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """path, file_name, file_size, modified (epoch micros) of all files, names with a leading _ or . included.
-
-    The first level is read on the driver; the trees below are walked by tasks, one
-    per top folder, on the file system that executors share.
-    """
-    top = Path(root)
-    if not top.is_dir():
+    """path (absolute), file_name, file_size, modified (epoch micros) of all files, names with a leading _ or . included."""
+    system, top = place(root)
+    if system is None and not os.path.isdir(top):
         raise FileNotFoundError(root)
-    entries = sorted(os.scandir(top), key=lambda e: e.name)
-    files = spark.createDataFrame([_entry(e.path) for e in entries if e.is_file()], _SCHEMA)
-    folders = [(e.path,) for e in entries if e.is_dir()]
-    if not (recursive and folders):
-        return files
-
-    def walk(batches):
-        for pdf in batches:
-            rows = [_entry(os.path.join(d, f)) for folder in pdf["folder"] for d, _, names in os.walk(folder) for f in names]
-            yield pd.DataFrame(rows, columns=["path", "file_name", "file_size", "modified"])
-
-    below = spark.createDataFrame(folders, "folder string").repartition(len(folders)).mapInPandas(walk, _SCHEMA)
-    return files.unionByName(below)
+    return files_below(spark, root, recursive)
 
 
 def images(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """Image files with seq, in path order (flat scans: by lower-cased name)."""
     from ..operators.numbering import numbered
 
-    found = listed(spark, root, recursive)
-    relative = F.substring("path", F.lit(len(str(Path(root))) + 2), F.length("path"))
-    found = found.filter(is_image(F.col("path")) & ~generated(relative))
+    found = listed(spark, root, recursive).filter(is_image(F.col("path")))
+    if recursive:  # flat scans take generated folders too
+        found = found.filter(~generated(F.col("path")))
     order = F.col("path") if recursive else F.lower("file_name")
     return numbered(found, order, F.col("path"), name="seq").withColumn("seq", (F.col("seq") - 1).cast("int"))
 
 
 def folder_status(spark: SparkSession, root: str) -> str:
     """missing, empty or ok."""
-    if not Path(root).is_dir():
+    system, top = place(root)
+    if system is None and not os.path.isdir(top):
         return "missing"
     return "empty" if images(spark, root).isEmpty() else "ok"
 

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import re
+import shutil
 import struct
+import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import IMAGE_SUFFIXES
+from ..functions.scalars import suffix
+from ..plans.storage import Scratch
+from .files import files_below, hidden, place
+
 METADATA = "camera string, lens string, iso int, aperture string, shutter_speed string, focal_length string, date_taken string"
 # TIFF tag numbers.
 _ORIENTATION = 0x0112
@@ -15,8 +26,50 @@ _MAKE, _MODEL, _DATE, _EXIF, _EXPOSURE, _APERTURE, _ISO, _TAKEN, _FOCAL, _LENS =
 
 
 def decoded(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spark's image source: struct `image` with blue-green-red bytes; undecodable files keep a row with height -1."""
-    return spark.read.format("image").option("dropInvalid", False).load(paths)
+    """Spark's image source: struct `image` with blue-green-red bytes; undecodable files keep a row with height -1.
+
+    That source leaves out files whose names begin with _ or ., as cameras write them.  They are
+    linked under plain names in the shared folder, read there, and appear under their own paths.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    named = [p for p in paths if hidden(p.rstrip("/").rsplit("/", 1)[-1]) and place(p)[0] is None and os.path.isfile(place(p)[1])]
+    rest = [p for p in paths if p not in named]
+    found = [spark.read.format("image").option("dropInvalid", False).load(rest)] if rest else []
+    unseen = reduce(DataFrame.unionByName, [files_below(spark, p, recursive=False) for p in paths])
+    unseen = unseen.filter(F.rlike("file_name", F.lit("^[_.]")) & F.lower(suffix(F.col("file_name"))).isin(*IMAGE_SUFFIXES))
+    staged = _staged(spark, unseen.select("path"))
+    if staged is not None:
+        found.append(staged)
+    return reduce(DataFrame.unionByName, found) if found else spark.read.format("image").load([]).limit(0)
+
+
+def _staged(spark: SparkSession, unseen: DataFrame) -> DataFrame | None:
+    """Files under other names in a folder of their own; None where there are none."""
+    scratch = Scratch(spark)
+    folder = re.sub("^file:/*", "/", scratch.root) + "/staged"
+
+    def link(batches):
+        for pdf in batches:
+            os.makedirs(folder, exist_ok=True)
+            names = [f"{folder}/{hashlib.sha1(p.encode()).hexdigest()}{os.path.splitext(p.lstrip('_.'))[1]}" for p in pdf["path"]]
+            for path, name in zip(pdf["path"], names, strict=True):
+                if not os.path.lexists(name):
+                    try:
+                        os.link(path, name)
+                    except FileExistsError:  # a retried task
+                        pass
+                    except OSError:  # another device
+                        part = f"{name}.{uuid.uuid4().hex}"
+                        shutil.copy2(path, part)
+                        os.replace(part, name)
+            yield pdf.assign(name=names)
+
+    names = scratch.keep(unseen.mapInPandas(link, "path string, name string"))
+    if names.isEmpty():
+        return None
+    images = spark.read.format("image").option("dropInvalid", False).load(folder)
+    own = images.join(names, F.element_at(F.split("image.origin", "/"), -1) == F.element_at(F.split("name", "/"), -1))
+    return own.select(F.col("image").withField("origin", F.concat(F.lit("file://"), "path")).alias("image"))
 
 
 def sizes(images: DataFrame) -> DataFrame:
@@ -88,14 +141,13 @@ def with_metadata(files: DataFrame) -> DataFrame:
 
 
 def orientations(files: DataFrame) -> DataFrame:
-    """path, orientation of Spark's binaryFile rows (path, content); only the beginning of a file is looked at."""
+    """path, orientation of rows (path, content) of binary_files or of Spark's binaryFile source."""
 
     def run(batches):
         for pdf in batches:
             yield pdf[["path"]].assign(orientation=[orientation(bytes(c)) for c in pdf["content"]])
 
-    # EXIF data stand in one segment of at most 64 KiB near the beginning
-    return files.select("path", F.substring("content", 1, 1 << 18).alias("content")).mapInPandas(run, "path string, orientation int")
+    return files.select("path", "content").mapInPandas(run, "path string, orientation int")
 
 
 def photo_items(files: DataFrame, images: DataFrame) -> DataFrame:

@@ -368,7 +368,7 @@ def test_copies_never_overwrite(spark, tmp_path):
     assert sorted((r["error"] or "done").split(":")[0] for r in export.run_copies(clash).collect()) == ["done", "the destination exists"] and (posts / "a.jpg").read_bytes() == b"earlier"
     assert export.existing_files(spark, str(tmp_path / "none")).count() == 0
     failed = spark.createDataFrame([("p", "/q/p.jpg", "p.jpg", "error", 1), ("r", "/q/r.jpg", "r.jpg", "odd", 2)], "photo_id string, path string, file_name string, status string, seq int")
-    assert [r["output_path"] for r in export.with_output_path(failed, "/o").orderBy("seq").collect()] == ["/o/04_REPORT/errors/p.jpg", None]
+    assert [r["output_path"] for r in export.with_output_path(failed, "/o").orderBy("seq").collect()] == ["/o/04_REPORT/errors/p.jpg", "/o/04_REPORT/errors/r.jpg"]
 
 
 def test_json_caches(spark, tmp_path):

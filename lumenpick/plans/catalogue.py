@@ -446,7 +446,8 @@ def stream_decisions(spark, sf_dir):
     """The decision log as a stream: every batch upserts into a store; the store equals the latest decisions."""
     import uuid
 
-    from ..streaming.incremental import keyed_upserts
+    from ..sources.generations import Store
+    from ..streaming.incremental import keyed_upserts, latest_upserts
 
     columns = f.decision_log(spark, sf_dir)
     raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
@@ -455,5 +456,6 @@ def stream_decisions(spark, sf_dir):
     stream = raw.select(F.col("user_id").cast("string").alias("photo_id"), F.col("ts").alias("decision_updated_at"), "event_id", final.alias("final_decision"))
     schema = columns.select("photo_id", "decision_updated_at", "event_id", "final_decision").schema
     root = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    keyed_upserts(stream, f"{root}/store", schema, "photo_id", ("decision_updated_at", "event_id"), f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/store").select("photo_id", "event_id", "final_decision")
+    order = ("decision_updated_at", "event_id")
+    keyed_upserts(stream, f"{root}/store", schema, "photo_id", order, f"{root}/checkpoint").awaitTermination()
+    return latest_upserts(Store(spark, f"{root}/store", schema), "photo_id", order).select("photo_id", "event_id", "final_decision")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .documents import KEYED, write_document
+from .generations import Store
+
 DECISION = "photo_id string, filename string, original_path string, ai_status string, final_decision string, decision_source string, decision_updated_at string, notes string"
 CACHE = (
     "cache_key string, photo_id string, path string, file_size long, modified long, thumbnail_path string, phash string, sharpness double, exposure double, contrast double,"
@@ -27,13 +30,33 @@ def _text_if_there(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "value string")
 
 
+def _objects(spark: SparkSession, path: str, record: str) -> DataFrame:
+    """key, d: the objects of a JSON object by key, or of a file or folder of lines with an object each (key null).
+
+    A missing or unreadable file or another root gives none.
+    """
+    whole, shape = _text_if_there(spark, path), f"struct<{_fields(record)}>"
+    is_record = lambda text: F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in ("photo_id", "cache_key", "path")]).isNotNull()
+    keyed = whole.filter(~is_record("value")).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "text")).filter(F.startswith(F.ltrim("text"), F.lit("{")))
+    lines = whole.select(F.explode(F.split("value", "\n")).alias("text")).filter(F.rlike("text", F.lit(r"^\{.*\}\s*$"))).filter(is_record("text"))
+    both = keyed.unionByName(lines.select(F.lit(None).cast("string").alias("key"), "text"))
+    return both.select("key", F.from_json("text", shape).alias("d")).filter("d is not null")
+
+
+def _fields(record: str) -> str:
+    return re.sub(r"(\w+) ((?:struct<[^>]*>)|\w+)", r"\1:\2", record)
+
+
 def decisions_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """Decisions of a JSON object keyed by id; a missing or unreadable file or another root gives none."""
+    """Decisions of a JSON object keyed by id, or of lines as `decisions_to_json` gives them."""
     from ..functions.scalars import decision
 
-    entries = _text_if_there(spark, path).select(F.from_json("value", f"map<string,struct<{', '.join(c.strip().replace(' ', ':') for c in DECISION.split(','))}>>").alias("m"))
-    rows = entries.select(F.explode("m").alias("key", "d")).select("key", "d.*")
-    return rows.withColumn("photo_id", F.coalesce(F.nullif(F.col("photo_id"), F.lit("")), "key")).withColumn("final_decision", decision(F.col("final_decision"))).drop("key")
+    rows = _objects(spark, path, DECISION).select("key", "d.*")
+    text = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
+    return rows.withColumns({
+        "photo_id": F.coalesce(F.nullif(F.col("photo_id"), F.lit("")), "key"), "final_decision": decision(F.col("final_decision")), "ai_status": F.lower(text("ai_status", "review")),
+        "filename": text("filename", ""), "original_path": text("original_path", ""), "decision_source": text("decision_source", "manual"), "notes": text("notes", ""),
+    }).filter("photo_id is not null").drop("key")
 
 
 _RECORD = (
@@ -45,87 +68,57 @@ _RECORD = (
 )
 
 
+_GROUPS = {"technical": ("sharpness", "exposure", "contrast", "global_blur_penalty"), "face": ("face_detected", "face_count", "face_sharpness", "face_score"), "body": ("person_detected", "body_sharpness", "body_blur_penalty", "subject_score")}
+_FLAT = ", ".join(c for c in CACHE.split(", ") if c.split()[0] in {n for names in _GROUPS.values() for n in names} | {"modified", "analysis_error"})
+
+
 def _cache_rows(records: DataFrame) -> DataFrame:
-    """Rows of CACHE from a column `r` of nested records; times become microseconds."""
-    flat = records.select("r.*").withColumn("modified", F.floor(F.col("mtime") * 1e6 + 0.5).cast("long"))
-    flat = flat.select("*", "technical.*", "face.*", "body.*").withColumn("analysis_error", F.lit(None).cast("string"))
-    return flat.select(*[c.split()[0] for c in CACHE.split(", ")])
+    """Rows of CACHE from a column `r` of records, nested by group or flat; times become microseconds."""
+    nested = {n: F.coalesce(F.col(f"r.{g}.{n}"), F.col(f"r.{n}")) for g, names in _GROUPS.items() for n in names}
+    own = {"modified": F.coalesce(F.floor(F.col("r.mtime") * 1e6 + 0.5).cast("long"), F.col("r.modified"))}
+    return records.select(*[(nested | own).get(c, F.col(f"r.{c}")).alias(c) for c in (x.split()[0] for x in CACHE.split(", "))])
 
 
 def cache_from_json(spark: SparkSession, path: str) -> DataFrame:
-    """The cache of a JSON object keyed by cache key; a missing or corrupt file gives none, entries that are no objects are left out."""
-    entries = _text_if_there(spark, path).select(F.from_json("value", "map<string,string>").alias("m")).select(F.explode("m").alias("key", "text"))
-    parsed = entries.filter(F.startswith(F.ltrim("text"), F.lit("{"))).select("key", F.from_json("text", _RECORD).alias("r")).filter("r is not null")
-    return _cache_rows(parsed.select(F.col("r").withField("cache_key", F.coalesce("r.cache_key", "key")).alias("r")))
+    """The cache of a JSON object keyed by cache key, or of lines as `cache_to_json` gives them; entries that are no objects are left out."""
+    parsed = _objects(spark, path, f"{_RECORD}, {_FLAT}")
+    return _cache_rows(parsed.select(F.col("d").withField("cache_key", F.coalesce("d.cache_key", "key")).alias("r")))
 
 
 def cache_from_files(spark: SparkSession, folder: str) -> DataFrame:
     """The older form: a folder with one JSON file per image; unreadable files are left out."""
-    parsed = _text_if_there(spark, folder).select(F.from_json("value", _RECORD).alias("r"))
+    parsed = _text_if_there(spark, folder).select(F.from_json("value", f"struct<{_fields(_RECORD + ', ' + _FLAT)}>").alias("r"))
     return _cache_rows(parsed.filter("r is not null and r.path is not null"))
 
 
 def cache_to_json(cache: DataFrame) -> DataFrame:
-    """One JSON line per cache row, sorted by key."""
-    return cache.orderBy("cache_key").select(F.to_json(F.struct(*[c.split()[0] for c in CACHE.split(", ")])).alias("record"))
+    """key and record per cache row: the scores nested by group, the time in seconds; sorted by key."""
+    grouped = {n for names in _GROUPS.values() for n in names} | {"modified"}
+    flat = [c for c in (x.split()[0] for x in CACHE.split(", ")) if c not in grouped]
+    record = F.struct(*flat, (F.col("modified") / 1e6).alias("mtime"), *[F.struct(*names).alias(g) for g, names in _GROUPS.items()])
+    return cache.orderBy("cache_key").select(F.col("cache_key").alias("key"), F.to_json(record, {"ignoreNullFields": "false"}).alias("record"))
 
 
 def decisions_to_json(decisions: DataFrame) -> DataFrame:
-    """One JSON line per decision, sorted by id."""
-    return decisions.orderBy("photo_id").select(F.to_json(F.struct(*[c.split()[0] for c in DECISION.split(", ")])).alias("record"))
+    """key and record per decision, sorted by id."""
+    record = F.to_json(F.struct(*[c.split()[0] for c in DECISION.split(", ")]), {"ignoreNullFields": "false"})
+    return decisions.orderBy("photo_id").select(F.col("photo_id").alias("key"), record.alias("record"))
 
 
-def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet store, empty where there is none yet; unknown columns are dropped, missing ones null.
-
-    Where a replacement was cut short, the complete rows beside the store count.
-    """
-    for place in (path, f"{path}.next", f"{path}.old"):
-        if place == path or _exists(spark, f"{place}/_SUCCESS"):
-            try:
-                return spark.read.schema(schema).parquet(place)
-            except AnalysisException as e:
-                if e.getCondition() != "PATH_NOT_FOUND":
-                    raise
-    return spark.createDataFrame([], schema)
+def write_json_store(keyed: DataFrame, path: str) -> str:
+    """One JSON object of `decisions_to_json` or `cache_to_json` rows, sorted by key; readers see the old one or the new one."""
+    return write_document(keyed.withColumn("section", F.lit("")), path, [("", KEYED)], "key")
 
 
-def _file_system(spark: SparkSession, path: str):
-    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found  # noqa: SLF001
+def _ddl(schema) -> str:
+    return schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    system, place = _file_system(spark, path)
-    return system.exists(place)
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The current rows of a store, empty where there is none yet."""
+    return Store(spark, path, _ddl(schema)).read()
 
 
 def replaced(rows: DataFrame, path: str) -> None:
-    """Replace a store by rows that may have been read from it: written beside it, then renamed, so that a crash loses nothing."""
-    spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}.next")
-    system, place = _file_system(spark, path)
-    beside, old = (_file_system(spark, f"{path}.{x}")[1] for x in ("next", "old"))
-    system.delete(old, True)
-    if system.exists(place):
-        system.rename(place, old)
-    system.rename(beside, place)
-    system.delete(old, True)
-
-
-#: Folders of a bucketed store; a change rewrites the folders it touches.
-BUCKETS = 64
-
-
-def upserted_buckets(fresh: DataFrame, path: str, schema: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    """Rewrite the buckets of a store that fresh rows fall into by merge(old rows, fresh rows)."""
-    bucketed = fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-    touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most BUCKETS rows
-    if touched:
-        old = stored(fresh.sparkSession, path, f"{_ddl(schema)}, bucket int").filter(F.col("bucket").isin(touched)).drop("bucket")
-        out = merge(old.select(*fresh.columns), fresh).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _ddl(schema) -> str:
-    return schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    """Replace a store by rows that may have been read from it; a crash leaves the old rows or the new ones."""
+    Store(rows.sparkSession, path, _ddl(rows.schema)).replace(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import kept_per_cluster, pick_limits
@@ -14,17 +14,42 @@ RANK_KEYS = ("final_score", "subject_score", "body_clarity", "face_score", "shar
 _WINNER = ("photo_id", "file_name", "final_score", "body_blur_penalty", "face_score")
 
 
-def ranked(items: DataFrame) -> DataFrame:
+#: Rows of a cluster that one task may sort; larger clusters are ranked over range partitions.
+LARGE_CLUSTER = 1 << 20
+
+
+def _rank_order() -> list[Column]:
+    return [F.col("final_score").desc(), F.col("subject_score").desc(), (num(1) - F.col("body_blur_penalty")).desc(), F.col("face_score").desc(), F.col("sharpness").desc(), F.lower("file_name"), F.col("seq")]
+
+
+def ranked(items: DataFrame, large: int = LARGE_CLUSTER) -> DataFrame:
     """Adds rank, cluster_size and `winner` (a struct) per cluster_id; ties go by lower-cased name, then seq.
 
-    Items are numbered in the order of clusters and ranks over range partitions, so a
-    large cluster spreads over several; its first number, size and winner come from one aggregate
-    that is combined before the shuffle, and the rank is the distance from the first number.
+    One sort per cluster gives all three.  Clusters of more than `large` rows, of which there are at most
+    rows / large, are counted first and ranked over range partitions instead, so none is one task's work.
     """
-    order = [F.col("final_score").desc(), F.col("subject_score").desc(), (num(1) - F.col("body_blur_penalty")).desc(), F.col("face_score").desc(), F.col("sharpness").desc(), F.lower("file_name"), F.col("seq")]
-    rows = numbered(items, F.col("cluster_id"), *order, name="_number")
+    sizes = items.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.count("*").alias("_n"))
+    huge = [r["_cluster"] for r in sizes.filter(F.col("_n") > large).select("_cluster").collect()]
+    if not huge:
+        return _ranked_by_window(items)
+    is_huge = F.col("cluster_id").isin([c for c in huge if c is not None])
+    is_huge = F.coalesce(is_huge, F.lit(None in huge))
+    names = [*items.columns, "rank", "cluster_size", "winner"]
+    return _ranked_by_window(items.filter(~is_huge)).select(names).unionByName(_ranked_by_range(items.filter(is_huge)).select(names))
+
+
+def _ranked_by_window(items: DataFrame) -> DataFrame:
+    cluster = Window.partitionBy("cluster_id").orderBy(*_rank_order())
+    whole = cluster.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.first(F.struct(*_WINNER)).over(cluster.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return items.withColumns({"rank": F.row_number().over(cluster), "cluster_size": F.count(F.lit(1)).over(whole), "winner": first})
+
+
+def _ranked_by_range(items: DataFrame) -> DataFrame:
+    """Numbers in the order of clusters and ranks; a cluster's first number, size and winner come from an aggregate."""
+    rows = numbered(items, F.col("cluster_id"), *_rank_order(), name="_number")
     clusters = rows.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.min(F.struct("_number", *_WINNER)).alias("_first"), F.count("*").alias("cluster_size"))
-    joined = rows.join(clusters, F.col("cluster_id").eqNullSafe(F.col("_cluster")))
+    joined = rows.join(F.broadcast(clusters), F.col("cluster_id").eqNullSafe(F.col("_cluster")))  # as few as there are large clusters
     return joined.withColumns({
         "rank": (F.col("_number") - F.col("_first._number") + 1).cast("int"), "winner": F.struct(*[F.col(f"_first.{c}").alias(c) for c in _WINNER]),
     }).drop("_cluster", "_number", "_first")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import combinations
+from itertools import combinations, pairwise
 from math import comb
 
 import numpy as np
@@ -22,47 +22,108 @@ from .numbering import numbered
 _BLANKS = re.compile("[ \\n\\t\\r]+")
 
 
-#: Keys that a hash may emit for the pair join.
-_MOST_KEYS = 200
+#: Bits that a key of the pair join should have at least, hashes of one block, and pairs compared at a time.
+_KEY_BITS = 10
+BLOCK = 4096
+_TILE = 1 << 20
+_MOST_KEYS = 500
 
 
-def _agreeing(threshold: int) -> int:
-    """How many bands must agree at once: of 1 to 4 the number that leaves least candidates."""
-    costs = {}
+def _banding(threshold: int, width: int, n: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """How many bands must agree at once, and the bands as bit ranges; None where comparing all hashes costs less.
+
+    Weighs the keys that n hashes send against the pairs left to compare, some 200 to one.
+    """
+    costs = {0: n / 2 + 200 * -(-n // BLOCK)}
     for m in range(1, 5):
         bands = threshold + m
-        if bands <= 64 and (m == 1 or comb(bands, m) <= _MOST_KEYS):
-            costs[m] = comb(bands, m) / 2 ** (64 * m / bands)
-    return min(costs, key=costs.get)
+        if bands <= width and comb(bands, m) <= _MOST_KEYS and width * m / bands >= _KEY_BITS / 2:
+            costs[m] = comb(bands, m) * (n / 2 ** (width * m / bands) / 2 + 200)
+    m = min(costs, key=costs.get)
+    return (m, [(width * i // (threshold + m), width * (i + 1) // (threshold + m)) for i in range(threshold + m)]) if m else None
 
 
-def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
+def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD, width: int = 64, block: int = BLOCK) -> DataFrame:
     """a, b, distance for all pairs of one row per hash (columns id, hash) with a < b that differ in at most `threshold` bits.
 
-    Hashes are cut into threshold + m bands, of uneven widths where 64 is no multiple.
-    Differing bits spoil at most `threshold` bands, so two hashes within it agree in m bands at
-    least, and an equality join over all choices of m bands loses no pair.  A pair is
-    compared for the first m bands it agrees in only.  Up to some twelve bits such keys are long
-    and candidates few; beyond that no choice of bands is selective, and the work
-    nears a comparison of all pairs.
+    `width`: bits that hashes use, the higher ones being equal.  Hashes are cut into
+    threshold + m bands; differing bits spoil at most `threshold` of them, so two hashes within it agree
+    in m bands at least and meet under a key of m bands.  Where no choice of bands is selective, as beyond some
+    twelve bits, all hashes have one key and n hashes cost n * n / 2 comparisons.
+
+    The hashes of a key are dealt into blocks of about `block`, and every pair of blocks is compared in one task by
+    counting the bits of whole arrays, so a crowded key is many tasks' work.  A pair that shares
+    several keys is given under the first only.
     """
-    if threshold >= 64:  # every pair is close
-        return compared_pairs(hashes, threshold)
-    together = _agreeing(threshold)
-    bands = threshold + together
-    cuts = [(64 * i // bands, 64 * (i + 1) // bands) for i in range(bands)]
-    masks = [((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0) for lo, hi in cuts]  # signed 64-bit
-    chosen = list(combinations(range(bands), together))
-    key = lambda c: F.struct(F.lit(chosen.index(c)).alias("no"), F.col("hash").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))).alias("value"))
-    keyed = hashes.select("id", "hash", F.explode(F.array(*[key(c) for c in chosen])).alias("key"))
-    left = keyed.select(F.col("id").alias("a"), F.col("hash").alias("a_hash"), "key")
-    right = keyed.select(F.col("id").alias("b"), F.col("hash").alias("b_hash"), "key")
-    met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (hamming(F.col("a_hash"), F.col("b_hash")) <= threshold))
-    differing = F.col("a_hash").bitwiseXOR(F.col("b_hash"))
-    agreed = F.array_compact(F.array(*[F.when(differing.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)]))
-    first = F.element_at(F.array(*[F.array(*[F.lit(i) for i in c]) for c in chosen]), F.col("key.no") + 1)
-    near = met.filter(F.slice(agreed, 1, together) == first)
-    return near.select("a", "b", hamming(F.col("a_hash"), F.col("b_hash")).cast("int").alias("distance"))
+    n = hashes.count()
+    banding = _banding(threshold, width, n)
+    hashes = hashes.select("id", "hash")
+    if banding is None:
+        keyed, first = hashes.withColumns({"no": F.lit(0), "value": F.lit(0).cast("long")}), None
+    else:
+        together, cuts = banding
+        masks = [_signed((1 << high) - (1 << low)) for low, high in cuts]
+        chosen = list(combinations(range(len(cuts)), together))
+        keys = [F.struct(F.lit(i).alias("no"), F.col("hash").bitwiseAND(F.lit(_signed(sum((1 << cuts[j][1]) - (1 << cuts[j][0]) for j in c)))).alias("value")) for i, c in enumerate(chosen)]
+        keyed = hashes.select("id", "hash", F.inline(F.array(*keys)))
+        first = (np.array(masks, np.int64), {c: i for i, c in enumerate(chosen)}, together)
+    # keys of more than a block, of which there are at most as many as blocks of keyed hashes
+    sizes = keyed.groupBy("no", "value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = keyed.join(sizes, ["no", "value"], "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "own": F.pmod(F.xxhash64("hash"), F.coalesce("blocks", F.lit(1))).cast("int")})
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = placed.select("id", "hash", "no", "value", "own", other.alias("other")).withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    met = dealt.select("no", "value", "low", "high", "own", "id", "hash")
+    key = ["no", "value", "low", "high"]
+    kind = hashes.schema["id"].dataType.simpleString()
+    found = met.repartition(*key).sortWithinPartitions(*key, "own").mapInArrow(_comparer(threshold, first), f"a {kind}, b {kind}, distance int")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+
+
+def _comparer(threshold: int, first: tuple | None):
+    """Compares the hashes of every run of rows with one key and pair of blocks."""
+
+    def pairs(key: tuple, held: list[tuple[np.ndarray, pa.Array, np.ndarray]]):
+        own, ids, hashes = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        no, _, low, high = key
+        cut = int(np.searchsorted(own, low, "right")) if low != high else 0
+        rows = len(hashes) if low == high else cut
+        step = max(1, _TILE // max(1, len(hashes)))
+        for at in range(0, rows, step):
+            begin = at + 1 if low == high else cut
+            mine, others = hashes[at : min(at + step, rows)], hashes[begin:]
+            apart = np.bitwise_count((mine[:, None] ^ others[None, :]).view(np.uint64))
+            x, y = np.nonzero(apart <= threshold)
+            x, y, distance = x + at, y + begin, apart[x, y]
+            if low == high:
+                keep = y > x
+                x, y, distance = x[keep], y[keep], distance[keep]
+            if first is not None and len(x):
+                masks, numbers, together = first
+                agree = ((hashes[x] ^ hashes[y])[:, None] & masks[None, :]) == 0
+                own_key = np.array([numbers[tuple(np.flatnonzero(row)[:together].tolist())] == no for row in agree])
+                x, y, distance = x[own_key], y[own_key], distance[own_key]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:4]], axis=1)
+            own, hashes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 6))
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for start, stop in pairwise(edges):
+                mine = tuple(keys[start].tolist())
+                if mine != key and held:
+                    yield from pairs(key, held)
+                    held = []
+                key = mine
+                held.append((own[start:stop], batch.column(5).slice(start, stop - start), hashes[start:stop]))
+        if held:
+            yield from pairs(key, held)
+
+    return run
 
 
 def _signed(x: int) -> int:
@@ -77,15 +138,15 @@ def compared_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFr
     return left.join(right, (F.col("a") < F.col("b")) & (distance <= threshold)).select("a", "b", distance.cast("int").alias("distance"))
 
 
-def grouped(items: DataFrame, threshold: int = HASH_THRESHOLD) -> DataFrame:
+def grouped(items: DataFrame, threshold: int = HASH_THRESHOLD, width: int = 64) -> DataFrame:
     """Adds `component` to items (id, hash): the smallest id joined by a chain of close pairs.
 
     Items with equal hashes collapse to one before pairs are formed; items
     without a hash stay alone.
     """
-    with_hash = items.filter("hash is not null")
-    unique = written(with_hash.groupBy("hash").agg(F.min("id").alias("id")))
-    pairs = close_pairs(unique, threshold)
+    items = written(items)  # hashes are worked out once
+    unique = written(items.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("id")))
+    pairs = close_pairs(unique, threshold, width)
     labels = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     of_hash = unique.join(labels.withColumnRenamed("node", "id"), "id", "left").select("hash", F.coalesce("component", "id").alias("_component"))
     return items.join(of_hash, "hash", "left").withColumn("component", F.coalesce("_component", "id")).drop("_component")
@@ -133,7 +194,7 @@ def bit_signature(values: Column) -> Column:
 
 #: Texts whose words are hashed together.
 _TEXTS = 2048
-_BITS = 60
+SIMHASH_BITS = 60
 
 
 class _WordHashes(dict):
@@ -155,7 +216,7 @@ def _simhashes(texts: pa.Array) -> pa.Array:
             continue
         hashes = np.fromiter(map(known.__getitem__, words), "<u8", len(words))
         ones = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(len(words), 64).sum(axis=0, dtype=np.int32)
-        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0]) & ((1 << _BITS) - 1))
+        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0]) & ((1 << SIMHASH_BITS) - 1))
     return pa.array(out, pa.int64())
 
 

@@ -169,7 +169,7 @@ def _simhashes(spark, sf_dir):
 
 @query
 def similarity_clusters(spark, sf_dir):
-    g = similarity.grouped(_simhashes(spark, sf_dir)).withColumn("name", F.concat(F.lit("Doc"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".jpg"))).withColumn("seq", F.col("id"))
+    g = similarity.grouped(_simhashes(spark, sf_dir), width=similarity.SIMHASH_BITS).withColumn("name", F.concat(F.lit("Doc"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".jpg"))).withColumn("seq", F.col("id"))
     out = similarity.labelled(g)
     return out.select("id", "component", "cluster_id", "cluster_size", "confidence", similarity.duplicate_label(F.col("cluster_size"), F.col("cluster_id")).alias("duplicate_group"))
 

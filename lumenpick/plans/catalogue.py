@@ -144,9 +144,33 @@ def _json_fields(records: DataFrame, texts: tuple[str, ...], numbers: tuple[str,
 
 @query
 def report_json(spark, sf_dir):
-    texts = ("filename", "status", "clusterId", "isClusterWinner", "clusterWinnerFilename")
+    texts = ("filename", "status", "cluster_id", "is_cluster_winner", "clusterWinnerFilename")
     numbers = [f"scoreBreakdown.{n}" for n in ("finalScore", "scorePercent", "technical.globalBlurPenalty", "face.faceCount", "body.subjectScore")]
-    return _json_fields(reports.audit_json(_explained(spark, sf_dir)), texts, numbers)
+    return _json_fields(reports.audit_json(_explained(spark, sf_dir)), texts, numbers).withColumnsRenamed({"cluster_id": "clusterId", "is_cluster_winner": "isClusterWinner"})
+
+
+@query
+def audit_records(spark, sf_dir):
+    """All fields of the JSON report's photo records."""
+    rows = reports.audit_rows(reports.stamped(_explained(spark, sf_dir), mode="balanced", performance_mode="balanced", analysis_size=1600))
+    record = reports.audit_json(reports.stamped(_explained(spark, sf_dir), mode="balanced", performance_mode="balanced", analysis_size=1600))
+    more = "outputPath string, thumbnailPath string, clusterWinnerFilename string, scoreGapFromWinner double, reasonsList array<string>"
+    more += ", scoreBreakdown struct<technical: struct<sharpness: double>, face: struct<faceScore: double>, body: struct<personDetected: boolean>, duplicatePenalty: double>"
+    r = record.select(F.from_json("record", ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", " + more).alias("r")).select("r.*")
+    return r.withColumns({
+        "reasonsList": F.array_join("reasonsList", "; "), "sharpness": F.col("scoreBreakdown.technical.sharpness"), "faceScore": F.col("scoreBreakdown.face.faceScore"),
+        "personDetected": F.col("scoreBreakdown.body.personDetected"), "duplicatePenalty": F.col("scoreBreakdown.duplicatePenalty"),
+    }).drop("scoreBreakdown")
+
+
+@query
+def cluster_winners(spark, sf_dir):
+    """The JSON report's clusters from their pieces: winner, photos and the winner's own record."""
+    piece = reports.cluster_pieces(_explained(spark, sf_dir))
+    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]), ","))
+    parsed = F.from_json("record", "clusterId string, selectedPhotoId string, winner struct<filename: string, status: string, final_score: double>, photos array<struct<photoId: string>>")
+    r = piece.groupBy("cluster_id").agg(text.alias("record")).select(parsed.alias("r")).select("r.*")
+    return r.select(F.col("clusterId").alias("cluster_id"), F.col("selectedPhotoId").alias("selected"), F.col("winner.filename").alias("winner_name"), F.col("winner.status").alias("winner_status"), F.col("winner.final_score").alias("best_score"), F.size("photos").cast("long").alias("photos"))
 
 
 @query

@@ -256,6 +256,10 @@ ORACLES["result_summary"] = f"""{picked()} SELECT 'balanced' AS mode, count(*)::
   (count(*) FILTER (status = 'rejected'))::DOUBLE AS "rejectedCount", count(DISTINCT cluster_id)::DOUBLE AS "clusterCount", {r(f"sum(floor(final_score * {d(10000)} + {d(0.5)})::BIGINT)::DOUBLE / {d(10000)} / count(*)")} AS "averageFinalScore" FROM picked"""
 ORACLES["report_json"] = f"""{picked()} SELECT photo_id, file_name AS filename, status, cluster_id AS "clusterId", CASE WHEN rank = 1 THEN 'true' ELSE 'false' END AS "isClusterWinner", win_file_name AS "clusterWinnerFilename", final_score AS "finalScore",
   {r(f"final_score * {d(100)}", 2)} AS "scorePercent", global_blur_penalty AS "globalBlurPenalty", face_count::DOUBLE AS "faceCount", subject_score AS "subjectScore" FROM picked"""
+ORACLES["audit_records"] = ORACLES["report_rows"].removesuffix(" FROM picked") + f""", NULL::VARCHAR AS "outputPath", NULL::VARCHAR AS "thumbnailPath", win_file_name AS "clusterWinnerFilename", score_gap AS "scoreGapFromWinner",
+  {reason_sql("balanced")} AS "reasonsList", sharpness, face_score AS "faceScore", true AS "personDetected", duplicate_penalty AS "duplicatePenalty" FROM picked"""
+ORACLES["cluster_winners"] = f"""{picked()} SELECT cluster_id, max(CASE WHEN rank = 1 THEN photo_id END) AS selected, max(CASE WHEN rank = 1 THEN file_name END) AS winner_name, max(CASE WHEN rank = 1 THEN status END) AS winner_status,
+  max(CASE WHEN rank = 1 THEN final_score END) AS best_score, count(*) AS photos FROM picked GROUP BY cluster_id"""
 ORACLES["cluster_json"] = f"""{picked()} SELECT cluster_id, max(CASE WHEN rank = 1 THEN photo_id END) AS selected, string_agg(photo_id, ',' ORDER BY rank > 1, final_score DESC, photo_id) AS photos, max(CASE WHEN rank = 1 THEN final_score END) AS best_score FROM picked GROUP BY cluster_id"""
 ORACLES["decision_json"] = f"""WITH {_REVIEWED}, placed AS (SELECT *, ((row_number() OVER (PARTITION BY cluster_id ORDER BY photo_id)) - 1) // 1000 AS part FROM reviewed), w AS (SELECT cluster_id, min(photo_id) FILTER (is_cluster_winner) AS winner FROM reviewed GROUP BY cluster_id)
 SELECT cluster_id, part::INTEGER AS part, winner, string_agg(photo_id, ',' ORDER BY photo_id) AS ids, string_agg(ai_status, ',' ORDER BY photo_id) AS statuses, string_agg(final_decision, ',' ORDER BY photo_id) AS decisions FROM placed JOIN w USING (cluster_id) GROUP BY ALL"""

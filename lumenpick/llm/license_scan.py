@@ -3,7 +3,7 @@
 Templates are titles, notices, file headers and whole licence texts.  Document
 frequencies of their words are counted over all texts.  Every run of as many words
 as a template has, wherever it stands in a text (a shorter text as a whole), is compared with it
-as sparse vectors of term frequency times inverse document frequency; words
+as sparse vectors (places and values) of term frequency times inverse document frequency; words
 that no template has weigh as much as words that occur in no text and only lengthen the
 run's vector.  The best run decides, if its cosine reaches the threshold and if it has the words
 by which the licence is named in the template.  An SPDX line names its licence outright.
@@ -12,6 +12,10 @@ No run is left out: sums over runs come from prefix sums, which bound every cosi
 above, and cosines are worked out where the bound reaches the threshold.  Texts without any of
 a template's heaviest words, those without which no run can reach it, need no look at its runs.
 
+A run must have the words that tell a licence from its kin, such as its version, "lesser" or "later", and none of them
+that the template lacks.  A notice or title counts for nothing where a negation stands in it or within four words before it in its sentence.
+An SPDX line may hold an expression (AND, OR, WITH, brackets), which is given whole.
+
 A file named as a licence file licenses its directory.  Directories, not files,
 are then expanded to their ancestors and joined to the licensed directories, and the deepest
 match is inherited by all files that have no licence of their own.  The root of relative
@@ -41,11 +45,20 @@ from .wordhash import ranges, token_column, word_hashes
 THRESHOLD = 0.8
 #: Templates of at most so many words must be matched with the words of the licence's name.
 NOTICE_WORDS = 30
-LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)(\.[a-z]+)?$"
+#: LICENSE, LICENSE.md, COPYING.LESSER, LICENSE-MIT, LICENSE_APACHE-2.0.txt, but not license_scan.py.
+LICENSE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)((\.[a-z]+)?|[-_][a-z0-9+-]+(\.[0-9]+)*(\.(txt|md|rst|html?))?)$"
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SPDX_MARK = re.compile(rb"SPDX-License-Identifier:")
-_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]*[A-Za-z0-9+])")
+_SPDX_TOKENS = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9.:+-]*[A-Za-z0-9+])")
+#: Words that tell a licence from its kin: a run has those of its template and no others.
+_KIN = ("lesser", "affero", "later", "noncommercial", "sharealike", "noderivatives", "nc", "sa", "nd")
+#: Licences whose headers differ from those of their kin by the version.
+_VERSIONED = ("AGPL", "Apache", "BSL", "CC", "EPL", "GPL", "LGPL", "MPL")
+_STOPS = np.isin(np.arange(256), np.frombuffer(b".!?;\n", np.uint8))
+#: Words before a run, of its own sentence, in which a negation counts.
+_BEFORE = 4
+_NEGATIONS = ("not", "never", "neither", "nor", "cannot", "isn", "wasn", "aren")
 #: Parts of identifiers that don't tell licences apart.
 _LOOSE = frozenset(("only", "or", "later", "clause", "0"))
 
@@ -55,6 +68,28 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(re.sub("[A-Z]+", lambda m: m.group().lower(), text))
 
 
+def spdx_expression(text: bytes) -> str | None:
+    """The longest well-formed licence expression that a text begins with: identifiers joined by AND, OR and WITH, with brackets."""
+    at, depth, operand, words, best = 0, 0, True, [], None
+    while found := _SPDX_TOKENS.match(text, at):
+        word, at = found.group(1).decode(), found.end()
+        joins = word in ("AND", "OR", "WITH")
+        if word == "(" and operand:
+            depth += 1
+        elif word == ")" and not operand and depth:
+            depth -= 1
+        elif joins and not operand:
+            operand = True
+        elif operand and not joins and word not in "()":
+            operand = False
+        else:
+            break
+        words.append(word)
+        if not operand and not depth:
+            best = " ".join(words).replace("( ", "(").replace(" )", ")")
+    return best
+
+
 class TemplateIndex:
     """Template vectors over their own vocabulary, for given document frequencies."""
 
@@ -70,43 +105,62 @@ class TemplateIndex:
         place = {vocabulary[k]: i for i, k in enumerate(order)}
         # one more entry for all other words
         self.idf = np.array([idf(frequencies.get(vocabulary[k], 0)) for k in order] + [idf(0)])
-        self.vectors = np.zeros((len(split), len(place) + 1))
-        self.named, self.heavy = [], np.zeros((len(split), len(place) + 1), bool)
-        for t, (name, words) in enumerate(split):
-            for w, n in Counter(words).items():
-                self.vectors[t, place[w]] = n * self.idf[place[w]]
-            self.vectors[t] /= np.linalg.norm(self.vectors[t])
-            # notices and titles name their licence; long texts are told apart by their length
-            self.named.append([place[w] for w in set(tokens(name)) - _LOOSE if w in words and len(words) <= NOTICE_WORDS])
-            heaviest = np.argsort(-self.vectors[t])
-            enough = int(np.searchsorted(np.cumsum(self.vectors[t][heaviest] ** 2), 1 - threshold**2 + 1e-9)) + 1
-            self.heavy[t, heaviest[:enough]] = True
+        kin = {k: place[k] for k in _KIN if k in place}
+        self.vectors: list[tuple[np.ndarray, np.ndarray]] = []
+        self.named, self.barred, self.heavy = [], [], []
+        for name, words in split:
+            counts = Counter(words)
+            at = np.array([place[w] for w in counts])
+            values = np.array([float(n) for n in counts.values()]) * self.idf[at]
+            values /= np.linalg.norm(values)
+            self.vectors.append((at, values))
+            own = set(tokens(name)) - _LOOSE if len(words) <= NOTICE_WORDS else {w for w in tokens(name) if w.isdigit()} - _LOOSE if name.startswith(_VERSIONED) else set()
+            self.named.append([place[w] for w in (own | set(_KIN)) if w in counts])
+            self.barred.append([i for k, i in kin.items() if k not in counts])
+            heaviest = np.argsort(-values)
+            enough = int(np.searchsorted(np.cumsum(values[heaviest] ** 2), 1 - threshold**2 + 1e-9)) + 1
+            self.heavy.append(at[heaviest[:enough]])
+        self.negations = word_hashes([w.encode() for w in _NEGATIONS])
+        self.denied = [sum(w in _NEGATIONS for w in words) for _, words in split]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, at, len(self.hashes))
 
-    def _cosine(self, t: int, ids: np.ndarray, hashes: np.ndarray) -> float:
-        if any(k not in ids for k in self.named[t]):
+    def _cosine(self, t: int, dense: np.ndarray, ids: np.ndarray, hashes: np.ndarray, before: np.ndarray) -> float:
+        """The cosine of a run with template t, given as a dense row; before: the hashes of the words before the run."""
+        if any(k not in ids for k in self.named[t]) or any(k in ids for k in self.barred[t]):
+            return 0.0
+        if self.sizes[t] <= NOTICE_WORDS and np.isin(np.concatenate([before, hashes]), self.negations).sum() > self.denied[t]:
             return 0.0
         _, first, counts = np.unique(hashes, return_index=True, return_counts=True)
         weights = counts * self.idf[ids[first]]
-        return float((self.vectors[t][ids[first]] * weights).sum() / math.sqrt((weights**2).sum()))
+        return float((dense[ids[first]] * weights).sum() / math.sqrt((weights**2).sum()))
+
+    def best(self, hashes: np.ndarray, bounds: np.ndarray, opening: np.ndarray) -> list[tuple[str | None, float]]:
+        """Per row (words bounds[r] to bounds[r + 1]) the licence of the closest run and its cosine; (None, 0.0) below the threshold.
 
-    def best(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[str | None, float]]:
-        """Per row (words bounds[r] to bounds[r + 1]) the licence of the closest run and its cosine; (None, 0.0) below the threshold."""
+        opening: per word whether a sentence or line begins with it.
+        """
+        begun = np.maximum.accumulate(np.where(opening, np.arange(len(hashes)), 0)) if len(hashes) else np.zeros(0, np.int64)
         out: list[tuple[str | None, float]] = [(None, 0.0)] * (len(bounds) - 1)
         ids = self.ids(hashes)
         row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        dense, is_heavy = np.zeros(len(self.idf)), np.zeros(len(self.idf), bool)
         for t, size in enumerate(self.sizes):
-            rows = np.unique(row_of[self.heavy[t][ids]])
+            places, values = self.vectors[t]
+            is_heavy[self.heavy[t]] = True
+            rows = np.unique(row_of[is_heavy[ids]])
+            is_heavy[self.heavy[t]] = False
             if not len(rows):
                 continue
+            dense[:] = 0
+            dense[places] = values
             lengths = np.diff(bounds)[rows]
             at = ranges(bounds[rows], lengths)
             ends = np.cumsum(lengths)
             some, row = ids[at], np.repeat(np.arange(len(rows)), lengths)
-            dots = np.concatenate([[0.0], np.cumsum(self.vectors[t][some] * self.idf[some])])
+            dots = np.concatenate([[0.0], np.cumsum(dense[some] * self.idf[some])])
             squares = np.concatenate([[0.0], np.cumsum(self.idf[some] ** 2)])
             start = np.arange(len(some))
             end = np.minimum(start + size, ends[row])
@@ -123,7 +177,8 @@ class TemplateIndex:
                     last, score = r, out[r][1]
                 if bound[i] <= score - 1e-9:
                     continue
-                cosine = self._cosine(t, some[i : end[i]], hashes[at[i : end[i]]])
+                before = hashes[max(at[i] - _BEFORE, bounds[r], begun[at[i]]) : at[i]]
+                cosine = self._cosine(t, dense, some[i : end[i]], hashes[at[i : end[i]]], before)
                 if cosine >= self.threshold and cosine > score + 1e-12:
                     score = cosine
                     out[r] = (self.names[t], cosine)
@@ -158,14 +213,17 @@ def own_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None,
         ids, paths, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "path", "text"))
         found: list[tuple[str | None, float]] = []
         for words in token_column(texts):
-            part = index.best(words.hashes, words.bounds)
+            stops = np.concatenate([[0], np.cumsum(_STOPS[words.data])])
+            opening = np.ones(len(words.starts), bool)
+            opening[1:] = stops[words.starts[1:]] > stops[words.ends[:-1]]
+            part = index.best(words.hashes, words.bounds, opening)
             edges = np.append(words.row_starts, len(words.data))
             raw = words.data.tobytes()
             for m in _SPDX_MARK.finditer(raw):
                 row = int(np.searchsorted(edges, m.start(), "right")) - 1
-                named = _SPDX.match(raw[m.start() : edges[row + 1]])
+                named = spdx_expression(raw[m.end() : edges[row + 1]])
                 if named and part[row][1] < 2:
-                    part[row] = (named.group(1).decode(), 2.0)  # the first one, before any cosine
+                    part[row] = (named, 2.0)  # the first one, before any cosine
             found += part
         return {"doc_id": ids, "path": paths, "own_license": [n for n, _ in found], "own_score": [min(1.0, round(s, 6)) for _, s in found]}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import brute
@@ -86,7 +87,8 @@ def test_licence_texts_headers_and_notices_within_lines(spark):
     texts = {
         "MIT": [MIT_FILE, "\n".join(MIT_FILE.split("\n")[3:]), "MIT License\n\nCopyright (c) 2020", "x = 1\nCopyright 2020 Foo Inc. Released under the MIT License. See the file for more", "# SPDX-License-Identifier: MIT\ncode"],
         "Apache-2.0": ["/*\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n */", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"],
-        "GPL-3.0-only": ["# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n# This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc."],
+        "GPL-3.0-or-later": ["# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n# This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+        "GPL-3.0-only": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nCopyright (C) 2007 Free Software Foundation, Inc."],
         "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."], "Zlib": ["// SPDX-License-Identifier: Zlib"],
         None: ["I lost my license to drive under the bridge", "words " * 30000 + "end", "Released under the X License", ""],
     }
@@ -95,6 +97,79 @@ def test_licence_texts_headers_and_notices_within_lines(spark):
     assert {k: [got[100 * i + j] for j in range(len(some))] for i, (k, some) in enumerate(texts.items())} == {k: [k] * len(some) for k, some in texts.items()}
 
 
+def gnu_header(kind, terms, subject="program"):
+    return f"/* This {subject} is free software; you can redistribute it and/or\n * modify it under the terms of the GNU {kind}\n * as published by the Free Software Foundation; {terms}\n *\n * This {subject} is distributed in the hope that it will be useful,\n * but WITHOUT ANY WARRANTY; without even the implied warranty of\n * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n * GNU {kind} for more details. */"
+
+
+def test_licences_are_told_from_their_kin(spark):
+    later = "either version {} of the License, or (at your option) any later version."
+    general, lesser, affero = "General Public License", "Lesser General Public License", "Affero General Public License"
+    cases = [
+        ("GPL-3.0-or-later", gnu_header(general, later.format(3))), ("GPL-3.0-only", gnu_header(general, "version 3 of the License.")),
+        ("GPL-2.0-or-later", gnu_header(general, later.format(2))), ("GPL-2.0-only", gnu_header(general, "version 2 of the License.")),
+        ("LGPL-2.1-or-later", gnu_header(lesser, later.format("2.1"), "library")), ("LGPL-2.1-only", gnu_header(lesser, "version 2.1 of the License.", "library")),
+        ("LGPL-3.0-or-later", gnu_header(lesser, later.format(3))), ("AGPL-3.0-or-later", gnu_header(affero, later.format(3))), ("AGPL-3.0-only", gnu_header(affero, "version 3 of the License.")),
+        ("LGPL-3.0-only", "This library is licensed under the GNU Lesser General Public License, version 3"), ("LGPL-2.1-only", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"),
+        ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n " + "terms " * 400 + gnu_header(general, later.format(3))),
+        ("GPL-3.0-or-later", "Licensed under the GNU General Public License, version 3 or later"), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+        ("Zlib", licenses.TEMPLATES["Zlib"][0]), ("BSD-4-Clause", licenses.TEMPLATES["BSD-4-Clause"][0]), ("BSD-3-Clause", licenses.TEMPLATES["BSD-3-Clause"][1]), ("BSD-2-Clause", licenses.TEMPLATES["BSD-2-Clause"][0]),
+        ("MIT-0", "Copyright 2020 X\n\n" + licenses.TEMPLATES["MIT-0"][0]), ("MIT", licenses.TEMPLATES["MIT"][1]), ("EPL-2.0", licenses.TEMPLATES["EPL-2.0"][1]), ("ISC", licenses.TEMPLATES["ISC"][0]), ("0BSD", licenses.TEMPLATES["0BSD"][0]),
+        (None, "This file is not released under the MIT License"), (None, "never released under the MIT License, sorry"), ("MIT", "It is not free. Released under the MIT License"), (None, "isn't licensed under the MIT License"),
+        ("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0\nfn main() {}"), ("(MIT OR Apache-2.0) AND BSD-3-Clause", "# SPDX-License-Identifier: ( MIT OR Apache-2.0 ) AND BSD-3-Clause"),
+        ("GPL-2.0-only WITH Classpath-exception-2.0", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"), ("MIT", "SPDX-License-Identifier: MIT OR\n"), ("GPL-2.0+", "SPDX-License-Identifier: GPL-2.0+ and more words"),
+    ]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.license_scan(df).collect()}
+    assert [(n, got[i]) for i, (n, _) in enumerate(cases)] == [(n, n) for n, _ in cases]
+
+
+def test_every_template_names_its_licence(spark):
+    rows = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["own_license"] for r in licenses.license_scan(df).collect()}
+    assert [(n, got[i], t[:60]) for i, (n, t) in enumerate(rows) if got[i] != n] == []
+
+
+def test_names_of_licence_files():
+    named = ["LICENSE", "licence.txt", "COPYING.LESSER", "LICENSE-MIT", "LICENSE-APACHE", "LICENSE_APACHE-2.0.txt", "License-BSD3.md", "UNLICENSE", "NOTICE"]
+    others = ["license_scan.py", "LICENSE-check.sh", "licenses.txt", "my-LICENSE", "licensed"]
+    assert all(re.search(licenses.LICENSE_NAMES, n) for n in named) and not any(re.search(licenses.LICENSE_NAMES, n) for n in others)
+
+
+def test_inheritance_matches_brute_force(spark):
+    rng = random.Random(12)
+    notices = {"MIT": "Released under the MIT License", "CC-BY-4.0": "Licensed under CC BY 4.0", None: "nothing here"}
+    files = []
+    for i in range(300):
+        parts = [rng.choice("abc") for _ in range(rng.randrange(5))]
+        name = rng.choice(["LICENSE", "x.py", "LICENSE-MIT", "COPYING"]) if rng.random() < 0.3 else f"f{rng.randrange(4)}.py"
+        files.append((rng.choice([i, None]) if i % 7 == 0 else i, ("/" if i % 2 else "") + "/".join([*parts, name]) if i % 11 else None, notices[rng.choice([None, None, None, "MIT", "CC-BY-4.0"])]))
+    own = {text: name for name, text in notices.items()}
+
+    def folder(path):
+        return None if path is None else path.rsplit("/", 1)[0] if "/" in path else "."
+
+    at: dict = {}
+    for d, p, t in files:
+        if p is not None and own[t] and re.search(licenses.LICENSE_NAMES, p.rsplit("/", 1)[-1]):
+            at.setdefault(folder(p), []).append((d is None, d or 0, own[t]))
+    want = []
+    for d, p, t in files:
+        license_, by, here = own[t], None, folder(p)
+        while license_ is None and here is not None:
+            if here in at:
+                license_, by = min(at[here])[2], here
+            elif here in ("", "."):
+                break
+            else:
+                here = here.rsplit("/", 1)[0] if "/" in here else "."
+                continue
+            break
+        want.append((d, p, own[t], license_, by))
+    got = [(r["doc_id"], r["path"], r["own_license"], r["license"], r["licensed_by"]) for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(w[4] is not None for w in want) > 30
+
+
 def test_roots_of_relative_and_absolute_trees(spark):
     files = [(1, "LICENSE", MIT_FILE), (2, "src/a.py", "x"), (3, "b.py", "x"), (4, "/c.py", "x"), (5, "/d/e.py", None), (None, "src/LICENSE", "Licensed under CC BY-NC 4.0."), (6, "src/x/y.py", "x"), (6, "src/x/y.py", "x")]
     got = sorted((str(r["doc_id"]), str(r["license"]), str(r["licensed_by"])) for r in licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect())

@@ -201,7 +201,7 @@ class Codes:
 
 
 def _limbs(sums: np.ndarray, n: int) -> np.ndarray:
-    """Integers as n limbs of 32 bits, the last one signed."""
+    """Integers as n limbs, 32 bits each but for the last one, which is signed and takes the rest."""
     out = []
     for _ in range(n - 1):
         out.append((sums & 0xFFFFFFFF).astype(np.int64))
@@ -214,7 +214,10 @@ def _usable(vector: Column) -> Column:
 
 
 def _round(rows: DataFrame, books: list[np.ndarray], moved: list[np.ndarray], edges: list[int], exact: bool, unit: int, had: int | None, b: int, limbs: int, last: bool) -> DataFrame:
-    """Assigns all parts.  Besides the rows, with state, codes and error, each task gives one row of sums (sums not null)."""
+    """Assigns all parts.  Besides the rows, with state, codes and error, each task gives a row of sums per entry that it met.
+
+    The slots of sums are part * entries + entry, with the count behind the components; slot -1 counts parts by entries measured.
+    """
     k = len(books[0])
     width = max(book.shape[1] for book in books)
     kind = np.int64 if exact else object
@@ -245,32 +248,35 @@ def _round(rows: DataFrame, books: list[np.ndarray], moved: list[np.ndarray], ed
                     sums[p, :, -1] += np.bincount(own, minlength=k)
             state = [s.tobytes() for s in np.concatenate(packed, axis=1)] if not last else [None] * n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(state, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.minimum(error, _LONGEST).astype(np.int64)), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))],
-                ["vec_id", "label", "v", "near", "codes", "error", "sums", "visits"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(state, pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.minimum(error, _LONGEST).astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))],
+                ["vec_id", "label", "v", "near", "codes", "error", "slot", "sums"],
             )
         if not last:
-            none = pa.nulls(1, pa.null())
-            yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), pa.nulls(1, label_kind), pa.nulls(1, vector_kind), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([_limbs(sums, limbs).ravel()], pa.list_(pa.int64())), pa.array([visits], pa.list_(pa.int64()))],
-                ["vec_id", "label", "v", "near", "codes", "error", "sums", "visits"],
-            )
+            flat = sums.reshape(len(books) * k, width + 1)
+            slots = np.flatnonzero(flat[:, -1] > 0)
+            n, values = len(slots) + 1, [*_limbs(flat[slots], limbs).reshape(len(slots), (width + 1) * limbs), visits]
+            columns = [pa.nulls(n, t) for t in (pa.int64(), label_kind, vector_kind, pa.binary(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([*slots, -1], pa.int32()), pa.array(values, pa.list_(pa.int64()))], ["vec_id", "label", "v", "near", "codes", "error", "slot", "sums"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     label, vector = rows.schema["label"].dataType, rows.schema["v"].dataType
     label_type, vector_type = to_arrow_type(label), to_arrow_type(vector)
     return rows.select("vec_id", "label", "v", "near").mapInArrow(
-        assign, f"vec_id long, label {label.simpleString()}, v {vector.simpleString()}, near binary, codes binary, error long, sums array<long>, visits array<long>"
+        assign, f"vec_id long, label {label.simpleString()}, v {vector.simpleString()}, near binary, codes binary, error long, slot int, sums array<long>"
     )
 
 
-def _totals(frame: DataFrame, column: str, size: int) -> np.ndarray:
-    """Sums over tasks, place by place; `size` values, none of which grows with the table's rows."""
-    out = np.zeros(size, np.int64)
-    found = frame.filter(F.col(column).isNotNull()).select(F.posexplode(column).alias("place", "value")).groupBy("place").agg(F.sum("value").alias("value"))
-    for place, value in found.toLocalIterator():
-        out[place] = value
-    return out
+def _totals(frame: DataFrame, slots: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over tasks per slot and place, and the counts of slot -1; as many values as the codebooks have, whatever the table's rows."""
+    out, visits = np.zeros((slots, size), np.int64), {}
+    found = frame.filter("slot is not null").select("slot", F.posexplode("sums").alias("place", "value")).groupBy("slot", "place").agg(F.sum("value").alias("value"))
+    for slot, place, value in found.collect():
+        if slot < 0:
+            visits[place] = value
+        else:
+            out[slot, place] = value
+    return out, np.array([visits[i] for i in range(len(visits))])
 
 
 def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, neighbours: int = NEIGHBOURS) -> Codes:
@@ -287,7 +293,7 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
     largest = (int(top) + 1) * SCALE
     exact = dim * (2 * largest) ** 2 * 4 < 1 << 62 and n * largest < 1 << 62
     unit = 1 if exact else 1 << max(0, largest.bit_length() - 60)
-    limbs = (n * largest).bit_length() // 32 + 2
+    limbs = 1 if exact else (n * largest).bit_length() // 32 + 2
     rows = kept.filter(F.size("v") == dim).withColumn("near", F.lit(None).cast("binary"))
     first = rows.orderBy(F.col("vec_id").asc_nulls_last(), "v").select("v").limit(entries).toArrow().column("v")
     if not len(first):
@@ -300,14 +306,15 @@ def vector_codes(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES,
         stored = scratch.keep(_round(rows, books, moved, edges, exact, unit, had, b, limbs, False))
         if held is not None:
             scratch.drop(held)
-        held, rows, had = stored, stored.filter("sums is null"), b
-        limbed = _totals(stored, "sums", parts * k * (width + 1) * limbs).reshape(parts, k, width + 1, limbs).astype(object)
+        held, rows, had = stored, stored.filter("slot is null"), b
+        totals, visits = _totals(stored, parts * k, (width + 1) * limbs)
+        limbed = totals.reshape(parts, k, width + 1, limbs).astype(object)
         sums = sum(limbed[..., i] << (32 * i) for i in range(limbs))
         fresh = [book.copy() for book in books]
         for p, e in zip(*np.nonzero(sums[..., -1] > 0), strict=True):
             fresh[p][e] = [s // sums[p, e, -1] for s in sums[p, e, : books[p].shape[1]]]
         moved = [_root(distances(was, now), unit) * (1 + _LOOSE) + _LOOSE for was, now in zip(books, fresh, strict=True)]
-        books, visits = fresh, _totals(stored, "visits", k + 1)
+        books = fresh
         history.append((b, visits.tolist()))
         b = min(adapted(b, visits), k - 1)
     done = _round(rows, books, moved, edges, exact, unit, had, b, limbs, True)

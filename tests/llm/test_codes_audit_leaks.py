@@ -115,6 +115,14 @@ def test_random_movements_keep_assignments_exact():
             near, b = near.resized(next_b), next_b
 
 
+def test_codes_with_partitions_without_vectors(spark):
+    rows = [(i, [float(i % 5), 1.0, 2.0, float(i % 3)] if i < 30 else None, 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartitionByRange(8, "vec_id")
+    books, want = brute_codes([r for r in rows if r[1]], 4, 256, 4)
+    got = codes.vector_codes(df)
+    assert [[tuple(e) for e in b] for b in got.codebooks] == books and sorted(((r[0], r[1], bytes(r[2]), r[3]) for r in got.rows.collect()), key=str) == want
+
+
 def test_codes_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert codes.code_digest(empty).collect() == []

@@ -125,7 +125,7 @@ def crowded_prefixes(texts: DataFrame, partitions: int) -> tuple[list[np.ndarray
     pairs = F.array(*[F.struct(F.lit(i).alias("level"), h.alias("h")) for i, h in enumerate(_levels(F.col("text")))])
     sums = texts.select(F.explode(pairs).alias("p"), size.alias("size")).groupBy("p.level", "p.h").agg(F.sum("size").alias("size"))
     out: list[list[int]] = [[] for _ in PREFIXES]
-    for level, h in sums.filter(F.col("size") > total / (4 * _partitions(partitions, total))).select("level", "h").toLocalIterator():
+    for level, h in sums.filter(F.col("size") > total / (4 * _partitions(partitions, total))).select("level", "h").collect():
         out[level].append(h)
     return [np.array(sorted(x), np.int64) for x in out], total
 

@@ -10,8 +10,8 @@ Frames for alignment begin anew at every anchor, a place where the smoothed sign
 peaks, so a copy has the same ones wherever it starts.  Landmarks are hashes of two of these
 integers, at each anchor and at every eighth frame after it.
 
-Two recordings are linked if at one offset at least MIN_SHARE of the landmarks of the
-one that has fewer agree (the offset histogram) and if at most MAX_BIT_ERROR of the bits
+Two recordings are linked if at one offset at least MIN_SHARE of the different landmarks of the
+one that has fewer agree (the offset histogram, in which a repeated landmark votes with all its places) and if at most MAX_BIT_ERROR of the bits
 differ over the whole overlap of their plain fingerprints.
 
 1. Equal fingerprints collapse to classes, so copies are never paired.
@@ -69,8 +69,6 @@ LISTED = 16
 LEADER_ROUNDS = 4
 
 _CHUNK_FRAMES = 4096
-#: Offsets, the ones with most votes, that are looked at.
-_OFFSETS = 3
 #: The peak shape that smooths the signal.
 _SMOOTH = np.rint(1000 * np.hanning(41)[1:-1]).astype(np.int64)
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -245,7 +243,7 @@ def _class_of(packed: np.ndarray) -> int:
 
 
 def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
-    """doc_id, n_frames, class, packed, and the distinct landmarks with their first places."""
+    """doc_id, n_frames, class, packed, and the landmarks with their places, repeated ones with each."""
     data, offsets = text_bytes(_column(batch, "samples"))
     out = {k: [] for k in ("n_frames", "class", "packed")}
     marks, places, sizes = [], [], []
@@ -258,29 +256,62 @@ def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
         out["packed"] += [x.tobytes() for x in split]
         own, place, mark = landmarks(samples, edges) if len(samples) else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((place, mark, own))
-        own, place, mark = own[order], place[order], mark[order]
-        fresh = np.ones(len(own), bool)
-        fresh[1:] = (np.diff(own) != 0) | (np.diff(mark) != 0)
-        marks.append(mark[fresh].view(np.int64))
-        places.append(place[fresh].astype(np.int64))
-        sizes.append(np.bincount(own[fresh].astype(np.int64), minlength=last - first))
+        marks.append(mark[order].view(np.int64))
+        places.append(place[order].astype(np.int64))
+        sizes.append(np.bincount(own.astype(np.int64), minlength=last - first))
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return out | {"doc_id": _column(batch, "doc_id"), "marks": offsets_array(join(marks), join(sizes)), "places": offsets_array(join(places), join(sizes))}
 
 
+#: Votes of two recordings that are counted at a time.
+_VOTES = 1 << 20
+
+
+def _offset_votes(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets in frames and how many different landmarks agree at each, of two recordings given as (packed, marks, places).
+
+    A landmark that repeats votes with all its places, once per offset.
+    """
+    marks, rows_a = np.unique(a[1], return_inverse=True)
+    at = np.minimum(np.searchsorted(marks, b[1]), max(0, len(marks) - 1))
+    here = marks[at] == b[1] if len(marks) else np.zeros(0, bool)
+    places_b, rows_b = b[2][here], at[here]
+    order_a, order_b = np.lexsort((a[2], rows_a)), np.lexsort((places_b, rows_b))
+    starts_a, starts_b = (np.searchsorted(r, np.arange(len(marks) + 1)) for r in (rows_a[order_a], rows_b[order_b]))
+    sorted_a, sorted_b = a[2][order_a], places_b[order_b]
+    offsets, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n_a, n_b = np.diff(starts_a), np.diff(starts_b)
+
+    def add(some: np.ndarray) -> None:
+        nonlocal offsets, votes
+        offsets, place = np.unique(np.concatenate([offsets, some]), return_inverse=True)
+        votes = np.bincount(place, np.concatenate([votes, np.ones(len(some), np.int64)])).astype(np.int64)
+
+    single = np.flatnonzero((n_a == 1) & (n_b == 1))
+    add(np.rint((sorted_a[starts_a[single]] - sorted_b[starts_b[single]]) / HOP).astype(np.int64))
+    for m in np.flatnonzero((n_a * n_b > 1)):
+        mine, others = sorted_a[starts_a[m] : starts_a[m + 1]], sorted_b[starts_b[m] : starts_b[m + 1]]
+        step, own = max(1, _VOTES // len(others)), np.zeros(0, np.int64)
+        for i in range(0, len(mine), step):
+            own = np.union1d(own, np.rint((mine[i : i + step, None] - others) / HOP).astype(np.int64))
+        add(own)
+    return offsets, votes
+
+
 def align(a: tuple, b: tuple) -> tuple[int, int, float, bool]:
-    """Offset in frames, overlap, bit error and whether they are linked, of two recordings given as (packed, marks, places)."""
-    _, in_a, in_b = np.intersect1d(a[1], b[1], assume_unique=True, return_indices=True)
-    offsets, votes = np.unique(np.rint((a[2][in_a] - b[2][in_b]) / HOP).astype(np.int64), return_counts=True)
+    """Offset in frames, overlap, bit error and whether they are linked, of two recordings given as (packed, marks, places).
+
+    Every offset at which enough landmarks agree is looked at; there are at most some 3 / MIN_SHARE where landmarks do not repeat.
+    """
+    offsets, votes = _offset_votes(a, b)
     # a start within a hop may belong to either neighbour
     votes = votes + sum(np.where(np.isin(offsets + k, offsets), votes[np.searchsorted(offsets, offsets + k) % max(1, len(offsets))], 0) for k in (-1, 1))
-    needed = max(1, int(np.ceil(MIN_SHARE * min(len(a[1]), len(b[1])))))
+    needed = max(1, int(np.ceil(MIN_SHARE * min(len(np.unique(a[1])), len(np.unique(b[1]))))))
     best = (0, 0, 1.0)
-    for i in np.lexsort((offsets, -votes))[:_OFFSETS]:
-        for shift in (0, -1, 1):
-            overlap, error = bit_error(a[0], b[0], int(offsets[i]) + shift)
-            if votes[i] >= needed and overlap >= MIN_OVERLAP and (error, abs(offsets[i] + shift)) < (best[2], abs(best[0])):
-                best = (int(offsets[i]) + shift, overlap, error)
+    for offset in np.unique((offsets[votes >= needed][:, None] + np.array([-1, 0, 1])).ravel()).tolist():
+        overlap, error = bit_error(a[0], b[0], offset)
+        if overlap >= MIN_OVERLAP and (error, abs(offset), -offset) < (best[2], abs(best[0]), -best[0]):
+            best = (offset, overlap, error)
     return best[0], best[1], round(best[2], 6), best[2] <= MAX_BIT_ERROR
 
 
@@ -311,7 +342,8 @@ def _askers(slim: DataFrame, scratch: Scratch) -> DataFrame:
     Of its n landmarks in order of rising frequency a class must share one among the first
     n - needed + 1 with whatever it links to as the one with fewer landmarks.
     """
-    marks = scratch.keep(slim.select("class", F.size("marks").alias("n"), F.explode("marks").alias("mark")))
+    own = F.array_distinct("marks")
+    marks = scratch.keep(slim.select("class", F.size(own).alias("n"), F.explode(own).alias("mark")))
     shared = scratch.keep(marks.groupBy("mark").agg(F.count("*").alias("holders")).filter("holders > 1"))
     # repeated rows of a leader are one
     held = scratch.keep(marks.join(shared, "mark").distinct())

@@ -508,6 +508,28 @@ def test_noisy_copies_align_up_to_the_bit_error(spark):
     assert max(e for e, _ in found) > 0.1 and np.mean([f for e, f in found if e < 0.05]) >= 0.9 and np.mean([f for _, f in found]) >= 0.5
 
 
+def test_offsets_and_places_beyond_the_first_count():
+    """Passages at four offsets, only the rarest of which fits; landmarks that repeat."""
+    rng = np.random.default_rng(11)
+    packed = rng.integers(0, 2**32, 400, dtype=np.uint64).astype(np.uint32)
+    marks = np.arange(40)
+    a = (packed, marks, 32 * (10 * marks))
+    shift = np.repeat([7, 19, 31, 3], 3)
+    other = rng.integers(0, 2**32, 400, dtype=np.uint64).astype(np.uint32)
+    fits = np.concatenate([rng.integers(0, 2**32, 3, dtype=np.uint64).astype(np.uint32), packed[:-3]])
+    some = np.arange(12)
+    for body, want in ((fits, (-3, True)), (other, (None, False))):
+        got = chroma.align(a, (body, some, 32 * (10 * some + shift)))
+        assert got[3] is want[1] and (want[0] is None or got[0] == want[0]) and (not want[1] or got[2] == 0.0)
+    # the first place of a repeated landmark is at no common offset, the second ones are
+    twice = (packed, np.repeat(np.arange(5), 2), np.sort(np.concatenate([32 * np.array([1, 3, 4, 8, 12]), 32 * (100 + 10 * np.arange(5))]).reshape(2, 5).T.ravel().reshape(5, 2), axis=1).ravel())
+    got = chroma.align(twice, (packed[100:], np.arange(5), 32 * 10 * np.arange(5)))
+    assert got[0] == 100 and got[3] and got[2] == 0.0
+    long = (packed, np.zeros(3000, np.int64), 32 * 8 * np.arange(3000))
+    offsets, votes = chroma._offset_votes(long, long)  # noqa: SLF001
+    assert len(offsets) == 5999 and votes.max() == 1
+
+
 def test_components_have_all_links(spark):
     a, b = spoken(4, 2, 3000)
     parts = [(1, a), (2, a), (3, a[320:]), (4, a[:-320]), (5, a[320:]), (6, b), (7, b), (7, a), (7, a), (None, a)]

@@ -40,7 +40,7 @@ def _banding(threshold: int, width: int, n: int) -> tuple[int, list[tuple[int, i
         if bands <= width and comb(bands, m) <= _MOST_KEYS and width * m / bands >= _KEY_BITS / 2:
             costs[m] = comb(bands, m) * (n / 2 ** (width * m / bands) / 2 + 200)
     m = min(costs, key=costs.get)
-    return (m, [(width * i // (threshold + m), width * (i + 1) // (threshold + m)) for i in range(threshold + m)]) if m else None
+    return (m, _cuts(m, threshold, width)) if m else None
 
 
 def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD, width: int = 64, block: int = BLOCK) -> DataFrame:
@@ -55,18 +55,7 @@ def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD, width: int =
     counting the bits of whole arrays, so a crowded key is many tasks' work.  A pair that shares
     several keys is given under the first only.
     """
-    n = hashes.count()
-    banding = _banding(threshold, width, n)
-    hashes = hashes.select("id", "hash")
-    if banding is None:
-        keyed, first = hashes.withColumns({"no": F.lit(0), "value": F.lit(0).cast("long")}), None
-    else:
-        together, cuts = banding
-        masks = [_signed((1 << high) - (1 << low)) for low, high in cuts]
-        chosen = list(combinations(range(len(cuts)), together))
-        keys = [F.struct(F.lit(i).alias("no"), F.col("hash").bitwiseAND(F.lit(_signed(sum((1 << cuts[j][1]) - (1 << cuts[j][0]) for j in c)))).alias("value")) for i, c in enumerate(chosen)]
-        keyed = hashes.select("id", "hash", F.inline(F.array(*keys)))
-        first = (np.array(masks, np.int64), {c: i for i, c in enumerate(chosen)}, together)
+    keyed, first = _keyed(hashes.select("id", "hash"), threshold, _banding(threshold, width, hashes.count()))
     # keys of more than a block, of which there are at most as many as blocks of keyed hashes
     sizes = keyed.groupBy("no", "value").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
     placed = keyed.join(sizes, ["no", "value"], "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "own": F.pmod(F.xxhash64("hash"), F.coalesce("blocks", F.lit(1))).cast("int")})
@@ -79,8 +68,54 @@ def close_pairs(hashes: DataFrame, threshold: int = HASH_THRESHOLD, width: int =
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
 
 
-def _comparer(threshold: int, first: tuple | None):
-    """Compares the hashes of every run of rows with one key and pair of blocks."""
+def _cuts(together: int, threshold: int, width: int) -> list[tuple[int, int]]:
+    bands = threshold + together
+    return [(width * i // bands, width * (i + 1) // bands) for i in range(bands)]
+
+
+def _keyed(hashes: DataFrame, threshold: int, banding: tuple[int, list[tuple[int, int]]] | None) -> tuple[DataFrame, tuple | None]:
+    """hashes with no, value: a row per key; and what tells a pair's first key (None where all hashes have one key)."""
+    if banding is None:
+        return hashes.withColumns({"no": F.lit(0), "value": F.lit(0).cast("long")}), None
+    together, cuts = banding
+    masks = [(1 << high) - (1 << low) for low, high in cuts]
+    chosen = list(combinations(range(len(cuts)), together))
+    keys = [F.struct(F.lit(i).alias("no"), F.col("hash").bitwiseAND(F.lit(_signed(sum(masks[j] for j in c)))).alias("value")) for i, c in enumerate(chosen)]
+    first = np.array([_signed(m) for m in masks], np.int64), {c: i for i, c in enumerate(chosen)}, together
+    return hashes.select("*", F.inline(F.array(*keys))), first
+
+
+#: Bands of an index that must agree at once.
+INDEX_BANDS = 2
+
+
+def band_index(hashes: DataFrame, threshold: int = HASH_THRESHOLD, width: int = 64, together: int = INDEX_BANDS) -> DataFrame:
+    """no, value, id, hash: the keys of hashes (id, hash) as a table that is kept and grows with them."""
+    return _keyed(hashes.select("id", "hash"), threshold, (together, _cuts(together, threshold, width)))[0].select("no", "value", "id", "hash")
+
+
+def pairs_with(fresh: DataFrame, index: DataFrame, threshold: int = HASH_THRESHOLD, width: int = 64, together: int = INDEX_BANDS, block: int = BLOCK) -> DataFrame:
+    """a (of the index), b (fresh), distance of all close pairs between fresh hashes (id, hash) and those of a band index.
+
+    Of the index only keys that fresh hashes have are taken up.  Either side of a crowded key is dealt into blocks.
+    """
+    keyed, first = _keyed(fresh.select("id", "hash"), threshold, (together, _cuts(together, threshold, width)))
+    key = ["no", "value"]
+    asked = keyed.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("new_blocks"))
+    known = index.join(asked, key)
+    held = known.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("old_blocks"), F.first("new_blocks").alias("new_blocks"))
+    turn = lambda n: F.pmod(F.xxhash64("hash"), n).cast("int")
+    new = keyed.join(held, key).withColumn("low", -1 - turn(F.col("new_blocks"))).withColumn("high", F.explode(F.sequence(F.lit(1), F.col("old_blocks"))))
+    old = known.join(held.select(*key, "old_blocks"), key).withColumn("high", 1 + turn(F.col("old_blocks"))).withColumn("low", F.explode(F.sequence(-F.col("new_blocks"), F.lit(-1))))
+    rows = new.select(*key, "low", "high", F.col("low").alias("own"), "id", "hash").unionByName(old.select(*key, "low", "high", F.col("high").alias("own"), "id", "hash"))
+    kind = fresh.schema["id"].dataType.simpleString()
+    run = [*key, "low", "high"]
+    found = rows.repartition(*run).sortWithinPartitions(*run, "own").mapInArrow(_comparer(threshold, first, ("b", "a", "distance")), f"b {kind}, a {kind}, distance int")
+    return found.select("a", "b", "distance")
+
+
+def _comparer(threshold: int, first: tuple | None, names: tuple = ("a", "b", "distance")):
+    """Compares the hashes of every run of rows with one key and pair of blocks; the first of a pair is of the lower block."""
 
     def pairs(key: tuple, held: list[tuple[np.ndarray, pa.Array, np.ndarray]]):
         own, ids, hashes = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
@@ -103,7 +138,7 @@ def _comparer(threshold: int, first: tuple | None):
                 own_key = np.array([numbers[tuple(np.flatnonzero(row)[:together].tolist())] == no for row in agree])
                 x, y, distance = x[own_key], y[own_key], distance[own_key]
             if len(x):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(distance.astype(np.int32))], ["a", "b", "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), pa.array(distance.astype(np.int32))], names)
 
     def run(batches):
         held, key = [], None

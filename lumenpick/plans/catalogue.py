@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import preset
 from ..functions import scalars as s
-from ..operators import cache, export, images, picking, reports, review, scoring, similarity
+from ..operators import cache, detection, export, images, picking, reports, review, scoring, similarity
 from ..sources import listing
 from . import fixtures as f
 from .oracles import ORACLES
@@ -50,6 +50,20 @@ def tile_faces(spark, sf_dir):
     return images.with_faces(f.tiles(spark, sf_dir), f.FACE_BOXES).select("vec_id", "face_detected", "face_count", "face_sharpness", "face_score")
 
 
+@query
+def tile_boxes(spark, sf_dir):
+    """Boxes that a small cascade finds in tiles, by a table function joined laterally."""
+    return detection.boxes(f.tiles(spark, sf_dir), f.CASCADE, images.TILE, neighbours=0, largest=1.0).select("vec_id", "x", "y", "w", "h")
+
+
+@query
+def tile_box_faces(spark, sf_dir):
+    """Tiles with the number of boxes found in them."""
+    tiled = f.tiles(spark, sf_dir)
+    found = detection.boxes(tiled, f.CASCADE, images.TILE, neighbours=0, largest=1.0).select("vec_id", "x", "y", "w", "h")
+    return detection.faces_in_boxes(tiled, found, "vec_id", images.TILE).select("vec_id", "face_count", "face_detected")
+
+
 @query
 def local_patch_blur(spark, sf_dir):
     return images.with_blurred_patches(f.tiles(spark, sf_dir)).select("vec_id", "blurred_share", "localized_blur")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ from .storage import table
 #: Face boxes of every tile.
 FACE_BOXES = [(8, 6, 10, 10), (18, 4, 8, 8)]
 
+#: A hand-made cascade of windows of 4 by 4: the inner square brighter than the whole, then the upper half at least as bright as the lower.
+CASCADE = json.dumps({"width": 4, "height": 4, "stages": [
+    {"threshold": 0.5, "stumps": [{"rects": [[1, 1, 2, 2, 1.0], [0, 0, 4, 4, -1.0]], "threshold": 0.5, "left": 0.0, "right": 1.0}]},
+    {"threshold": 0.5, "stumps": [{"rects": [[0, 0, 4, 2, 1.0], [0, 2, 4, 2, -1.0]], "threshold": 0.0, "left": 0.0, "right": 1.0}]},
+]})
+
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.tiles(table(spark, sf_dir, "embeddings"))

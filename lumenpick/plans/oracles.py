@@ -300,3 +300,10 @@ ORACLES["display_paths"] = """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN
 ORACLES["cache_after_run"] = f"""WITH {_CACHE}, fresh AS (SELECT * FROM now WHERE n NOT IN (SELECT n FROM hit) AND file_size % 10 <> 0)
 SELECT path, file_size, modified FROM fresh UNION ALL SELECT path, file_size + CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END, modified + CASE WHEN n % 7 = 0 THEN 10000000 ELSE 0 END FROM now WHERE n % 3 <> 0 AND n NOT IN (SELECT n FROM fresh)"""
 ORACLES["item_lookup"] = f"WITH {_REVIEWED} SELECT photo_id, filename, ai_status FROM reviewed WHERE c_custkey = 7"
+
+_BOXES = f"""WITH {TILES}, sums AS (SELECT vec_id, x, y, sum(v) AS s, sum(v * v) AS q, sum(v) FILTER (i BETWEEN 1 AND 2 AND j BETWEEN 1 AND 2) AS inner_s, sum(v) FILTER (i < 2) AS upper_s, sum(v) FILTER (i >= 2) AS lower_s
+  FROM (SELECT vec_id, x, y, i, j, px[(y + i) * 8 + x + j + 1] AS v FROM tiles, range(5) a(x), range(5) b(y), range(4) c(i), range(4) d(j)) GROUP BY ALL),
+boxes AS (SELECT vec_id, x::INTEGER AS x, y::INTEGER AS y, 4 AS w, 4 AS h FROM (SELECT *, sqrt(greatest(q / 16::DOUBLE - (s / 16::DOUBLE) * (s / 16::DOUBLE), {d(0)})) AS spread FROM sums)
+  WHERE {d(0)} + {d(1)} * (inner_s / 4::DOUBLE) + {d(-1)} * (s / 16::DOUBLE) >= {d(0.5)} * spread AND {d(0)} + {d(1)} * (upper_s / 8::DOUBLE) + {d(-1)} * (lower_s / 8::DOUBLE) >= {d(0)} * spread)"""
+ORACLES["tile_boxes"] = f"{_BOXES} SELECT vec_id, x, y, w, h FROM boxes"
+ORACLES["tile_box_faces"] = f"{_BOXES} SELECT tiles.vec_id, count(boxes.vec_id)::INTEGER AS face_count, count(boxes.vec_id) > 0 AS face_detected FROM tiles LEFT JOIN boxes ON boxes.vec_id = tiles.vec_id GROUP BY tiles.vec_id"

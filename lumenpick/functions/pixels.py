@@ -170,9 +170,24 @@ def _area_weights(size: int, parts: int) -> np.ndarray:
     return cover / cover.sum(axis=1, keepdims=True)
 
 
+def _sinc_weights(size: int, parts: int, lobes: int = 3) -> np.ndarray:
+    """Row i: the weights of `size` pixels in pixel i of `parts`, a windowed sinc that widens where pixels become fewer."""
+    scale = size / parts
+    wide = max(scale, 1.0)
+    at = (np.arange(size)[None, :] + 0.5 - (np.arange(parts)[:, None] + 0.5) * scale) / wide
+    weights = np.where(np.abs(at) < lobes, np.sinc(at) * np.sinc(at / lobes), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def resampled(gray: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """A gray image of other size by a windowed sinc, rows after columns, each pass rounded to 0 to 255."""
+    level = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return level(_sinc_weights(gray.shape[0], rows) @ level(gray.astype(float) @ _sinc_weights(gray.shape[1], cols).T)).astype(np.uint8)
+
+
 def perceptual_hash(gray: np.ndarray) -> str:
-    """Sixteen hex digits: which low cosine coefficients of the 32 by 32 image exceed their median."""
-    small = _area_weights(gray.shape[0], 32) @ gray.astype(float) @ _area_weights(gray.shape[1], 32).T
+    """Sixteen hex digits: which low cosine coefficients of the resampled 32 by 32 image exceed their median."""
+    small = resampled(gray, 32, 32).astype(float)
     k = np.arange(32)
     basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / 64)
     low = (basis @ small @ basis.T)[:8, :8]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.scalars import ai_status, decision, first_number, split_reasons
 
@@ -27,11 +28,24 @@ def without(decisions: DataFrame, ids: DataFrame, key: str = "photo_id") -> Data
 def review_items(rows: DataFrame) -> DataFrame:
     """Result rows of either naming as review items.
 
+    Scores may be flat columns or a record `score` (or `scores`) with records face and body in it, whose numbers come first.
     Of several columns the first one that is not blank counts, row by row; missing columns
     count as blank.  A row is a winner if either flag says so.  Notes stand in for reasons where there
     are none, and a row without any name is "unknown".
     """
     have = dict(rows.dtypes)
+    record = next((c for c in ("score", "scores") if isinstance(rows.schema[c].dataType if c in have else None, StructType)), None)
+
+    def nested(*paths: str) -> list[Column]:
+        """The fields of the score record that there are."""
+        out = []
+        for path in paths if record else ():
+            kind, names = rows.schema[record].dataType, path.split(".")
+            for name in names:
+                kind = kind[name].dataType if isinstance(kind, StructType) and name in kind.names else None
+            if kind is not None:
+                out.append(F.col(f"{record}.{path}"))
+        return out
 
     def text(*names: str) -> Column:
         return F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(None).cast("string"))
@@ -39,20 +53,23 @@ def review_items(rows: DataFrame) -> DataFrame:
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in have else F.lit(False)
 
-    def numbers(*names: str) -> Column:
-        return first_number(*[F.col(n).cast("string") for n in names if n in have])
+    def numbers(*names: str, inside: tuple[str, ...] = ()) -> Column:
+        return first_number(*[c.cast("string") for c in nested(*inside)], *[F.col(n).cast("string") for n in names if n in have])
 
     path = text("original_path", "path")
     name = F.coalesce(text("filename", "file_name"), F.nullif(F.element_at(F.split(path, "/"), -1), F.lit("")), F.lit("unknown"))
     listed = F.col("reasons") if have.get("reasons") == "array<string>" else split_reasons(text("reasons"))
+    for own in nested("reasons"):
+        listed = F.coalesce(own if isinstance(rows.select(own).schema[0].dataType, ArrayType) else split_reasons(F.nullif(own, F.lit(""))), listed)
     given = F.filter(F.coalesce(listed, F.array().cast("array<string>")), lambda r: F.trim(r) != "")
     reasons = F.when(F.size(given) > 0, given).otherwise(split_reasons(text("final_reason", "notes")))
     return rows.select(
         F.coalesce(text("id", "photo_id"), path, name).alias("photo_id"), name.alias("filename"),
         path.alias("original_path"), ai_status(text("status", "output_status", "ai_status")).alias("ai_status"), decision(text("final_decision")).alias("final_decision"),
         text("cluster_id", "duplicate_group_id").alias("cluster_id"), (flag("is_cluster_winner") | flag("is_best_duplicate")).alias("is_cluster_winner"),
-        numbers("score_percent", "final_score").alias("final_score"), numbers("face_score").alias("face_score"),
-        numbers("body_sharpness", "body_sharpness_score").alias("body_sharpness"), numbers("body_blur_penalty").alias("body_blur_penalty"),
+        numbers("score_percent", "final_score", inside=("final_score",)).alias("final_score"), numbers("face_score", inside=("face.face_score", "face_score")).alias("face_score"),
+        numbers("body_sharpness", "body_sharpness_score", inside=("body.body_sharpness", "body_sharpness_score")).alias("body_sharpness"),
+        numbers("body_blur_penalty", inside=("body.body_blur_penalty", "body_blur_penalty")).alias("body_blur_penalty"),
         text("thumbnail_path").alias("thumbnail_path"), reasons.alias("reasons"),
         F.lit(None).cast("string").alias("decision_updated_at"), F.lit("user").alias("decision_source"), F.coalesce(text("review_notes"), F.lit("")).alias("notes"),
     )

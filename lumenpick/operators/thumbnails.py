@@ -3,28 +3,19 @@
 from __future__ import annotations
 
 import os
-import struct
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jpeg import encoded_jpeg
 from ..functions.pixels import shrunk, upright
 
 MAX_WIDTH, MAX_HEIGHT = 360, 270
-
-
-def encoded_png(image: np.ndarray) -> bytes:
-    """An 8-bit PNG of a gray or red-green-blue array."""
-    height, width = image.shape[:2]
-    rows = image.reshape(height, -1)
-    raw = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1).tobytes()
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    header = struct.pack(">IIBBBBB", width, height, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+#: JPEG quality.
+QUALITY = 82
 
 
 def thumbnail(image: np.ndarray) -> np.ndarray:
@@ -39,9 +30,9 @@ def write_thumbnails(images: DataFrame, folder: str, existing: DataFrame | None
 
     orientation (path, orientation): images are turned upright as their EXIF data say.
 
-    Files appear under their final name only when complete, so a retried task is harmless.
+    They are JPEG files.  Files appear under their final name only when complete, so a retried task is harmless.
     """
-    todo = images.select(F.col("image.origin").alias("path"), F.concat(F.lit(folder.rstrip("/") + "/"), F.sha1("image.origin"), F.lit(".png")).alias("thumbnail_path"), "image.height", "image.width", "image.nChannels", "image.data")
+    todo = images.select(F.col("image.origin").alias("path"), F.concat(F.lit(folder.rstrip("/") + "/"), F.sha1("image.origin"), F.lit(".jpg")).alias("thumbnail_path"), "image.height", "image.width", "image.nChannels", "image.data")
     todo = todo.withColumn("orientation", F.lit(1)) if orientation is None else todo.join(orientation.select("path", "orientation"), "path", "left")
     if existing is not None:
         todo = todo.join(existing.select("thumbnail_path").distinct(), "thumbnail_path", "left_anti")
@@ -57,7 +48,7 @@ def write_thumbnails(images: DataFrame, folder: str, existing: DataFrame | None
                     os.makedirs(os.path.dirname(row.thumbnail_path), exist_ok=True)
                     part = f"{row.thumbnail_path}.{uuid.uuid4().hex}"
                     with open(part, "wb") as handle:
-                        handle.write(encoded_png(small))
+                        handle.write(encoded_jpeg(small, QUALITY))
                     os.replace(part, row.thumbnail_path)
                     errors.append(None)
                 except (OSError, ValueError, ZeroDivisionError) as e:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .documents import KEYED, write_document
+from .files import files_below
 from .generations import Store
 
 DECISION = "photo_id string, filename string, original_path string, ai_status string, final_decision string, decision_source string, decision_updated_at string, notes string"
@@ -91,6 +92,25 @@ def cache_from_files(spark: SparkSession, folder: str) -> DataFrame:
     return _cache_rows(parsed.filter("r is not null and r.path is not null"))
 
 
+_ANALYSIS = (
+    "path string, enable_body_scoring boolean, enable_person_detection boolean, score struct<technical:struct<sharpness:double,exposure:double,contrast:double,global_blur_penalty:double>,"
+    "face:struct<face_detected:boolean,face_count:int,face_sharpness:double,face_score:double>,body:struct<person_detected:boolean,body_sharpness:double,body_blur_penalty:double,subject_score:double>,"
+    "duplicate_penalty:double,final_score:double,reasons:array<string>>"
+)
+
+
+def analyses_from_files(spark: SparkSession, folder: str, body_scoring: bool = True, person_detection: bool = False) -> DataFrame:
+    """key and the scores of the older per-image files that were made under these two switches; the key is the file's name without its suffix.
+
+    A file without a score, of other switches or unreadable is a miss.
+    """
+    files = files_below(spark, folder, recursive=False, content=True).filter(F.endswith("file_name", F.lit(".json")))
+    parsed = files.select(F.regexp_replace("file_name", r"\.json$", "").alias("key"), F.from_json(F.decode("content", "UTF-8"), _ANALYSIS).alias("r"))
+    valid = parsed.filter(F.col("r.score").isNotNull() & (F.col("r.enable_body_scoring") == body_scoring) & (F.col("r.enable_person_detection") == person_detection))
+    flat = [F.col(f"r.score.{g}.{n}").alias(n) for g, names in _GROUPS.items() for n in names]
+    return valid.select("key", *flat, F.coalesce("r.score.duplicate_penalty", F.lit(0.0)).alias("duplicate_penalty"), "r.score.final_score", F.coalesce("r.score.reasons", F.array().cast("array<string>")).alias("reasons"))
+
+
 def cache_to_json(cache: DataFrame) -> DataFrame:
     """key and record per cache row: the scores nested by group, the time in seconds; sorted by key."""
     grouped = {n for names in _GROUPS.values() for n in names} | {"modified"}

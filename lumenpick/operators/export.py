@@ -8,12 +8,13 @@ import shutil
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DECISION_FOLDERS, DECISION_ROOT, STATUS_FOLDERS
 from ..functions.scalars import stem, suffix
 from ..sources.files import files_below, place
+from .numbering import LARGE_GROUP, large_groups, numbered_within
 
 
 def status_folder(status: Column) -> Column:
@@ -32,28 +33,29 @@ def _numbered_parts(names: DataFrame, folder: str, name: str) -> DataFrame:
     return names.select(folder, F.concat(part(1), part(3)).alias(name), part(2).try_cast("long").alias("_value")).filter("_value is not null")
 
 
-def collision_free(rows: DataFrame, folder: str = "folder", name: str = "file_name", order: str = "seq", existing: DataFrame | None = None) -> DataFrame:
+def collision_free(rows: DataFrame, folder: str = "folder", name: str = "file_name", order: str = "seq", existing: DataFrame | None = None, large: int = LARGE_GROUP) -> DataFrame:
     """Adds destination_name: the name for its first row in a folder, then stem_1, stem_2 and so on.
 
     existing: columns folder and name of the files that are there already; none of them is overwritten.
     A numbered name may itself be a real name in the folder, here or there.  Numbers are
     therefore dealt among those that are free.  The j-th used number u leaves u - j
-    free ones below it, so the n-th row steps over all used numbers with u - j <= n: a running count over
-    both in one order.  All windows run per folder and name.
+    free ones below it, so the n-th row steps over all used numbers with u - j <= n: how many, its place among
+    both in one order tells.  A folder's name with more than `large` rows is numbered over several tasks.
     """
-    same = Window.partitionBy(folder, name)
-    parts = rows.withColumn("_nth", F.row_number().over(same.orderBy(order)) - 1)
-    used = _numbered_parts(rows.select(folder, name).distinct(), folder, name)
+    key = [folder, name]
+    used = _numbered_parts(rows.select(*key).distinct(), folder, name)
     if existing is not None:
-        there = existing.select(folder, name).distinct()
+        there = existing.select(*key).distinct()
         used = used.unionByName(_numbered_parts(there, folder, name)).unionByName(there.withColumn("_value", F.lit(0).cast("long")))
-    rank = F.row_number().over(same.orderBy("_value")) - 1
-    used = used.distinct().withColumn("_value", F.col("_value") - rank).withColumn("_row", F.lit(None).cast("long"))
-    asked = parts.select(folder, name, F.col("_nth").cast("long").alias("_value"), F.col("_nth").cast("long").alias("_row"))
-    running = same.orderBy("_value", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = used.unionByName(asked).withColumn("_number", F.col("_value") + F.count_if(F.col("_row").isNull()).over(running)).filter("_row is not null")
-    dealt = dealt.select(folder, name, F.col("_row").cast("int").alias("_nth"), "_number")
-    return parts.join(dealt, [folder, name, "_nth"]).withColumn("destination_name", numbered_name(F.col(name), F.col("_number"))).drop("_nth", "_number")
+    used = used.distinct()
+    huge = large_groups(rows.select(*key).unionByName(used.select(*key)), key, large)
+    parts = numbered_within(rows, key, order, name="_nth", large=huge).withColumn("_nth", F.col("_nth") - 1)
+    free = numbered_within(used, key, "_value", name="_rank", large=huge).select(*key, (F.col("_value") - F.col("_rank") + 1).alias("_value"), F.lit(None).cast("long").alias("_row"))
+    asked = parts.select(*key, F.col("_nth").alias("_value"), F.col("_nth").alias("_row"))
+    both = numbered_within(free.unionByName(asked), key, "_value", F.col("_row").isNotNull(), name="_place", large=huge).filter("_row is not null")
+    # before a place stand the numbers asked and the used ones stepped over: together the number dealt
+    dealt = both.select(*key, F.col("_row").alias("_nth"), (F.col("_place") - 1).alias("_number"))
+    return parts.join(dealt, [*key, "_nth"]).withColumn("destination_name", numbered_name(F.col(name), F.col("_number"))).drop("_nth", "_number")
 
 
 def should_export(decision: Column, include_undecided: bool = False) -> Column:

@@ -284,8 +284,9 @@ def collision_existing(spark, sf_dir):
 @query
 def neighbours_of_item(spark, sf_dir):
     items = _reviewed(spark, sf_dir).withColumn("seq", F.col("photo_id").cast("long"))
-    asked = (("last", "100"), ("first", "0"), ("unknown", "no such id"))
-    out = [review.neighbour(items.filter("seq between 0 and 100"), photo, step).select(F.lit(name).alias("asked"), F.lit(step).alias("step"), "photo_id") for name, photo in asked for step in (1, -1)]
+    ends = items.agg(F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+    asked = (("last", str(ends["last"])), ("first", str(ends["first"])), ("unknown", "no such id"))
+    out = [review.neighbour(items, photo, step).select(F.lit(name).alias("asked"), F.lit(step).alias("step"), "photo_id") for name, photo in asked for step in (1, -1)]
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

@@ -246,7 +246,7 @@ ORACLES["decision_copies"] = f"""WITH {_REVIEWED} SELECT original_path AS source
 ORACLES["collision_existing"] = """WITH p AS (SELECT p_partkey, replace(p_name, ' ', '-') AS stem FROM part), u AS (SELECT DISTINCT stem, 0 AS u FROM p WHERE p_partkey % 3 = 0 UNION SELECT DISTINCT stem, 2 FROM p WHERE p_partkey % 7 = 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS nth FROM p), free AS (SELECT stem, g, row_number() OVER (PARTITION BY stem ORDER BY g) AS nth FROM (SELECT stem, unnest(range(0, count(*) + 3)) AS g FROM p GROUP BY stem) x WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.stem = x.stem AND u.u = x.g))
 SELECT p_partkey, stem || CASE WHEN g = 0 THEN '' ELSE '_' || g END || '.jpg' AS destination_name FROM n JOIN free USING (stem, nth)"""
-ORACLES["neighbours_of_item"] = """WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 0 AND 100), e AS (SELECT min(k) AS lo, max(k) AS hi FROM c)
+ORACLES["neighbours_of_item"] = """WITH c AS (SELECT c_custkey AS k FROM customer), e AS (SELECT min(k) AS lo, max(k) AS hi FROM c)
 SELECT 'last' AS asked, 1 AS step, lo::VARCHAR AS photo_id FROM e UNION ALL SELECT 'last', -1, max(k)::VARCHAR FROM c WHERE k < (SELECT hi FROM e) UNION ALL SELECT 'first', 1, min(k)::VARCHAR FROM c WHERE k > (SELECT lo FROM e)
 UNION ALL SELECT 'first', -1, hi::VARCHAR FROM e UNION ALL SELECT 'unknown', 1, lo::VARCHAR FROM e UNION ALL SELECT 'unknown', -1, lo::VARCHAR FROM e"""
 ORACLES["first_summary"] = f"""{picked()} SELECT count(*) AS total_photos, count(*) FILTER (status = 'selected') AS selected_count, count(*) FILTER (status = 'review') AS review_count, count(*) FILTER (status = 'rejected') AS rejected_count,

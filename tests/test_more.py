@@ -80,3 +80,25 @@ def test_one_event_per_photo(spark):
     assert [p.current for p in seen] == list(range(1, 91)) and {p.total for p in seen} == {90} and len({p.message.split(" ")[0] for p in seen}) == 90
     with watched(rows, "file_name", 90, seen.append) as told:
         assert told.count() == 90
+
+
+def test_crowded_names_are_numbered_like_others(spark):
+    import random
+
+    from lumenpick.operators import export
+
+    rng = random.Random(3)
+    rows = [(rng.choice("fg"), rng.choice(["a.jpg", "a.jpg", "a.jpg", "a_1.jpg", "a_2.jpg", "b", "a_7.jpg"]), i) for i in range(150)]
+    there = [("f", "a.jpg"), ("f", "a_3.jpg"), ("g", "a_1.jpg"), ("g", "b"), ("g", "b_2")]
+    df = spark.createDataFrame(rows, "folder string, file_name string, seq int").repartition(5)
+    existing = spark.createDataFrame(there, "folder string, file_name string")
+    small, split = (sorted(map(tuple, export.collision_free(df, existing=existing, large=n).collect())) for n in (10**6, 20))
+    assert small == split and len({(f, d) for f, _, _, d in small} | set(there)) == 150 + len(there)
+    taken = set(there)
+    for folder in "fg":  # every row has the first free number of its name
+        for name in {n for f, n, _ in rows if f == folder}:
+            stem, dot, ending = name.partition(".")
+            used = {d for f, n, _, d in small if f == folder and n != name} | {n for f, n in taken if f == folder} | {n for f, n, _ in rows if f == folder and n != name}
+            free = [x for x in [name, *[f"{stem}_{k}{dot}{ending}" for k in range(1, 400)]] if x not in used or (x == name and (folder, name) not in taken)]
+            got = [d for f, n, _, d in sorted(small, key=lambda r: r[2]) if f == folder and n == name]
+            assert [x for x in got if x not in used] == got and got == [x for x in free if x in got]

@@ -290,6 +290,11 @@ def neighbours_of_item(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+@query
+def first_report_rows(spark, sf_dir):
+    return reports.first_rows(_explained(spark, sf_dir))
+
+
 @query
 def first_summary(spark, sf_dir):
     return reports.first_summary(reports.first_rows(_explained(spark, sf_dir)))

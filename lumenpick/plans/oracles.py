@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.reports import FIRST_COLUMNS
+
 ORACLES: dict[str, str] = {}
 MODES = ("conservative", "balanced", "aggressive")
 
@@ -307,3 +309,9 @@ boxes AS (SELECT vec_id, x::INTEGER AS x, y::INTEGER AS y, 4 AS w, 4 AS h FROM (
   WHERE {d(0)} + {d(1)} * (inner_s / 4::DOUBLE) + {d(-1)} * (s / 16::DOUBLE) >= {d(0.5)} * spread AND {d(0)} + {d(1)} * (upper_s / 8::DOUBLE) + {d(-1)} * (lower_s / 8::DOUBLE) >= {d(0)} * spread)"""
 ORACLES["tile_boxes"] = f"{_BOXES} SELECT vec_id, x, y, w, h FROM boxes"
 ORACLES["tile_box_faces"] = f"{_BOXES} SELECT tiles.vec_id, count(boxes.vec_id)::INTEGER AS face_count, count(boxes.vec_id) > 0 AS face_detected FROM tiles LEFT JOIN boxes ON boxes.vec_id = tiles.vec_id GROUP BY tiles.vec_id"
+
+_RENAMED = {
+    "path": "original_path", "is_blurry": "is_blur", "brightness": "brightness_score", "duplicate_group": "CASE WHEN is_duplicate_candidate THEN duplicate_group_id END",
+    "is_best_in_duplicate_group": "best_in_duplicate_group", "status": "output_status",
+}
+ORACLES["first_report_rows"] = f"""SELECT {", ".join(f"{_RENAMED.get(c, c)} AS {c}" for c in FIRST_COLUMNS)} FROM ({ORACLES["flat_report_rows"]})"""

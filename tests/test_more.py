@@ -102,3 +102,34 @@ def test_crowded_names_are_numbered_like_others(spark):
             free = [x for x in [name, *[f"{stem}_{k}{dot}{ending}" for k in range(1, 400)]] if x not in used or (x == name and (folder, name) not in taken)]
             got = [d for f, n, _, d in sorted(small, key=lambda r: r[2]) if f == folder and n == name]
             assert [x for x in got if x not in used] == got and got == [x for x in free if x in got]
+
+
+def test_invalidated_paths_leave_the_cache(spark):
+    from pyspark.sql import functions as F
+
+    from lumenpick.operators import cache
+
+    rows = spark.createDataFrame([("/A/x.jpg", 1), ("/a/y.jpg", 2), ("/a/z.jpg", 3)], "path string, n int").withColumn("cache_key", cache.cache_key(F.col("path")))
+    gone = spark.createDataFrame([("/a/X.jpg",), ("/a/X.jpg",), ("/none",)], "path string")
+    assert sorted(r["n"] for r in cache.invalidated(rows, gone).collect()) == [2, 3]
+    assert cache.invalidated(rows, gone.limit(0)).count() == 3
+
+
+def test_labels_follow_their_pattern_and_rows_their_scan_order(spark):
+    from lumenpick.operators import similarity
+
+    rows = spark.createDataFrame([(3, 3, "b.jpg", 3), (1, 1, "c.jpg", 1), (2, 1, "A.jpg", 2), (4, 4, "a.jpg", 0)], "id long, component long, name string, seq long").repartition(3)
+    got = similarity.labelled(rows, "group-%d").orderBy("seq").collect()
+    assert [(r["id"], r["cluster_id"], r["cluster_size"], r["confidence"]) for r in got] == [(4, "group-1", 1, 0.0), (1, "group-2", 2, 1.0), (2, "group-2", 2, 1.0), (3, "group-3", 1, 0.0)]
+    assert [r["cluster_id"] for r in similarity.ungrouped(rows, "G%02d").orderBy("seq").collect()] == ["G01", "G02", "G03", "G04"]
+
+
+def test_first_generation_reports_are_written(spark, tmp_path):
+    from test_operators import items
+
+    from lumenpick.operators import picking, reports
+
+    done = picking.picked(items(spark, ("a", "1", 0.9, {}), ("b", "1", 0.4, {}))).withColumn("reasons", picking.reasons("balanced"))
+    target = reports.single_csv(reports.first_rows(done).orderBy("filename"), str(tmp_path / "first.csv"))
+    lines = open(target, encoding="utf-8-sig").read().splitlines()
+    assert lines[0].split(",") == reports.FIRST_COLUMNS and [x.split(",")[0] for x in lines[1:]] == ["a.jpg", "b.jpg"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +39,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: idle Python workers stay beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow where fn turns one batch into columns named as in the DDL schema."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,5 +63,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], sc
             yield pa.RecordBatch.from_arrays(
                 [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, f.type) for f in target], schema=target
             )
+        del batches
+        give_back()
 
     return df.mapInArrow(run, schema)

@@ -142,9 +142,10 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return max(len(a), len(b)) - head - tail <= 1
 
 
-@F.pandas_udf(BooleanType())
-def _verified(left, right):
-    return left.combine(right, lambda a, b: within_one_edit(words_of(a), words_of(b)))
+@F.arrow_udf(BooleanType())
+def _verified(left: pa.Array, right: pa.Array) -> pa.Array:
+    pairs = zip(left.to_pylist(), right.to_pylist(), strict=True)
+    return pa.array([within_one_edit(words_of(a), words_of(b)) for a, b in pairs], pa.bool_())
 
 
 def _order() -> Column:

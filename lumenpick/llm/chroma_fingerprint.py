@@ -257,10 +257,10 @@ def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
         own, place, mark = landmarks(samples, edges) if len(samples) else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((place, mark, own))
         marks.append(mark[order].view(np.int64))
-        places.append(place[order].astype(np.int64))
+        places.append(place[order].astype(np.int32))  # a text has fewer than 2^31 bytes
         sizes.append(np.bincount(own.astype(np.int64), minlength=last - first))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return out | {"doc_id": _column(batch, "doc_id"), "marks": offsets_array(join(marks), join(sizes)), "places": offsets_array(join(places), join(sizes))}
+    join = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
+    return out | {"doc_id": _column(batch, "doc_id"), "marks": offsets_array(join(marks), join(sizes)), "places": offsets_array(join(places, np.int32), join(sizes))}
 
 
 #: Votes of two recordings that are counted at a time.
@@ -272,6 +272,7 @@ def _offset_votes(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
 
     A landmark that repeats votes with all its places, once per offset.
     """
+    a, b = ((x[0], x[1], x[2].astype(np.int64)) for x in (a, b))
     marks, rows_a = np.unique(a[1], return_inverse=True)
     at = np.minimum(np.searchsorted(marks, b[1]), max(0, len(marks) - 1))
     here = marks[at] == b[1] if len(marks) else np.zeros(0, bool)
@@ -402,7 +403,7 @@ def _connected(prints: DataFrame, leaders_of: DataFrame, scratch: Scratch) -> tu
 
 def _prints(media: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows, and class, leader (its smallest doc_id), frames of all classes."""
-    schema = "doc_id long, n_frames long, class long, packed binary, marks array<long>, places array<long>"
+    schema = "doc_id long, n_frames long, class long, packed binary, marks array<long>, places array<int>"
     prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, schema))
     leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"), F.max("n_frames").alias("frames"))
     return prints, scratch.keep(leaders)

@@ -36,6 +36,7 @@ closest of those compared.  Classes are told apart by 64-bit hashes.  Extra colu
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -263,6 +264,21 @@ def _fingerprint_rows(batch: pa.RecordBatch) -> dict:
     return out | {"doc_id": _column(batch, "doc_id"), "marks": offsets_array(join(marks), join(sizes)), "places": offsets_array(join(places, np.int32), join(sizes))}
 
 
+def stored(packed: np.ndarray) -> bytes:
+    """A fingerprint as tables hold it: neighbouring integers share most of their bits, so each is stored as what changed, compressed."""
+    return zlib.compress(np.concatenate([packed[:1], packed[1:] ^ packed[:-1]]).tobytes(), 1)
+
+
+def restored(data: bytes) -> np.ndarray:
+    """The fingerprint that was stored."""
+    return np.bitwise_xor.accumulate(np.frombuffer(zlib.decompress(data), np.uint32))
+
+
+def _print_rows(batch: pa.RecordBatch) -> dict:
+    out = _fingerprint_rows(batch)
+    return out | {"packed": [stored(np.frombuffer(x, np.uint32)) for x in out["packed"]]}
+
+
 #: Votes of two recordings that are counted at a time.
 _VOTES = 1 << 20
 
@@ -320,7 +336,7 @@ def _alignment_rows(batch: pa.RecordBatch) -> dict:
     out = {"a": _column(batch, "a"), "b": _column(batch, "b"), "frame_offset": [], "overlap": [], "bit_error": [], "linked": []}
     columns = {c: _column(batch, c) for c in ("a_packed", "a_marks", "a_places", "b_packed", "b_marks", "b_places")}
     for i in range(batch.num_rows):
-        a, b = ((np.frombuffer(columns[f"{s}_packed"][i].as_py(), np.uint32), columns[f"{s}_marks"][i].values.to_numpy(), columns[f"{s}_places"][i].values.to_numpy()) for s in "ab")
+        a, b = ((restored(columns[f"{s}_packed"][i].as_py()), columns[f"{s}_marks"][i].values.to_numpy(), columns[f"{s}_places"][i].values.to_numpy()) for s in "ab")
         for name, value in zip(("frame_offset", "overlap", "bit_error", "linked"), align(a, b), strict=True):
             out[name].append(value)
     return out
@@ -354,7 +370,10 @@ def _askers(slim: DataFrame, scratch: Scratch) -> DataFrame:
     # landmarks of its own come first, and need no look
     front = F.size("m") - needed + 1
     ordered = ordered.select("class", F.posexplode("m").alias("place", "x"), front.alias("front"))
-    return scratch.keep(ordered.select("class", "x.mark", (F.col("place") < F.col("front")).alias("asks")))
+    members = scratch.keep(ordered.select("class", "x.mark", (F.col("place") < F.col("front")).alias("asks")))
+    scratch.drop(shared)
+    scratch.drop(held)
+    return members
 
 
 def candidates(slim: DataFrame, scratch: Scratch) -> DataFrame:
@@ -365,10 +384,11 @@ def candidates(slim: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _connected(prints: DataFrame, leaders_of: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Compared pairs that are linked, and node, component of all classes with a link."""
+    """Compared pairs that are linked, and node, component of all classes with a link; prints goes, since no later step needs it."""
     members = _askers(_led(prints.select("doc_id", "class", "marks"), leaders_of), scratch)
     # only classes that share a landmark are fetched whole
     classes = _whole(prints, leaders_of, members.select("class").distinct(), scratch)
+    scratch.drop(prints)
     leaders = scratch.keep(members.groupBy("mark").agg(F.min("class").alias("leader"), F.count("*").alias("n"), F.bool_or("asks").alias("asked")).filter("n > 1 and asked").select("mark", "leader"))
     pairs = members.join(leaders, "mark").filter("class <> leader and asks").select(*_pairs("leader", "class")).distinct()
     known = scratch.keep(_compared(pairs, classes))
@@ -402,10 +422,10 @@ def _connected(prints: DataFrame, leaders_of: DataFrame, scratch: Scratch) -> tu
 
 
 def _prints(media: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Fingerprints of all rows, and class, leader (its smallest doc_id), frames of all classes."""
+    """Numbered fingerprints of all rows, and class, leader (its smallest doc_id), row (of the leader; one, if it has several), frames of all classes."""
     schema = "doc_id long, n_frames long, class long, packed binary, marks array<long>, places array<int>"
-    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _fingerprint_rows, schema))
-    leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"), F.max("n_frames").alias("frames"))
+    prints = scratch.keep(arrow_map(media.select("doc_id", "samples"), _print_rows, schema).withColumn("row", F.monotonically_increasing_id()))
+    leaders = prints.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("leader"), F.min_by("row", "doc_id").alias("row"), F.max("n_frames").alias("frames"))
     return prints, scratch.keep(leaders)
 
 
@@ -415,9 +435,8 @@ def _led(prints: DataFrame, leaders_of: DataFrame) -> DataFrame:
 
 
 def _whole(prints: DataFrame, leaders_of: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """class, packed, marks, places of the wanted classes."""
-    rows = _led(prints.select("doc_id", "class", "packed", "marks", "places"), leaders_of.join(wanted, "class"))
-    return scratch.keep(rows.dropDuplicates(["class"]).drop("doc_id"))
+    """class, packed, marks, places of the wanted classes: a row each by its number, so whole rows are dealt once."""
+    return scratch.keep(prints.select("row", "class", "packed", "marks", "places").join(leaders_of.join(wanted, "class").select("row"), "row").drop("row"))
 
 
 def alignment_links(media: DataFrame) -> DataFrame:
@@ -439,9 +458,10 @@ def aligned_recordings(media: DataFrame) -> DataFrame:
     """Per row of media (doc_id, samples): doc_id, n_frames, component_id, component_size and an earlier recording it aligns with, with offset, overlap and bit error."""
     scratch = Scratch(media.sparkSession)
     prints, leaders = _prints(media, scratch)
+    rows = scratch.keep(prints.select("doc_id", "n_frames", "class"))
     links, labels = _connected(prints, leaders, scratch)
     links = scratch.keep(links)
-    members = scratch.keep(prints.filter("class is not null and doc_id is not null").select("doc_id", "class").distinct())
+    members = scratch.keep(rows.filter("class is not null and doc_id is not null").select("doc_id", "class").distinct())
     # classes of one doc_id belong together
     several = members.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("greatest")).filter("least < greatest").select("doc_id", "least")
     same = members.join(several, "doc_id").filter("least < class").select(F.col("least").alias("u"), F.col("class").alias("v"))
@@ -459,7 +479,7 @@ def aligned_recordings(media: DataFrame) -> DataFrame:
     per_doc = members.join(by_class, "class").withColumn("best", F.least(copied, "near")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.min("best").alias("best"))
     per_doc = scratch.keep(per_doc)
     sizes = scratch.keep(per_doc.groupBy("component_id").agg(F.count("*").alias("component_size")))
-    out = prints.select("doc_id", "n_frames").join(per_doc.join(sizes, "component_id"), "doc_id", "left")
+    out = rows.select("doc_id", "n_frames").join(per_doc.join(sizes, "component_id"), "doc_id", "left")
     return out.select(
         "doc_id", "n_frames", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_size", F.lit(1)).alias("component_size"),
         F.col("best.leader").alias("aligned_to"), F.col("best.frame_offset").alias("frame_offset"), F.col("best.overlap").alias("overlap"), F.col("best.bit_error").alias("bit_error"),

@@ -587,6 +587,25 @@ def test_fingerprints_use_plain_rectangle_sums():
     assert packed[t] >> 30 == [0, 1, 3, 2][level]
 
 
+def test_fingerprints_are_stored_small(spark):
+    prints = chroma.fingerprints([*spoken(12, 20, 6000), np.zeros(0, np.uint8), np.full(500, 7, np.uint8)])
+    assert all(np.array_equal(chroma.restored(chroma.stored(x)), x) for x in prints)
+    media = spark.createDataFrame([(i, bytes(x)) for i, x in enumerate(spoken(12, 20, 6000))], "doc_id long, samples binary")
+    kept, _ = chroma._prints(media, chroma.Scratch(spark))  # noqa: SLF001
+    assert kept.selectExpr("sum(length(packed))").first()[0] < 0.85 * sum(x.nbytes for x in prints[:20])
+
+
+def test_whole_fingerprints_are_dealt_once(spark):
+    a, b = spoken(13, 2)
+    media = spark.createDataFrame([(3, bytes(a)), (3, bytes(a)), (3, bytes(b)), (5, bytes(a)), (6, None)], "doc_id long, samples binary")
+    scratch = chroma.Scratch(spark)
+    prints, leaders = chroma._prints(media, scratch)  # noqa: SLF001
+    wanted, scratch.keep = scratch.keep(leaders.select("class")), lambda df: df
+    found = chroma._whole(prints, leaders, wanted, scratch)  # noqa: SLF001
+    assert found.count() == found.select("class").distinct().count() == 2
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+
+
 # --- 10: quotations -----------------------------------------------------------------------
 
 

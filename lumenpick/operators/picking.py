@@ -22,20 +22,23 @@ def _rank_order() -> list[Column]:
     return [F.col("final_score").desc(), F.col("subject_score").desc(), (num(1) - F.col("body_blur_penalty")).desc(), F.col("face_score").desc(), F.col("sharpness").desc(), F.lower("file_name"), F.col("seq")]
 
 
-def ranked(items: DataFrame, large: int = LARGE_CLUSTER) -> DataFrame:
+def ranked(items: DataFrame, large: int = LARGE_CLUSTER, dealt: DataFrame | None = None) -> DataFrame:
     """Adds rank, cluster_size and `winner` (a struct) per cluster_id; ties go by lower-cased name, then seq.
 
     One sort per cluster gives all three.  Clusters of more than `large` rows, of which there are at most
     rows / large, are counted first and ranked over range partitions instead, so none is one task's work.
+    dealt: the same items, worked out from rows that were repartitioned by the very expression of cluster_id,
+    so that these narrower rows are shuffled and not the items.
     """
+    dealt = items if dealt is None else dealt
     sizes = items.groupBy(F.col("cluster_id").alias("_cluster")).agg(F.count("*").alias("_n"))
     huge = [r["_cluster"] for r in sizes.filter(F.col("_n") > large).select("_cluster").collect()]
     if not huge:
-        return _ranked_by_window(items)
+        return _ranked_by_window(dealt)
     is_huge = F.col("cluster_id").isin([c for c in huge if c is not None])
     is_huge = F.coalesce(is_huge, F.lit(None in huge))
     names = [*items.columns, "rank", "cluster_size", "winner"]
-    return _ranked_by_window(items.filter(~is_huge)).select(names).unionByName(_ranked_by_range(items.filter(is_huge)).select(names))
+    return _ranked_by_window(dealt.filter(~is_huge)).select(names).unionByName(_ranked_by_range(items.filter(is_huge)).select(names))
 
 
 def _ranked_by_window(items: DataFrame) -> DataFrame:
@@ -55,11 +58,11 @@ def _ranked_by_range(items: DataFrame) -> DataFrame:
     }).drop("_cluster", "_number", "_first")
 
 
-def picked(items: DataFrame, mode: str = "balanced", keep: int | None = None) -> DataFrame:
-    """Adds is_cluster_winner, score_gap, duplicate_penalty and status to ranked items."""
+def picked(items: DataFrame, mode: str = "balanced", keep: int | None = None, dealt: DataFrame | None = None) -> DataFrame:
+    """Adds is_cluster_winner, score_gap, duplicate_penalty and status to ranked items; dealt: as in `ranked`."""
     select_from, review_from, close = pick_limits(mode)
     keep = kept_per_cluster(mode) if keep is None else keep
-    r = ranked(items)
+    r = ranked(items, dealt=dealt)
     gap = F.col("winner.final_score") - F.col("final_score")
     score, first = F.col("final_score"), F.col("rank") == 1
     by_score = F.when(score >= review_from, "review").otherwise("rejected")

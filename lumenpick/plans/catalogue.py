@@ -93,7 +93,7 @@ for _mode in MODES:
 
 
 def _explained(spark, sf_dir, mode="balanced"):
-    return picking.picked(f.line_items(spark, sf_dir, mode), mode).withColumn("reasons", picking.reasons(mode))
+    return picking.picked(f.line_items(spark, sf_dir, mode), mode, dealt=f.line_items(spark, sf_dir, mode, dealt=True)).withColumn("reasons", picking.reasons(mode))
 
 
 @query
@@ -150,10 +150,14 @@ def flat_report_rows(spark, sf_dir):
 
 
 def _json_fields(records: DataFrame, texts: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
-    """The fields of JSON records at the given paths in place of the records."""
-    at = lambda p: F.get_json_object("record", f"$.{p}")
-    fields = {p.rsplit(".", 1)[-1]: at(p) for p in texts} | {p.rsplit(".", 1)[-1]: at(p).cast("double") for p in numbers}
-    return records.withColumns(fields).drop("record")
+    """The fields of JSON records at the given paths in place of the records; a record is parsed once for all of them."""
+    tree: dict = {}
+    for path, kind in [*[(p, "string") for p in texts], *[(p, "double") for p in numbers]]:
+        *above, last = path.split(".")
+        reduce(lambda node, name: node.setdefault(name, {}), above, tree)[last] = kind
+    ddl = lambda node: ", ".join(f"{n}: {k if isinstance(k, str) else f'struct<{ddl(k)}>'}" for n, k in node.items())
+    parsed = records.withColumn("record", F.from_json("record", f"struct<{ddl(tree)}>"))
+    return parsed.withColumns({p.rsplit(".", 1)[-1]: F.col(f"record.{p}") for p in (*texts, *numbers)}).drop("record")
 
 
 @query

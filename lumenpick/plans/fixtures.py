@@ -35,15 +35,17 @@ def scored_tiles(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     return faceless.withColumns({"photo_id": c("vec_id").cast("string"), "file_name": F.concat(c("vec_id").cast("string"), F.lit(".jpg")), "seq": c("vec_id"), "cluster_id": c("label").cast("string"), "final_score": score})
 
 
-def line_items(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
-    """Order lines as items: an order is a cluster, quantities and prices give the scores."""
+def line_items(spark: SparkSession, sf_dir: str, mode: str = "balanced", dealt: bool = False) -> DataFrame:
+    """Order lines as items: an order is a cluster, quantities and prices give the scores; dealt: with the lines of a cluster in one partition."""
     c = F.col
+    lines, cluster = table(spark, sf_dir, "lineitem"), F.concat(F.lit("O"), c("l_orderkey").cast("string"))
+    lines = lines.repartition(cluster) if dealt else lines
     detected = c("l_linenumber") % 2 == 0
     body = (F.floor("l_extendedprice") % 100) / num(100)
-    items = table(spark, sf_dir, "lineitem").select(
+    items = lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor(c("l_extendedprice") * num(100) + num(0.5)).cast("string"), F.date_format("l_shipdate", "yyyyMMdd")).alias("photo_id"),
         F.concat(F.lit("/photos/"), c("l_orderkey").cast("string"), F.lit("/IMG_"), c("l_partkey").cast("string"), F.lit(".jpg")).alias("path"),
-        F.concat(F.lit("IMG_"), c("l_partkey").cast("string"), F.lit(".jpg")).alias("file_name"), F.concat(F.lit("O"), c("l_orderkey").cast("string")).alias("cluster_id"),
+        F.concat(F.lit("IMG_"), c("l_partkey").cast("string"), F.lit(".jpg")).alias("file_name"), cluster.alias("cluster_id"),
         rounded(c("l_quantity") / num(50)).alias("sharpness"), rounded(c("l_discount") * num(10)).alias("exposure"), rounded(c("l_tax") * num(12.5)).alias("contrast"),
         rounded(num(1) - c("l_quantity") / num(50)).alias("global_blur_penalty"), detected.alias("face_detected"), F.when(detected, 1 + c("l_partkey") % 4).otherwise(0).cast("int").alias("face_count"),
         F.when(detected, (c("l_partkey") % 100) / num(100)).otherwise(num(0)).alias("face_sharpness"), F.when(detected, (c("l_suppkey") % 100) / num(100)).otherwise(num(0.45)).alias("face_score"),

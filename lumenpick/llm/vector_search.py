@@ -1,15 +1,15 @@
 """Approximate nearest neighbours: inverted lists with product-quantised residuals and exact reranking.
 
 Coarse centroids and codebooks are fitted on the driver on a sample of at most
-TRAIN_ROWS vectors; every vector is indexed.  A vector belongs to the list of its nearest
-centroid, and its residual is coded by one codeword per subspace.  Lists are
-stored in blocks of about BLOCK_ROWS vectors, so that no list is too long for a task,
-and queries travel in chunks of alike ones to the blocks of the lists that they probe (the
-PROBE_SHARE of lists whose centroids have the largest inner products).  There,
-distance tables of a query's subvectors against the codewords estimate the block's
-inner products.  Every vector keeps the norm of its quantisation error; those whose estimate plus
+TRAIN_ROWS vectors, in blocks of FIT_ROWS; every vector is indexed.  A vector belongs to the list of its nearest
+centroid, and its residual is coded by one codeword per subspace.  Neighbouring lists make up groups of
+even size, long lists are split over several, and queries are dealt into slices.  A slice goes to the
+groups that hold a list that it probes (a query probes the PROBE_SHARE of lists whose centroids have the largest inner
+products); a group and a slice meet in a cell, which is one task's work and holds CELL_BYTES of vectors at most.
+There, the products of queries with the vectors as their codes tell them estimate inner products, block by block.
+Every vector keeps the norm of its quantisation error; those whose estimate plus
 SLACK standard errors reaches the k-th best so far are scored exactly, so a dense
-cluster that the codes can't tell apart is reranked whole.  Only the best k per query leave a task.
+cluster that the codes can't tell apart is reranked whole.  Only the best k per query leave a cell.
 Queries that found fewer than k in their lists visit all of them.
 
 Equal vectors collapse to one entry that remembers its k + 1 smallest ids, for
@@ -31,21 +31,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, bound_batches
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
 TRAIN_ROWS = 20_000
 MAX_LISTS = 1024
+#: Rows of a matrix of distances that the fit works out at once.
+FIT_ROWS = 2048
+#: Vectors and queries whose products a task works out at once.
 BLOCK_ROWS = 2048
-CHUNK_QUERIES = 256
+TILE_QUERIES = 256
+#: Bytes of vectors in a group, and in a slice of queries; cells that there are at least.
+CELL_BYTES = 32 << 20
+CELLS = 18
 PROBE_SHARE = 0.8
 #: Standard errors of an estimate that reranking allows for.
 SLACK = 3.0
 SUBVECTOR = 4
 CODEWORDS = 256
-#: Query chunks whose best rows a task holds before it hands them on.
-HELD_CHUNKS = 200
+#: Rows of one vector up to which they are one task's work, if that is more than a 64th of all and 256.
+LARGE_CLASS = 1 << 16
 _SALTS = 64
 
 
@@ -63,7 +69,9 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return np.argmin((centers**2).sum(axis=1) - 2 * (x @ centers.T), axis=1)
+    """Index of each row's nearest centre; the matrix of distances never has more than FIT_ROWS rows."""
+    norms, turned = (centers**2).sum(axis=1), centers.T
+    return np.concatenate([np.zeros(0, np.int64), *[np.argmin(norms - 2 * (x[a : a + FIT_ROWS] @ turned), axis=1) for a in range(0, len(x), FIT_ROWS)]])
 
 
 @dataclass(frozen=True)
@@ -95,12 +103,9 @@ class Quantiser:
         np.put_along_axis(out, np.argpartition(-scores, probes - 1, axis=1)[:, :probes], True, axis=1)
         return out
 
-    def approximate(self, queries: np.ndarray, listed: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with coded vectors of one list, from tables per subspace."""
-        out = np.repeat((queries @ self.centers[listed])[:, None], len(codes), axis=1)
-        for m, ((a, b), book) in enumerate(zip(self.edges, self.codebooks, strict=True)):
-            out += (queries[:, a:b] @ book.T)[:, codes[:, m]]
-        return out
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors as lists and codes tell them."""
+        return self.centers[lists] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
 
 
 def exact_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -116,8 +121,11 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
-def _classes(vectors: DataFrame, dim: int, k: int, kind: str) -> tuple[DataFrame, DataFrame]:
-    """class (smallest vec_id), vector (packed), ids: the k + 1 smallest ids that have the vector; and vec_id, vector of all rows."""
+def _classes(vectors: DataFrame, dim: int, k: int, kind: str, query_step: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """class (smallest vec_id), vector (packed), ids: the k + 1 smallest ids that have the vector, asked: whether a query has it; and query_id, class of all queries.
+
+    Rows with one vector meet in one task, those of the few most frequent ones first in _SALTS parts.
+    """
     valid = vectors.filter("vec_id is not null").filter(
         (F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
     )
@@ -126,12 +134,43 @@ def _classes(vectors: DataFrame, dim: int, k: int, kind: str) -> tuple[DataFrame
         flat = _column(batch, "embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim) + np.zeros(1, kind)  # no negative zeros
         return {"vec_id": _column(batch, "vec_id"), "vector": [row.tobytes() for row in flat]}
 
-    packed = arrow_map(valid.select("vec_id", "embedding"), pack, "vec_id long, vector binary").distinct()
-    salted = Window.partitionBy("vector", "salt").orderBy("vec_id")
-    some = packed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))).withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= k + 1)
-    least = some.withColumn("rank", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).filter(F.col("rank") <= k + 1)
-    ids = least.groupBy("vector").agg(F.min("vec_id").alias("class"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return ids.select("class", "vector", "ids"), packed
+    packed = arrow_map(valid.select("vec_id", "embedding"), pack, "vec_id long, vector binary")
+    sizes = packed.groupBy(F.xxhash64("vector").alias("hash")).agg(F.count("*").alias("n"))
+    most = max(256, min(LARGE_CLASS, vectors.count() // 64))
+    large = [r["hash"] for r in sizes.filter(F.col("n") > most).select("hash").collect()]  # at most 64, or a LARGE_CLASS-th of all
+    is_large = F.xxhash64("vector").isin(large) if large else F.lit(False)
+    salt = F.when(is_large, F.pmod(F.xxhash64("vec_id"), F.lit(_SALTS))).otherwise(-1)
+    # one shuffle of the vectors: all that follows keeps to its partitions
+    dealt = packed.withColumn("salt", salt).repartition("vector", "salt").distinct()
+    some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("vector", "salt").orderBy("vec_id"))).withColumn("asks", F.col("vec_id") % query_step == 0)
+    kept = some.filter((F.col("rank") <= k + 1) | F.col("asks")).groupBy("vector", "salt").agg(
+        F.min("vec_id").alias("class"), F.collect_list(F.when(F.col("rank") <= k + 1, F.col("vec_id"))).alias("ids"), F.collect_list(F.when(F.col("asks"), F.col("vec_id"))).alias("queries")
+    )
+    kept = scratch.keep(kept.withColumn("ids", F.sort_array("ids")))
+    own, parts = kept.filter("salt < 0"), kept.filter("salt >= 0")
+    classes, members = own.select("class", "vector", "ids", (F.size("queries") > 0).alias("asked")), own.select(F.explode("queries").alias("query_id"), "class")
+    if large:
+        whole = parts.groupBy("vector").agg(F.min("class").alias("class"), F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.bool_or(F.size("queries") > 0).alias("asked"))
+        whole = scratch.keep(whole.select("class", "vector", "ids", "asked"))
+        asking = parts.select("vector", F.explode("queries").alias("query_id")).join(F.broadcast(whole.select("vector", "class")), "vector")  # a row per large class
+        classes, members = classes.unionByName(whole), members.unionByName(asking.select("query_id", "class"))
+    return classes, members
+
+
+def _dealt(sizes: np.ndarray, order: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per list its first group and over how many it is split: groups of even size, lists in the given order."""
+    most = max(1, -(-int(sizes.sum()) // groups))
+    first, pieces = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most))
+    filled = np.cumsum(sizes[order])
+    first[order] = (filled - sizes[order]) // most
+    return np.minimum(first, groups - 1), np.minimum(pieces, groups - np.minimum(first, groups - 1))
+
+
+def _grid(rows: int, queries: int, row_bytes: int, cells: int) -> tuple[int, int]:
+    """Groups of rows and slices of queries: enough cells, none with more than CELL_BYTES of either, and as few bytes to be sent as that allows."""
+    groups, slices = (max(1, -(-n * row_bytes // CELL_BYTES)) for n in (rows, queries))
+    options = [(max(groups, -(-cells // s)), s) for s in range(slices, slices + cells)]
+    return min(options, key=lambda o: o[1] * rows + o[0] * 2 * queries)  # a query's best rows weigh about as much as its vector
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int = QUERY_STEP, probe_share: float = PROBE_SHARE) -> DataFrame:
@@ -144,57 +183,32 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
         return empty
     dim, kind = sizes["dim"], "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     vectors = vectors.select("vec_id", "embedding") if kind == "<f4" else vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    classes, packed = _classes(vectors, dim, k, kind)
-    classes = scratch.keep(classes)
+    classes, members = _classes(vectors, dim, k, kind, query_step, scratch)
     total = classes.count()
     if not total:
         return empty
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(TRAIN_ROWS).select("vector").collect()
+    sample = _sample(classes, total).collect()
     sample = np.frombuffer(b"".join(bytes(r["vector"]) for r in sample), kind).reshape(-1, dim).astype(float)
     model = Quantiser.fit(sample, max(4, min(MAX_LISTS, int(total**0.5) // 2)))
     shared = spark.sparkContext.broadcast(model)  # MAX_LISTS centroids and CODEWORDS codewords per subspace at most
     lists = len(model.centers)
     probes = min(lists, max(1, int(np.ceil(lists * probe_share))))
 
-    def index(batch: pa.RecordBatch) -> dict:
-        x = _matrix(_column(batch, "vector"), kind, dim).astype(float)
-        near, codes, errors = shared.value.encode(x)
-        return {"class": _column(batch, "class"), "vector": _column(batch, "vector"), "list": near.astype(np.int32), "codes": [c.tobytes() for c in codes], "error": errors}
-
-    indexed = scratch.keep(arrow_map(classes.select("class", "vector"), index, "class long, vector binary, list int, codes binary, error double"))
+    near = arrow_map(classes.select("vector"), lambda b: {"list": shared.value.encode(_matrix(_column(b, "vector"), kind, dim).astype(float))[0].astype(np.int32)}, "list int")
     counts = np.zeros(lists, np.int64)
-    for row in indexed.groupBy("list").count().collect():  # a row per list
+    for row in near.groupBy("list").count().collect():  # a row per list
         counts[row["list"]] = row["count"]
-    blocks_of = np.maximum(1, -(-counts // BLOCK_ROWS))
-    per_list = F.element_at(F.array(*[F.lit(int(b)) for b in blocks_of]), F.col("list") + 1)
-    blocks = indexed.withColumn("block", F.pmod(F.xxhash64("class"), per_list).cast("int")).groupBy("list", "block").agg(
-        F.collect_list(F.struct("class", "codes", "error", "vector")).alias("rows")
-    )
-
-    members = packed.filter(F.col("vec_id") % query_step == 0).join(classes.select("class", "vector"), "vector").select(F.col("vec_id").alias("query_id"), "class")
-    members = scratch.keep(members)
-    asked = scratch.keep(members.select("class").distinct().join(indexed.select("class", "vector", "list"), "class"))
-    waiting = np.zeros(lists, np.int64)
-    for row in asked.groupBy("list").count().collect():  # a row per list
-        waiting[row["list"]] = row["count"]
-    # neighbouring lists fill a chunk together, large ones are split
+    asked = classes.filter("asked").select("class", "vector")
+    # neighbouring lists fill a group together, large ones are split
     axis = np.linalg.svd(model.centers - model.centers.mean(axis=0), full_matrices=False)[2][0]
     order = np.argsort(model.centers @ axis, kind="stable")
-    first_chunk, pieces = np.zeros(lists, np.int64), np.maximum(1, -(-waiting // CHUNK_QUERIES))
-    filled = np.cumsum(waiting[order])
-    first_chunk[order] = (filled - waiting[order]) // CHUNK_QUERIES
-    of_list = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("list") + 1)
-    chunk = (of_list(first_chunk) + F.pmod(F.xxhash64("class"), of_list(pieces))).cast("int")
-    chunked = asked.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "vector")).alias("queries"))
-    found = _found(chunked, blocks, shared, blocks_of, probes, k, kind, dim)
+    search = lambda queries, visited: _found(queries, classes.select("class", "vector"), shared, counts, order, total, visited, k, kind, dim)
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "class")
-    found = scratch.keep(found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
+    found = scratch.keep(search(asked, probes).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place"))
     reached = found.join(classes.select("class", F.size("ids").alias("n")), "class").groupBy("asked").agg(F.sum("n").alias("n")).filter(F.col("n") > k).select("asked")
     short = scratch.keep(asked.join(reached.withColumnRenamed("asked", "class"), "class", "left_anti"))
     if probes < lists and not short.isEmpty():
-        rest = short.groupBy(chunk.alias("chunk")).agg(F.collect_list(F.struct("class", "vector")).alias("queries"))
-        again = _found(rest, blocks, shared, blocks_of, lists, k, kind, dim)
-        again = again.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
+        again = search(short, lists).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
         found = scratch.keep(found.join(short.select(F.col("class").alias("asked")), "asked", "left_anti").unionByName(again))
     candidates = found.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("vec_id"))
     nearest = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
@@ -204,69 +218,97 @@ def nearest_neighbours(vectors: DataFrame, k: int = NEIGHBOURS, query_step: int
     return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def _found(chunked: DataFrame, blocks: DataFrame, shared, blocks_of: np.ndarray, probes: int, k: int, kind: str, dim: int) -> DataFrame:
-    """asked, class, score: the best of each block visited, k + 1 per query and task."""
+def _sample(classes: DataFrame, total: int) -> DataFrame:
+    """The vectors of the TRAIN_ROWS classes with the smallest hashes.
 
-    def send(batches):
-        """A copy of each chunk for every block of the lists that its queries probe."""
+    Hashes beyond a bound that half as many again stay below are left out by the tasks, else each task sends TRAIN_ROWS
+    candidates to the driver.
+    """
+    key = F.xxhash64("class")
+    bound = -(2**63) + int(2**64 * min(1.0, 1.5 * TRAIN_ROWS / total))
+    low = classes.filter(key < F.lit(bound)) if bound < 2**63 else classes
+    return low.orderBy(key, "class").limit(TRAIN_ROWS).select("vector")
+
+
+def _found(asked: DataFrame, stored: DataFrame, shared, counts: np.ndarray, order: np.ndarray, total: int, probes: int, k: int, kind: str, dim: int) -> DataFrame:
+    """asked, class, score: the k + 1 best of each cell per query that visits it."""
+    queries, spark = asked.count(), asked.sparkSession
+    groups, slices = _grid(total, queries, dim * np.dtype(kind).itemsize, max(CELLS, 3 * spark.sparkContext.defaultParallelism))
+    first, pieces = _dealt(counts, order, groups)
+    holds = np.zeros((len(counts), groups), np.float32)
+    for listed in range(len(counts)):
+        holds[listed, first[listed] : first[listed] + pieces[listed]] = 1
+
+    def mixed(ids: np.ndarray) -> np.ndarray:
+        """Evenly spread non-negative numbers."""
+        return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+    def store(batches):
+        """Vectors with list, codes and error, for every slice of their group."""
         for batch in batches:
-            for i in range(batch.num_rows):
-                own = _column(batch, "queries")[i : i + 1]
-                q = _matrix(own.flatten().field("vector"), kind, dim).astype(float)
-                where = np.flatnonzero(shared.value.probed(q, probes).any(axis=0))
-                for listed in where:
-                    n = int(blocks_of[listed])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, listed, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, _column(batch, "chunk")[i].as_py(), np.int32)), pa.concat_arrays([own] * n)],
-                        ["list", "block", "chunk", "queries"],
-                    )
-
-    sent = chunked.mapInArrow(send, "list int, block int, chunk int, queries array<struct<class:long, vector:binary>>")
-
-    def search(batches):
-        held: dict[int, list] = {}
+            ids = _column(batch, "class").to_numpy()
+            near, codes, errors = shared.value.encode(_matrix(_column(batch, "vector"), kind, dim).astype(float))
+            group = first[near] + mixed(ids) % pieces[near]
+            for piece in range(slices):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((group * slices + piece).astype(np.int32)), _column(batch, "class"), _column(batch, "vector").cast(pa.binary()), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errors)],
+                    ["cell", "class", "vector", "list", "codes", "error"],
+                )
+
+    def send(batches):
+        """Queries for the groups that hold a list that they probe."""
         for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = _column(batch, "chunk")[i].as_py()
-                asked_rows, rows = (_column(batch, c)[i : i + 1].flatten() for c in ("queries", "rows"))
-                q = _matrix(asked_rows.field("vector"), kind, dim).astype(float)
-                x = _matrix(rows.field("vector"), kind, dim).astype(float)
-                codes = _matrix(rows.field("codes"), np.uint8, len(shared.value.edges))
-                ids = rows.field("class").to_numpy()
-                if chunk not in held:
-                    if len(held) >= HELD_CHUNKS:
-                        yield _best_rows(held)
-                        held = {}
-                    held[chunk] = [asked_rows.field("class").to_numpy(), np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), np.iinfo(np.int64).max)]
-                order = np.argsort(asked_rows.field("class").to_numpy())
-                q, state = q[order], held[chunk]
-                state[0] = np.sort(state[0])
-                listed = _column(batch, "list")[i].as_py()
-                visit = np.flatnonzero(shared.value.probed(q, probes)[:, listed])
-                if not len(visit):
-                    continue
-                rough = shared.value.approximate(q[visit], listed, codes)
-                slack = SLACK * np.sqrt((q[visit] ** 2).sum(axis=1) / dim)[:, None] * rows.field("error").to_numpy()[None, :]
-                floor = state[1][visit, k]
-                if len(x) > k:
-                    floor = np.maximum(floor, np.partition(rough - slack, len(x) - k - 1, axis=1)[:, len(x) - k - 1])
-                for v, mask in zip(visit, ~(rough + slack < floor[:, None]), strict=True):  # what overflows is scored
-                    near = np.flatnonzero(mask)
-                    scores = np.concatenate([state[1][v], exact_products(q[v], x[near])])
-                    entries = np.concatenate([state[2][v], ids[near]])
-                    best = np.lexsort((entries, -scores))[: k + 1]
-                    state[1][v], state[2][v] = scores[best], entries[best]
-        yield _best_rows(held)
-
-    return sent.join(blocks, ["list", "block"]).select("list", "chunk", "queries", "rows").mapInArrow(search, "asked long, class long, score double")
-
-
-def _best_rows(held: dict[int, list]) -> pa.RecordBatch:
-    asked, ids, scores = [], [], []
-    for queries, best, found in held.values():
-        rows, cols = np.nonzero(np.isfinite(best))
-        asked.append(queries[rows])
-        ids.append(found[rows, cols])
-        scores.append(best[rows, cols])
-    join = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-    return pa.RecordBatch.from_arrays([join(asked, pa.int64()), join(ids, pa.int64()), join(scores, pa.float64())], ["asked", "class", "score"])
+            q = _matrix(_column(batch, "vector"), kind, dim).astype(float)
+            rows, group = np.nonzero(shared.value.probed(q, probes).astype(np.float32) @ holds)
+            piece = mixed(_column(batch, "class").to_numpy()) // groups % slices
+            to = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array((group * slices + piece[rows]).astype(np.int32)), _column(to, "class"), _column(to, "vector").cast(pa.binary())], ["cell", "class", "vector"])
+
+    def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, near, errors = (rows[c].to_numpy() for c in ("class", "list", "error"))
+        x, codes = _matrix(rows["vector"], kind, dim), _matrix(rows["codes"], np.uint8, len(shared.value.edges))
+        names, q = queries["class"].to_numpy(), _matrix(queries["vector"], kind, dim).astype(float)
+        visits = shared.value.probed(q, probes) if len(q) else np.zeros((0, len(counts)), bool)
+        slack = SLACK * np.sqrt((q**2).sum(axis=1, keepdims=True) / dim)
+        scores, found = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), np.iinfo(np.int64).max)
+        for a in range(0, len(x) if len(q) else 0, BLOCK_ROWS):
+            block = slice(a, a + BLOCK_ROWS)
+            vectors = x[block].astype(float)
+            # one product gives the estimate and the slack
+            told = np.concatenate([shared.value.decoded(near[block], codes[block]), errors[block, None]], axis=1).T
+            for t in range(0, len(q), TILE_QUERIES):
+                tile = slice(t, t + TILE_QUERIES)
+                best = _better(q[tile], slack[tile], visits[tile][:, near[block]], vectors, told, ids[block], scores[tile], found[tile], k)
+                if best is not None:
+                    scores[tile], found[tile] = best
+        there, _ = np.nonzero(np.isfinite(scores))
+        return pa.table({"asked": pa.array(names[there], pa.int64()), "class": pa.array(found[np.isfinite(scores)], pa.int64()), "score": pa.array(scores[np.isfinite(scores)], pa.float64())})
+
+    cells = groups * slices
+    bound_batches(spark)
+    left = stored.mapInArrow(store, "cell int, class long, vector binary, list int, codes binary, error double").repartitionById(cells, "cell")
+    right = asked.mapInArrow(send, "cell int, class long, vector binary").repartitionById(cells, "cell")
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(search, "asked long, class long, score double")
+
+
+def _better(q: np.ndarray, slack: np.ndarray, visited: np.ndarray, x: np.ndarray, told: np.ndarray, ids: np.ndarray, scores: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The k + 1 best scores and ids per query of those so far and a block's; None if they stay as they are."""
+    worth = ~(np.concatenate([q, slack], axis=1) @ told < scores[:, k, None]) & visited  # what overflows is scored
+    if np.count_nonzero(worth) * 8 > worth.size and len(x) > k + 1:
+        # too many to score one by one: those clearly below the block's own k-th best go first
+        rough = np.where(worth, q @ x.T, -np.inf)
+        least = np.partition(rough, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
+        with np.errstate(invalid="ignore"):
+            least = least - 1e-9 * np.sqrt((q**2).sum(axis=1) * (x**2).sum(axis=1).max())  # more than rounding can be
+        worth &= ~(rough < least[:, None])
+    rows, cols = np.nonzero(worth)
+    if not len(rows):
+        return None
+    n = len(q)
+    row = np.concatenate([np.repeat(np.arange(n), k + 1), rows])
+    score = np.concatenate([scores.ravel(), exact_products(q[rows], x[cols])])
+    entry = np.concatenate([found.ravel(), ids[cols]])
+    order = np.lexsort((entry, -score, row))
+    starts = np.searchsorted(row[order], np.arange(n))
+    best = order[starts[:, None] + np.arange(k + 1)]
+    return score[best], entry[best]

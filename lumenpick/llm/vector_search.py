@@ -275,7 +275,7 @@ def _found(asked: DataFrame, stored: DataFrame, shared, counts: np.ndarray, orde
             block = slice(a, a + BLOCK_ROWS)
             vectors = x[block].astype(float)
             # one product gives the estimate and the slack
-            told = np.concatenate([shared.value.decoded(near[block], codes[block]), errors[block, None]], axis=1).T
+            told = np.ascontiguousarray(np.concatenate([shared.value.decoded(near[block], codes[block]), errors[block, None]], axis=1).T)
             for t in range(0, len(q), TILE_QUERIES):
                 tile = slice(t, t + TILE_QUERIES)
                 best = _better(q[tile], slack[tile], visits[tile][:, near[block]], vectors, told, ids[block], scores[tile], found[tile], k)
@@ -294,14 +294,14 @@ def _found(asked: DataFrame, stored: DataFrame, shared, counts: np.ndarray, orde
 def _better(q: np.ndarray, slack: np.ndarray, visited: np.ndarray, x: np.ndarray, told: np.ndarray, ids: np.ndarray, scores: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The k + 1 best scores and ids per query of those so far and a block's; None if they stay as they are."""
     worth = ~(np.concatenate([q, slack], axis=1) @ told < scores[:, k, None]) & visited  # what overflows is scored
-    if np.count_nonzero(worth) * 8 > worth.size and len(x) > k + 1:
+    if np.count_nonzero(worth) * 24 > worth.size and len(x) > k + 1:
         # too many to score one by one: those clearly below the block's own k-th best go first
         rough = np.where(worth, q @ x.T, -np.inf)
         least = np.partition(rough, len(x) - k - 1, axis=1)[:, len(x) - k - 1]
         with np.errstate(invalid="ignore"):
             least = least - 1e-9 * np.sqrt((q**2).sum(axis=1) * (x**2).sum(axis=1).max())  # more than rounding can be
         worth &= ~(rough < least[:, None])
-    rows, cols = np.nonzero(worth)
+    rows, cols = np.divmod(np.flatnonzero(worth), worth.shape[1])
     if not len(rows):
         return None
     n = len(q)
